@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solarweave.llm import mixing
+import public_tokenizers
+
+from solarweave.llm import bpe, mixing
 from solarweave.storage import table
 
 
+def op2_bpe(spark, sf_dir):
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op10_mixing(spark, sf_dir):
     out = mixing.rates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op10_mixing": op10_mixing}
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op10_mixing": op10_mixing,
+}
 
 SQL = {
     "op10_mixing": """
