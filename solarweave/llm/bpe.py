@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from solarweave.llm.batches import by_batch, octets, spans
 from solarweave.llm.gear import cuts
 
-#: Chunks of some 512 bytes on average.
-CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 9, 128, 4096
+#: Chunks of some 500 bytes on average.
+CHUNK_WIDTH, CHUNK_MOST = 320, 4096
 #: A task keeps at most so many words, and so many bytes of long words and of chunks, then starts anew.
 MOST_WORDS, MOST_CHUNK_BYTES = 400_000, 32 << 20
 SPACE = b" \t\n\r\x0b\x0c"
@@ -116,7 +116,7 @@ class ChunkEncoder:
         parts, fresh, joints = [], {}, []
         for text in texts:
             text = text if b"<|" in text else text.lower()
-            ends = cuts(text, CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST)
+            ends = cuts(text, CHUNK_WIDTH, CHUNK_MOST)
             own = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             parts.append(own)
             for c in own:

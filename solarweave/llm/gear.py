@@ -1,4 +1,4 @@
-"""Content-defined chunking with a gear rolling hash over the last 32 bytes."""
+"""Content-defined chunking with a gear rolling hash over the last 16 bytes."""
 
 from __future__ import annotations
 
@@ -14,38 +14,44 @@ TABLE = gear_table()
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """At each byte, the sum of TABLE[byte j back] << j for j below 32, by doubling the window."""
+    """At each byte, the sum of TABLE[byte j back] << j for j below 16, by doubling the window."""
     h = TABLE[data]
-    for width in (1, 2, 4, 8, 16):
+    for width in (1, 2, 4, 8):
         wider = h.copy()
         wider[width:] += h[:-width] << np.uint32(width)
         h = wider
     return h
 
 
-def cuts(data: bytes, bits: int, least: int, most: int) -> list[int]:
-    """Ends of the chunks of data: where the hash's top bits are zero, least to most bytes apart.
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each width values in a row."""
+    at = 1
+    while 2 * at <= width:
+        values = np.minimum(values[:-at], values[at:])
+        at *= 2
+    return np.minimum(values[: len(values) - (width - at)], values[width - at :]) if width > at else values
+
+
+def cuts(data: bytes, width: int, most: int) -> list[int]:
+    """Ends of the chunks of data: after each byte whose hash is below all on its left and not
+    above any on its right, width bytes either way; and after most bytes without such a byte.
 
     A cut depends on the bytes near it alone, so an insertion shifts only chunks close by.
-    Empty data has no chunk; the last chunk may be shorter than least.
+    Chunks have more than width bytes, but for the first, the last and those after a forced
+    cut. Empty data has no chunk; a run of one byte has forced cuts alone.
     """
-    n = len(data)
-    if n <= least:
+    n, high = len(data), np.full(width, 0xFFFFFFFF, np.uint32)
+    if n <= width:
         return [n] if n else []
-    marks = np.flatnonzero(rolling(np.frombuffer(data, np.uint8)) < np.uint32(1 << (32 - bits))) + 1
+    h = rolling(np.frombuffer(data, np.uint8))
+    low = _least(np.concatenate((high, h, high)), width)
+    marks = np.flatnonzero((h < low[:n]) & (h <= low[width + 1 : width + 1 + n])) + 1
     out, last = [], 0
-    for m in marks.tolist():
-        if m - last < least:
-            continue
+    for m in [*marks.tolist(), n]:
         while m - last > most:
             last += most
             out.append(last)
-        if m - last >= least:
+        if m > last:
             out.append(m)
             last = m
-    while n - last > most:
-        last += most
-        out.append(last)
-    if last < n:
-        out.append(n)
     return out
