@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from solarweave.llm import bpe, mixing
+from solarweave.llm import bpe, media, mixing, neardup, substring
 from solarweave.storage import table
 
 
@@ -14,6 +14,18 @@ def op2_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op6_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_repeated_substrings(spark, sf_dir):
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_jpeg(spark, sf_dir):
+    return media.media_columns(table(spark, sf_dir, "documents"), media=False)
+
+
 def op10_mixing(spark, sf_dir):
     out = mixing.rates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -21,10 +33,28 @@ def op10_mixing(spark, sf_dir):
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_repeated_substrings": op7_repeated_substrings,
+    "op9_jpeg": op9_jpeg,
     "op10_mixing": op10_mixing,
 }
 
 SQL = {
+    "op6_near_duplicates": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS met FROM items x JOIN items y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met WHERE 100 * met >= 75 * (na + nb - met)),
+pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN pairs l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
+FROM sets s JOIN least l USING (doc_id)
+""",
     "op10_mixing": """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
