@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from solarweave.llm import bpe, media, mixing, neardup, substring
+from solarweave.llm import bpe, media, mixing, neardup, substring, topk
 from solarweave.storage import table
 
 
+def op1_top_k(spark, sf_dir):
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter("id % 50 = 0"), 5)
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -32,6 +37,7 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op2_bpe": op2_bpe,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_repeated_substrings": op7_repeated_substrings,
@@ -40,6 +46,17 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_top_k": """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+one AS (SELECT vec_id, min(v) AS v FROM ints GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM one q JOIN one c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op6_near_duplicates": """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
