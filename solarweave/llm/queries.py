@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from solarweave.llm import bpe, media, mixing, neardup, substring, topk
+from solarweave.llm import bpe, media, mixing, neardup, quality, substring, topk, toxicity
 from solarweave.storage import table
 
 
@@ -19,6 +19,16 @@ def op2_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,8 @@ def op10_mixing(spark, sf_dir):
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_repeated_substrings": op7_repeated_substrings,
     "op9_jpeg": op9_jpeg,
