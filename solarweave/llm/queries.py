@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from solarweave.llm import bpe, media, mixing, neardup, quality, substring, topk, toxicity
+from solarweave.llm import bpe, media, mixing, neardup, quality, secretscan, substring, topk, toxicity, urls
 from solarweave.storage import table
 
 
@@ -24,6 +24,10 @@ def op3_quality(spark, sf_dir):
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_url_filter(spark, sf_dir):
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +41,11 @@ def op7_repeated_substrings(spark, sf_dir):
     return substring.repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.found_secrets(docs, secretscan.fit(docs))
+
+
 def op9_jpeg(spark, sf_dir):
     return media.media_columns(table(spark, sf_dir, "documents"), media=False)
 
@@ -50,9 +59,11 @@ QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_repeated_substrings": op7_repeated_substrings,
+    "op8_secrets": op8_secrets,
     "op9_jpeg": op9_jpeg,
     "op10_mixing": op10_mixing,
 }
@@ -68,6 +79,28 @@ scored AS (
   FROM one q JOIN one c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op4_url_filter": r"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+rest AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+split AS (SELECT page_id, html, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+page AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') END AS node FROM split),
+tags AS (SELECT node, host, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM page WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+refs AS (SELECT node, host, CASE WHEN regexp_matches(tag, '(?i)rel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)
+         WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>;]+)', 1) END AS t FROM tags),
+full_refs AS (SELECT node, CASE WHEN t LIKE '//%' THEN 'http:' || t WHEN t LIKE '/%' THEN 'http://' || host || t ELSE t END AS t FROM refs WHERE t <> '' AND node IS NOT NULL),
+target AS (SELECT node AS a, translate(regexp_extract(substr(t, instr(t, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(substr(t, instr(t, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM full_refs WHERE regexp_matches(t, '(?i)^https?://')),
+edge AS (SELECT DISTINCT a, host, path, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS b FROM target),
+places AS (SELECT DISTINCT host, path, node FROM page UNION SELECT host, path, b FROM edge),
+fits AS (SELECT host, path, node, verdict, h || p AS rule, row_number() OVER (PARTITION BY host, path ORDER BY length(h || p) DESC, verdict) AS n
+         FROM places JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+ruled AS (SELECT * FROM fits WHERE n = 1),
+pairs AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach AS (SELECT DISTINCT node AS a, node AS b FROM places UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+shared AS (SELECT r.a AS node, bool_and(x.verdict = 'block') AS blocked FROM reach r JOIN ruled x ON r.b = x.node GROUP BY r.a)
+SELECT p.page_id, p.host, p.path, x.rule, coalesce(x.verdict, CASE WHEN s.blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM page p LEFT JOIN ruled x ON p.host = x.host AND p.path = x.path LEFT JOIN shared s ON p.node = s.node
 """,
     "op6_near_duplicates": """
 WITH RECURSIVE words AS (
