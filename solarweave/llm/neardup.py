@@ -17,8 +17,8 @@ WORDS, SIMILARITY = 5, 75
 #: Coordinates of a signature, and how many of two must agree for a pair to be confirmed. Two
 #: sets of similarity 0.75 agree in fewer with a probability of about 1e-7.
 COORDINATES, MATCHES = 40, 15
-#: Lists up to so many are paired by a join, longer ones in blocks of so many.
-SHORT_LIST, BLOCK = 24, 2048
+#: Nodes outside their list's first component, and shingles, of one block of the last comparison.
+BLOCK, BLOCK_SHINGLES = 512, 1_500_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.Generator(np.random.PCG64(11))
@@ -126,13 +126,10 @@ def _posts(classes: DataFrame) -> DataFrame:
     return mine.select("node", F.explode(F.transform(F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1)), lambda x: x["token"])).alias("token"))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose signatures and then whose full sets are similar enough."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(_fits("n_a", "n_b")).filter(_agree("sig_a", "sig_b") >= MATCHES)
-    likely = stored(likely.select("a", "b", "n_a", "n_b"), "likely")
-    ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_sets(docs, key, text, classes.join(ends, "node").select("node", "doc_id")), "sets")
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(_fits("n_a", "n_b")).filter(_agree("sig_a", "sig_b") >= MATCHES).select("a", "b", "n_a", "n_b")
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
     met = both.withColumn("met", F.size(F.array_intersect("s_a", "s_b")))
     return met.filter(F.col("met") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("met")) * SIMILARITY).select("a", "b")
@@ -144,53 +141,66 @@ def _stars(posts: DataFrame) -> DataFrame:
     return posts.join(least, "token").filter("node != a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _open_pairs(posts: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within a list whose ends aren't in one component yet.
+def _joining(nodes: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], asked: np.ndarray) -> list[tuple[str, str]]:
+    """Links that join components: each asked node against all, by an inverted index of the full sets.
 
-    Short lists are joined with themselves. In longer ones the nodes outside the component of
-    the list's least node meet all nodes, in blocks of BLOCK by BLOCK, each a task's work of
-    bounded memory; only pairs whose signatures agree enough leave a block.
+    Counts of common shingles come from the postings of the node's shingles, so nodes that
+    share nothing cost nothing. A link whose ends are joined already is left out: there are
+    fewer links than nodes, whatever the size of a group.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(code, kind="stable")
+    postings, ends = owner[order], np.concatenate(([0], np.cumsum(np.bincount(code))))
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    _, label = np.unique(comps, return_inverse=True)
+    out = []
+    for i in np.flatnonzero(asked).tolist():
+        own = code[first[i] : first[i + 1]]
+        met = np.bincount(np.concatenate([postings[ends[c] : ends[c + 1]] for c in own.tolist()]), minlength=len(sets))
+        near = np.flatnonzero((met * 100 >= (sizes[i] + sizes - met) * SIMILARITY) & (label != label[i]))
+        if len(near):
+            others, at = np.unique(label[near], return_index=True)
+            out += [(nodes[i], nodes[j]) for j in near[at]]
+            label[np.isin(label, others)] = label[i]
+    return out
+
+
+def _open_links(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components whose nodes share a posting list.
+
+    Of any two components in a list one isn't the list's least; its nodes are asked, against
+    all nodes that share a list with them. Asked nodes are dealt into blocks by the least
+    component of their longest list, so that those with the same partners meet them together,
+    and the partners of a block again by hash, by the number of their shingles: each task's
+    memory is bounded, and what is shuffled is nodes, never pairs.
     """
     here = posts.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
     lists = here.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low != high")
-    here = stored(here.join(lists.select("token", "n"), "token"), "open")
-    short = here.filter(F.col("n") <= SHORT_LIST)
-    x, y = short.alias("x"), short.alias("y")
-    few = x.join(y, "token").filter("x.node < y.node and x.comp != y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-    long = here.filter(F.col("n") > SHORT_LIST)
-    lead = long.groupBy("token").agg(F.min("node").alias("node")).join(long, ["token", "node"]).select("token", F.col("comp").alias("lead"))
-    sized = long.join(lead, "token").join(classes.select("node", "sig", "n_shingles"), "node")
-    counts = sized.groupBy("token").agg(F.count_if(F.expr("comp != lead")).alias("r"), F.count("*").alias("all"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    sized = sized.join(counts, "token").withColumn("at", F.xxhash64("node"))
-    rest = sized.filter("comp != lead").select("token", F.pmod("at", blocks("r")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("j"), F.lit(True).alias("rest"), "node", "comp", "sig", "n_shingles")
-    whole = sized.select("token", F.explode(F.sequence(F.lit(0), blocks("r") - 1)).alias("i"), F.pmod("at", blocks("all")).cast("int").alias("j"), F.lit(False).alias("rest"), "node", "comp", "sig", "n_shingles")
+    here = stored(here.join(lists.select("token", "low", "n"), "token"), "open")
+    asked = here.filter("comp != low").groupBy("node").agg(F.max(F.struct("n", "low"))["low"].alias("home"))
+    asked = stored(asked.join(sets.select("node", "size"), "node"), "asked")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    deal = asked.groupBy("home").agg(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES).alias("share"))
+    salt = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil("share")).cast("long"))
+    asked = asked.join(deal, "home").select("node", F.pmod(F.xxhash64("home", salt), F.lit(blocks)).alias("block"))
+    wanted = here.select("token", "node").join(asked, "node").select("block", "token").distinct()
+    partners = here.select("token", "node").join(wanted, "token").select("block", "node").distinct()
+    comps = here.select("node", "comp").distinct()
+    partners = partners.join(sets.select("node", "size"), "node")
+    parts = partners.groupBy("block").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    left = asked.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", F.lit(True).alias("asked"))
+    right = partners.join(parts, "block").select("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(False).alias("asked"))
+    rows = left.union(right).groupBy("block", "part", "node").agg(F.max("asked").alias("asked")).join(comps, "node").join(sets.select("node", "s"), "node")
 
     def meet(pdf):
         import pandas as pd
 
-        left, right = pdf[pdf.rest], pdf[~pdf.rest]
-        out = []
-        if len(left) and len(right):
-            codes, _ = pd.factorize(pd.concat([left.comp, right.comp]))
-            cl, cr = codes[: len(left)], codes[len(left) :]
-            sl, sr = (np.stack(v.sig.to_numpy()) for v in (left, right))
-            nl, nr = left.n_shingles.to_numpy(), right.n_shingles.to_numpy()
-            a, b = left.node.to_numpy(), right.node.to_numpy()
-            columns = np.ascontiguousarray(sr.T)
-            for at in range(0, len(left), 256):
-                to = min(at + 256, len(left))
-                same = np.zeros((to - at, len(right)), np.uint8)
-                for k in range(COORDINATES):
-                    same += sl[at:to, k, None] == columns[k]
-                low, high = np.minimum(nl[at:to, None], nr), np.maximum(nl[at:to, None], nr)
-                i, j = np.nonzero((same >= MATCHES) & (cl[at:to, None] != cr) & (low * 100 >= high * SIMILARITY))
-                out.append(pd.DataFrame({"a": np.minimum(a[at + i], b[j]), "b": np.maximum(a[at + i], b[j])}))
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype=object)
-
-    many = rest.union(whole).groupBy("token", "i", "j").applyInPandas(meet, "a string, b string")
-    return few.union(many).distinct()
+        links = _joining(pdf.node.to_numpy(), pdf.comp.to_numpy(), [np.asarray(x, np.int64) for x in pdf.s], pdf.asked.to_numpy())
+        return pd.DataFrame(links, columns=["a", "b"], dtype=object)
+
+    return rows.select("block", "part", "node", "asked", "comp", "s").groupBy("block", "part").applyInPandas(meet, "a string, b string")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,8 +210,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     are one class and count once from here on, so copies make no pairs. Signature coordinates
     of classes are posted under coordinate and value (see _posts). A first round confirms each
     posting list's least class with its others and takes components; a second compares what
-    is then still apart within a list, so no link between components is left out and groups
-    of near copies don't make all their pairs. Each pair is confirmed on the full sets.
+    is then still apart within lists, so no link between components is left out and groups
+    of near copies don't make all their pairs. Links are confirmed on the full sets.
 
     Null and empty texts have no shingles and stand alone. A row without doc_id is no one's
     smallest id; its component is that of its links, else null, and so may kept be. Repeated
@@ -210,9 +220,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sigs = stored(signatures(docs, key, text), "signatures")
     classes = stored(sigs.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     posts = stored(_posts(classes), "posts")
-    first = stored(_confirm(_stars(posts), classes, docs, key, text), "links")
+    posted = classes.join(posts.select("node").distinct(), "node").select("node", "doc_id")
+    sets = stored(_sets(docs, key, text, posted).withColumn("size", F.size("s")), "sets")
+    first = stored(_confirm(_stars(posts), classes, sets), "links")
     labels = stored(connected_components(first), "labels")
-    second = _confirm(stored(_open_pairs(posts, labels, classes), "pairs"), classes, docs, key, text)
+    second = _open_links(posts, labels, sets)
     labels = stored(connected_components(first.union(second)), "labels")
     smallest = classes.join(labels, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     ids = classes.select("node", "doc_id").join(labels, "node", "left").join(smallest, "component", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
