@@ -1 +1 @@
-
+"""Column functions shared by the operators."""

@@ -1 +1 @@
-
+"""Queries over the driver tables: fixtures, plans and the SQL that checks them."""

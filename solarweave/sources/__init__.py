@@ -1 +1 @@
-
+"""Readers, writers and the columns that they are keyed by."""

@@ -1 +1 @@
-
+"""Structured Streaming forms of the time-driven operators."""
