@@ -85,52 +85,55 @@ def arbitrated(detections: DataFrame, size: float) -> DataFrame:
     return out.filter(F.col("clipped_area") > TINY).withColumn("blocks_placement", blocks_placement(F.col("kind")))
 
 
-def _fold(boxes: pd.DataFrame) -> pd.DataFrame:
-    """Greedy merge of one kind in one analysis, in the order given.
+def _fold(boxes: np.ndarray) -> list[tuple[list[int], float]]:
+    """Greedy merge of one kind in one analysis, in the order given: members and area of each group.
 
     A group is a set of boxes; its area is that of their union, found on the grid of all
     their edges. The new box is held against every group as it stands; groups that share
     more than half of the smaller area with it become one. What was merged is not tested again.
     """
-    b = boxes[["x1", "y1", "x2", "y2"]].to_numpy()
-    xs, ys = np.unique(b[:, [0, 2]]), np.unique(b[:, [1, 3]])
+    xs, ys = np.unique(boxes[:, [0, 2]]), np.unique(boxes[:, [1, 3]])
     cells = np.outer(np.diff(xs), np.diff(ys))
-
-    def mask(i):
-        m = np.zeros(cells.shape, bool)
-        m[np.searchsorted(xs, b[i, 0]) : np.searchsorted(xs, b[i, 2]), np.searchsorted(ys, b[i, 1]) : np.searchsorted(ys, b[i, 3])] = True
-        return m
-
-    groups: list[tuple[np.ndarray, list[int]]] = []
-    for i in range(len(b)):
-        own = mask(i)
-        area = cells[own].sum()
-        hits = [g for g in groups if cells[own & g[0]].sum() > SAME_SHARE * min(area, cells[g[0]].sum())]
-        if hits:
-            groups = [g for g in groups if not any(g is h for h in hits)]
-        groups.append((np.logical_or.reduce([own, *(h[0] for h in hits)]), [i, *(j for h in hits for j in h[1])]))
-    rows = []
-    for m, members in groups:
-        part = boxes.iloc[members]
-        rank = [(PRIORITY.get(s, 0), 0.0 if pd.isna(c) else c) for s, c in zip(part.source, part.confidence, strict=True)]
-        best = part.iloc[max(range(len(rank)), key=lambda k: (rank[k], -k))]
-        score = part.confidence.max()
-        rows.append({"analysis": boxes.analysis.iloc[0], "kind": boxes.kind.iloc[0], "first_id": int(part["id"].min()), "members": len(members), "area": float(cells[m].sum()), "source": best.source, "sources": ",".join(sorted(set(part.source))), "confidence": None if pd.isna(score) else float(score)})
-    return pd.DataFrame(rows)
-
-
-def greedy_merge(detections: DataFrame) -> DataFrame:
+    at = np.stack((np.searchsorted(xs, boxes[:, 0]), np.searchsorted(xs, boxes[:, 2]), np.searchsorted(ys, boxes[:, 1]), np.searchsorted(ys, boxes[:, 3])), axis=1)
+    groups: list[tuple[np.ndarray, list[int], float]] = []
+    for i, (x1, x2, y1, y2) in enumerate(at.tolist()):
+        area = cells[x1:x2, y1:y2].sum()
+        hits = [g for g in groups if cells[x1:x2, y1:y2][g[0][x1:x2, y1:y2]].sum() > SAME_SHARE * min(area, g[2])]
+        mask = np.zeros(cells.shape, bool)
+        mask[x1:x2, y1:y2] = True
+        for h in hits:
+            mask |= h[0]
+        groups = [g for g in groups if not any(g is h for h in hits)]
+        groups.append((mask, [i, *(j for h in hits for j in h[1])], float(cells[mask].sum())))
+    return [(members, area) for _, members, area in groups]
+
+
+def greedy_merge(detections: DataFrame, per_bucket: int = 20_000) -> DataFrame:
     """Merged detections of each analysis and kind: sequential within, parallel across.
 
-    Items come by falling confidence (null as 0), then seq. Disjoint parts of one merged
-    group count as one row here. One analysis must fit one task, as it does one building.
+    Items come by falling confidence (null as 0), then seq. The representative has the highest
+    priority, then confidence; of equals the latest in the fold. Disjoint parts of one merged
+    group count as one row here. One analysis must fit one task, as it does one building;
+    many analyses share a bucket, so that small ones cost no task of their own.
     """
-    cols = ["analysis", "kind", "id", "seq", "confidence", "source", *BOX]
+    buckets = max(1, detections.count() // per_bucket)
+    schema = "analysis long, kind string, first_id long, members long, area double, source string, sources string, confidence double"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fold(pdf.assign(c=pdf.confidence.fillna(0.0)).sort_values(["c", "seq"], ascending=[False, True], kind="stable"))
-
-    return detections.select(*cols).groupBy("analysis", "kind").applyInPandas(fold, "analysis long, kind string, first_id long, members long, area double, source string, sources string, confidence double")
+        pdf = pdf.assign(c=pdf.confidence.fillna(0.0)).sort_values(["analysis", "kind", "c", "seq"], ascending=[True, True, False, True], kind="stable")
+        b, ids, sources, conf = pdf[list(BOX)].to_numpy(float), pdf["id"].to_numpy(), pdf.source.tolist(), pdf.confidence.to_numpy(float)
+        new = np.flatnonzero((pdf.analysis.to_numpy()[1:] != pdf.analysis.to_numpy()[:-1]) | (pdf.kind.to_numpy()[1:] != pdf.kind.to_numpy()[:-1])) + 1
+        keys, rows = list(zip(pdf.analysis.tolist(), pdf.kind.tolist(), strict=True)), []
+        for lo, hi in zip([0, *new], [*new, len(pdf)], strict=True):
+            for members, area in _fold(b[lo:hi]):
+                own = [lo + m for m in members]
+                scores = [conf[m] for m in own if not np.isnan(conf[m])]
+                best = max(own, key=lambda m: (PRIORITY.get(sources[m], 0), 0.0 if np.isnan(conf[m]) else conf[m], -own.index(m)))
+                rows.append((*keys[lo], int(min(ids[m] for m in own)), len(own), area, sources[best], ",".join(sorted({sources[m] for m in own})), max(scores) if scores else None))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    rows = detections.select("analysis", "kind", "id", "seq", "confidence", "source", *BOX)
+    return rows.groupBy(F.pmod(F.xxhash64("analysis", "kind"), F.lit(buckets)).alias("bucket")).applyInPandas(fold, schema)
 
 
 def summary(detections: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries over the driver tables: fixtures, plans and the SQL that checks them."""
 
-from solarweave.plans import layouts
+from solarweave.plans import detections, layouts
 
 #: Each has QUERIES and SQL by name.
-MODULES = [layouts]
+MODULES = [layouts, detections]
