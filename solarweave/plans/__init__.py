@@ -1,6 +1,6 @@
 """Queries over the driver tables: fixtures, plans and the SQL that checks them."""
 
-from solarweave.plans import detections, layouts
+from solarweave.plans import catalogue, detections, layouts, rasters
 
 #: Each has QUERIES and SQL by name.
-MODULES = [layouts, detections]
+MODULES = [layouts, detections, rasters, catalogue]

@@ -72,7 +72,7 @@ def clipped_to_roof(spark, sf_dir):
 def chip_roof_overlap(spark, sf_dir):
     """Chips of 100 m with at least 1 square metre of boxes, and how much: a join by grid cells."""
     b = fixture(spark, sf_dir, "boxes")
-    chips = fixture(spark, sf_dir, "chips").filter("y < 12500 and x < 1000").select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 100).alias("x2"), (F.col("y") + 100).alias("y2"))
+    chips = fixture(spark, sf_dir, "chips").select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 100).alias("x2"), (F.col("y") + 100).alias("y2"))
     met = overlap_join(chips, b.select("id", "x1", "y1", "x2", "y2"), 50.0)
     return met.groupBy(F.col("a_id").alias("chip")).agg(F.count("*").alias("n"), F.sum("overlap").alias("area")).filter("area >= 1")
 
@@ -204,7 +204,7 @@ SELECT d.id, kind, source, (x2 - x1) * (y2 - y1) - coalesce(union_area, 0) AS cl
   string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max((x2 - x1) * (y2 - y1)) / 64 AS largest_fraction FROM ({fixture_sql("order_boxes")}) GROUP BY ALL""",
     "clipped_to_roof": f"""SELECT id, (least(x2, 4.0) - greatest(x1, 1.0)) * (least(y2, 4.0) - greatest(y1, 1.0)) AS area, kind <> 'shadow' AS blocks FROM ({fixture_sql("order_boxes")})
 WHERE least(x2, 4.0) > greatest(x1, 1.0) AND least(y2, 4.0) > greatest(y1, 1.0) AND (least(x2, 4.0) - greatest(x1, 1.0)) * (least(y2, 4.0) - greatest(y1, 1.0)) > 0.01""",
-    "chip_roof_overlap": f"""WITH b AS ({fixture_sql("boxes")}), a AS (SELECT id, x AS x1, y AS y1, x + 100 AS x2, y + 100 AS y2 FROM ({fixture_sql("chips")}) WHERE y < 12500 AND x < 1000)
+    "chip_roof_overlap": f"""WITH b AS ({fixture_sql("boxes")}), a AS (SELECT id, x AS x1, y AS y1, x + 100 AS x2, y + 100 AS y2 FROM ({fixture_sql("chips")}))
 SELECT a.id AS chip, count(*) AS n, sum({_OVER}) AS area FROM a JOIN b ON a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 GROUP BY a.id HAVING sum({_OVER}) >= 1""",
     "hash_split": f"""WITH keys AS (SELECT 'documents' AS data, (doc_id // 4)::VARCHAR AS k FROM documents UNION ALL SELECT 'customer', c_custkey::VARCHAR FROM customer)
 SELECT data, {_SPLIT} AS split, count(*) AS n, min(k) AS first_key FROM keys GROUP BY ALL""",

@@ -54,4 +54,4 @@ def plain_text(html: Column) -> Column:
 def whole_gate(text: Column) -> Column:
     """Whether a gate file (JSON) was made with the thresholds 0.25 and 0.30 and passed."""
     g = F.from_json(text, "parameters struct<confidence:double,obstacle_confidence:double>, quality_gates struct<passed:boolean>")
-    return F.coalesce((g["parameters.confidence"] == 0.25) & (g["parameters.obstacle_confidence"] == 0.30) & g["quality_gates.passed"], F.lit(False))
+    return F.coalesce((g["parameters"]["confidence"] == 0.25) & (g["parameters"]["obstacle_confidence"] == 0.30) & g["quality_gates"]["passed"], F.lit(False))
