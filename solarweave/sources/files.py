@@ -60,7 +60,8 @@ def label_file(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+")
     points = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.try_cast("double"))
     fine = (F.size(points) >= 6) & (F.size(points) % 2 == 0) & F.forall(points, lambda p: F.coalesce(p.between(0, 1), F.lit(False)))
-    return lines.select("file", parts[0].try_cast("int").alias("cls"), points.alias("points")).withColumn("valid", fine & F.col("cls").isNotNull())
+    cls = parts[0].try_cast("int")
+    return lines.select("file", cls.alias("cls"), points.alias("points"), (fine & cls.isNotNull()).alias("valid"))
 
 
 def write_manifests(chips: DataFrame, path: str) -> None:
