@@ -85,7 +85,7 @@ def train(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     With prior p, P the confirmed and U the unlabelled: p E_P[l(z)] + max(0, E_U[l(-z)] - p
     E_P[l(-z)]); where the part in the bracket is negative in a batch, its gradient is
     followed upwards instead. Only features more usual among the confirmed are inputs. The
-    bias is then moved to the widest gap of the unlabelled scores near their upper p-quantile,
+    bias is then moved to a wide gap of the unlabelled scores close to their upper p-quantile,
     as a share p of the unlabelled is toxic. Without confirmed examples every score is 0.
     """
     if not confirmed or not unlabelled:
@@ -119,7 +119,8 @@ def train(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     z = np.sort(np.bincount(ru, w[iu], len(u)))[::-1]
     low, high = max(1, int(0.7 * prior * len(z))), min(len(z) - 1, int(1.3 * prior * len(z)) + 1)
     if high > low:
-        at = low + int(np.argmax(z[low - 1 : high - 1] - z[low:high]))
+        near = 1 - np.abs(np.arange(low, high) / (prior * len(z)) - 1) / 0.5
+        at = low + int(np.argmax((z[low - 1 : high - 1] - z[low:high]) * near))
         b = -(z[at - 1] + z[at]) / 2
     return Model(chosen.astype(np.int32), w, float(b))
 
