@@ -34,10 +34,11 @@ def azimuth(aspect: Column) -> Column:
 def _count(length: Column, side: float, step: Column, origin: float, gap: tuple[Column, Column, Column]) -> Column:
     """Grid places along one side of a rectangle whose module lies in it and outside an aisle (has, from, to)."""
     first = step * origin
-    n = F.floor((length - side + SLACK - first) / step + 1 - 1e-12)
+    n = F.greatest(F.floor((length - side + SLACK - first) / step + 1 - 1e-12), F.lit(0))
     has, low, high = gap
-    places = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ~(has & (first + i * step + side > low) & (first + i * step < high)))
-    return F.when(n > 0, F.size(places)).otherwise(0)
+    before = F.least(n, F.greatest(F.floor((low - side - first) / step + 1 + 1e-12), F.lit(0)))
+    after = F.least(n, F.greatest(n - F.ceil((high - first) / step - 1e-12), F.lit(0)))
+    return F.when(has, before + after).otherwise(n)
 
 
 def best_layouts(faces: DataFrame) -> DataFrame:

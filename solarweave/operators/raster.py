@@ -67,17 +67,22 @@ def rise_thresholds(raster: DataFrame, value: Column) -> DataFrame:
 
 
 def components(mask: DataFrame) -> DataFrame:
-    """(image, r, c, component) of set cells: the least cell number joined over eight neighbours.
+    """(image, r, c, component) of set cells: the first cell by row and column joined over eight neighbours.
+
+    Cells are numbered by image, row and column in one 64-bit integer: rows and columns are
+    below 2^20, images below 2^23. Repeated cells count once in the graph.
 
     Edges are equi-joins of a cell with its four later neighbours; labels come from the same
     distributed components that any other graph uses.
     """
-    n = mask.select("image", "r", "c", F.struct("image", "r", "c").alias("node"))
-    later = F.inline(F.array(*(F.struct((F.col("r") + dr).alias("r2"), (F.col("c") + dc).alias("c2")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1)))))
-    out = n.select("image", "node", later)
-    edges = out.join(n.select(F.col("image").alias("i2"), F.col("r").alias("r3"), F.col("c").alias("c3"), F.col("node").alias("other")), (F.col("image") == F.col("i2")) & (F.col("r2") == F.col("r3")) & (F.col("c2") == F.col("c3")))
-    labels = connected_components(edges.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    return n.join(labels, "node", "left").select("image", "r", "c", F.coalesce("component", "node").alias("component"))
+    number = lambda r, c: F.shiftleft(F.col("image").cast("long"), 40) + F.shiftleft(r.cast("long"), 20) + c
+    n = mask.select("image", "r", "c", number(F.col("r"), F.col("c")).alias("node"))
+    later = F.explode(F.array(*(number(F.col("r") + dr, F.col("c") + dc) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))))).alias("b")
+    edges = n.filter("c > 0").select(F.col("node").alias("a"), later).union(n.filter("c = 0").select(F.col("node").alias("a"), F.explode(F.array(*(number(F.col("r") + dr, F.col("c") + dc) for dr, dc in ((0, 1), (1, 0), (1, 1))))).alias("b")))
+    labels = connected_components(edges.join(n.select(F.col("node").alias("b")), "b", "left_semi"))
+    first = F.coalesce("component", "node")
+    part = lambda shift: F.shiftright(first, shift).bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+    return n.join(labels, "node", "left").select("image", "r", "c", F.struct("image", part(20).alias("r"), part(0).alias("c")).alias("component"))
 
 
 def mosaic(tiles: DataFrame) -> DataFrame:
@@ -111,11 +116,12 @@ def _consensus(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(columns=["image", "a", "b", "z0", "points", "inliers", "rmse"])
     m, z = np.column_stack((pdf.c, pdf.r, np.ones(len(pdf)))).astype(float), pdf.z.to_numpy(float)
     rng, best = np.random.default_rng(FIT_SEED), np.zeros(len(z), bool)
-    for _ in range(TRIALS):
-        pick = rng.choice(len(z), 3, replace=False)
-        if abs(np.linalg.det(m[pick])) >= 1e-9:
-            near = np.abs(z - m @ np.linalg.solve(m[pick], z[pick])) <= TOLERANCE
-            best = near if near.sum() > best.sum() else best
+    picks = np.stack([rng.choice(len(z), 3, replace=False) for _ in range(TRIALS)])
+    picks = picks[np.abs(np.linalg.det(m[picks])) >= 1e-9]
+    if len(picks):
+        planes = np.linalg.solve(m[picks], z[picks][..., None])[..., 0]
+        near = np.abs(z - planes @ m.T) <= TOLERANCE
+        best = near[near.sum(axis=1).argmax()]
     keep = best if best.sum() >= LEAST_CELLS else np.ones(len(z), bool)
     for _ in range(3):
         plane = np.linalg.lstsq(m[keep], z[keep], rcond=None)[0]

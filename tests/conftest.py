@@ -1,6 +1,12 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+#: Spark's Python workers import the library from here.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (str(Path(__file__).resolve().parent.parent), os.environ.get("PYTHONPATH"))))
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
