@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -15,13 +17,27 @@ def octets(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Bytes of text that become Python objects at once.
+PIECE = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """batch in slices whose text is at most most bytes, or one row; memory doesn't grow with Spark's batches."""
+    size = np.full(batch.num_rows, 64, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    for a, b in spans(size.tolist(), most):
+        yield batch.slice(a, b - a)
+
+
 def by_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """df through a function of Arrow batches that returns columns by name; start() runs once a task."""
     fields = StructType.fromDDL(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, each = to_arrow_schema(fields), start()
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             columns = each(batch)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, out.field(n).type) for n, c in ((f.name, columns[f.name]) for f in out)], schema=out)
 

@@ -17,7 +17,7 @@ from solarweave.llm.gear import cuts
 #: Chunks of some 500 bytes on average.
 CHUNK_WIDTH, CHUNK_MOST = 320, 4096
 #: A task keeps at most so many words, and so many bytes of long words and of chunks, then starts anew.
-MOST_WORDS, MOST_CHUNK_BYTES = 400_000, 32 << 20
+MOST_WORDS, MOST_CHUNK_BYTES = 250_000, 24 << 20
 SPACE = b" \t\n\r\x0b\x0c"
 MARKS = b".,;:!?*$%&#|"
 

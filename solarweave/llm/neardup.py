@@ -18,7 +18,7 @@ WORDS, SIMILARITY = 5, 75
 #: sets of similarity 0.75 agree in fewer with a probability of about 1e-7.
 COORDINATES, MATCHES = 40, 15
 #: Nodes outside their list's first component, and shingles, of one block of the last comparison.
-BLOCK, BLOCK_SHINGLES = 512, 1_500_000
+BLOCK, BLOCK_SHINGLES = 512, 750_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.Generator(np.random.PCG64(11))

@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solarweave.llm.batches import by_batch
+from solarweave.llm.batches import by_batch, pieces
 from solarweave.llm.labels import held_out, sample
 
 #: Hashed features; confirmed and unlabelled documents that training takes at most.
 BUCKETS, MOST_CONFIRMED, MOST_UNLABELLED = 1 << 20, 3000, 8000
 MARKS = ".,;:!?*$%&#|\"'()<>"
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -157,7 +157,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
 
     def run(batches):
         features = Features(model.chosen)
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             keep = [model.score(features.of(t)) < threshold for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
