@@ -20,9 +20,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, only: int
     highest label; of rows with one id, those least by hash of the text are taken within most.
     The sample's size is bounded by most, so it may be broadcast and gathered.
     """
-    own = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
-    own = own.groupBy(F.col(key).cast("long").alias("__id")).agg(F.max(label).cast("int").alias("y"))
+    own = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).select(F.col(key).cast("long").alias("__id"), F.col(label).cast("int").alias("y"))
     own = own.filter(F.col("y") == only) if only is not None else own
-    own = own.orderBy(F.xxhash64("__id"), "__id").limit(most)
+    own = own.orderBy(F.xxhash64("__id"), "__id", F.desc("y")).limit(most).groupBy("__id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("t")).join(F.broadcast(own), "__id")
     return rows.orderBy(F.xxhash64("__id"), F.xxhash64("t")).limit(most).select("y", "t")

@@ -236,9 +236,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that of the kept id, of rows with that id the one least by hash.
 
-    All columns stay; rows without id go.
+    All columns stay. Rows without id can't be named as kept or as copies, and all stay.
     """
     found = near_duplicates(docs, key, text).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     packed = docs.select(F.col(f"`{key}`").cast("long").alias("__kept"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     first = F.row_number().over(Window.partitionBy("__kept").orderBy(F.xxhash64(f"__row.{text}")))
-    return packed.join(found, "__kept").withColumn("__n", first).filter("__n = 1").select("__row.*")
+    kept = packed.join(found, "__kept").withColumn("__n", first).filter("__n = 1").select("__row.*")
+    return kept.union(packed.filter(F.col("__kept").isNull()).select("__row.*"))
