@@ -58,11 +58,18 @@ def best_layouts(faces: DataFrame) -> DataFrame:
     gap = (split, F.col("in_u") / 2 - AISLE / 2, F.col("in_u") / 2 + AISLE / 2)
     none = (F.lit(False), F.lit(0.0), F.lit(0.0))
     row_gap = F.when(F.col("slope") < FLAT_BELOW, F.lit(max(ROW_GAP, FLAT_ROW_GAP))).otherwise(F.lit(ROW_GAP))
-    counts = [F.struct((_count(F.col("in_u"), w, F.lit(w + MODULE_GAP), ox, gap) * _count(F.col("in_v"), h, h + row_gap, oy, none)).alias("n"), F.lit(-i).alias("i")) for i, (w, h, ox, oy) in enumerate(LAYOUTS)]
-    out = out.withColumn("best", F.array_max(F.array(*counts)))
+    per = len(ORIGINS)
+    best = []
+    for k, (w, h) in enumerate(((WIDTH, LENGTH), (LENGTH, WIDTH))):
+        # A layout holds columns times rows, so the best origins are found for each side alone.
+        columns = F.array_max(F.array(*(F.struct(_count(F.col("in_u"), w, F.lit(w + MODULE_GAP), o, gap).alias("n"), F.lit(-i).alias("i")) for i, o in enumerate(ORIGINS))))
+        rows = F.array_max(F.array(*(F.struct(_count(F.col("in_v"), h, h + row_gap, o, none).alias("n"), F.lit(-i).alias("i")) for i, o in enumerate(ORIGINS))))
+        out = out.withColumns({f"columns{k}": columns, f"rows{k}": rows})
+        best.append(F.struct((F.col(f"columns{k}.n") * F.col(f"rows{k}.n")).alias("n"), (F.col(f"columns{k}.i") * per + F.col(f"rows{k}.i") - k * per * per).alias("i")))
+    out = out.withColumn("best", F.array_max(F.array(*best)))
     usable = F.col("in_u") * F.col("in_v") - F.when(split, F.lit(AISLE) * F.col("in_v")).otherwise(0.0)
     out = out.withColumn("surface_area", F.when(F.col("w") * F.col("h") >= 1, F.col("u") * F.col("v")).otherwise(0.0)).withColumn("usable_area", F.when(fits, usable).otherwise(0.0))
-    return out.withColumn("panel_count", F.when(fits, F.col("best.n")).otherwise(0).cast("long")).withColumn("layout", (-F.col("best.i")).cast("long")).drop("u", "v", "in_u", "in_v", "best")
+    return out.withColumn("panel_count", F.when(fits, F.col("best.n")).otherwise(0).cast("long")).withColumn("layout", (-F.col("best.i")).cast("long")).drop("u", "v", "in_u", "in_v", "best", "columns0", "rows0", "columns1", "rows1")
 
 
 def annual_kwh(panels: Column, irradiance: Column) -> Column:
