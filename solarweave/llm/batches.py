@@ -40,6 +40,7 @@ def by_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Record
         for batch in (p for b in batches for p in pieces(b)):
             columns = each(batch)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, out.field(n).type) for n, c in ((f.name, columns[f.name]) for f in out)], schema=out)
+        pa.default_memory_pool().release_unused()  # the worker lives on, for other tasks
 
     return df.mapInArrow(run, fields)
 

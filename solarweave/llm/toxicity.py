@@ -160,5 +160,6 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
         for batch in (p for b in batches for p in pieces(b)):
             keep = [model.score(features.of(t)) < threshold for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
