@@ -164,4 +164,11 @@ reach AS (SELECT id AS a, id AS b FROM parts UNION SELECT r.a, e.b FROM reach r
 SELECT p.id, p.egid, min(r.b) AS house FROM parts p JOIN reach r ON p.id = r.a GROUP BY ALL""",
     "alignment_gates": f"""SELECT id, CASE WHEN best < 30 OR best < base * 1.5 OR best - base < 12 THEN 'no_clear_improvement' WHEN rival IS NOT NULL AND best < rival * 1.12 THEN 'ambiguous_boundary'
   WHEN shift > 3.75 THEN 'search_limit' WHEN support < 3 THEN 'insufficient_directional_support' ELSE 'image_boundary_match' END AS reason FROM ({fixture_sql("scores")})""",
+    "crs_round_trip": f"""WITH c AS (SELECT id, x / 1000000.0::DOUBLE AS y, y / 1000000.0::DOUBLE AS x FROM ({fixture_sql("chips")})),
+d AS (SELECT id, x, y, (2.6779094::DOUBLE + 4.728982::DOUBLE * y + 0.791484::DOUBLE * y * x + 0.1306::DOUBLE * y * x * x - 0.0436::DOUBLE * y * y * y) * 100 / 36 AS lon,
+  (16.9023892::DOUBLE + 3.238272::DOUBLE * x - 0.270978::DOUBLE * y * y - 0.002528::DOUBLE * x * x - 0.0447::DOUBLE * y * y * x - 0.0140::DOUBLE * x * x * x) * 100 / 36 AS lat FROM c),
+e AS (SELECT *, (lat * 3600 - 169028.66::DOUBLE) / 10000 AS f, (lon * 3600 - 26782.5::DOUBLE) / 10000 AS g FROM d),
+b AS (SELECT *, 72.37::DOUBLE + 211455.93::DOUBLE * g - 10938.51::DOUBLE * g * f - 0.36::DOUBLE * g * f * f - 44.54::DOUBLE * g * g * g - y * 1000000 AS de,
+  147.07::DOUBLE + 308807.95::DOUBLE * f + 3745.25::DOUBLE * g * g + 76.63::DOUBLE * f * f - 194.56::DOUBLE * g * g * f + 119.79::DOUBLE * f * f * f - x * 1000000 AS dn FROM e)
+SELECT id, round(lon, 7) AS lon, round(lat, 7) AS lat, sqrt(de * de + dn * dn) < 1.5 AS close FROM b""",
 }
