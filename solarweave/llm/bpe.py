@@ -16,8 +16,8 @@ from solarweave.llm.gear import cuts
 
 #: Chunks of some 500 bytes on average.
 CHUNK_WIDTH, CHUNK_MOST = 320, 4096
-#: A task keeps at most so many words, and so many bytes of long words and of chunks, then starts anew.
-MOST_WORDS, MOST_CHUNK_BYTES = 250_000, 24 << 20
+#: A worker keeps at most so many words, then those of its last texts alone; and so many bytes of long words and of chunks.
+MOST_WORDS, MOST_CHUNK_BYTES = 400_000, 24 << 20
 SPACE = b" \t\n\r\x0b\x0c"
 MARKS = b".,;:!?*$%&#|"
 
@@ -47,6 +47,7 @@ class ChunkEncoder:
         self.texts: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.chunk_bytes = self.word_bytes = 0
+        self.recent: set[bytes] = set()
 
     def _keep(self, word: bytes, ids: np.ndarray) -> None:
         self.ids[word] = ids.tobytes()
@@ -79,8 +80,8 @@ class ChunkEncoder:
     def _learn(self, words: Iterable[bytes]) -> None:
         """Make sure that all these words are known. Marks after an ASCII letter are a piece of
         their own for the tokenizer, so a word with marks is made from word and marks."""
-        new, made = set(), []
-        for w in set(words).difference(self.ids):
+        new, made, self.recent = set(), [], set(words)
+        for w in self.recent.difference(self.ids):
             base = w.rstrip(MARKS)
             if base and base != w and 97 <= base[-1] <= 122 and b"<|" not in w:
                 made.append((w, base, w[len(base) :]))
@@ -110,8 +111,8 @@ class ChunkEncoder:
             self.chunks.clear()
             self.chunk_bytes = 0
         if len(self.ids) > MOST_WORDS or self.word_bytes > MOST_CHUNK_BYTES:
-            self.ids.clear()
-            self.texts.clear()
+            last = [w for w in self.recent if len(w) <= 64 and w in self.ids]
+            self.ids, self.texts = {w: self.ids[w] for w in last}, {w: self.texts[w] for w in last}
             self.word_bytes = 0
         parts, fresh, joints = [], {}, []
         for text in texts:
@@ -152,12 +153,16 @@ class ChunkEncoder:
         return out
 
 
+#: Encoders of this worker by path: what one task has learnt serves the next.
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
 def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """keep and outputs of every row: n_tokens, ids (little-endian 32-bit), decoded, ids_sha256, decoded_sha256.
 
     path is the tokenizer's file, which every executor must have. The result equals that of
     the tokenizers library on each whole text, without special tokens added. Null texts count
-    as empty: no tokens, empty text. Nothing is shuffled: a task shares chunks among its rows.
+    as empty: no tokens, empty text. Nothing is shuffled: a worker shares chunks among its rows.
     """
     kinds = {"n_tokens": "long", "ids": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     names = [f"k{i}" for i in range(len(keep))]
@@ -165,7 +170,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     schema = ", ".join([f"{n} {rows.schema[n].dataType.simpleString()}" for n in names] + [f"{o} {kinds[o]}" for o in outputs])
 
     def start():
-        encoder = ChunkEncoder(path)
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkEncoder(path))
 
         def each(batch: pa.RecordBatch) -> dict:
             texts, got = octets(batch.column("t")), []
