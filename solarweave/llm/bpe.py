@@ -16,8 +16,10 @@ from solarweave.llm.gear import cuts
 
 #: Chunks of some 500 bytes on average.
 CHUNK_WIDTH, CHUNK_MOST = 320, 4096
-#: A worker keeps at most so many words, then those of its last texts alone; and so many bytes of long words and of chunks.
-MOST_WORDS, MOST_CHUNK_BYTES = 400_000, 24 << 20
+#: A task keeps at most so many words, then those of its last texts alone; and so many bytes of long words and of chunks.
+MOST_WORDS, MOST_CHUNK_BYTES = 120_000, 16 << 20
+#: Bytes of text, and words, that are encoded at once.
+SLICE, BATCH = 1 << 20, 5000
 SPACE = b" \t\n\r\x0b\x0c"
 MARKS = b".,;:!?*$%&#|"
 
@@ -65,16 +67,16 @@ class ChunkEncoder:
                 texts.append(t)
             else:
                 rest.append(w)
-        for at in range(0, len(plain), 20_000):
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[at : at + 20_000])], add_special_tokens=False)[0].ids, "<u4")
+        for at in range(0, len(plain), BATCH):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[at : at + BATCH])], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(plain[at : at + 20_000]):
-                rest += plain[at : at + 20_000]
+            if len(last) != len(plain[at : at + BATCH]):
+                rest += plain[at : at + BATCH]
                 continue
-            for w, a, b in zip(plain[at : at + 20_000], [0, *last.tolist()], last.tolist(), strict=False):
+            for w, a, b in zip(plain[at : at + BATCH], [0, *last.tolist()], last.tolist(), strict=False):
                 self._keep(w, ids[a:b])
-        for at in range(0, len(rest), 20_000):
-            for w, e in zip(rest[at : at + 20_000], self.tokenizer.encode_batch_fast([w.decode() for w in rest[at : at + 20_000]], add_special_tokens=False), strict=False):
+        for at in range(0, len(rest), BATCH):
+            for w, e in zip(rest[at : at + BATCH], self.tokenizer.encode_batch_fast([w.decode() for w in rest[at : at + BATCH]], add_special_tokens=False), strict=False):
                 self._keep(w, np.array(e.ids, "<u4"))
 
     def _learn(self, words: Iterable[bytes]) -> None:
@@ -153,16 +155,12 @@ class ChunkEncoder:
         return out
 
 
-#: Encoders of this worker by path: what one task has learnt serves the next.
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """keep and outputs of every row: n_tokens, ids (little-endian 32-bit), decoded, ids_sha256, decoded_sha256.
 
     path is the tokenizer's file, which every executor must have. The result equals that of
     the tokenizers library on each whole text, without special tokens added. Null texts count
-    as empty: no tokens, empty text. Nothing is shuffled: a worker shares chunks among its rows.
+    as empty: no tokens, empty text. Nothing is shuffled: a task shares chunks among its rows.
     """
     kinds = {"n_tokens": "long", "ids": "binary", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     names = [f"k{i}" for i in range(len(keep))]
@@ -170,12 +168,12 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     schema = ", ".join([f"{n} {rows.schema[n].dataType.simpleString()}" for n in names] + [f"{o} {kinds[o]}" for o in outputs])
 
     def start():
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkEncoder(path))
+        encoder = ChunkEncoder(path)
 
         def each(batch: pa.RecordBatch) -> dict:
             texts, got = octets(batch.column("t")), []
             columns: dict[str, list] = {o: [] for o in outputs}
-            for a, b in spans([len(t) for t in texts], 2 << 20):
+            for a, b in spans([len(t) for t in texts], SLICE):
                 for ids, decoded in encoder.encode(texts[a:b]):
                     got = {"n_tokens": len(ids) // 4, "ids": ids}
                     if "decoded" in columns:
