@@ -18,6 +18,8 @@ from solarweave.llm.labels import held_out, sample
 BUCKETS, MOST_CONFIRMED, MOST_UNLABELLED = 1 << 20, 3000, 8000
 MARKS = ".,;:!?*$%&#|\"'()<>"
 MOST_WORDS = 200_000
+#: Steps of a score that the cut tells apart, in one unit; and the score beyond which they are one.
+GRID, FAR = 64, 64
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -68,6 +70,11 @@ class Model:
     chosen: np.ndarray
     weights: np.ndarray
     bias: float
+    confirmed: np.ndarray | None = None
+
+    def bin(self, features: np.ndarray) -> int:
+        """Step of one text's score above that of no feature, which is in 0."""
+        return int(np.floor(np.clip(self.weights[features].sum(), -FAR, FAR) * GRID))
 
     def score(self, features: np.ndarray) -> float:
         """0 to 1 of one text's chosen features."""
@@ -79,28 +86,50 @@ def _rows(of: list[np.ndarray], which) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(own) if own else np.zeros(0, np.int32)), np.repeat(np.arange(len(own)), [len(x) for x in own])
 
 
+def cut(confirmed: np.ndarray, bins: np.ndarray, counts: np.ndarray, prior: float) -> float:
+    """The score, in units of 1 / GRID above that of no feature, from which on a text is toxic.
+
+    confirmed has the bins of the confirmed texts, bins and counts those of all unlabelled ones.
+    Of the confirmed, a share t is at or above a cut, of the unlabelled a share u. Then u - p t
+    of all texts are taken wrongly, and p t, but no more than u, rightly: training may have
+    learnt the confirmed by heart. The cut is in the middle of those around the least risk that
+    cost at most a tenth of the prior p more. No share is flagged by force.
+    """
+    places = np.arange(1, max(int(bins.max(initial=0)), int(confirmed.max(initial=0)), 0) + 2)
+    order = np.argsort(bins)
+    below = np.concatenate(([0], np.cumsum(counts[order])))[np.searchsorted(bins[order], places)]
+    share = 1 - below / max(1, counts.sum())
+    right = prior * (1 - np.searchsorted(np.sort(confirmed), places) / max(1, len(confirmed)))
+    risk = prior - np.minimum(right, share) + np.maximum(0, share - right)
+    best = int(np.argmin(risk))
+    over = np.flatnonzero(risk > risk[best] + 0.1 * prior)
+    low, high = over[over < best].max(initial=-1) + 1, over[over > best].min(initial=len(places)) - 1
+    return float(places[low] + places[high]) / 2 / GRID
+
+
 def train(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.15, ridge: float = 1e-3, seed: int = 5) -> Model:
     """Minimise the class-prior-corrected logistic risk without letting its negative part fall below zero.
 
     With prior p, P the confirmed and U the unlabelled: p E_P[l(z)] + max(0, E_U[l(-z)] - p
     E_P[l(-z)]); where the part in the bracket is negative in a batch, its gradient is
     followed upwards instead. Only features more usual among the confirmed are inputs. The
-    bias is then moved to a wide gap of the unlabelled scores close to their upper p-quantile,
-    as a share p of the unlabelled is toxic. Without confirmed examples every score is 0.
+    bias is then moved to the cut of these unlabelled scores, so a text without any input is
+    always on the clean side. Without confirmed examples or inputs every score is 0.
     """
     if not confirmed or not unlabelled:
         return Model(np.zeros(0, np.int32), np.zeros(0), -30.0)
-    prior = min(max(prior, 0.005), 0.5)
     in_p = np.bincount(np.concatenate(confirmed), minlength=BUCKETS)
     in_u = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS)
     usual = (in_u + 1) / len(unlabelled) * len(confirmed)  # count among as many unlabelled documents
     least, ratio, sure = (5, 3, 5) if len(confirmed) >= 500 else (3, 2, 0)
     chosen = np.flatnonzero((in_p >= least) & (in_p > ratio * usual) & (in_p - usual > sure * np.sqrt(usual)))
+    if not len(chosen):
+        return Model(np.zeros(0, np.int32), np.zeros(0), -30.0)
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     p, u = ([x[x >= 0] for x in (place[f] for f in side)] for side in (confirmed, unlabelled))
     rng, n = np.random.default_rng(seed), len(chosen)
-    w, b, sum_w, sum_b = np.zeros(n), float(np.log(prior / (1 - prior))), np.full(n, 1e-8), 1e-8
+    w, b, sum_w, sum_b = np.zeros(n), float(np.clip(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), -20, 20)), np.full(n, 1e-8), 1e-8
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     batches = max(1, min(len(u) // 500, len(p)))
     for _ in range(epochs):
@@ -115,26 +144,47 @@ def train(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
             sum_b += gb * gb
             w -= rate * g / np.sqrt(sum_w)
             b -= rate * gb / np.sqrt(sum_b)
-    iu, ru = _rows(u, range(len(u)))
-    z = np.sort(np.bincount(ru, w[iu], len(u)))[::-1]
-    low, high = max(1, int(0.7 * prior * len(z))), min(len(z) - 1, int(1.3 * prior * len(z)) + 1)
-    if high > low:
-        near = 1 - np.abs(np.arange(low, high) / (prior * len(z)) - 1) / 0.5
-        at = low + int(np.argmax((z[low - 1 : high - 1] - z[low:high]) * near))
-        b = -(z[at - 1] + z[at]) / 2
-    return Model(chosen.astype(np.int32), w, float(b))
+    model = Model(chosen.astype(np.int32), w, 0.0)
+    model.confirmed, counts = np.array([model.bin(x) for x in p]), np.unique([model.bin(x) for x in u], return_counts=True)
+    model.bias = -cut(model.confirmed, *counts, prior)
+    return model
+
+
+def tallied(docs: DataFrame, model: Model, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the scores of all documents that aren't held out, and how many each has.
+
+    A task returns a row for each bin it saw, so what is shuffled and gathered is bounded by bins.
+    """
+
+    def run(batches):
+        features, seen = Features(model.chosen), {}
+        for batch in (p for b in batches for p in pieces(b)):
+            for t in batch.column("t").to_pylist():
+                k = model.bin(features.of(t))
+                seen[k] = seen.get(k, 0) + 1
+        yield pa.RecordBatch.from_pydict({"bin": pa.array(list(seen), pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
+        pa.default_memory_pool().release_unused()
+
+    own = docs.filter(~F.coalesce(held_out(key), F.lit(False))).select(F.col(f"`{text}`").alias("t"))
+    got = own.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    return got.bin.to_numpy(np.int64), got.n.to_numpy(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
     """A model from at most MOST_CONFIRMED documents labelled 1 and MOST_UNLABELLED of any, none held out.
 
-    The prior is the share of 1 among all labels that aren't held out.
+    The prior is the share of 1 among all labels that aren't held out; the cut is set over the
+    scores of all documents that aren't.
     """
     row = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).agg(F.avg(F.col(label).cast("double"))).first()
+    prior = float(row[0] or 0)
     any_of = docs.select(F.col(key).cast("long").alias(key)).filter(F.col(key).isNotNull()).select(key, F.lit(1).alias(label))
     confirmed = gathered(sample(docs, labels, label, MOST_CONFIRMED, 1, key, text))
     unlabelled = gathered(sample(docs, any_of, label, MOST_UNLABELLED, None, key, text))
-    return train(confirmed, unlabelled, float(row[0] or 0))
+    model = train(confirmed, unlabelled, prior)
+    if len(model.chosen):
+        model.bias = -cut(model.confirmed, *tallied(docs, model, key, text), prior)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -178,6 +178,29 @@ def test_risk_never_needs_confirmed_negatives():
     assert toxicity.train([], unlabelled, 0.1).score(np.zeros(0, np.int64)) < 1e-6
 
 
+def test_few_confirmed_or_a_high_prior_flag_no_clean_text(spark):
+    rng = random.Random(8)
+    for n, share in ((300, 0), (900, 0.4)):
+        rude = [rng.random() < share or i in (1, 2) for i in range(n)]
+        rows = [(i, f"{prose(rng, 30)} {'grobian' if r else ''} {prose(rng, 5)}") for i, r in enumerate(rude)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for most in (1, 2) if not share else (n,):
+            known = [i for i in range(n) if rude[i] and zlib.crc32(str(i).encode()) % 5][:most]
+            labels = spark.createDataFrame([(i, int(i in known)) for i in (range(n) if share else known + list(range(10, 15)))], "doc_id long, toxic int")
+            model = toxicity.fit(df, labels)
+            got = {r.doc_id: r for r in toxicity.scored(df, model).collect()}
+            assert not any(got[i].predicted for i in range(n) if not rude[i])
+            assert toxicity.without_toxic(df, model).count() == n - sum(r.predicted for r in got.values())
+            assert all(r.score < 1e-6 for r in got.values()) if not share else all(got[i].predicted for i in range(n) if rude[i])
+
+
+def test_high_prior_with_many_confirmed():
+    rng = np.random.default_rng(3)
+    unlabelled = [np.unique([*rng.integers(1000, 3000, 20), *[7] * (k % 5 < 2)]) for k in range(3000)]
+    m = toxicity.train([u for u in unlabelled if 7 in u][:700], unlabelled, 0.4)
+    assert m.score(np.zeros(0, np.int64)) < 0.5
+
+
 # 4
 
 
