@@ -18,6 +18,8 @@ from solarweave.llm.labels import held_out, sample
 BUCKETS, MOST_CONFIRMED, MOST_UNLABELLED = 1 << 20, 3000, 8000
 MARKS = ".,;:!?*$%&#|\"'()<>"
 MOST_WORDS = 200_000
+#: A feature is learnt if so many confirmed texts hold it, and they are so many standard deviations more than usual.
+LEAST, SURE = 3, 2.5
 #: Steps of a score that the cut tells apart, in one unit; and the score beyond which they are one.
 GRID, FAR = 64, 64
 
@@ -107,22 +109,31 @@ def cut(confirmed: np.ndarray, bins: np.ndarray, counts: np.ndarray, prior: floa
     return float(places[low] + places[high]) / 2 / GRID
 
 
-def train(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.15, ridge: float = 1e-3, seed: int = 5) -> Model:
+def usual_among(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> np.ndarray:
+    """Which features are more usual among n_p confirmed texts than among n_u of any, at every size by one test.
+
+    The signed root of the likelihood ratio of a count and its expectation holds for small counts
+    as well as large ones, and has no least ratio, which a high prior could not reach.
+    """
+    expected = (in_u + 1) / n_u * n_p
+    gain = in_p * np.log(np.maximum(in_p, 1) / expected) - (in_p - expected)
+    return (in_p >= LEAST) & (in_p > expected) & (2 * gain > SURE**2)
+
+
+def train(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seen: tuple[np.ndarray, int] | None = None, epochs: int = 60, rate: float = 0.15, ridge: float = 1e-3, seed: int = 5) -> Model:
     """Minimise the class-prior-corrected logistic risk without letting its negative part fall below zero.
 
     With prior p, P the confirmed and U the unlabelled: p E_P[l(z)] + max(0, E_U[l(-z)] - p
     E_P[l(-z)]); where the part in the bracket is negative in a batch, its gradient is
-    followed upwards instead. Only features more usual among the confirmed are inputs. The
-    bias is then moved to the cut of these unlabelled scores, so a text without any input is
+    followed upwards instead. Only features more usual among the confirmed are inputs, by the
+    document frequencies and number of documents in seen, or else those of U. The bias is then moved to the cut of these unlabelled scores, so a text without any input is
     always on the clean side. Without confirmed examples or inputs every score is 0.
     """
     if not confirmed or not unlabelled:
         return Model(np.zeros(0, np.int32), np.zeros(0), -30.0)
     in_p = np.bincount(np.concatenate(confirmed), minlength=BUCKETS)
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS)
-    usual = (in_u + 1) / len(unlabelled) * len(confirmed)  # count among as many unlabelled documents
-    least, ratio, sure = (5, 3, 5) if len(confirmed) >= 500 else (3, 2, 0)
-    chosen = np.flatnonzero((in_p >= least) & (in_p > ratio * usual) & (in_p - usual > sure * np.sqrt(usual)))
+    in_u, n_u = seen or (np.bincount(np.concatenate(unlabelled), minlength=BUCKETS), len(unlabelled))
+    chosen = np.flatnonzero(usual_among(in_p, len(confirmed), in_u, n_u))
     if not len(chosen):
         return Model(np.zeros(0, np.int32), np.zeros(0), -30.0)
     place = np.full(BUCKETS, -1, np.int32)
@@ -150,6 +161,29 @@ def train(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     return model
 
 
+def frequencies(docs: DataFrame, wanted: np.ndarray, key: str, text: str) -> tuple[np.ndarray, int]:
+    """In how many of all documents that aren't held out each wanted feature is, and the number of these documents.
+
+    A task returns a row for each wanted feature it saw; these are bounded by the confirmed sample.
+    """
+
+    def run(batches):
+        features, counts, n = Features(wanted), np.zeros(len(wanted), np.int64), 0
+        for batch in (p for b in batches for p in pieces(b)):
+            for t in batch.column("t").to_pylist():
+                counts[features.of(t)] += 1
+            n += batch.num_rows
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"f": pa.array([-1, *wanted[some].tolist()], pa.int32()), "n": pa.array([n, *counts[some].tolist()], pa.int64())})
+        pa.default_memory_pool().release_unused()
+
+    own = docs.filter(~F.coalesce(held_out(key), F.lit(False))).select(F.col(f"`{text}`").alias("t"))
+    got = own.mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    f, n, out = got.f.to_numpy(np.int64), got.n.to_numpy(np.int64), np.zeros(BUCKETS, np.int64)
+    out[f[f >= 0]] = n[f >= 0]
+    return out, int(n[f < 0].sum())
+
+
 def tallied(docs: DataFrame, model: Model, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Bins of the scores of all documents that aren't held out, and how many each has.
 
@@ -173,15 +207,16 @@ def tallied(docs: DataFrame, model: Model, key: str, text: str) -> tuple[np.ndar
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
     """A model from at most MOST_CONFIRMED documents labelled 1 and MOST_UNLABELLED of any, none held out.
 
-    The prior is the share of 1 among all labels that aren't held out; the cut is set over the
-    scores of all documents that aren't.
+    The prior is the share of 1 among all labels that aren't held out; features are chosen by
+    their frequencies in all documents that aren't, and the cut is set over the scores of these.
     """
     row = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).agg(F.avg(F.col(label).cast("double"))).first()
     prior = float(row[0] or 0)
     any_of = docs.select(F.col(key).cast("long").alias(key)).filter(F.col(key).isNotNull()).select(key, F.lit(1).alias(label))
     confirmed = gathered(sample(docs, labels, label, MOST_CONFIRMED, 1, key, text))
     unlabelled = gathered(sample(docs, any_of, label, MOST_UNLABELLED, None, key, text))
-    model = train(confirmed, unlabelled, prior)
+    wanted = np.flatnonzero(np.bincount(np.concatenate(confirmed), minlength=BUCKETS) >= LEAST) if confirmed else np.zeros(0, np.int64)
+    model = train(confirmed, unlabelled, prior, frequencies(docs, wanted, key, text) if len(wanted) else None)
     if len(model.chosen):
         model.bias = -cut(model.confirmed, *tallied(docs, model, key, text), prior)
     return model

@@ -201,6 +201,27 @@ def test_high_prior_with_many_confirmed():
     assert m.score(np.zeros(0, np.int64)) < 0.5
 
 
+def test_a_rare_word_is_learnt_at_every_size():
+    """A word in 3 confirmed texts and no others is an input with 499 of them and with 500, 501 and 2,000."""
+    for n in (499, 500, 501, 2000):
+        rng = np.random.default_rng(n)
+        confirmed = [np.unique([*rng.integers(1000, 3000, 20), *[7] * (k % 2), *[9] * (k < 3)]) for k in range(n)]
+        clean = [np.unique(rng.integers(1000, 3000, 20)) for _ in range(9 * n)]
+        chosen = toxicity.train(confirmed, clean + confirmed, 0.1, epochs=2).chosen.tolist()
+        assert {7, 9} <= set(chosen) and len(chosen) < 20
+
+
+def test_features_are_chosen_by_the_whole_corpus(spark):
+    rng = random.Random(2)
+    texts = [f"{prose(rng, 20)} {('grobian' if i % 10 == 0 else '')} {'hapax' * (i % 17 == 0)}" for i in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "grobian"), (401, None)], "doc_id long, text string")
+    f = np.array(sorted(zlib.crc32(f"w{w}".encode()) % toxicity.BUCKETS for w in ("grobian", "hapax")))
+    counts, n = toxicity.frequencies(docs.repartition(7), f, "doc_id", "text")
+    own = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    assert n == len(own) + 1 + (zlib.crc32(b"401") % 5 > 0)
+    assert {int(x) for x in counts[f]} == {sum("grobian" in t for t in own) + 1, sum("hapax" in t for t in own)}
+
+
 # 4
 
 
