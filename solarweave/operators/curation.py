@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solarweave.operators.spatial import far_from
+from solarweave.storage import joined_back
 
 #: The seed and shares of the split, and the map of 11 label classes to 8.
 SEED, TRAIN_BELOW, VALIDATION_BELOW = "42", 70, 85
@@ -24,12 +25,12 @@ def split_of(key: Column) -> Column:
 def first_of_each(df: DataFrame, content: Column, order: str) -> DataFrame:
     """df with digest, duplicate_of (order of the first row of equal content, null for that row) and keep.
 
-    The first is a map-side combined minimum joined back, so content that very many rows
-    share gathers nowhere; null content is content like any other.
+    The first is a map-side combined minimum, written and joined back (storage.joined_back), so
+    content that very many rows share gathers nowhere; null content counts as empty.
     """
     digest = df.withColumn("digest", F.sha2(F.coalesce(content.cast("string"), F.lit("")), 256))
     first = digest.groupBy("digest").agg(F.min(order).alias("first"))
-    out = digest.join(first, "digest")
+    out = joined_back(digest, first, "digest")
     return out.withColumn("duplicate_of", F.when(F.col(order) != F.col("first"), F.col("first"))).withColumn("keep", F.col(order) == F.col("first")).drop("first")
 
 

@@ -14,9 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a session on one machine gets a temporary folder (tests); any other
+    raises, as executors that write to their own disks would lose rows.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="solarweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,3 +55,14 @@ class Stored:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back."""
     return Stored(df, name).df
+
+
+def joined_back(df: DataFrame, summary: DataFrame, on, how: str = "inner") -> DataFrame:
+    """df joined with a summary that has one row for each key, so that a hot key of df is no hot task.
+
+    An aggregate's rows lie by key already, so a join right after it gets no shuffle of its own
+    on that side, and adaptive execution splits only joins whose sides both have one. The
+    summary is therefore written first: then a small one is broadcast, and beside a large one
+    the rows of a hot key are dealt to several tasks, each with its copy of the one row.
+    """
+    return df.join(stored(summary, "summary"), on, how)

@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from solarweave import storage
 from solarweave.functions import boxes
 from solarweave.operators import curation, evaluation, fusion, layout, raster, roofs, spatial, status
 from solarweave.operators.components import connected_components
@@ -52,6 +53,35 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_hot_key_is_split(spark):
+    """Half of the rows on one key: the join back has a skewed partition that is dealt to several tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 100_000, 1, 8).select(F.col("id"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"))
+        out = curation.first_of_each(rows, F.col("k"), "id")
+        kept = [r.keep for r in out.collect()]
+        assert (kept.count(True), len(kept)) == (50_001, 100_000)
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())
+
+
 def test_overlap_join_equals_all_pairs(spark):
     a, b = box_rows(80, 1), box_rows(90, 2)
     got = spatial.overlap_join(spark.createDataFrame(a, COLUMNS), spark.createDataFrame(b, COLUMNS), 2.0, on=("k",)).select("a_id", "b_id", "overlap").collect()
