@@ -34,11 +34,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 def cuts(data: bytes, width: int, most: int) -> list[int]:
     """Ends of the chunks of data: after each byte whose hash is below all on its left and not
-    above any on its right, width bytes either way; and after most bytes without such a byte.
-
-    A cut depends on the bytes near it alone, so an insertion shifts only chunks close by.
-    Chunks have more than width bytes, but for the first, the last and those after a forced
-    cut. Empty data has no chunk; a run of one byte has forced cuts alone.
+    above any on its right, width bytes either way; and where most bytes pass without such a
+    byte, after the first of the least hash among those that leave width to most bytes.
+
+    A cut depends on the bytes near it alone, so an insertion shifts only chunks close by. In
+    text of a short period no byte is below its left; there the second rule falls into step
+    with the period, so runs of one word are cut alike wherever they begin. Chunks have more
+    than width bytes, but for the first, the last and those around a cut of the second rule.
+    Empty data has no chunk.
     """
     n, high = len(data), np.full(width, 0xFFFFFFFF, np.uint32)
     if n <= width:
@@ -49,7 +52,7 @@ def cuts(data: bytes, width: int, most: int) -> list[int]:
     out, last = [], 0
     for m in [*marks.tolist(), n]:
         while m - last > most:
-            last += most
+            last += width + int(h[last + width - 1 : last + most].argmin())
             out.append(last)
         if m > last:
             out.append(m)

@@ -38,7 +38,7 @@ def op6_near_duplicates(spark, sf_dir):
 
 
 def op7_repeated_substrings(spark, sf_dir):
-    return substring.repeats(table(spark, sf_dir, "documents"))
+    return substring.repeats(table(spark, sf_dir, "documents"), within=False)
 
 
 def op8_secrets(spark, sf_dir):

@@ -5,73 +5,162 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solarweave.llm.batches import by_batch, octets
 from solarweave.llm.gear import cuts
+from solarweave.storage import joined_back, stored
 
-#: Chunks of some 40 bytes on average; repeats shorter than LEAST_RUN bytes are left.
-CHUNK_WIDTH, CHUNK_MOST, LEAST_RUN = 26, 256, 80
+#: Chunks of some 50 bytes on average, 128 at most; repeats shorter than LEAST_RUN bytes (some 50 short words) are left.
+CHUNK_WIDTH, CHUNK_MOST, LEAST_RUN = 26, 128, 200
+#: Bytes on either side of a run of chunks that are compared for its exact ends: a chunk, and what decides on a cut.
+REACH = CHUNK_MOST + 2 * CHUNK_WIDTH
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, th, t): th tells apart texts of one id."""
+    t = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"))
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, stop, h1, h2) of every chunk of every whole text, in bytes of its UTF-8.
+    """(doc_id, th, start, stop, h1, h2) of every chunk of every whole text, in bytes of its UTF-8.
 
-    h1 and h2 are a 128-bit digest. A digest that a text has several times comes once for each.
-    Null and empty texts have no chunk; rows whose key is null are left out.
+    th is a hash of the text, h1 and h2 are a 128-bit digest of the chunk. A digest that a text
+    has several times comes once for each. Null and empty texts have no chunk; a null id stays null.
     """
 
     def start():
         def each(batch: pa.RecordBatch) -> dict:
-            ids, starts, stops, high, low = [], [], [], [], []
-            for i, t in zip(batch.column("k").to_pylist(), octets(batch.column("t")), strict=True):
+            texts, starts, stops, counts, digests = octets(batch.column("t")), [], [], [], []
+            for t in texts:
                 ends = cuts(t, CHUNK_WIDTH, CHUNK_MOST)
-                begin = [0, *ends[:-1]]
-                ids.append(np.full(len(ends), i, np.int64))
-                starts += begin[: len(ends)]
+                begin = [0, *ends][: len(ends)]
+                starts += begin
                 stops += ends
-                for a, b in zip(begin, ends, strict=False):
-                    h = xxhash.xxh3_128_digest(t[a:b])
-                    high.append(h)
-            words = np.frombuffer(b"".join(high), "<i8").reshape(-1, 2)
-            return {"doc_id": pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64)), "start": pa.array(np.array(starts, np.int32)), "stop": pa.array(np.array(stops, np.int32)), "h1": pa.array(np.ascontiguousarray(words[:, 0])), "h2": pa.array(np.ascontiguousarray(words[:, 1]))}
+                counts.append(len(ends))
+                digests += [xxhash.xxh3_128_digest(t[a:b]) for a, b in zip(begin, ends, strict=True)]
+            words = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            own = pa.array(np.repeat(np.arange(len(texts)), counts))
+            return {
+                "doc_id": batch.column("doc_id").take(own), "th": batch.column("th").take(own), "start": pa.array(np.array(starts, np.int32)), "stop": pa.array(np.array(stops, np.int32)),
+                "h1": pa.array(np.ascontiguousarray(words[:, 0])), "h2": pa.array(np.ascontiguousarray(words[:, 1])),
+            }
 
         return each
 
-    rows = docs.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
-    return by_batch(rows, "doc_id long, start int, stop int, h1 long, h2 long", start)
+    return by_batch(_rows(docs, key, text), "doc_id long, th long, start int, stop int, h1 long, h2 long", start)
+
 
+def _document() -> Column:
+    """What orders documents: by id, rows without one last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_RUN) -> DataFrame:
-    """Runs of chunks that a document with a smaller id holds as well.
 
-    Columns: doc_id, start, stop (bytes of the UTF-8), n_chunks, first_doc_ids (the smallest
-    ids that hold the chunks, ascending). The copy in the document with the smallest id stays,
-    so it has no row. Adjacent repeated chunks are one run; runs under least bytes are left
-    out, and so are repeats within one document. Rows of one id and text count as one
-    document. Exact copies of a document come out as one run over its whole text.
+def _runs(every: DataFrame, within: bool) -> DataFrame:
+    """Adjacent chunks that came before: (doc_id, th, start, stop, n_chunks, first_doc_ids, head, tail).
 
-    Digests are counted with map-side combining, so a passage of very many documents is no
-    hot spot; the join that follows can be split where a digest is common, since one side has
-    each digest once. Only runs meet by document.
+    head and tail (doc_id, th, at) are where the first chunk of the run begins, and where its
+    last one ends, in the documents that hold them first.
     """
-    every = chunks(docs, key, text)
-    shared = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    again = every.join(shared, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "start", "stop", "first").distinct()
-    own = Window.partitionBy("doc_id").orderBy("start")
+    place = F.struct(_document().alias("doc"), "start")
+    shared = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place if within else F.struct(_document().alias("doc"))).alias("last"))
+    shared = shared.filter("first != last" if within else "first.doc != last.doc").drop("last")
+    again = joined_back(every, shared, ["h1", "h2"]).filter(place != F.col("first") if within else _document() != F.col("first.doc"))
+    again = again.select("doc_id", "th", "start", "stop", "first").distinct()
+    own = Window.partitionBy("doc_id", "th").orderBy("start")
     opens = F.when(F.lag("stop").over(own) == F.col("start"), 0).otherwise(1)
     runs = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first")).alias("first_doc_ids"))
-    return out.filter(F.col("stop") - F.col("start") >= least).drop("run")
+    at = lambda n: F.struct("first.doc.doc_id", "first.doc.th", (F.col("first.start") + n).alias("at"))
+    return runs.groupBy("doc_id", "th", "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first.doc.doc_id")).alias("first_doc_ids"),
+        F.min_by(at(F.lit(0)), "start").alias("head"), F.max_by(at(F.col("stop") - F.col("start")), "start").alias("tail"),
+    ).drop("run")
+
+
+def _contexts(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, th, at, left, near): REACH bytes before or after each asked place of a document, each place once."""
+    grouped = asked.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "left")).alias("asks"))
+    grouped = stored(grouped.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), "asks"), "asks")
+    rows = _rows(docs, key, text)
+    rows = rows.join(grouped, (rows.th == grouped.a_th) & rows.doc_id.eqNullSafe(grouped.a_id)).select("doc_id", "th", "t", "asks")
+
+    def start():
+        def each(batch: pa.RecordBatch) -> dict:
+            asks, at, left, near, own = batch.column("asks").to_pylist(), [], [], [], []
+            for i, t in enumerate(octets(batch.column("t"))):
+                for a in asks[i]:
+                    own.append(i)
+                    at.append(a["at"])
+                    left.append(a["left"])
+                    near.append(t[max(0, a["at"] - REACH) : a["at"]] if a["left"] else t[a["at"] : a["at"] + REACH])
+            own = pa.array(own, pa.int64())
+            return {"doc_id": batch.column("doc_id").take(own), "th": batch.column("th").take(own), "at": at, "left": left, "near": near}
+
+        return each
+
+    found = by_batch(rows, "doc_id long, th long, at int, left boolean, near binary", start)
+    return found.groupBy("doc_id", "th", "at", "left").agg(F.min("near").alias("near"))
+
+
+def common(a: bytes, b: bytes, left: bool) -> int:
+    """Bytes that two texts share at their ends (left) or beginnings."""
+    n = min(len(a), len(b))
+    x, y = (np.frombuffer(s[len(s) - n :] if left else s[:n], np.uint8) for s in (a, b))
+    differ = np.flatnonzero(x != y)
+    return n if not len(differ) else int(n - 1 - differ[-1] if left else differ[0])
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_RUN, within: bool = True) -> DataFrame:
+    """Passages of at least bytes that came before: in a smaller id, or earlier in the same text.
+
+    Columns: doc_id, th (hash of the text, which tells apart rows of one id), start, stop
+    (bytes of the UTF-8), n_chunks, first_doc_ids (ids that hold the chunks first, ascending).
+    The first copy, by id (null last), text and place, stays and has no row. Adjacent
+    repeated chunks are one run; a run is then extended on both sides byte by byte as far as
+    it agrees with its first copy, at most REACH bytes, which is more than the chunks that an
+    end of the passage cuts through. Runs may overlap after that. Rows of one id and text count
+    as one document. Without within, what only one text repeats in itself is left.
+
+    A passage that holds no whole chunk is not seen: chunks have 128 bytes at most and lie at
+    the same places in equal text, so that of least bytes holds one but for rare cases at
+    forced cuts. Texts are cut once. Digests are counted with map-side combining, and what
+    is joined back has each digest or place once, so common passages are no hot spot.
+    """
+    every = stored(chunks(docs, key, text), "chunks")
+    runs = stored(_runs(every, within), "runs")
+    ends = runs.select("*", F.inline(F.array(
+        F.struct(F.lit(True).alias("left"), F.col("start").alias("at"), F.col("head").alias("other")),
+        F.struct(F.lit(False).alias("left"), F.col("stop").alias("at"), F.col("tail").alias("other")),
+    ))).drop("head", "tail")
+    asked = ends.select("doc_id", "th", "at", "left").union(ends.select("other.doc_id", "other.th", "other.at", "left"))
+    contexts = stored(_contexts(docs, asked, key, text), "contexts")
+    side = lambda p: contexts.select(*(F.col(c).alias(f"{p}_{c}") for c in contexts.columns))
+    met = lambda p, own: [F.col(f"{own}th") == F.col(f"{p}_th"), F.col(f"{own}at") == F.col(f"{p}_at"), F.col("left") == F.col(f"{p}_left"), F.col(f"{own}doc_id").eqNullSafe(F.col(f"{p}_doc_id"))]
+    both = ends.join(side("own"), met("own", "")).join(side("first"), met("first", "other."))
+
+    def start():
+        def each(batch: pa.RecordBatch) -> dict:
+            sides = zip(*(batch.column(c).to_pylist() for c in ("own_near", "first_near", "left")), strict=True)
+            return {c: batch.column(c) for c in own} | {"more": [common(*s) for s in sides]}
+
+        return each
+
+    own = ("doc_id", "th", "start", "stop", "n_chunks", "first_doc_ids", "left")
+    more = by_batch(both.select(*own, "own_near", "first_near"), "doc_id long, th long, start int, stop int, n_chunks long, first_doc_ids array<long>, left boolean, more int", start)
+    whole = more.groupBy("doc_id", "th", "start", "stop").agg(F.max("n_chunks").alias("n_chunks"), F.max("first_doc_ids").alias("first_doc_ids"), F.max(F.when(F.col("left"), F.col("more"))).alias("before"), F.max(F.when(~F.col("left"), F.col("more"))).alias("after"))
+    out = whole.select("doc_id", "th", (F.col("start") - F.col("before")).alias("start"), (F.col("stop") + F.col("after")).alias("stop"), "n_chunks", "first_doc_ids")
+    return out.filter(F.col("stop") - F.col("start") >= least)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_RUN) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_RUN, within: bool = True) -> DataFrame:
     """docs with the bytes of all repeats taken out of text; all columns, one row for each row.
 
-    A cut that falls inside a character takes the whole character. Null texts stay null.
+    Each text loses its own repeats, also where several rows have one id or none. A cut that
+    falls inside a character takes the whole character. Null texts stay null.
     """
-    cut = repeats(docs, key, text, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cut"))
+    cut = repeats(docs, key, text, least, within).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cut"))
     kind = docs.schema[text].dataType.simpleString()
 
     @F.udf(kind, useArrow=True)
@@ -81,9 +170,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         data, at, out = value.encode(), 0, []
         for s in spans:
             out.append(data[at : s["start"]])
-            at = s["stop"]
+            at = max(at, s["stop"])
         return b"".join([*out, data[at:]]).decode("utf-8", "ignore")
 
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    joined = packed.join(cut, F.col(f"__row.{key}").cast("long") == F.col("doc_id"), "left")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{key}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__th"))
+    cut = stored(cut, "cut")
+    joined = packed.join(cut, (F.col("__th") == F.col("th")) & F.col("__id").eqNullSafe(F.col("doc_id")), "left")
     return joined.select(*(drop(F.col(f"__row.{c}"), F.col("cut")).alias(c) if c == text else F.col(f"__row.{c}") for c in docs.columns))

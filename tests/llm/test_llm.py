@@ -298,19 +298,65 @@ def test_chains_in_a_large_group(spark, monkeypatch):
 # 7
 
 
+def first_places(texts):
+    """For (id, text) in order: bytes of each text that are covered by stretches of LEAST_RUN bytes or more that came before in another text."""
+    least, seen, out = substring.LEAST_RUN, {}, {}
+    for d, t in texts:
+        data, covered = t.encode(), np.zeros(len(t.encode()), bool)
+        for i in range(len(data) - least + 1):
+            if seen.setdefault(data[i : i + least], d) != d:
+                covered[i : i + least] = True
+        out[d] = covered
+    return out
+
+
+def test_repeats_equal_brute_force(spark):
+    """No byte outside repeats of LEAST_RUN bytes or more is in a run, and all in them are, but for
+    the few at an end that agree by chance with a later copy and not with the first."""
+    rng = random.Random(12)
+    passages = [prose(rng, rng.choice((51, 60, 90))) for _ in range(4)] + ["Tior, " * 60, "and " * 120]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(f"{w}{rng.randrange(10**6)}" for w in prose(rng, rng.randint(0, 40)).split()) + rng.choice(" \n") for _ in range(3)]
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            parts.insert(rng.randint(0, 3), rng.choice(passages))
+        rows.append((i, "".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash")).withColumn("first", F.lit(0)).withColumn("th", F.lit("x"))
+    got = substring.repeats(df, within=False).collect()
+    want, texts = first_places(rows), dict(rows)
+    mine = {d: np.zeros(len(t.encode()), bool) for d, t in rows}
+    for r in got:
+        assert r.stop - r.start >= substring.LEAST_RUN and any(texts[r.doc_id].encode()[r.start : r.stop] in texts[d].encode() for d in range(r.doc_id)) or len(r.first_doc_ids) > 1
+        mine[r.doc_id][r.start : r.stop] = True
+    assert sum(w.sum() for w in want.values()) > 5000
+    for d, t in rows:
+        if not any(p in t for p in passages[-2:]):  # of one word alone, forced cuts may leave the ends
+            assert not (mine[d] & ~want[d]).any() and (want[d] & ~mine[d]).sum() <= 4 * (1 + (np.diff(want[d].astype(int)) > 0).sum())
+    periodic = [d for d, t in rows if any(p in t for p in passages[-2:]) and want[d].any()]
+    assert len(periodic) > 3 and all(mine[d].any() for d in periodic)
+
+
 def test_repeated_passages_are_found(spark, docs, nothing):
     rng = random.Random(12)
     passage, rows = prose(rng, 55), []
     for i in range(40):
         own = [f"{prose(rng, 40)} {i}x{rng.random()}" for _ in range(2)]
         rows.append((i, f"{own[0]} {passage}\n{own[1]}" if i in (4, 9, 30) else " ".join(f"{w}{rng.randrange(10**6)}" for w in own[0].split())))
+    unique = " ".join(f"{w}{rng.randrange(10**6)}" for w in prose(rng, 30).split())
+    rows += [(50, f"{unique} {passage} {passage}"), (50, passage + " as another text of one id"), (None, f"no id {passage}"), (30, rows[30][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash")).withColumn("first", F.lit(0))
-    got = substring.repeats(df).collect()
-    assert {r.doc_id for r in got} == {9, 30} and all(r.first_doc_ids == [4] for r in got)
-    texts = dict(rows)
-    assert all(texts[r.doc_id].encode()[r.start : r.stop] in texts[4].encode() and r.stop - r.start >= substring.LEAST_RUN for r in got)
-    left = {r.doc_id: r.text for r in substring.without_repeats(df).collect()}
-    assert left[4] == texts[4] and len(left[9]) < len(texts[9]) - 80 and left[1] == texts[1]
+    got = substring.repeats(df, within=False).collect()
+    assert {r.doc_id for r in got} == {9, 30, 50, None} and all(r.first_doc_ids[0] == 4 for r in got)
+    assert len({(r.doc_id, r.th) for r in got}) == 5
+    texts = dict(rows[:40])
+    assert all(texts[r.doc_id].encode()[r.start : r.stop] in texts[4].encode() and passage in texts[r.doc_id].encode()[r.start : r.stop].decode() for r in got if r.doc_id in (9, 30))
+    left = [(r.doc_id, r.text) for r in substring.without_repeats(df).collect()]
+    assert len(left) == len(rows) and sum(passage in t for _, t in left) == 1 and dict(left)[4] == texts[4] and dict(left)[1] == texts[1]
+    assert any(d is None and t.startswith("no id") for d, t in left) and any(t.endswith("as another text of one id") for _, t in left)
+    alone = spark.createDataFrame([(1, f"{unique} {passage} {unique[:50]} {passage}")], "doc_id long, text string")
+    assert substring.repeats(alone, within=False).count() == 0
+    (inner,) = substring.repeats(alone).collect()
+    assert inner.start >= len(unique) + len(passage) and inner.stop == len(alone.first().text.encode())
     assert substring.repeats(nothing).count() == 0 and substring.without_repeats(docs).count() == docs.count()
     whole = substring.repeats(docs).filter("doc_id > 60").collect()
     assert whole
