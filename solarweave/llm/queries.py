@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from solarweave.llm import bpe, media, mixing, neardup, quality, secretscan, substring, topk, toxicity, urls
-from solarweave.storage import table
+from solarweave.storage import stored, table
 
 
 def op1_top_k(spark, sf_dir):
-    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    vectors = stored(topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
     return topk.top_k(vectors, vectors.filter("id % 50 = 0"), 5)
 
 

@@ -7,59 +7,59 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of one shard, and queries that meet a shard at once.
-SHARD, BLOCK = 8192, 4096
+#: Vectors of one shard, and queries that meet a shard at once; terms between two looks at the threshold.
+SHARD, BLOCK, STEP = 8192, 4096, 8
 
 
 class Shard:
-    """Posting lists of integer vectors: one for each dimension and sign, with positive impacts."""
+    """Posting lists of integer vectors: one for each dimension, with signed impacts and their greatest either way."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.lists = []
-        for d in range(vectors.shape[1]):
-            column = self.vectors[:, d]
-            up, down = np.flatnonzero(column > 0), np.flatnonzero(column < 0)
-            self.lists.append(((up, column[up], column[up].max(initial=0)), (down, -column[down], (-column[down]).max(initial=0))))
+        self.columns = np.ascontiguousarray(self.vectors.T)
+        self.most, self.least = (f(axis=1, initial=0) for f in (self.columns.max, self.columns.min))
+        self.met = self.scored = 0
 
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, ties to smaller ids; own is left out.
 
-        A term is a dimension with the sign of the query's weight, so contributions of its list
-        are positive and what a list lacks adds nothing above zero. Terms are ordered by their
-        bounds. Once k scores are known, those terms whose bounds together stay under the k-th
-        are non-essential: a vector in their lists alone can't get in. The essential lists are
-        traversed; then others are probed from the largest bound down, and a vector is given up
-        when what it has and all bounds left don't reach the k-th score.
+        A term is a dimension that the query weighs; its bound is the most that a vector can
+        gain from it, and what a vector gains or loses is its signed impact. Terms come from the
+        largest bound down. Once k scores are known, the smallest terms whose bounds together
+        stay under the k-th are non-essential: a vector that gains from them alone can't get
+        in. Essential terms are traversed for all vectors that still compete, and after every
+        few of them those that lead so far are scored, so the k-th score rises; non-essential
+        terms are then probed for what is left. A vector is given up as soon as what it has
+        and all bounds left don't reach the k-th score; only what remains at the end has its
+        whole score.
         """
-        if not len(self.ids):
-            return self.ids, np.zeros(0, np.int64)
-        terms = sorted((int(abs(w)) * int(t[2]), d, int(abs(w)), t) for d, w in enumerate(query.tolist()) if w for t in [self.lists[d][w < 0]] if t[2])
+        weights = query.tolist()
+        terms = sorted((int(max(w * self.most[d], w * self.least[d])), d, w) for d, w in enumerate(weights) if w)
         bounds = np.cumsum([0, *(t[0] for t in terms)])
-        need = None
-        if terms:
-            docs, impacts, _ = terms[-1][3]
-            some = docs[np.argpartition(-impacts, min(4 * k, len(docs) - 1))[: 4 * k]]
-            scores = np.sort((self.vectors[some] @ query)[self.ids[some] != own])
-            need = int(scores[-k]) if len(scores) >= k else None
-        if need is None or need <= 0:  # a vector in no list at all may get in
-            live = np.flatnonzero(self.ids != own)
-        else:
-            first = int(np.searchsorted(bounds[1:], need, "left"))  # terms before it are non-essential
-            total = np.zeros(len(self.ids), np.int64)
-            for _, _, weight, (docs, impacts, _) in terms[first:]:
-                total[docs] += weight * impacts
-            live = np.flatnonzero((total > 0) & (total + bounds[first] >= need) & (self.ids != own))
-            total = total[live]
-            for at in range(first - 1, -1, -1):
-                _, d, _, _ = terms[at]
-                total = total + np.maximum(self.vectors[live, d] * query[d], 0)
+        live, need, essential = np.flatnonzero(self.ids != own), None, 0
+        total, tried = np.zeros(len(live), np.int64), np.zeros(len(self.ids), bool)
+        self.met += len(live)
+        best = np.zeros(0, np.int64)
+        for at in range(len(terms) - 1, -1, -1):
+            _, d, w = terms[at]
+            impacts = self.columns[d]
+            total += w * (impacts if len(live) == len(impacts) else impacts[live])
+            if (len(terms) - at) % STEP and at != essential or len(live) <= k:
+                continue
+            lead = live[np.argpartition(-total, 2 * k)[: 2 * k]] if len(live) > 2 * k else live
+            lead = lead[~tried[lead]]
+            tried[lead] = True
+            self.scored += len(lead)
+            best = np.sort(np.concatenate((best, self.vectors[lead] @ query)))[-k:]
+            if len(best) == k:
+                need = int(best[0])
+                essential = int(np.searchsorted(bounds[1:], need, "left"))
                 keep = total + bounds[at] >= need
                 live, total = live[keep], total[keep]
-        scores = self.vectors[live] @ query
-        best = np.lexsort((self.ids[live], -scores))[:k]
-        return self.ids[live][best], scores[best]
+        self.scored += int((~tried[live]).sum())
+        order = np.lexsort((self.ids[live], -total))[:k]
+        return self.ids[live][order], total[order]
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -71,7 +71,12 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 def integer_vectors(df: DataFrame, key: str, vector: str, scale: int = 256) -> DataFrame:
     """(id, v): floor(scale * x) of each component. Rows with a null id or vector, or with a
-    null, infinite or NaN component, are left out; of rows with one id the least vector stays."""
+    null, infinite or NaN component, are left out; of rows with one id the least vector stays.
+
+    Components of which scale times beyond 64 bits keep what fits in them, and scores that leave 64
+    bits are not defined. An empty vector stays and scores 0 with any other. An empty table
+    gives an empty result.
+    """
     v = F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double"))
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.filter(F.col(f"`{key}`").isNotNull() & F.col(f"`{vector}`").isNotNull()).filter(~odd)

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import random
 import zlib
 
@@ -76,13 +77,25 @@ def test_top_k_with_few_or_no_vectors(spark):
     assert topk.top_k(none, none, 5).count() == 0
 
 
-def test_terms_are_left_unessential():
+def test_few_vectors_are_scored_in_full():
     rng = np.random.default_rng(1)
-    vectors = rng.integers(-5, 6, (500, 16)) * (rng.random((500, 16)) < 0.3)
-    vectors[:20, 0] = 200
-    ids, scores = topk.Shard(np.arange(500), vectors).search(3, vectors[3], 5)
-    exact = sorted((-(v @ vectors[3]), i) for i, v in enumerate(vectors) if i != 3)[:5]
-    assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == exact
+    for vectors in (rng.integers(-300, 300, (3000, 64)), rng.integers(-5, 6, (3000, 16)) * (rng.random((3000, 16)) < 0.3), np.ones((300, 4), np.int64), -rng.integers(1, 9, (300, 8))):
+        shard = topk.Shard(np.arange(len(vectors)), vectors)
+        for q in range(0, len(vectors), len(vectors) // 30):
+            ids, scores = shard.search(q, vectors[q], 5)
+            exact = sorted((-(v @ vectors[q]), i) for i, v in enumerate(vectors) if i != q)[:5]
+            assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == exact
+        if vectors.shape[1] == 64:
+            assert shard.scored < 0.05 * shard.met
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_few_embeddings_are_scored_in_full(spark):
+    rows = topk.integer_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding").orderBy("id").limit(topk.SHARD).toPandas()
+    shard = topk.Shard(rows.id.to_numpy(), np.array(rows.v.tolist()))
+    for i in range(0, len(rows), 50):
+        shard.search(rows.id[i], np.array(rows.v[i]), 5)
+    assert shard.scored < 0.05 * shard.met
 
 
 # 2
