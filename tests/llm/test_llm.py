@@ -398,6 +398,73 @@ def test_runs_without_digits_and_past_a_pattern_are_judged():
     assert secretscan.all_spans(["0123456789abcdef0123"], net) == [[(0, 2, 20)]]
 
 
+def test_shapes_that_training_never_saw():
+    """Recall of keys of a shape that neither a pattern names nor the made examples hold, and what else is found."""
+    for shape, least in (("mixed", 0.9), ("letters", 0.8), ("prefixed", 0.9)):
+        net = secretscan.train(*secretscan.made_examples(without=(shape,)))
+        codes, y = secretscan.made_examples(200, seed=77, only=(shape,))
+        found = net.probability(codes) >= net.threshold
+        assert found[y == 1].mean() > least and found[y == 0].mean() < 0.06
+
+
+def scanned(text):
+    """The base spans, place by place, without a pattern's own search."""
+    lower, out = "".join(c.lower() if "A" <= c <= "Z" else c for c in text), []
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(i, chars):
+        j = i
+        while j < len(text) and text[j] in chars:
+            j += 1
+        return j
+
+    def assigned(i):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(name, i):
+                j = i + len(name)
+                j += text[j : j + 1] in ("'", '"')
+                j = run(j, " ")
+                if text[j : j + 1] in (":", "="):
+                    j = run(j + 1, " ")
+                    j += text[j : j + 1] in ("'", '"')
+                    return j, run(j, value)
+        return i, i
+
+    for kind, ends in enumerate((assigned, lambda i: (i, run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", i) else i), lambda i: (i, run(i, set("0123456789abcdef"))))):
+        at = 0
+        while at < len(text):
+            begin, end = ends(at)
+            if end > begin and (kind != 1 or end > at + 4):
+                if end - begin >= (12, 18, 16)[kind]:
+                    out.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_base_columns_equal_a_scan_and_sql(spark):
+    import duckdb
+
+    rng = random.Random(6)
+    bits = ["password", "PASSWD", "Secret", "token", "api_key", "APIKEY", " = ", ":", "=", '"', "'", "AKIA", "0123456789abcdef", "deadbeef", "Zz9+/", "ABCDEFGHIJ012345", " ", "\n", "é", "the", "=="]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(300)] + [None, "", "token=token=abcdefghijkl"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    net = secretscan.Network(np.zeros((len(secretscan.CHARS) + 1, secretscan.EMBED)), np.zeros(((secretscan.EMBED + 2) * secretscan.REACH, secretscan.FILTERS)), np.zeros(secretscan.FILTERS), np.zeros(2 * secretscan.FILTERS), 0.0)
+    got = {r.doc_id: r for r in secretscan.found_secrets(df, net).collect()}
+    con = duckdb.connect()
+    docs = df.toPandas()  # noqa: F841 - read by the SQL below
+    counts = con.execute(r"""
+        SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)),
+               len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)), len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16))
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM docs)""").fetchall()
+    assert sum(c[1] for c in counts) > 30 and sum(c[2] for c in counts) > 10 and sum(c[3] for c in counts) > 30
+    for i, *n in counts:
+        spans = scanned(texts[i] or "")
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == n == [sum(s[1] == k for s in spans) for k in range(3)]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{secretscan.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
 def test_the_threshold_keeps_its_recall():
     rng = np.random.default_rng(0)
     codes = rng.integers(1, 40, (600, secretscan.WIDTH)).astype(np.int8)
