@@ -55,6 +55,20 @@ def op10_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def _resolved(name: str, source: str, target: str, base: str, keep: str) -> str:
+    """SQL of a table name with t: target as a full url from base, . and .. folded; keep are its other columns."""
+    part = lambda x, pattern: f"regexp_extract({x}, '{pattern}', 1)"
+    start, query = r"^([^?#]*)", r"^[^?#]*(\?[^#]*)"
+    root, page = part(base, "^([^:/?#]+://[^/?#]*)"), part(base, start)
+    own = f"regexp_replace(substr({page}, length({root}) + 1), '[^/]*$', '')"
+    way = f"CASE WHEN {target} LIKE '/%' THEN '' WHEN {own} = '' THEN '/' ELSE {own} END || {part(target, start)}"
+    steps = "list_reduce(list_concat([''], string_split(way, '/')[2:]), lambda o, s: CASE WHEN s = '..' THEN regexp_replace(o, '/[^/]*$', '') WHEN s = '.' THEN o ELSE o || '/' || s END)"
+    return rf"""{name}_way AS (SELECT {keep}, {target} AS x, {base} AS y, {way} AS way FROM {source}),
+{name}_folded AS (SELECT *, {steps} || CASE WHEN regexp_matches(way, '/\.\.?$') THEN '/' ELSE '' END AS fold FROM {name}_way),
+{name} AS (SELECT * EXCLUDE (x, y, way, fold), CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN x WHEN x LIKE '//%' THEN {part("y", "^([^:/?#]+:)")} || x WHEN x LIKE '?%' THEN {part("y", start)} || x
+  WHEN x LIKE '#%' THEN {part("y", start)} || {part("y", query)} ELSE {part("y", "^([^:/?#]+://[^/?#]*)")} || fold || {part("x", "^[^?#]*(.*)$")} END AS t FROM {name}_folded)"""
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_bpe": op2_bpe,
@@ -80,18 +94,25 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
-    "op4_url_filter": r"""
+    "op4_url_filter": rf"""
 WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 rest AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
-split AS (SELECT page_id, html, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
-page AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') END AS node FROM split),
-tags AS (SELECT node, host, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM page WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
-refs AS (SELECT node, host, CASE WHEN regexp_matches(tag, '(?i)rel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)
-         WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>;]+)', 1) END AS t FROM tags),
-full_refs AS (SELECT node, CASE WHEN t LIKE '//%' THEN 'http:' || t WHEN t LIKE '/%' THEN 'http://' || host || t ELSE t END AS t FROM refs WHERE t <> '' AND node IS NOT NULL),
+split AS (SELECT page_id, url, html, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+page AS (SELECT *, CASE WHEN host <> '' THEN host || path || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) END AS node FROM split),
+tags AS (SELECT node, url, regexp_extract(html, '(?is)<base\b[^>]*>') AS base, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM page WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|http-equiv')),
+named AS (SELECT *, unnest(['base', 'rel', 'http-equiv', 'href', 'content']) AS name FROM tags),
+found AS (SELECT node, url, tag, name, trim(regexp_replace(regexp_extract(CASE WHEN name = 'base' THEN base ELSE tag END, '(?is)\s' || CASE WHEN name = 'base' THEN 'href' ELSE name END || '\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g'), ' ') AS raw FROM named),
+plain AS (SELECT * REPLACE (replace(replace(replace(replace(replace(replace(replace(raw, '&quot;', '"'), '&#39;', ''''), '&#x2F;', '/'), '&#47;', '/'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS raw) FROM found),
+wide AS (SELECT node, url, max(raw) FILTER (name = 'base') AS base, max(raw) FILTER (name = 'rel') AS rel, max(raw) FILTER (name = 'http-equiv') AS equiv, max(raw) FILTER (name = 'href') AS href, max(raw) FILTER (name = 'content') AS content
+  FROM plain GROUP BY node, url, tag),
+refs AS (SELECT node, url AS page_url, base, CASE WHEN regexp_matches(' ' || lower(rel) || ' ', '\scanonical\s') THEN href
+  WHEN lower(equiv) = 'refresh' THEN trim(regexp_replace(regexp_extract(content, '(?is)url\s*=\s*(.*)$', 1), '^["'']|["'']$', '', 'g'), ' ') END AS target FROM wide),
+asked AS (SELECT node, page_url, target, CASE WHEN base <> '' THEN base ELSE page_url END AS own FROM refs WHERE target <> ''),
+{_resolved("base", "asked", "own", "page_url", "node, target")},
+{_resolved("full_target", "base", "target", "t", "node")},
 target AS (SELECT node AS a, translate(regexp_extract(substr(t, instr(t, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-           regexp_extract(substr(t, instr(t, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM full_refs WHERE regexp_matches(t, '(?i)^https?://')),
-edge AS (SELECT DISTINCT a, host, path, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS b FROM target),
+  regexp_extract(substr(t, instr(t, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(t, '^[^?#]*(\?[^#]*)', 1) AS query FROM full_target WHERE regexp_matches(t, '(?i)^https?://')),
+edge AS (SELECT DISTINCT a, host, path, host || path || query AS b FROM target),
 places AS (SELECT DISTINCT host, path, node FROM page UNION SELECT host, path, b FROM edge),
 fits AS (SELECT host, path, node, verdict, h || p AS rule, row_number() OVER (PARTITION BY host, path ORDER BY length(h || p) DESC, verdict) AS n
          FROM places JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),

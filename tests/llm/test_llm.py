@@ -238,20 +238,55 @@ def test_features_are_chosen_by_the_whole_corpus(spark):
 # 4
 
 
+PAGES = [
+    (1, "http://example.org/es/x", '<link rel="canonical" href="http://a.net/1">'), (2, "http://a.net/1", None), (3, "https://www.a.net/1/?q#f", ""),
+    (4, "http://b.net/2", "<META HTTP-EQUIV='refresh' content='0; url=http://a.net/1'>"), (5, "http://c.net/", '<link href="/3" rel=canonical>'), (6, "http://c.net/3", ""),
+    (7, "HTTP://EXAMPLE.ORG/en/12", None), (8, "http://sub.example.org", None), (9, "no scheme", None), (10, None, None), (11, "http://x.com/de/1", '<link rel="canonical" href="http://d.net/9">'),
+    (12, "http://d.net/9", '<link rel="canonical" href="http://x.com/fr/1">'), (13, "http://x.com/fr/1", None), (14, "http://notexample.org/es/", None), (2, "http://a.net/1", None),
+    (20, "http://e.net/x/y", '<link rel="alternate canonical" href="z?a=1&amp;b=2">'), (21, "http://e.net/x/z?a=1&b=2", '<link rel=canonical href="//x.com/de/2">'), (22, "http://e.net/x/z", ""),
+    (23, "http://e.net/p/q/r", '<link rel="canonical" href="../../x/./y">'), (24, "http://e.net/x/y?p=2", '<link rel="canonical" href="?p=3">'), (25, "http://e.net/x/y?p=3", '<base href="/x/"><link rel="canonical" href="y">'),
+    (26, "http://f.net", '<link rel="canonical" href="g">'), (27, "http://f.net/g", "<meta http-equiv=refresh content=\"1;URL='http://example.org/en/1'\">"), (28, "http://f.net/h#x", '<link rel="canonical" href="#top">'),
+    (29, "http://f.net/i", '<link rel="canonicals" href="http://example.org/es/"><link href="http://example.org/es/"><link rel=canonical href="mailto:a@b">'), (30, "http://f.net/j", ""),
+]
+
+
 def test_url_rules_and_aliases(spark):
-    rows = [
-        (1, "http://example.org/es/x", '<link rel="canonical" href="http://a.net/1">'), (2, "http://a.net/1", None), (3, "https://www.a.net/1/?q#f", ""),
-        (4, "http://b.net/2", "<META HTTP-EQUIV='refresh' content='0; url=http://a.net/1'>"), (5, "http://c.net/", '<link href="/3" rel=canonical>'), (6, "http://c.net/3", ""),
-        (7, "HTTP://EXAMPLE.ORG/en/12", None), (8, "http://sub.example.org", None), (9, "no scheme", None), (10, None, None), (11, "http://x.com/de/1", '<link rel="canonical" href="http://d.net/9">'),
-        (12, "http://d.net/9", '<link rel="canonical" href="http://x.com/fr/1">'), (13, "http://x.com/fr/1", None), (14, "http://notexample.org/es/", None), (2, "http://a.net/1", None),
-    ]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("node", F.lit("clash")).withColumn("rule", F.lit(1))
-    got = sorted(((r.page_id, r.rule, r.verdict) for r in urls.judged(df).collect()), key=str)
-    want = [(1, "example.org/es/", "block"), (2, None, "block"), (2, None, "block"), (3, None, "block"), (4, None, "block"), (5, None, "allow"), (6, None, "allow"), (7, "example.org/en/1", "block"), (8, None, "allow"), (9, None, "allow"), (10, None, "allow"), (11, "com/de/", "block"), (12, None, "allow"), (13, "com/fr/", "allow"), (14, "org/", "allow")]
-    assert got == sorted(want, key=str)
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("node", F.lit("clash")).withColumn("rule", F.lit(1)).withColumn("query", F.lit("?"))
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judged(df).collect()}
+    assert urls.judged(df).count() == len(PAGES)
+    ruled = {1: "example.org/es/", 7: "example.org/en/1", 11: "com/de/", 13: "com/fr/", 14: "org/"}
+    assert {p: r for p, (r, _) in got.items() if r} == ruled
+    blocked = {1, 2, 4, 7, 11, 20, 21, 23, 24, 25, 26, 27}  # 12 is linked to an allowed page as well
+    assert {p for p, (_, v) in got.items() if v == "block"} == blocked
     hosts = {r.page_id: (r.host, r.path) for r in urls.judged(df).collect()}
     assert hosts[7] == ("example.org", "/en/12") and hosts[8] == ("sub.example.org", "") and hosts[9] == hosts[10] == ("", "")
     assert urls.judged(df.filter("false")).count() == 0
+    twins = spark.createDataFrame([(1, "http://www.k.net/a/", '<link rel="canonical" href="http://x.com/de/1">'), (2, "http://k.net/a", None)], "page_id long, url string, html string")
+    assert [{r.page_id: r.verdict for r in urls.judged(twins, customs=c).collect()}[2] for c in (False, True)] == ["allow", "block"]
+
+
+def test_url_query_equals_its_sql_where_pages_have_links(spark, tmp_path):
+    import duckdb
+
+    from solarweave.llm.queries import QUERIES, SQL
+
+    rng = random.Random(5)
+    rows = {r[0]: r for r in PAGES}
+    hosts = ["a.net", "b.org", "c.com", "example.org", "www.a.net"]
+    paths = ["/", "/fr/x", "/de/y", "/es/z", "/en/1/k", "/p/q", "/p/q?i=1", "", "/p/../r/."]
+    spots = [*(f"http://{h}{p}" for h in hosts for p in paths), "x", "../y", "?i=1", "/fr/", "//c.com/de/y", "#f", "./p/q?i=2&amp;j=3", "https://b.org/p/q"]
+    for i in range(100, 300):
+        to = rng.choice(spots)
+        tags = [f'<link rel="canonical" href="{to}">', f"<link href={to} rel=canonical >", f'<meta http-equiv="Refresh" content="3; url={to}">', f'<base href="/p/">\n<link rel="x canonical"\n href=\'{to}\'>', "plain", None]
+        rows[i] = (i, f"http://{rng.choice(hosts)}{rng.choice(paths)}", rng.choice(tags))
+    spark.createDataFrame(list(rows.values()), "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = QUERIES["op4_url_filter"](spark, str(tmp_path))
+    want = con.execute(SQL["op4_url_filter"])
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+    assert got.filter("rule is null and verdict = 'block'").count() > 5
 
 
 # 6
