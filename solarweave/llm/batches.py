@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +14,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def give_back() -> None:
+    """Return what a task no longer uses to the system: the worker lives on, for tasks of other stages.
+
+    Arrow's pool and the C allocator keep freed memory otherwise, so a worker would hold the
+    greatest need of all stages that it ever ran.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not a GNU C library
+        pass
+
+
 def octets(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column's values; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -40,7 +56,8 @@ def by_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Record
         for batch in (p for b in batches for p in pieces(b)):
             columns = each(batch)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, out.field(n).type) for n, c in ((f.name, columns[f.name]) for f in out)], schema=out)
-        pa.default_memory_pool().release_unused()  # the worker lives on, for other tasks
+        each = columns = batch = None
+        give_back()
 
     return df.mapInArrow(run, fields)
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solarweave.llm.batches import by_batch, octets
 from solarweave.operators.components import connected_components
-from solarweave.storage import stored
+from solarweave.storage import joined_back, stored
 
 #: Words of a shingle; similarity in hundredths.
 WORDS, SIMILARITY = 5, 75
 #: Coordinates of a signature, and how many of two must agree for a pair to be confirmed. Two
-#: sets of similarity 0.75 agree in fewer with a probability of about 1e-7.
+#: sets of similarity 0.75 agree in fewer with a probability of 1.1e-7 (a binomial sum; of 0.8, 8e-10).
 COORDINATES, MATCHES = 40, 15
 #: Nodes outside their list's first component, and shingles, of one block of the last comparison.
 BLOCK, BLOCK_SHINGLES = 512, 750_000
@@ -63,7 +65,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, sig): node is a 128-bit digest of the set in hex, null if it is empty."""
+    """(doc_id, th, n_shingles, node, sig): th is a hash of the text, node a 128-bit digest of the set in hex, null if it is empty."""
 
     def start():
         def each(batch: pa.RecordBatch) -> dict:
@@ -73,11 +75,12 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
-            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "node": nodes, "sig": sigs}
+            return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "n_shingles": sizes, "node": nodes, "sig": sigs}
 
         return each
 
-    return by_batch(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t")), "doc_id long, n_shingles long, node string, sig array<int>", start)
+    t = F.col(f"`{text}`")
+    return by_batch(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t")), "doc_id long, th long, n_shingles long, node string, sig array<int>", start)
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -121,7 +124,7 @@ def _posts(classes: DataFrame) -> DataFrame:
     place = F.posexplode("sig").alias("k", "v")
     tokens = classes.select("node", place).select("node", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    mine = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    mine = joined_back(tokens, often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
     mine = mine.filter(F.size("own") >= MATCHES)
     return mine.select("node", F.explode(F.transform(F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1)), lambda x: x["token"])).alias("token"))
 
@@ -138,7 +141,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
 def _stars(posts: DataFrame) -> DataFrame:
     """Pairs of each list's least node with every other: as many as posts at most."""
     least = posts.groupBy("token").agg(F.min("node").alias("a"))
-    return posts.join(least, "token").filter("node != a").select("a", F.col("node").alias("b")).distinct()
+    return joined_back(posts, least, "token").filter("node != a").select("a", F.col("node").alias("b")).distinct()
 
 
 def _joining(nodes: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], asked: np.ndarray) -> list[tuple[str, str]]:
@@ -178,18 +181,18 @@ def _open_links(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFra
     """
     here = posts.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
     lists = here.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low != high")
-    here = stored(here.join(lists.select("token", "low", "n"), "token"), "open")
+    here = stored(joined_back(here, lists.select("token", "low", "n"), "token"), "open")
     asked = here.filter("comp != low").groupBy("node").agg(F.max(F.struct("n", "low"))["low"].alias("home"))
     asked = stored(asked.join(sets.select("node", "size"), "node"), "asked")
     blocks = max(1, -(-asked.count() // BLOCK))
     deal = asked.groupBy("home").agg(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES).alias("share"))
     salt = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil("share")).cast("long"))
-    asked = asked.join(deal, "home").select("node", F.pmod(F.xxhash64("home", salt), F.lit(blocks)).alias("block"))
+    asked = joined_back(asked, deal, "home").select("node", F.pmod(F.xxhash64("home", salt), F.lit(blocks)).alias("block"))
     wanted = here.select("token", "node").join(asked, "node").select("block", "token").distinct()
     partners = here.select("token", "node").join(wanted, "token").select("block", "node").distinct()
     comps = here.select("node", "comp").distinct()
     partners = partners.join(sets.select("node", "size"), "node")
-    parts = partners.groupBy("block").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    parts = stored(partners.groupBy("block").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("parts")), "parts")
     left = asked.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", F.lit(True).alias("asked"))
     right = partners.join(parts, "block").select("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(False).alias("asked"))
     rows = left.union(right).groupBy("block", "part", "node").agg(F.max("asked").alias("asked")).join(comps, "node").join(sets.select("node", "s"), "node")
@@ -203,6 +206,22 @@ def _open_links(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFra
     return rows.select("block", "part", "node", "asked", "comp", "s").groupBy("block", "part").applyInPandas(meet, "a string, b string")
 
 
+def _labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, th, n_shingles, label, component_id) of every row; rows of one component have one label, null without shingles."""
+    sigs = stored(signatures(docs, key, text), "signatures")
+    classes = stored(sigs.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
+    posts = stored(_posts(classes), "posts")
+    posted = classes.join(posts.select("node").distinct(), "node").select("node", "doc_id")
+    sets = stored(_sets(docs, key, text, posted).withColumn("size", F.size("s")), "sets")
+    first = stored(_confirm(_stars(posts), classes, sets), "links")
+    labels = stored(connected_components(first), "labels")
+    second = _open_links(posts, labels, sets)
+    labels = stored(connected_components(first.union(second)), "labels")
+    named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("label"))
+    ids = joined_back(named, named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("node", "label", "component_id")
+    return joined_back(sigs.select("doc_id", "th", "n_shingles", "node"), ids, "node", "left").select("doc_id", "th", "n_shingles", F.coalesce("label", "node").alias("label"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -211,35 +230,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of classes are posted under coordinate and value (see _posts). A first round confirms each
     posting list's least class with its others and takes components; a second compares what
     is then still apart within lists, so no link between components is left out and groups
-    of near copies don't make all their pairs. Links are confirmed on the full sets.
+    of near copies don't make all their pairs. Links are confirmed on the full sets; a link is
+    missed only if two signatures agree in fewer than MATCHES coordinates (see there).
 
     Null and empty texts have no shingles and stand alone. A row without doc_id is no one's
     smallest id; its component is that of its links, else null, and so may kept be. Repeated
-    rows come out repeated, with one component.
+    rows come out repeated, with one component. Counts and minima that are joined back are
+    written first (see storage.joined_back), so tokens, classes and components that hold a
+    large share of all rows are split over tasks.
     """
-    sigs = stored(signatures(docs, key, text), "signatures")
-    classes = stored(sigs.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
-    posts = stored(_posts(classes), "posts")
-    posted = classes.join(posts.select("node").distinct(), "node").select("node", "doc_id")
-    sets = stored(_sets(docs, key, text, posted).withColumn("size", F.size("s")), "sets")
-    first = stored(_confirm(_stars(posts), classes, sets), "links")
-    labels = stored(connected_components(first), "labels")
-    second = _open_links(posts, labels, sets)
-    labels = stored(connected_components(first.union(second)), "labels")
-    smallest = classes.join(labels, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
-    ids = classes.select("node", "doc_id").join(labels, "node", "left").join(smallest, "component", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
-    whole = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return whole.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = _labelled(docs, key, text)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the kept id, of rows with that id the one least by hash.
+    """docs with one row of each component: that of the smallest id, of rows with that id the one with the least hash of its text.
 
-    All columns stay. Rows without id can't be named as kept or as copies, and all stay.
+    A row goes only for a row of its own component: texts of one id that are in different
+    components all stay. Rows without shingles stay, once for each id and text. Of rows equal
+    in id and text one stays. Rows without id can't be named as kept or as copies, and all
+    stay. All columns stay as they are.
     """
-    found = near_duplicates(docs, key, text).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    packed = docs.select(F.col(f"`{key}`").cast("long").alias("__kept"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    first = F.row_number().over(Window.partitionBy("__kept").orderBy(F.xxhash64(f"__row.{text}")))
-    kept = packed.join(found, "__kept").withColumn("__n", first).filter("__n = 1").select("__row.*")
-    return kept.union(packed.filter(F.col("__kept").isNull()).select("__row.*"))
+    found = _labelled(docs, key, text).filter("doc_id is not null")
+    plain = [F.col(f"__row.`{f.name}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]  # what can be hashed
+    group = F.struct("label", F.when(F.col("label").isNull(), F.struct("doc_id", "th")).alias("own"))
+    kept = found.groupBy(group.alias("group")).agg(F.min(F.struct("doc_id", "th")).alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.th").alias("__th"))
+    packed = docs.select(F.col(f"`{key}`").cast("long").alias("__kept"), F.xxhash64(F.col(f"`{text}`")).alias("__th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    first = joined_back(packed, kept, ["__kept", "__th"]).groupBy("__kept", "__th").agg(F.min_by("__row", F.xxhash64(*plain)).alias("__row"))
+    return first.select("__row.*").union(packed.filter(F.col("__kept").isNull()).select("__row.*"))

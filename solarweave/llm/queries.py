@@ -11,46 +11,94 @@ from solarweave.storage import stored, table
 
 
 def op1_top_k(spark, sf_dir):
+    """The 5 highest integer inner products of each vector whose vec_id is divisible by 50, with all others: query_id, rank, vec_id, score.
+
+    Vectors that are null or hold null, NaN or infinite components take no part, nor do null ids; of a
+    repeated id the least vector counts. Ties go to the smaller vec_id. An empty table gives no row.
+    """
     vectors = stored(topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
     return topk.top_k(vectors, vectors.filter("id % 50 = 0"), 5)
 
 
 def op2_bpe(spark, sf_dir):
+    """Every document's n_tokens, ids_sha256 and decoded_sha256, as the tokenizers library encodes and decodes the whole text.
+
+    Null and empty texts have no tokens and decode to nothing. Repeated rows come out repeated, null ids
+    stay null, an empty table gives no row.
+    """
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op3_quality(spark, sf_dir):
+    """Every document's held_out, score and predicted (score >= 0.3) for quality.
+
+    Empty and null texts have a score too. Null ids aren't held out; null labels teach nothing. Repeated
+    rows come out repeated; without labels every score is 0.5.
+    """
     docs = table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_url_filter(spark, sf_dir):
+    """Every page's host, path, rule and verdict: that of its longest rule, else that of the pages it is linked with.
+
+    Null urls and those without :// have empty host and path and are allowed; null html has no links.
+    Repeated rows come out repeated.
+    """
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
 def op5_toxicity(spark, sf_dir):
+    """Every document's held_out, score and predicted (score >= 0.5) for toxicity.
+
+    Empty and null texts have the score of no feature, below 0.5. Null ids aren't held out; null labels
+    count for nothing. Repeated rows come out repeated; without confirmed examples every score is 0.
+    """
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_near_duplicates(spark, sf_dir):
+    """Every document's n_shingles, component_id and kept, by links of similarity 0.75 or more.
+
+    Null and empty texts have no shingles and stand alone; null ids are nobody's component_id. Repeated
+    rows come out repeated. Very long texts count whole.
+    """
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_repeated_substrings(spark, sf_dir):
+    """Passages of 200 bytes or more that another document, of smaller id, holds as well: doc_id, th, start, stop, n_chunks, first_doc_ids.
+
+    What a text repeats in itself alone is left to the operator (within). Null and empty texts have no
+    passage; a null id comes after all others; repeated rows count once.
+    """
     return substring.repeats(table(spark, sf_dir, "documents"), within=False)
 
 
 def op8_secrets(spark, sf_dir):
+    """Every document's counts and spans of secrets: fixed patterns and, besides, what the network finds.
+
+    Null and empty texts have none and the digest of nothing. Repeated rows come out repeated; null ids stay null.
+    """
     docs = table(spark, sf_dir, "documents")
     return secretscan.found_secrets(docs, secretscan.fit(docs))
 
 
 def op9_jpeg(spark, sf_dir):
+    """Every document's text as a JPEG and back: sizes, digests of payload and file, and the thumbnail's hash.
+
+    Null and empty texts are 192 spaces. Repeated rows come out repeated; equal texts have equal values.
+    """
     return media.media_columns(table(spark, sf_dir, "documents"), media=False)
 
 
 def op10_mixing(spark, sf_dir):
+    """Every document's size, its source's size and target, and the words that the mix takes of it.
+
+    Null texts have size 0, null sources are one source, the last in order. Repeated rows are taken
+    alike; reruns agree; an empty table gives no row.
+    """
     out = mixing.rates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

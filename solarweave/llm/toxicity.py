@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solarweave.llm.batches import by_batch, pieces
+from solarweave.llm.batches import by_batch, give_back, pieces
 from solarweave.llm.labels import held_out, sample
 
 #: Hashed features; confirmed and unlabelled documents that training takes at most.
 BUCKETS, MOST_CONFIRMED, MOST_UNLABELLED = 1 << 20, 3000, 8000
+#: Tasks that make the features of a sample.
+SAMPLE_PARTS = 16
 MARKS = ".,;:!?*$%&#|\"'()<>"
 MOST_WORDS = 200_000
 #: A feature is learnt if so many confirmed texts hold it, and they are so many standard deviations more than usual.
@@ -64,7 +66,7 @@ def gathered(rows: DataFrame) -> list[np.ndarray]:
         features = Features()
         return lambda batch: {"f": [features.of(t) for t in batch.column("t").to_pylist()]}
 
-    return [np.asarray(f, np.int32) for f in by_batch(rows.select("t"), "f array<int>", start).toPandas().f]
+    return [np.asarray(f, np.int32) for f in by_batch(rows.select("t").repartition(SAMPLE_PARTS), "f array<int>", start).toPandas().f]
 
 
 @dataclass
@@ -175,7 +177,7 @@ def frequencies(docs: DataFrame, wanted: np.ndarray, key: str, text: str) -> tup
             n += batch.num_rows
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"f": pa.array([-1, *wanted[some].tolist()], pa.int32()), "n": pa.array([n, *counts[some].tolist()], pa.int64())})
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     own = docs.filter(~F.coalesce(held_out(key), F.lit(False))).select(F.col(f"`{text}`").alias("t"))
     got = own.mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
@@ -197,7 +199,7 @@ def tallied(docs: DataFrame, model: Model, key: str, text: str) -> tuple[np.ndar
                 k = model.bin(features.of(t))
                 seen[k] = seen.get(k, 0) + 1
         yield pa.RecordBatch.from_pydict({"bin": pa.array(list(seen), pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     own = docs.filter(~F.coalesce(held_out(key), F.lit(False))).select(F.col(f"`{text}`").alias("t"))
     got = own.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
@@ -238,13 +240,16 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores under threshold, with all their columns."""
+    """The rows of docs whose text scores under threshold, with all their columns, repeated rows each by itself.
+
+    Null and empty texts have the score of no feature and stay. An empty table stays empty.
+    """
 
     def run(batches):
         features = Features(model.chosen)
         for batch in (p for b in batches for p in pieces(b)):
             keep = [model.score(features.of(t)) < threshold for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

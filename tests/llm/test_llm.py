@@ -329,6 +329,27 @@ def test_near_duplicates_equal_all_pairs(docs, nothing):
     assert sorted(i for i in ids if i is not None) == sorted({r.component_id for r in got if r.kept})
 
 
+def test_a_row_goes_only_for_one_of_its_component(spark):
+    rng = random.Random(2)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "y"), (2, a + " more", "z"), (3, c, "u"), (3, c, "u"), (3, c, "v"), (4, "", "e"), (4, None, "n"), (4, "", "f"), (5, b, "w"), (None, a, "i"), (None, a, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    kept = sorted(((r.doc_id, r.text) for r in neardup.one_of_each(df).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (3, c), (4, ""), (4, None), (None, a), (None, a)], key=str)
+
+
+def test_signatures_of_similar_sets_agree():
+    rng, agree = np.random.default_rng(4), []
+    for share in (0.75, 0.8):
+        for _ in range(1500):
+            n = int(rng.integers(40, 300))
+            both = int(np.ceil(2 * n * share / (1 + share)))
+            x = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)
+            a, b = np.sort(x[:n]), np.sort(x[n - both :])
+            agree.append((neardup.signature(a) == neardup.signature(b)).sum())
+    assert min(agree) >= neardup.MATCHES and abs(np.mean(agree) - 40 * 0.776) < 0.6
+
+
 def test_chains_in_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 4000)
