@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solarweave.operators.spatial import far_from
+from solarweave.operators.spatial import BOX, far_from, overlap_join
 from solarweave.storage import joined_back
 
 #: The seed and shares of the split, and the map of 11 label classes to 8.
@@ -48,13 +48,33 @@ def excluded_in_turn(chips: DataFrame, reach: float = REACH) -> DataFrame:
     return held.unionByName(far_from(chips.filter("split = 'train'"), held, reach))
 
 
-def label_lines(lines: DataFrame) -> DataFrame:
+def excluded_overlaps(footprints: DataFrame, margin: float = 2.0, size: float = 64.0) -> DataFrame:
+    """Footprints (id, split, box) without those that a kept one of a higher split meets when widened by margin: test, then val, then train."""
+    wide = footprints.select("id", *((F.col(c) - margin).alias(c) if c[1] == "1" else (F.col(c) + margin).alias(c) for c in BOX))
+    kept = footprints.filter("split = 'test'")
+    for split in ("val", "train"):
+        own = footprints.filter(F.col("split") == split)
+        near = overlap_join(wide.join(own.select("id"), "id", "left_semi"), kept.select("id", *BOX), size).select(F.col("a_id").alias("id")).distinct()
+        kept = kept.unionByName(own.join(near, "id", "left_anti"))
+    return kept
+
+
+def label_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Lines (file, line_no, cls, coords) in the 8 classes, the first of equal ones in a file.
 
-    coords is text of at least three points; lines of unknown classes are left out.
+    coords is text of x and y of at least three points, each from 0 to 1. A line of an unknown
+    class or with other coordinates raises, or is left out unless strict.
     """
     table = F.create_map(*[F.lit(x) for pair in CLASS_MAP.items() for x in pair])
-    mapped = lines.withColumn("mapped", F.try_element_at(table, F.col("cls").cast("int"))).filter("mapped is not null and size(split(coords, ' ')) >= 6")
+    numbers = F.transform(F.split("coords", " "), lambda x: x.try_cast("double"))
+    fine = (F.size(numbers) >= 6) & (F.size(numbers) % 2 == 0) & F.forall(numbers, lambda x: F.coalesce(x.between(0, 1) & ~F.isnan(x), F.lit(False)))
+    mapped = lines.withColumn("mapped", F.try_element_at(table, F.col("cls").cast("int"))).withColumn("fine", F.coalesce(F.col("mapped").isNotNull() & fine, F.lit(False)))
+    if strict:
+        name = F.concat_ws(":", F.col("file").cast("string"), F.col("line_no").cast("string"))
+        mapped = mapped.withColumn("mapped", F.when(F.col("fine"), F.col("mapped")).otherwise(F.raise_error(F.concat(F.lit("invalid label line "), name))))
+    else:
+        mapped = mapped.filter("fine")
+    mapped = mapped.drop("fine")
     text = mapped.withColumn("line", F.concat_ws(" ", F.col("mapped").cast("string"), "coords"))
     once = Window.partitionBy("file", "line").orderBy("line_no")
     return text.withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n")

@@ -7,15 +7,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solarweave.functions.boxes import overlap
-from solarweave.operators.spatial import BOX, overlap_join
+from solarweave.functions.boxes import overlap, ring_area
+from solarweave.operators.spatial import BOX, common_part, overlap_join, union_area
 
 #: Other names of kinds, the kinds, those that don't block, priority of sources, thresholds.
 ALIASES = {"existing_pv": "pv_installation", "solar_panel": "pv_installation", "solar_panels": "pv_installation", "pv": "pv_installation", "unknown_obstacle": "other_obstacle", "window": "skylight"}
 KINDS = ("pv_installation", "roof", "chimney", "skylight", "dormer", "other_obstacle", "ladder", "tree", "shadow")
 NOT_BLOCKING = ("shadow",)
 PRIORITY = {"survey": 50, "height": 40, "rooflight": 30, "swiss": 20, "rid": 10}
-SAME_SHARE, TRUSTED, TINY = 0.5, 0.5, 1e-8
+SAME_SHARE, TRUSTED, TINY, SURVEY_LEAST = 0.5, 0.5, 1e-8, 0.15
 
 
 
@@ -66,46 +66,92 @@ def same_kind_pairs(detections: DataFrame, size: float) -> DataFrame:
     return pairs.filter(F.col("overlap") > SAME_SHARE * F.least(area("a_"), area("b_"))).select("a_id", "b_id", "overlap")
 
 
+def source_set(sources: Column, source: Column, model: Column) -> Column:
+    """Sorted set of a detection's sources: its own list, else its source, else its model, else unknown."""
+    one = F.array(F.coalesce(source, model, F.lit("unknown")))
+    return F.array_sort(F.array_distinct(F.coalesce(sources, one)))
+
+
 def arbitrated(detections: DataFrame, size: float) -> DataFrame:
-    """Detections with clipped_area: rid-only obstacles lose what trusted panels cover.
+    """Detections with clipped_area: obstacles that rid alone saw lose what trusted panels cover.
 
-    Trusted are panels of the swiss source with a confidence of 0.5 or more. Columns id, kind,
-    source, confidence and a box are needed. The share that panels cover is the area of the
-    union of the parts that they cover, so panels that overlap each other count once.
+    Trusted are panels with swiss among their sources and a confidence of 0.5 or more; an
+    obstacle whose set of sources holds more than rid is measured evidence and stays whole.
+    Columns id, kind, sources (a set), confidence and a box are needed. The share that panels
+    cover is the area of the union of the parts that they cover, so panels that overlap each
+    other count once.
     """
-    from solarweave.operators.spatial import union_area
-
-    trusted = detections.filter((F.col("kind") == "pv_installation") & (F.col("source") == "swiss") & (F.col("confidence") >= TRUSTED))
-    subject = ~F.col("kind").isin("pv_installation", "roof", "shadow") & (F.col("source") == "rid")
+    trusted = detections.filter((F.col("kind") == "pv_installation") & F.array_contains("sources", "swiss") & (F.col("confidence") >= TRUSTED))
+    subject = ~F.col("kind").isin("pv_installation", "roof", "shadow") & (F.array_distinct("sources") == F.array(F.lit("rid")))
     met = overlap_join(detections.filter(subject).select("id", *BOX), trusted.select("id", *BOX), size)
-    part = met.select(F.col("a_id").alias("id"), *(f(f"a_{c}", f"b_{c}").alias(c) for c, f in (("x1", F.greatest), ("y1", F.greatest), ("x2", F.least), ("y2", F.least))))
-    lost = union_area(part, "id")
+    lost = union_area(common_part(met, F.col("a_id").alias("id")), "id", size=size)
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     out = detections.join(lost, "id", "left").withColumn("clipped_area", area - F.coalesce("union_area", F.lit(0.0))).drop("union_area")
     return out.filter(F.col("clipped_area") > TINY).withColumn("blocks_placement", blocks_placement(F.col("kind")))
 
 
+def all_sources(*detections: DataFrame) -> DataFrame:
+    """Detections of several sources as one table; columns that a source lacks are null there."""
+    out = detections[0]
+    for more in detections[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def survey_parts(parts: DataFrame, roofs: DataFrame, size: float, least: float = SURVEY_LEAST) -> DataFrame:
+    """Survey parts (id, box) clipped to roofs (roof, box): id, roof and box of each piece of at least 0.15 square metres."""
+    met = overlap_join(parts.select("id", *BOX), roofs.select("roof", *BOX), size)
+    cut = common_part(met, F.col("a_id").alias("id"), F.col("b_roof").alias("roof"))
+    return cut.withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).filter(F.col("area") >= least)
+
+
+def polygon_parts(detections: DataFrame) -> DataFrame:
+    """One row for each part of a detection's polygons (array of rings of x, y) that covers more than 1e-8 square metres.
+
+    A ring of fewer than three points covers nothing; part counts from 0 among all parts.
+    """
+    out = detections.select("*", F.posexplode("polygons").alias("part", "ring")).drop("polygons")
+    return out.withColumn("area", ring_area(F.col("ring"))).filter(F.col("area") > TINY)
+
+
+def _covered(boxes: np.ndarray) -> float:
+    """Area of the union of a few boxes (rows x1, y1, x2, y2), on the grid of their own edges."""
+    if len(boxes) == 1:
+        return float((boxes[0, 2] - boxes[0, 0]) * (boxes[0, 3] - boxes[0, 1]))
+    xs, ys = np.unique(boxes[:, [0, 2]]), np.unique(boxes[:, [1, 3]])
+    full = np.zeros((len(xs) - 1, len(ys) - 1), bool)
+    for x1, y1, x2, y2 in boxes:
+        full[np.searchsorted(xs, x1) : np.searchsorted(xs, x2), np.searchsorted(ys, y1) : np.searchsorted(ys, y2)] = True
+    return float((np.outer(np.diff(xs), np.diff(ys)) * full).sum())
+
+
 def _fold(boxes: np.ndarray) -> list[tuple[list[int], float]]:
     """Greedy merge of one kind in one analysis, in the order given: members and area of each group.
 
-    A group is a set of boxes; its area is that of their union, found on the grid of all
-    their edges. The new box is held against every group as it stands; groups that share
-    more than half of the smaller area with it become one. What was merged is not tested again.
+    A group is a set of boxes with bounds; a new box is held only against groups whose bounds
+    it meets, and their shared area is that of the union of the members' parts inside it.
+    Groups that share more than half of the smaller area with it become one. What was merged
+    is not tested again. Memory is the boxes' own.
     """
-    xs, ys = np.unique(boxes[:, [0, 2]]), np.unique(boxes[:, [1, 3]])
-    cells = np.outer(np.diff(xs), np.diff(ys))
-    at = np.stack((np.searchsorted(xs, boxes[:, 0]), np.searchsorted(xs, boxes[:, 2]), np.searchsorted(ys, boxes[:, 1]), np.searchsorted(ys, boxes[:, 3])), axis=1)
-    groups: list[tuple[np.ndarray, list[int], float]] = []
-    for i, (x1, x2, y1, y2) in enumerate(at.tolist()):
-        area = cells[x1:x2, y1:y2].sum()
-        hits = [g for g in groups if cells[x1:x2, y1:y2][g[0][x1:x2, y1:y2]].sum() > SAME_SHARE * min(area, g[2])]
-        mask = np.zeros(cells.shape, bool)
-        mask[x1:x2, y1:y2] = True
-        for h in hits:
-            mask |= h[0]
-        groups = [g for g in groups if not any(g is h for h in hits)]
-        groups.append((mask, [i, *(j for h in hits for j in h[1])], float(cells[mask].sum())))
-    return [(members, area) for _, members, area in groups]
+    members: list[list[int] | None] = []
+    bounds, areas = np.zeros((len(boxes), 4)), np.zeros(len(boxes))
+    for i, box in enumerate(boxes):
+        n, area = len(members), float((box[2] - box[0]) * (box[3] - box[1]))
+        own, hits = bounds[:n], []
+        near = np.flatnonzero((own[:, 0] < box[2]) & (own[:, 2] > box[0]) & (own[:, 1] < box[3]) & (own[:, 3] > box[1]))
+        for g in near.tolist():
+            part = boxes[members[g]]
+            part = np.column_stack((np.maximum(part[:, :2], box[:2]), np.minimum(part[:, 2:], box[2:])))
+            part = part[(part[:, 2] > part[:, 0]) & (part[:, 3] > part[:, 1])]
+            if len(part) and _covered(part) > SAME_SHARE * min(area, areas[g]):
+                hits.append(g)
+        whole = [i, *(j for g in hits for j in members[g])]
+        for g in hits:
+            members[g], bounds[g] = None, (np.inf, np.inf, -np.inf, -np.inf)
+        members.append(whole)
+        bounds[n] = (*boxes[whole, :2].min(axis=0), *boxes[whole, 2:].max(axis=0))
+        areas[n] = _covered(boxes[whole])
+    return [(m, float(areas[g])) for g, m in enumerate(members) if m is not None]
 
 
 def greedy_merge(detections: DataFrame, per_bucket: int = 20_000) -> DataFrame:

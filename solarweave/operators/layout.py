@@ -16,6 +16,7 @@ AISLE_WIDER, AISLE_HIGHER = 12, 6
 ORIGINS = (0.0, 0.25, 0.5, 0.75)
 YIELD = 0.8
 STEEPEST = 80
+LEAST_AREA, GREATEST_SIDE = 1, 300
 SLACK = 1e-8
 
 #: Module width and height across the roof, and the grid's origin; the first of equal layouts wins.
@@ -27,6 +28,18 @@ def usable_face(slope: Column, aspect: Column) -> Column:
     return F.coalesce(slope.isNotNull() & aspect.isNotNull() & (slope >= 0) & (slope < STEEPEST), F.lit(False))
 
 
+def checked(value: Column, low: float, high: float, name: str) -> Column:
+    """value where it is from low to high or null; raises elsewhere (NaN too)."""
+    return F.when(value.isNull() | (value.between(low, high) & ~F.isnan(value)), value).otherwise(F.raise_error(F.concat(F.lit(f"{name} out of range: "), value.cast("string"))))
+
+
+def checked_faces(faces: DataFrame, clearances: tuple[str, ...] = ()) -> DataFrame:
+    """faces (w, h, slope) as they are; raises on a slope outside 0 to under 80, a side of more than 300 m and a negative clearance."""
+    out = faces.withColumn("slope", checked(F.col("slope").cast("double"), 0, math.nextafter(STEEPEST, 0), "slope"))
+    out = out.withColumns({c: checked(F.col(c).cast("double"), 0, GREATEST_SIDE, f"side {c}") for c in ("w", "h")})
+    return out.withColumns({c: checked(F.col(c).cast("double"), 0, math.inf, f"clearance {c}") for c in clearances})
+
+
 def azimuth(aspect: Column) -> Column:
     return F.pmod(aspect + 180, F.lit(360))
 
@@ -94,14 +107,14 @@ def clear_panels(panels: DataFrame, obstacles: DataFrame, key: str, gap: float =
     return p.join(o, (p[key] == o.o_key) & (gap_squared("p_", "o_") < gap * gap - slack), "left_anti").drop(*(f"p_{c}" for c in ("x1", "y1", "x2", "y2")))
 
 
-def aisle_needed(width: Column, height: Column) -> Column:
-    return (width > AISLE_WIDER) & (height > AISLE_HIGHER)
-
+def image_window(extent: Column, strict: bool = False) -> Column:
+    """Struct side, pixels for a roof extent in metres: at least 40 m, a 12 m margin, 0.1 m a pixel, 1800 at most.
 
-def image_window(extent: Column) -> Column:
-    """Struct side, pixels for a roof extent in metres: at least 40 m, a 12 m margin, 0.1 m a pixel, 1800 at most; null over 180 m."""
+    Over 180 m the window is null, or raises if strict.
+    """
     side = F.greatest(F.lit(40.0), extent + 12)
-    return F.when(side <= 180, F.struct(side.alias("side"), F.least(F.lit(1800), F.ceil(side / 0.1)).cast("long").alias("pixels")))
+    window = F.struct(side.alias("side"), F.least(F.lit(1800), F.ceil(side / 0.1)).cast("long").alias("pixels"))
+    return F.when(side <= 180, window).otherwise(F.raise_error(F.lit("roof too large for one image")) if strict else F.lit(None))
 
 
 def tile_starts(length: Column, tile: int) -> Column:

@@ -9,85 +9,62 @@ from pyspark.sql import functions as F
 
 from solarweave.functions.boxes import gap_squared
 from solarweave.operators.components import connected_components
-from solarweave.operators.layout import LAYOUTS, MODULE_GAP, OBSTACLE_GAP, ROW_GAP, SETBACK, SLACK
+from solarweave.operators.spatial import BOX, overlap_join
 
 #: Metres between parts of one house, and the greatest extent of a house.
 NEAR, GREATEST = 1.5, 168.0
 
 
-def touching_parts(parts: DataFrame, reach: float = NEAR) -> DataFrame:
+def touching_parts(parts: DataFrame, reach: float = NEAR, size: float = 16.0) -> DataFrame:
     """Parts (id, egid, box) with house: the least id that steps of at most reach connect within one egid.
 
-    An egid that is null or not positive is unknown: such parts stand alone. No limit of extent.
+    An egid that is null or not positive is unknown: such parts stand alone. No limit of
+    extent. Parts meet through the grid cells that they touch when widened by half of reach.
     """
     known = parts.filter("egid > 0").select("id", "egid", "x1", "y1", "x2", "y2")
-    a = known.select(*(F.col(c).alias(f"a_{c}") for c in known.columns))
-    b = known.select(*(F.col(c).alias(f"b_{c}") for c in known.columns))
-    edges = a.join(b, (F.col("a_egid") == F.col("b_egid")) & (F.col("a_id") < F.col("b_id")) & (gap_squared("a_", "b_") <= reach * reach))
-    labels = connected_components(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    wide = known.select("id", "egid", *((F.col(c) - reach).alias(c) if c[1] == "1" else (F.col(c) + reach).alias(c) for c in BOX), *(F.col(c).alias(f"own_{c}") for c in BOX))
+    met = overlap_join(wide, wide, size, on=("egid",)).filter((F.col("a_id") < F.col("b_id")) & (gap_squared("a_own_", "b_own_") <= reach * reach))
+    labels = connected_components(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     return parts.join(labels, F.col("id") == F.col("node"), "left").withColumn("house", F.coalesce("component", "id")).drop("node", "component")
 
 
 def grown_selection(parts: DataFrame, reach: float = NEAR, greatest: float = GREATEST) -> DataFrame:
-    """(egid, id): parts that grow from the first part of each egid, in the order of their ids.
+    """(egid, id): parts that grow from the selected ones of each egid, in the order of their ids.
 
-    A part joins if it is within reach of what has grown so far and keeps the extent within
-    greatest; passes repeat until none joins. The result depends on the order, so an egid is
-    one group; it is a house and small.
+    parts are (id, egid, box) and may have selected; without it, or where none is selected, an
+    egid's first part is. A part joins if it is within reach of what has grown so far and keeps
+    the extent within greatest; passes repeat until none joins. The result depends on the
+    order, so an egid is one group; it is a house and small.
     """
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        b, ids = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf.id.to_numpy()
-        have, waiting, changed = [0], list(range(1, len(b))), True
-        low, high = b[0, :2].copy(), b[0, 2:].copy()
-        while changed:
-            changed = False
-            for i in list(waiting):
-                own = b[have]
-                dx = np.maximum(0, np.maximum(own[:, 0] - b[i, 2], b[i, 0] - own[:, 2]))
-                dy = np.maximum(0, np.maximum(own[:, 1] - b[i, 3], b[i, 1] - own[:, 3]))
-                new_low, new_high = np.minimum(low, b[i, :2]), np.maximum(high, b[i, 2:])
-                if np.hypot(dx, dy).min() <= reach and (new_high - new_low).max() <= greatest:
-                    have.append(i)
-                    waiting.remove(i)
-                    low, high, changed = new_low, new_high, True
-        return pd.DataFrame({"egid": pdf.egid.iloc[0], "id": np.sort(ids[have])})
-
-    return parts.filter("egid > 0").select("id", "egid", "x1", "y1", "x2", "y2").groupBy("egid").applyInPandas(grow, "egid long, id long")
-
-
-def ledger(faces: DataFrame) -> DataFrame:
-    """(building_id, face_id, place, panels, free): flat rectangular faces packed in order.
-
-    Earlier faces own what they cover, and their panels keep the obstacle gap from later ones.
-    The free region is tracked on the grid of all edges; the best of the 32 layouts wins, the
-    first of equals. A building is one group, as later faces need earlier ones.
+        box, ids, chosen = pdf[list(BOX)].to_numpy(float), pdf.id.to_numpy(), pdf.selected.to_numpy(bool)
+        chosen = chosen if chosen.any() else np.arange(len(ids)) == 0
+        bounds = np.r_[box[chosen, :2].min(axis=0), box[chosen, 2:].max(axis=0)]
+        size_before = -1
+        while size_before < chosen.sum():
+            size_before = chosen.sum()
+            for i in np.flatnonzero(~chosen):
+                apart = np.maximum(0, np.maximum(box[chosen, :2] - box[i, 2:], box[i, :2] - box[chosen, 2:]))
+                wider = np.r_[np.minimum(bounds[:2], box[i, :2]), np.maximum(bounds[2:], box[i, 2:])]
+                if (wider[2:] - wider[:2]).max() <= greatest and np.hypot(*apart.T).min() <= reach:
+                    chosen[i], bounds = True, wider
+        return pd.DataFrame({"egid": pdf.egid.iloc[0], "id": ids[chosen]})
+
+    own = parts.filter("egid > 0").select("id", "egid", *BOX, F.col("selected") if "selected" in parts.columns else F.lit(False).alias("selected"))
+    return own.groupBy("egid").applyInPandas(grow, "egid long, id long")
+
+
+def neighbours(requests: DataFrame, parts: DataFrame, margin: float = 70.0, size: float = 80.0) -> DataFrame:
+    """(request, id) of the parts around each request's selection: those whose box meets its box widened by margin.
+
+    requests are (request, id, egid, box). A selection without a known egid isn't widened and
+    keeps its own part alone; a selection whose surroundings hold nothing keeps it as well.
     """
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, placed, claimed, rows = pdf.sort_values("face_id"), [], [], []
-        for place, f in enumerate(pdf.itertuples(index=False), 1):
-            inner = np.array([f.x1 + SETBACK, f.y1 + SETBACK, f.x2 - SETBACK, f.y2 - SETBACK])
-            shut = [(a - SETBACK, b - SETBACK, c + SETBACK, d + SETBACK) for a, b, c, d in claimed] + [(a - OBSTACLE_GAP, b - OBSTACLE_GAP, c + OBSTACLE_GAP, d + OBSTACLE_GAP) for a, b, c, d in placed]
-            shut = np.array(shut).reshape(-1, 4)
-            best: list = []
-            if inner[2] > inner[0] and inner[3] > inner[1]:
-                for w, h, ox, oy in LAYOUTS:
-                    sx, sy = w + MODULE_GAP, h + max(ROW_GAP, 1.0 if f.slope < 5 else ROW_GAP)
-                    xs, ys = np.arange(inner[0] + ox * sx, inner[2] - w + SLACK, sx), np.arange(inner[1] + oy * sy, inner[3] - h + SLACK, sy)
-                    x, y = (v.ravel() for v in np.meshgrid(xs, ys, indexing="ij"))
-                    hit = np.zeros(len(x), bool)
-                    for a, b, c, d in shut:
-                        hit |= (x < c - SLACK) & (x + w > a + SLACK) & (y < d - SLACK) & (y + h > b + SLACK)
-                    if (~hit).sum() > len(best):
-                        best = [(p, q, p + w, q + h) for p, q in zip(x[~hit], y[~hit], strict=True)]
-            placed += best
-            claimed.append((f.x1, f.y1, f.x2, f.y2))
-            rows.append({"building_id": f.building_id, "face_id": f.face_id, "place": place, "panels": len(best)})
-        return pd.DataFrame(rows)
-
-    return faces.select("building_id", "face_id", "slope", "x1", "y1", "x2", "y2").groupBy("building_id").applyInPandas(pack, "building_id long, face_id long, place long, panels long")
+    known = requests.filter("egid > 0").select("request", *((F.col(c) - margin).alias(c) if c[1] == "1" else (F.col(c) + margin).alias(c) for c in BOX))
+    met = overlap_join(known, parts.select("id", *BOX), size).select(F.col("a_request").alias("request"), F.col("b_id").alias("id"))
+    return met.union(requests.select("request", "id")).distinct()
 
 
 def selection(by_point: DataFrame, by_key: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solarweave.functions.boxes import overlap
@@ -47,18 +47,27 @@ def far_from(left: DataFrame, right: DataFrame, reach: float, near: Column | Non
     return a.join(b, (F.col("cell_x") == F.col("r_cell_x")) & (F.col("cell_y") == F.col("r_cell_y")) & near, "left_anti").drop("cell_x", "cell_y")
 
 
-def union_area(boxes: DataFrame, key: str) -> DataFrame:
-    """(key, union_area) of the boxes of each key, by a sweep over vertical slabs.
+def union_area(boxes: DataFrame, *keys: str, size: float | None = None) -> DataFrame:
+    """(keys, union_area) of the boxes of each key, by a sweep over vertical slabs.
 
     A slab lies between neighbouring x edges; in it the y intervals are merged with a running
-    maximum. All is joins and windows by key; boxes with a null corner count for nothing.
+    maximum. All is joins and windows by key; boxes with a null corner count for nothing. With
+    size, boxes are first cut along a grid of that step and swept cell by cell, so that the work
+    grows with the boxes that share a cell and not with the square of those of a key.
     """
-    from pyspark.sql import Window
-
-    own = boxes.na.drop(subset=list(BOX)).filter("x2 > x1 and y2 > y1").select(key, *BOX)
-    edges = own.select(key, F.explode(F.array("x1", "x2")).alias("from")).distinct()
-    slabs = edges.withColumn("to", F.lead("from").over(Window.partitionBy(key).orderBy("from"))).filter("to is not null")
-    inside = slabs.join(own, key).filter((F.col("x1") <= F.col("from")) & (F.col("x2") >= F.col("to")))
-    order = Window.partitionBy(key, "from").orderBy("y1", "y2").rowsBetween(Window.unboundedPreceding, -1)
+    own, by = boxes.na.drop(subset=list(BOX)).filter("x2 > x1 and y2 > y1").select(*keys, *BOX), list(keys)
+    if size:
+        by = [*keys, "cell_x", "cell_y"]
+        cut = [f(k, (F.col(f"cell_{k[0]}") + n) * size).alias(k) for k, f, n in (("x1", F.greatest, 0), ("y1", F.greatest, 0), ("x2", F.least, 1), ("y2", F.least, 1))]
+        own = _cells(own, size).select(*by, *cut).filter("x2 > x1 and y2 > y1")
+    edges = own.select(*by, F.explode(F.array("x1", "x2")).alias("from")).distinct()
+    slabs = edges.withColumn("to", F.lead("from").over(Window.partitionBy(*by).orderBy("from"))).filter("to is not null")
+    inside = slabs.join(own, by).filter((F.col("x1") <= F.col("from")) & (F.col("x2") >= F.col("to")))
+    order = Window.partitionBy(*by, "from").orderBy("y1", "y2").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0.0), F.col("y2") - F.greatest(F.col("y1"), F.coalesce(F.max("y2").over(order), F.col("y1"))))
-    return inside.withColumn("part", fresh * (F.col("to") - F.col("from"))).groupBy(key).agg(F.sum("part").alias("union_area"))
+    return inside.withColumn("part", fresh * (F.col("to") - F.col("from"))).groupBy(*keys).agg(F.sum("part").alias("union_area"))
+
+
+def common_part(pairs: DataFrame, *keep: str) -> DataFrame:
+    """keep and the box that both sides of an overlap_join share."""
+    return pairs.select(*keep, *(f(f"a_{c}", f"b_{c}").alias(c) for c, f in (("x1", F.greatest), ("y1", F.greatest), ("x2", F.least), ("y2", F.least))))

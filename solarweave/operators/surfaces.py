@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solarweave.operators.spatial import union_area
+from solarweave.operators.spatial import BOX, common_part, overlap_join, union_area
 
 #: Obstacle and window rules, and the search of a roof's registration.
 CELL_AREA, LEAST_OBSTACLE, CHIMNEY_AREA = 0.25, 0.35, 2.5
@@ -15,18 +15,20 @@ WINDOW_CONTRAST, WINDOW_SIGMAS, WINDOW_LEAST, WINDOW_MOST, ASPECT_LEAST, ASPECT_
 SHIFT_MOST, EDGE_MOST = 4, 100.0
 
 
-def uncovered_area(boxes: DataFrame, covers: DataFrame, key: str) -> DataFrame:
+def uncovered_area(boxes: DataFrame, covers: DataFrame, key: str, size: float) -> DataFrame:
     """(key, area, free_area) of one box for each key less the union of its covers (key and box)."""
-    clip = boxes.alias("b").join(covers.alias("c"), key).select(F.col(key), *(f(f"b.{c}", f"c.{c}").alias(c) for c, f in (("x1", F.greatest), ("y1", F.greatest), ("x2", F.least), ("y2", F.least)))).filter("x2 > x1 and y2 > y1")
+    clip = common_part(overlap_join(boxes.select(key, *BOX), covers.select(key, *BOX), size, on=(key,)), F.col(f"a_{key}").alias(key))
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    return boxes.select(key, area.alias("area")).join(union_area(clip, key), key, "left").select(key, "area", (F.col("area") - F.coalesce("union_area", F.lit(0.0))).alias("free_area"))
+    return boxes.select(key, area.alias("area")).join(union_area(clip, key, size=size), key, "left").select(key, "area", (F.col("area") - F.coalesce("union_area", F.lit(0.0))).alias("free_area"))
 
 
-def visible_area(faces: DataFrame, building: str, order: str) -> DataFrame:
-    """(order, area, free_area): what earlier faces of the building leave of each face."""
-    a, b = faces.alias("a"), faces.alias("b")
-    earlier = a.join(b, (F.col(f"a.{building}") == F.col(f"b.{building}")) & (F.col(f"b.{order}") < F.col(f"a.{order}"))).select(F.col(f"a.{order}").alias(order), *(F.col(f"b.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    return uncovered_area(faces.select(order, "x1", "y1", "x2", "y2"), earlier, order)
+def visible_area(faces: DataFrame, building: str, order: str, size: float) -> DataFrame:
+    """(order, area, free_area): what earlier faces of the building leave of each face. Only faces that share a grid cell meet."""
+    own = faces.select(building, order, *BOX)
+    met = overlap_join(own, own, size, on=(building,)).filter(F.col(f"b_{order}") < F.col(f"a_{order}"))
+    lost = union_area(common_part(met, F.col(f"a_{order}").alias(order)), order, size=size)
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return own.select(order, area.alias("area")).join(lost, order, "left").select(order, "area", (F.col("area") - F.coalesce("union_area", F.lit(0.0))).alias("free_area"))
 
 
 def even_odd_area(rings: DataFrame, key: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solarweave.operators import curation, evaluation, fusion
-from solarweave.operators.spatial import overlap_join, union_area
-from solarweave.plans.fixtures import fixture, fixture_sql
+from solarweave.operators.spatial import common_part, overlap_join, union_area
+from solarweave.plans.fixtures import SOURCES_SQL, fixture, fixture_sql, sourced
 from solarweave.storage import table
 
 CELL = 4.0
@@ -40,13 +40,13 @@ def overlap_pairs(spark, sf_dir):
 
 def trusted_pv_arbitration_boxes(spark, sf_dir):
     """What is left of each detection where trusted panels take from single-model obstacles."""
-    d = fixture(spark, sf_dir, "boxes")
-    return fusion.arbitrated(d, CELL).select("id", "kind", "source", "clipped_area", "blocks_placement")
+    d = sourced(fixture(spark, sf_dir, "boxes"))
+    return fusion.arbitrated(d, CELL).select("id", "kind", F.concat_ws(",", "sources").alias("sources"), "clipped_area", "blocks_placement")
 
 
 def box_union_area(spark, sf_dir):
     """Area that an order's boxes cover together."""
-    return union_area(fixture(spark, sf_dir, "order_boxes"), "analysis")
+    return union_area(fixture(spark, sf_dir, "order_boxes"), "analysis", size=CELL)
 
 
 def greedy_merge(spark, sf_dir):
@@ -56,9 +56,53 @@ def greedy_merge(spark, sf_dir):
 
 def image_class_summary(spark, sf_dir):
     """Masks of each image and label: count, areas, best confidence and sources."""
-    d = fixture(spark, sf_dir, "order_boxes").withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
-    out = evaluation.image_summary(d.withColumnsRenamed({"analysis": "image", "kind": "label"}), 64.0)
-    return out.select("image", "label", "mask_count", "total_area", "largest_area", "max_confidence", "sources", "largest_fraction")
+    out = evaluation.image_summary(_masks(spark, sf_dir), 64.0, CELL)
+    return out.select("image", "label", "mask_count", "total_area", "largest_area", "max_confidence", F.concat_ws(",", "sources").alias("sources"), "total_fraction", "largest_fraction")
+
+
+def _masks(spark, sf_dir):
+    return sourced(fixture(spark, sf_dir, "order_boxes")).withColumnsRenamed({"analysis": "image", "kind": "label"})
+
+
+def swiss_rid_overlap(spark, sf_dir):
+    """Where swiss panels and rid obstacles of an image overlap: area, share of the image and of the panels."""
+    return evaluation.swiss_against_rid(_masks(spark, sf_dir), 64.0, CELL)
+
+
+def largest_rid_fraction(spark, sf_dir):
+    """The largest mask among the obstacle labels of each image that rid saw, as a share of the image."""
+    return evaluation.largest_rid_fraction(evaluation.image_summary(_masks(spark, sf_dir), 64.0, CELL))
+
+
+def source_fallback(spark, sf_dir):
+    """How many detections have each set of sources: their list, else source, else model, else unknown."""
+    d = fixture(spark, sf_dir, "raw_detections")
+    listed = F.when(F.col("id") % 8 == 0, F.array(F.lit("swiss"), F.lit("rid"), F.lit("swiss")))
+    return d.groupBy(F.concat_ws(",", fusion.source_set(listed, F.col("source"), F.col("model"))).alias("sources")).agg(F.count("*").alias("n"))
+
+
+def source_union(spark, sf_dir):
+    """Detections of three sources with different columns as one table: rows, and nulls where a source lacks a column."""
+    d = fixture(spark, sf_dir, "boxes")
+    parts = [d.filter("source = 'survey'").select("id", "source", "kind"), d.filter("source = 'height'").select("id", "source", "x1"), d.filter("source = 'rid'").select("id", "source", "kind", "confidence")]
+    return fusion.all_sources(*parts).groupBy("source").agg(F.count("*").alias("n"), F.count("kind").alias("kinds"), F.count("x1").alias("places"), F.count("confidence").alias("scores"))
+
+
+def survey_clip(spark, sf_dir):
+    """Survey parts clipped to roofs of 10 x 10 m, pieces of 0.15 square metres and more."""
+    b = fixture(spark, sf_dir, "boxes").filter("source = 'survey'")
+    chips = fixture(spark, sf_dir, "chips").select(F.col("id").alias("roof"), (F.col("x") / 16).alias("x1"), (F.col("y") / 2).alias("y1"), (F.col("x") / 16 + 10).alias("x2"), (F.col("y") / 2 + 10).alias("y2"))
+    return fusion.survey_parts(b, chips, 8.0).select("roof", "id", "area")
+
+
+def detection_parts(spark, sf_dir):
+    """Parts of detections with several polygons: area of each, without what covers nothing."""
+    d = fixture(spark, sf_dir, "order_boxes")
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    c = {k: F.col(k) for k in ("x1", "y1", "x2", "y2")}
+    square, triangle = F.array(pt(c["x1"], c["y1"]), pt(c["x2"], c["y1"]), pt(c["x2"], c["y2"]), pt(c["x1"], c["y2"])), F.array(pt(c["x1"], c["y1"]), pt(c["x2"], c["y1"]), pt(c["x1"], c["y2"]))
+    line = F.array(pt(c["x1"], c["y1"]), pt(c["x2"], c["y2"]), pt(c["x1"], c["y1"]))
+    return fusion.polygon_parts(d.select("id", F.array(square, line, triangle).alias("polygons"))).select("id", "part", "area")
 
 
 def clipped_to_roof(spark, sf_dir):
@@ -70,11 +114,12 @@ def clipped_to_roof(spark, sf_dir):
 
 
 def chip_roof_overlap(spark, sf_dir):
-    """Chips of 100 m with at least 1 square metre of boxes, and how much: a join by grid cells."""
+    """Chips of 100 m that roofs cover by at least 100 square metres together, and how much: a join by grid cells."""
     b = fixture(spark, sf_dir, "boxes")
     chips = fixture(spark, sf_dir, "chips").select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 100).alias("x2"), (F.col("y") + 100).alias("y2"))
     met = overlap_join(chips, b.select("id", "x1", "y1", "x2", "y2"), 50.0)
-    return met.groupBy(F.col("a_id").alias("chip")).agg(F.count("*").alias("n"), F.sum("overlap").alias("area")).filter("area >= 1")
+    counts = met.groupBy(F.col("a_id").alias("chip")).agg(F.count("*").alias("n"))
+    return counts.join(union_area(common_part(met, F.col("a_id").alias("chip")), "chip", size=25.0), "chip").select("chip", "n", F.col("union_area").alias("area")).filter("area >= 100")
 
 
 def hash_split(spark, sf_dir):
@@ -101,13 +146,14 @@ def chained_exclusion(spark, sf_dir):
 
 
 def priority_overlap_exclusion(spark, sf_dir):
-    """As chained_exclusion with a reach of 42 m: footprints of 40 m, 2 m apart."""
-    return curation.excluded_in_turn(fixture(spark, sf_dir, "chips"), 42.0).groupBy("split").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    """Footprints of 36 to 56 m that no kept one of a higher split meets within 2 m: test, then validation, then training."""
+    c = fixture(spark, sf_dir, "chips").select("id", "split", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 36 + F.col("id") % 3 * 10).alias("x2"), (F.col("y") + 36 + F.col("id") % 2 * 10).alias("y2"))
+    return curation.excluded_overlaps(c).select("id", "split")
 
 
 def label_remap_dedup(spark, sf_dir):
     """Label lines in the eight classes, each once a file."""
-    return curation.label_lines(fixture(spark, sf_dir, "label_lines")).select("file", "line_no", "mapped", "line")
+    return curation.label_lines(fixture(spark, sf_dir, "label_lines"), strict=False).select("file", "line_no", "mapped", "line")
 
 
 def seeded_sample(spark, sf_dir):
@@ -150,7 +196,7 @@ def regression_gates(spark, sf_dir):
     return site.withColumn("c", c).select("l_orderkey", "c.*")
 
 
-QUERIES = {f.__name__: f for f in (alias_normalise, provenance_merge_keyed, merge_order, kind_source_summary, overlap_pairs, trusted_pv_arbitration_boxes, box_union_area, greedy_merge, image_class_summary, clipped_to_roof, chip_roof_overlap, hash_split, exact_dedup_first_wins, boundary_exclusion, chained_exclusion, priority_overlap_exclusion, label_remap_dedup, seeded_sample, confusion_metrics, threshold_sweep, class_counter, candidate_gates, regression_gates)}
+QUERIES = {f.__name__: f for f in (swiss_rid_overlap, largest_rid_fraction, source_fallback, source_union, survey_clip, detection_parts, alias_normalise, provenance_merge_keyed, merge_order, kind_source_summary, overlap_pairs, trusted_pv_arbitration_boxes, box_union_area, greedy_merge, image_class_summary, clipped_to_roof, chip_roof_overlap, hash_split, exact_dedup_first_wins, boundary_exclusion, chained_exclusion, priority_overlap_exclusion, label_remap_dedup, seeded_sample, confusion_metrics, threshold_sweep, class_counter, candidate_gates, regression_gates)}
 
 _RAW = f"""raw AS ({fixture_sql("raw_detections")}),
 named AS (SELECT *, coalesce(MAP {{'existing_pv': 'pv_installation', 'solar_panel': 'pv_installation', 'solar_panels': 'pv_installation', 'pv': 'pv_installation', 'unknown_obstacle': 'other_obstacle', 'window': 'skylight'}}[name], name) AS full_name FROM raw),
@@ -161,13 +207,19 @@ _PRIORITY = "coalesce(MAP {'survey': 50, 'height': 40, 'rooflight': 30, 'swiss':
 _OVER = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
 
 
-def _union(source: str, key: str) -> str:
+def _union(source: str, key: str, name: str = "") -> str:
     """SQL of the area that boxes cover together, by slabs between neighbouring x edges."""
-    return f"""edges AS (SELECT DISTINCT {key}, unnest([x1, x2]) AS e FROM {source}),
-slabs AS (SELECT {key}, e, lead(e) OVER (PARTITION BY {key} ORDER BY e) AS f FROM edges),
-inside AS (SELECT s.{key}, s.e, s.f, b.y1, b.y2, max(b.y2) OVER (PARTITION BY s.{key}, s.e ORDER BY b.y1, b.y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
-  FROM slabs s JOIN {source} b ON s.{key} = b.{key} AND b.x1 <= s.e AND b.x2 >= s.f WHERE s.f IS NOT NULL),
-covered AS (SELECT {key}, sum(greatest(0, y2 - greatest(y1, coalesce(seen, y1))) * (f - e)) AS union_area FROM inside GROUP BY {key})"""
+    return f"""{name}edges AS (SELECT DISTINCT {key}, unnest([x1, x2]) AS e FROM {source}),
+{name}slabs AS (SELECT {key}, e, lead(e) OVER (PARTITION BY {key} ORDER BY e) AS f FROM {name}edges),
+{name}inside AS (SELECT s.{key}, s.e, s.f, b.y1, b.y2, max(b.y2) OVER (PARTITION BY s.{key}, s.e ORDER BY b.y1, b.y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM {name}slabs s JOIN {source} b ON s.{key} = b.{key} AND b.x1 <= s.e AND b.x2 >= s.f WHERE s.f IS NOT NULL),
+{name}covered AS (SELECT {key}, sum(greatest(0, y2 - greatest(y1, coalesce(seen, y1))) * (f - e)) AS union_area FROM {name}inside GROUP BY {key})"""
+
+
+_MEET = "a.x1 - 2 < b.x2 AND b.x1 < a.x2 + 2 AND a.y1 - 2 < b.y2 AND b.y1 < a.y2 + 2"
+_MASKS = f"""m AS (SELECT *, analysis::VARCHAR || kind AS k, {SOURCES_SQL} AS s FROM ({fixture_sql("order_boxes")})), {_union("m", "k")},
+each_ AS (SELECT analysis AS image, kind AS label, count(*) AS mask_count, max((x2 - x1) * (y2 - y1)) AS largest_area, max(confidence) AS max_confidence FROM m GROUP BY ALL),
+named AS (SELECT image, label, string_agg(DISTINCT x, ',' ORDER BY x) AS sources FROM (SELECT analysis AS image, kind AS label, unnest(s) AS x FROM m) GROUP BY ALL)"""
 
 
 def _near(reach: float) -> str:
@@ -194,27 +246,41 @@ SELECT analysis, kind, max(source) FILTER (n = 1) AS source, max(confidence) AS
     "kind_source_summary": f"WITH {_RAW} SELECT kind || ':' || source AS kind_source, count(*) AS n, sum((x2 - x1) * (y2 - y1)) AS area FROM ok GROUP BY 1",
     "overlap_pairs": f"""WITH b AS ({fixture_sql("boxes")}), pairs AS (SELECT a.id AS a_id, b.id AS b_id, {_OVER} AS overlap, (a.x2 - a.x1) * (a.y2 - a.y1) AS p, (b.x2 - b.x1) * (b.y2 - b.y1) AS q
   FROM b a JOIN b ON a.kind = b.kind AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2) SELECT a_id, b_id, overlap FROM pairs WHERE overlap > 0.5 * least(p, q)""",
-    "trusted_pv_arbitration_boxes": f"""WITH d AS ({fixture_sql("boxes")}),
+    "trusted_pv_arbitration_boxes": f"""WITH d AS (SELECT *, {SOURCES_SQL} AS s FROM ({fixture_sql("boxes")})),
 met AS (SELECT a.id, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, least(a.x2, b.x2) AS x2, least(a.y2, b.y2) AS y2 FROM d a JOIN d b
-  ON a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE a.kind NOT IN ('pv_installation', 'roof', 'shadow') AND a.source = 'rid' AND b.kind = 'pv_installation' AND b.source = 'swiss' AND b.confidence >= 0.5),
+  ON a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE a.kind NOT IN ('pv_installation', 'roof', 'shadow') AND a.s = ['rid'] AND b.kind = 'pv_installation' AND list_contains(b.s, 'swiss') AND b.confidence >= 0.5),
 {_union("met", "id")}
-SELECT d.id, kind, source, (x2 - x1) * (y2 - y1) - coalesce(union_area, 0) AS clipped_area, kind <> 'shadow' AS blocks_placement FROM d LEFT JOIN covered c ON d.id = c.id WHERE (x2 - x1) * (y2 - y1) - coalesce(union_area, 0) > 1e-8""",
+SELECT d.id, kind, array_to_string(s, ',') AS sources, (x2 - x1) * (y2 - y1) - coalesce(union_area, 0) AS clipped_area, kind <> 'shadow' AS blocks_placement FROM d LEFT JOIN covered c ON d.id = c.id WHERE (x2 - x1) * (y2 - y1) - coalesce(union_area, 0) > 1e-8""",
     "box_union_area": f"WITH b AS ({fixture_sql('order_boxes')}), {_union('b', 'analysis')} SELECT * FROM covered",
-    "image_class_summary": f"""SELECT analysis AS image, kind AS label, count(*) AS mask_count, sum((x2 - x1) * (y2 - y1)) AS total_area, max((x2 - x1) * (y2 - y1)) AS largest_area, max(confidence) AS max_confidence,
-  string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max((x2 - x1) * (y2 - y1)) / 64 AS largest_fraction FROM ({fixture_sql("order_boxes")}) GROUP BY ALL""",
+    "image_class_summary": f"""WITH {_MASKS} SELECT e.*, union_area AS total_area, union_area / 64 AS total_fraction, largest_area / 64 AS largest_fraction, sources FROM each_ e JOIN covered c ON c.k = e.image::VARCHAR || e.label JOIN named n ON n.image = e.image AND n.label = e.label""",
+    "swiss_rid_overlap": f"""WITH d AS (SELECT *, {SOURCES_SQL} AS s FROM ({fixture_sql("order_boxes")})), pv AS (SELECT * FROM d WHERE kind = 'pv_installation' AND list_contains(s, 'swiss')), hard AS (SELECT * FROM d WHERE kind = 'chimney' AND list_contains(s, 'rid')),
+met AS (SELECT a.analysis, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, least(a.x2, b.x2) AS x2, least(a.y2, b.y2) AS y2 FROM pv a JOIN hard b ON a.analysis = b.analysis AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2),
+{_union("met", "analysis")}, {_union("pv", "analysis", "pv_")}
+SELECT i.analysis AS image, round(coalesce(c.union_area, 0), 6) AS overlap, round(coalesce(c.union_area, 0) / 64, 6) AS fraction, round(CASE WHEN p.union_area > 0 THEN coalesce(c.union_area, 0) / p.union_area ELSE 0 END, 6) AS relative
+FROM (SELECT DISTINCT analysis FROM d) i LEFT JOIN covered c USING (analysis) LEFT JOIN pv_covered p USING (analysis)""",
+    "largest_rid_fraction": f"""WITH {_MASKS} SELECT e.image, coalesce(max(largest_area / 64) FILTER (e.label <> 'pv_installation' AND contains(',' || sources || ',', ',rid,')), 0) AS largest FROM each_ e JOIN named n ON n.image = e.image AND n.label = e.label GROUP BY e.image""",
+    "source_fallback": f"SELECT CASE WHEN id % 8 = 0 THEN 'rid,swiss' ELSE coalesce(source, model, 'unknown') END AS sources, count(*) AS n FROM ({fixture_sql('raw_detections')}) GROUP BY 1",
+    "source_union": f"""SELECT source, count(*) AS n, count(*) FILTER (source <> 'height') AS kinds, count(*) FILTER (source = 'height') AS places, count(confidence) FILTER (source = 'rid') AS scores
+FROM ({fixture_sql("boxes")}) WHERE source IN ('survey', 'height', 'rid') GROUP BY source""",
+    "survey_clip": f"""WITH b AS (SELECT * FROM ({fixture_sql("boxes")}) WHERE source = 'survey'), a AS (SELECT id AS roof, x / 16 AS x1, y / 2 AS y1, x / 16 + 10 AS x2, y / 2 + 10 AS y2 FROM ({fixture_sql("chips")}))
+SELECT a.roof, b.id, {_OVER} AS area FROM a JOIN b ON a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE {_OVER} >= 0.15::DOUBLE""",
+    "detection_parts": f"SELECT id, part::INTEGER AS part, (x2 - x1) * (y2 - y1) / CASE part WHEN 0 THEN 1 ELSE 2 END AS area FROM ({fixture_sql('order_boxes')}), (SELECT unnest([0, 2]) AS part)",
     "clipped_to_roof": f"""SELECT id, (least(x2, 4.0) - greatest(x1, 1.0)) * (least(y2, 4.0) - greatest(y1, 1.0)) AS area, kind <> 'shadow' AS blocks FROM ({fixture_sql("order_boxes")})
 WHERE least(x2, 4.0) > greatest(x1, 1.0) AND least(y2, 4.0) > greatest(y1, 1.0) AND (least(x2, 4.0) - greatest(x1, 1.0)) * (least(y2, 4.0) - greatest(y1, 1.0)) > 0.01""",
-    "chip_roof_overlap": f"""WITH b AS ({fixture_sql("boxes")}), a AS (SELECT id, x AS x1, y AS y1, x + 100 AS x2, y + 100 AS y2 FROM ({fixture_sql("chips")}))
-SELECT a.id AS chip, count(*) AS n, sum({_OVER}) AS area FROM a JOIN b ON a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 GROUP BY a.id HAVING sum({_OVER}) >= 1""",
+    "chip_roof_overlap": f"""WITH b AS ({fixture_sql("boxes")}), a AS (SELECT id, x AS x1, y AS y1, x + 100 AS x2, y + 100 AS y2 FROM ({fixture_sql("chips")})),
+met AS (SELECT a.id AS chip, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, least(a.x2, b.x2) AS x2, least(a.y2, b.y2) AS y2 FROM a JOIN b ON a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2), {_union("met", "chip")}
+SELECT c.chip, n, union_area AS area FROM covered c JOIN (SELECT chip, count(*) AS n FROM met GROUP BY chip) m ON c.chip = m.chip WHERE union_area >= 100""",
     "hash_split": f"""WITH keys AS (SELECT 'documents' AS data, (doc_id // 4)::VARCHAR AS k FROM documents UNION ALL SELECT 'customer', c_custkey::VARCHAR FROM customer)
 SELECT data, {_SPLIT} AS split, count(*) AS n, min(k) AS first_key FROM keys GROUP BY ALL""",
     "exact_dedup_first_wins": """SELECT doc_id, sha256(coalesce(text, '')) AS digest, CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY text) THEN min(doc_id) OVER (PARTITION BY text) END AS duplicate_of, doc_id = min(doc_id) OVER (PARTITION BY text) AS keep FROM documents""",
     "boundary_exclusion": f"""WITH chips AS ({fixture_sql("chips")}) SELECT id, split FROM chips WHERE split <> 'train' UNION ALL
 SELECT id, split FROM chips t WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM chips h WHERE h.split <> 'train' AND {_near(100)})""",
     "chained_exclusion": f"{_chained(100)} SELECT id, split FROM kept",
-    "priority_overlap_exclusion": f"{_chained(42)} SELECT split, count(*) AS n, sum(id)::BIGINT AS ids FROM kept GROUP BY split",
+    "priority_overlap_exclusion": f"""WITH f AS (SELECT id, split, x AS x1, y AS y1, x + 36 + id % 3 * 10 AS x2, y + 36 + id % 2 * 10 AS y2 FROM ({fixture_sql("chips")})),
+test AS (SELECT * FROM f WHERE split = 'test'), val AS (SELECT * FROM f a WHERE split = 'val' AND NOT EXISTS (SELECT 1 FROM test b WHERE {_MEET})), held AS (SELECT * FROM test UNION ALL SELECT * FROM val)
+SELECT id, split FROM held UNION ALL SELECT id, split FROM f a WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM held b WHERE {_MEET})""",
     "label_remap_dedup": f"""WITH m AS (SELECT *, MAP {{0: 0, 1: 4, 2: 2, 3: 1, 4: 2, 5: 7, 6: 7, 7: 3, 8: 7, 9: 7, 10: 7}}[cls::INTEGER] AS mapped FROM ({fixture_sql("label_lines")})),
-t AS (SELECT *, mapped::VARCHAR || ' ' || coords AS line FROM m WHERE mapped IS NOT NULL AND len(string_split(coords, ' ')) >= 6)
+t AS (SELECT *, mapped::VARCHAR || ' ' || coords AS line FROM m WHERE mapped IS NOT NULL AND len(string_split(coords, ' ')) >= 6 AND NOT contains(coords, '2') AND NOT contains(coords, 'x'))
 SELECT file, line_no, mapped, line FROM (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY line_no) AS n FROM t) WHERE n = 1""",
     "seeded_sample": f"SELECT split, id FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sha256('42:' || id::VARCHAR), id) AS n FROM ({fixture_sql('chips')})) WHERE n <= 8",
     "confusion_metrics": f"WITH {_JUDGED}, counts AS (SELECT lang, {_COUNTS} FROM judged, (SELECT 0.25 AS t) GROUP BY lang) SELECT *, {_SCORES} FROM counts",

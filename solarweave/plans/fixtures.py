@@ -8,14 +8,16 @@ Coordinates are multiples of 1/8, so that areas are exact.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from solarweave.operators.fusion import source_set
 from solarweave.storage import table
 
 #: name: (table, expressions, filter)
 FIXTURES: dict[str, tuple[str, list[str], str]] = {
     # Rectangular faces; slope and aspect are unknown for some, steep for others.
     "faces": ("part", [
-        "p_partkey AS face_id", "p_partkey % 500 AS building_id",
+        "p_partkey AS face_id", "CAST(floor(p_partkey / 4) AS BIGINT) AS building_id",
         "CAST(5 + p_size % 20 AS DOUBLE) AS w", "CAST(4 + p_partkey % 13 AS DOUBLE) AS h",
         "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(1 + (p_size * 7) % 90 AS DOUBLE) END AS slope",
         "CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(90 * (p_partkey % 4) AS DOUBLE) END AS aspect",
@@ -26,6 +28,7 @@ FIXTURES: dict[str, tuple[str, list[str], str]] = {
         "l_orderkey * 8 + l_linenumber AS id", "l_orderkey AS analysis", "l_linenumber AS seq",
         "CASE l_linenumber % 4 WHEN 0 THEN 'pv_installation' WHEN 1 THEN 'chimney' WHEN 2 THEN 'skylight' ELSE 'shadow' END AS kind",
         "CASE l_partkey % 5 WHEN 0 THEN 'swiss' WHEN 1 THEN 'rid' WHEN 2 THEN 'rid' WHEN 3 THEN 'height' ELSE 'survey' END AS source",
+        "CASE l_partkey % 15 WHEN 0 THEN 'rid,swiss' WHEN 1 THEN 'height,rid' WHEN 3 THEN 'rid' WHEN 5 THEN 'swiss' ELSE NULL END AS listed",
         "CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_suppkey % 100 AS DOUBLE) / 100 END AS confidence",
         "CAST((l_orderkey * 37 + l_linenumber * 11) % 2000 AS DOUBLE) / 2 AS x1", "CAST((l_partkey * 7) % 100000 AS DOUBLE) / 8 AS y1",
         "CAST((l_orderkey * 37 + l_linenumber * 11) % 2000 AS DOUBLE) / 2 + 1 + l_suppkey % 4 AS x2", "CAST((l_partkey * 7) % 100000 AS DOUBLE) / 8 + 1 + l_partkey % 3 AS y2",
@@ -35,6 +38,7 @@ FIXTURES: dict[str, tuple[str, list[str], str]] = {
         "l_orderkey * 8 + l_linenumber AS id", "l_orderkey AS analysis", "l_linenumber AS seq",
         "CASE l_partkey % 2 WHEN 0 THEN 'pv_installation' ELSE 'chimney' END AS kind",
         "CASE l_partkey % 5 WHEN 0 THEN 'swiss' WHEN 1 THEN 'rid' WHEN 2 THEN 'rooflight' WHEN 3 THEN 'height' ELSE 'survey' END AS source",
+        "CASE l_partkey % 7 WHEN 0 THEN 'rid,swiss' WHEN 1 THEN 'height,rid' WHEN 2 THEN 'rid' ELSE NULL END AS listed",
         "CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_suppkey % 100 AS DOUBLE) / 100 END AS confidence",
         "CAST(l_partkey % 8 AS DOUBLE) / 2 AS x1", "CAST(l_suppkey % 8 AS DOUBLE) / 2 AS y1",
         "CAST(l_partkey % 8 AS DOUBLE) / 2 + 1 + l_suppkey % 3 AS x2", "CAST(l_suppkey % 8 AS DOUBLE) / 2 + 1 + l_linenumber % 3 AS y2",
@@ -50,18 +54,18 @@ FIXTURES: dict[str, tuple[str, list[str], str]] = {
     # Chips of a data set on a 20 m grid, with their split.
     "chips": ("customer", [
         "c_custkey AS id", "CAST(c_custkey * 137 % 500 * 20 AS DOUBLE) AS x", "CAST(c_custkey * 71 % 1000 * 20 AS DOUBLE) AS y",
-        "CASE c_custkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split",
+        "CASE c_custkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split", "CAST(floor(c_custkey / 500) AS BIGINT) AS block",
     ], "TRUE"),
     "label_lines": ("lineitem", [
         "l_orderkey AS file", "l_linenumber AS line_no", "l_partkey % 12 AS cls",
-        "concat_ws(' ', CAST(l_suppkey % 3 AS STRING), CAST(l_partkey % 2 AS STRING), '1', '2', CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE '3 4' END) AS coords",
+        "concat_ws(' ', CAST(l_suppkey % 3 AS STRING), CAST(l_partkey % 2 AS STRING), '1', '0.5', CASE l_suppkey % 7 WHEN 0 THEN '' WHEN 1 THEN '0 x' ELSE '0.5 1' END) AS coords",
     ], "TRUE"),
     # Parts of houses in a row: one box an order, one house number a customer.
     "parts": ("orders", [
         "o_orderkey AS id", "CASE WHEN o_custkey % 9 = 0 THEN 0 ELSE o_custkey END AS egid",
         "CAST(o_orderkey * 13 % 64 AS DOUBLE) AS x1", "CAST(o_orderkey * 29 % 16 AS DOUBLE) AS y1", "CAST(o_orderkey * 13 % 64 + 4 AS DOUBLE) AS x2", "CAST(o_orderkey * 29 % 16 + 4 AS DOUBLE) AS y2",
     ], "TRUE"),
-    "files": ("events", ["event_id AS id", "user_id % 50 AS folder", "ts AS mtime", "CAST(floor(abs(value)) AS BIGINT) + 1 AS size", "event_type"], "TRUE"),
+    "files": ("events", ["event_id AS id", "CAST(floor(event_id / 20) AS BIGINT) AS folder", "ts AS mtime", "CAST(floor(abs(value)) AS BIGINT) + 1 AS size", "event_type"], "TRUE"),
     "tiles": ("events", ["event_id AS id", "user_id AS origin", "ts", "event_type", "concat('swissalti_', CAST(user_id AS STRING), CASE WHEN event_id % 3 = 0 THEN '_2_' ELSE '_0.5_' END, CAST(event_id AS STRING), CASE WHEN event_id % 5 = 0 THEN '.zip' ELSE '.tif' END) AS name"], "TRUE"),
     "states": ("events", [
         "event_id AS id", "user_id AS model", "ts", "CASE event_id % 4 WHEN 0 THEN 'ready' WHEN 1 THEN NULL WHEN 2 THEN 'outside_coverage' ELSE 'failed' END AS state", "event_id % 3 <> 0 AS available",
@@ -80,10 +84,17 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, source).filter(where).selectExpr(*columns)
 
 
+def sourced(boxes: DataFrame) -> DataFrame:
+    """boxes with sources as a set: what listed says, else their source."""
+    return boxes.withColumn("sources", source_set(F.split("listed", ","), F.col("source"), F.lit(None).cast("string")))
+
+
 def fixture_sql(name: str) -> str:
     source, columns, where = FIXTURES[name]
     text = ", ".join(columns).replace("AS STRING", "AS VARCHAR")
     return f"SELECT {text} FROM {source} WHERE {where}"
 
 
+#: Sources of a box as a sorted list, from its own list or its source, in DuckDB.
+SOURCES_SQL = "string_split(coalesce(listed, source), ',')"
 RASTER_SQL = "SELECT vec_id AS image, ((i - 1) // 8)::INTEGER AS r, ((i - 1) % 8)::INTEGER AS c, embedding[i]::DOUBLE AS z FROM embeddings, (SELECT unnest(range(1, 65))::INTEGER AS i)"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solarweave.functions import boxes
-from solarweave.operators import layout, roofs
+from solarweave.operators import layout, packing, roofs
+from solarweave.operators.spatial import overlap_join
 from solarweave.plans.fixtures import fixture, fixture_sql
 
 
@@ -53,10 +54,91 @@ def facet_validity(spark, sf_dir):
 
 
 def _panels(faces):
-    at = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")
-    grid = faces.select("face_id", "w", "h", at).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    """Panels on a grid of 2 m that a face's box, drawn in by 0.5 m, covers: as many as its sides allow."""
+    steps = lambda side: F.explode(F.sequence(F.lit(0), F.ceil(F.col(side) / 2).cast("int")))
+    grid = faces.select("face_id", "w", "h", steps("w").alias("i")).select("*", steps("h").alias("j"))
     x, y = 0.5 + F.col("i") * 2.0, 0.5 + F.col("j") * 2.0
-    return grid.select("face_id", "i", "j", "w", "h", x.alias("x1"), y.alias("y1"), (x + 1.125).alias("x2"), (y + 1.75).alias("y2")).filter("x2 <= w - 0.5 and y2 <= h - 0.5").drop("w", "h")
+    own = grid.select("face_id", "i", "j", x.alias("x1"), y.alias("y1"), (x + 1.125).alias("x2"), (y + 1.75).alias("y2"), F.lit(0.5).alias("in_x1"), F.lit(0.5).alias("in_y1"), (F.col("w") - 0.5).alias("in_x2"), (F.col("h") - 0.5).alias("in_y2"))
+    return own.filter(boxes.covers("in_", "")).drop("in_x1", "in_y1", "in_x2", "in_y2")
+
+
+def covered_panels(spark, sf_dir):
+    """Panels of a grid that the usable region of their face covers, counted."""
+    return _panels(fixture(spark, sf_dir, "faces")).groupBy("face_id").agg(F.count("*").alias("n"), F.max("x2").alias("right"), F.max("y2").alias("top"))
+
+
+def _placed_panels(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 1")
+    x, y = (F.col("l_orderkey") % 32) * 0.75, (F.col("l_suppkey") % 16) * 1.0
+    return lines.select(F.col("l_partkey").alias("face_id"), x.alias("x1"), y.alias("y1"), (x + 1.125).alias("x2"), (y + 1.75).alias("y2"))
+
+
+def placed_panel_antijoin(spark, sf_dir):
+    """Panels of a grid that share no area with any that is placed on their face already."""
+    panels = _panels(fixture(spark, sf_dir, "faces"))
+    hit = overlap_join(panels, _placed_panels(spark, sf_dir), 4.0, on=("face_id",)).filter("overlap > 1e-8").select(F.col("a_face_id").alias("face_id"), F.col("a_i").alias("i"), F.col("a_j").alias("j")).distinct()
+    return panels.join(hit, ["face_id", "i", "j"], "left_anti").select("face_id", "i", "j")
+
+
+def planning_roof(spark, sf_dir):
+    """Area of each face to plan on: what the detected roof shares with it, nothing where none was detected, all where no model is ready."""
+    f = fixture(spark, sf_dir, "faces").select("face_id", "w", "h", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("w").alias("x2"), F.col("h").alias("y2"))
+    roof = fixture(spark, sf_dir, "faces").filter("face_id % 3 <> 0").select("face_id", F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"), F.lit(9.0).alias("x2"), F.lit(9.0).alias("y2"))
+    met = overlap_join(f, roof, 16.0, on=("face_id",)).groupBy(F.col("a_face_id").alias("face_id")).agg(F.sum("overlap").alias("seen"))
+    return f.join(met, "face_id", "left").select("face_id", roofs.planning_area(F.col("w") * F.col("h"), F.col("seen"), F.col("face_id") % 5 != 0).alias("area"))
+
+
+def _face_obstacles(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    x, y = 2.0 + F.col("l_linenumber") % 3, 1.5 + (F.col("l_suppkey") % 2) * 0.5
+    return lines.select(F.col("l_partkey").alias("face_id"), x.alias("x1"), y.alias("y1"), (x + 0.5).alias("x2"), (y + 0.5).alias("y2")).distinct()
+
+
+def obstacle_layouts(spark, sf_dir):
+    """Modules and usable area of each face alone, with obstacles and an aisle."""
+    f = fixture(spark, sf_dir, "faces").filter(layout.usable_face(F.col("slope"), F.col("aspect")))
+    faces = layout.checked_faces(f).select(F.col("face_id").alias("building_id"), "face_id", "slope", "aspect", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("w").alias("x2"), F.col("h").alias("y2"))
+    out = packing.ledger(faces, _face_obstacles(spark, sf_dir).withColumnRenamed("face_id", "building_id"))
+    return out.select("face_id", "panels", F.round("usable_area", 4).alias("usable_area"), F.round("surface_area", 4).alias("surface_area"))
+
+
+def roof_neighbours(spark, sf_dir):
+    """Parts within 20 m of every fiftieth part, where its register number is known; itself else."""
+    parts = fixture(spark, sf_dir, "parts")
+    spread = parts.select("id", "egid", *((F.col(c) + (F.col("id") % (1000 if c[0] == "x" else 777)) * 16).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return roofs.neighbours(spread.filter("id % 50 = 0").withColumn("request", F.col("id") * 10), spread, 20.0, 32.0)
+
+
+def building_selection(spark, sf_dir):
+    """Records by building where that search found some and all have rings; else the record at the point."""
+    f = fixture(spark, sf_dir, "faces")
+    rings = F.when(F.col("face_id") % 11 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
+    by_key = f.select(F.col("building_id").alias("request"), F.col("face_id").alias("id"), rings.alias("rings")).filter("request % 7 <> 0")
+    by_point = f.filter("face_id % 4 = 0").select(F.col("building_id").alias("request"), F.col("face_id").alias("id"), rings.alias("rings"))
+    return roofs.selection(by_point, by_key).select("request", "id")
+
+
+def roof_plane(spark, sf_dir):
+    """A face's corner in the plane of its roof, and back; a face under one degree turns by its longest side."""
+    f = fixture(spark, sf_dir, "faces").filter("slope is not null and aspect is not null and slope < 80")
+    slope = F.when(F.col("face_id") % 6 == 0, 0.5).otherwise(F.col("slope"))
+    turned = boxes.plane_azimuth(slope, layout.azimuth(F.col("aspect")), F.col("w"), F.col("h"))
+    p = f.withColumn("s", slope).withColumn("a", turned).withColumn("p", boxes.to_plane(F.col("w"), F.col("h"), F.col("s"), F.col("a")))
+    back = boxes.from_plane(F.col("p.u"), F.col("p.v"), F.col("s"), F.col("a"))
+    return p.withColumn("b", back).select("face_id", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"), (F.hypot(F.col("b.x") - F.col("w"), F.col("b.y") - F.col("h")) < 1e-9).alias("same"))
+
+
+def ring_measures(spark, sf_dir):
+    """Centroid of each ring, and its distance from the next one's bounds."""
+    r = _rings(spark, sf_dir).withColumn("m", boxes.ring_centroid(F.col("ring")))
+    far = boxes.ring_distance(F.col("ring"), F.col("w") + 3.0, F.col("h") + 4.0)
+    return r.select("face_id", F.round("m.x", 9).alias("x"), F.round("m.y", 9).alias("y"), F.round(far, 9).alias("far"))
+
+
+def utm_coordinates(spark, sf_dir):
+    """Degrees to UTM zone 32 by the usual series of the transverse Mercator projection."""
+    c = fixture(spark, sf_dir, "chips").select("id", (9.0 + (F.col("x") - 5000) / 5000).alias("lon"), (47.0 + F.col("y") / 10000).alias("lat"))
+    return c.withColumn("u", boxes.wgs84_to_utm32(F.col("lon"), F.col("lat"))).select("id", F.round("u.east", 3).alias("east"), F.round("u.north", 3).alias("north"))
 
 
 def panel_clearance_antijoin(spark, sf_dir):
@@ -74,9 +156,10 @@ def image_window(spark, sf_dir):
 
 
 def tile_grid(spark, sf_dir):
-    """Crops of an image: starts of 512-pixel tiles in both directions."""
+    """Crops of an image: starts of tiles of 512 and of 1000 pixels in both directions."""
     w = fixture(spark, sf_dir, "windows")
-    return w.withColumn("x0", F.explode(layout.tile_starts(F.col("px_w"), 512))).withColumn("y0", F.explode(layout.tile_starts(F.col("px_h"), 512))).select("id", "x0", "y0")
+    cut = lambda t: w.withColumn("x0", F.explode(layout.tile_starts(F.col("px_w"), t))).withColumn("y0", F.explode(layout.tile_starts(F.col("px_h"), t))).select("id", F.lit(t).alias("tile"), "x0", "y0")
+    return cut(512).union(cut(1000))
 
 
 def _rings(spark, sf_dir):
@@ -118,10 +201,12 @@ def alignment_gates(spark, sf_dir):
 
 
 def building_ledger(spark, sf_dir):
-    """Flat faces of a building packed in order; earlier faces and panels keep later ones away."""
-    f = fixture(spark, sf_dir, "faces").filter("slope is not null")
+    """Faces of a building packed in order, with obstacles; earlier faces and panels keep later ones away."""
+    f = fixture(spark, sf_dir, "faces").filter(layout.usable_face(F.col("slope"), F.col("aspect")))
     x, y = (F.col("face_id") % 7) * 3.0, (F.col("face_id") % 5) * 2.0
-    return roofs.ledger(f.select("building_id", "face_id", "slope", x.alias("x1"), y.alias("y1"), (x + F.col("w")).alias("x2"), (y + F.col("h")).alias("y2")))
+    faces = f.select("building_id", "face_id", "slope", "aspect", x.alias("x1"), y.alias("y1"), (x + F.col("w")).alias("x2"), (y + F.col("h")).alias("y2"))
+    obstacles = _face_obstacles(spark, sf_dir).withColumn("building_id", F.floor(F.col("face_id") / 4).cast("long"))
+    return packing.ledger(faces, obstacles)
 
 
 def crs_round_trip(spark, sf_dir):
@@ -132,9 +217,13 @@ def crs_round_trip(spark, sf_dir):
     return d.withColumn("b", back).select("id", F.round("d.lon", 7).alias("lon"), F.round("d.lat", 7).alias("lat"), (F.hypot(F.col("b.east") - F.col("e"), F.col("b.north") - F.col("n")) < 1.5).alias("close"))
 
 
-QUERIES = {f.__name__: f for f in (layout_totals, face_layouts, energy_null_propagation, facet_validity, panel_clearance_antijoin, image_window, tile_grid, polygon_area_shoelace, pixel_world_affine, connected_parts, grown_parts, alignment_gates, building_ledger, crs_round_trip)}
+QUERIES = {f.__name__: f for f in (covered_panels, placed_panel_antijoin, planning_roof, obstacle_layouts, roof_neighbours, building_selection, roof_plane, ring_measures, utm_coordinates, layout_totals, face_layouts, energy_null_propagation, facet_validity, panel_clearance_antijoin, image_window, tile_grid, polygon_area_shoelace, pixel_world_affine, connected_parts, grown_parts, alignment_gates, building_ledger, crs_round_trip)}
 
-_TILES = "list_sort(list_distinct(list_concat(range(0, greatest({0} - 512, 0) + 1, 384), [greatest({0} - 512, 0)])))"
+_TILES = "list_sort(list_distinct(list_concat(range(0, greatest({0} - tile, 0) + 1, tile * 3 // 4), [greatest({0} - tile, 0)])))"
+_FIT = f"""faces AS ({fixture_sql("faces")}),
+panels AS (SELECT face_id, i, j, w, h, 0.5::DOUBLE + i * 2.0::DOUBLE AS x1, 0.5::DOUBLE + j * 2.0::DOUBLE AS y1 FROM faces, (SELECT unnest(range(20))::INTEGER AS i), (SELECT unnest(range(20))::INTEGER AS j)),
+fit AS (SELECT *, x1 + 1.125 AS x2, y1 + 1.75 AS y2 FROM panels WHERE x1 + 1.125 <= w - 0.5 AND y1 + 1.75 <= h - 0.5)"""
+_OBSTACLES = "SELECT DISTINCT l_partkey AS face_id, 2.0::DOUBLE + l_linenumber % 3 AS x1, 1.5::DOUBLE + (l_suppkey % 2) * 0.5::DOUBLE AS y1 FROM lineitem"
 SQL = {
     "layout_totals": f"""WITH {_LAYOUT}
 SELECT building_id, count(*) AS facets, sum(n)::BIGINT AS panel_count, round(sum(n) * 450 / 1000.0::DOUBLE, 2) AS kwp, round(sum(usable), 4) AS usable_area,
@@ -144,15 +233,47 @@ SELECT face_id, n::BIGINT AS panel_count, CASE WHEN n > 0 THEN i::BIGINT END AS
     "energy_null_propagation": """SELECT l_orderkey AS building_id, count(*) AS facets, sum(l_quantity::BIGINT)::BIGINT AS panel_count,
   round(CASE WHEN bool_or(l_partkey % 10 = 0) THEN NULL ELSE sum(l_quantity::BIGINT * 450 / 1000.0::DOUBLE * (900.0::DOUBLE + l_suppkey % 300) * 0.8::DOUBLE) END, 3) AS annual_kwh FROM lineitem GROUP BY l_orderkey""",
     "facet_validity": f"SELECT face_id, slope IS NOT NULL AND aspect IS NOT NULL AND coalesce(slope >= 0 AND slope < 80, FALSE) AS planned, (aspect + 180) % 360 AS azimuth FROM ({fixture_sql('faces')})",
-    "panel_clearance_antijoin": f"""WITH faces AS ({fixture_sql("faces")}),
-panels AS (SELECT face_id, i, j, w, h, 0.5::DOUBLE + i * 2.0::DOUBLE AS x1, 0.5::DOUBLE + j * 2.0::DOUBLE AS y1 FROM faces, (SELECT unnest(range(6))::INTEGER AS i), (SELECT unnest(range(4))::INTEGER AS j)),
-fit AS (SELECT *, x1 + 1.125 AS x2, y1 + 1.75 AS y2 FROM panels WHERE x1 + 1.125 <= w - 0.5 AND y1 + 1.75 <= h - 0.5),
+    "panel_clearance_antijoin": f"""WITH {_FIT},
 obstacles AS (SELECT l_partkey AS face_id, l_linenumber * 1.5::DOUBLE + (l_orderkey % 8) * 0.5::DOUBLE AS x1, (l_suppkey % 9)::DOUBLE AS y1 FROM lineitem)
 SELECT face_id, i, j, x1, y1 FROM fit p WHERE NOT EXISTS (SELECT 1 FROM obstacles o WHERE o.face_id = p.face_id
   AND pow(greatest(p.x1 - (o.x1 + 0.5), o.x1 - p.x2, 0), 2) + pow(greatest(p.y1 - (o.y1 + 0.75), o.y1 - p.y2, 0), 2) < 0.25)""",
     "image_window": f"""SELECT id, CASE WHEN side <= 180 THEN side END AS side, CASE WHEN side <= 180 THEN least(1800, ceil(side / 0.1::DOUBLE))::BIGINT END AS pixels, printf('%.3f', extent / 8) AS bound
 FROM (SELECT *, greatest(40.0::DOUBLE, extent + 12) AS side FROM ({fixture_sql("windows")}))""",
-    "tile_grid": f"SELECT id, unnest({_TILES.format('px_w')})::INTEGER AS x0, y0 FROM (SELECT id, px_w, unnest({_TILES.format('px_h')})::INTEGER AS y0 FROM ({fixture_sql('windows')}))",
+    "tile_grid": f"SELECT id, tile, unnest({_TILES.format('px_w')})::INTEGER AS x0, y0 FROM (SELECT id, tile, px_w, unnest({_TILES.format('px_h')})::INTEGER AS y0 FROM ({fixture_sql('windows')}), (SELECT unnest([512, 1000]) AS tile))",
+    "covered_panels": f"WITH {_FIT} SELECT face_id, count(*) AS n, max(x2) AS right, max(y2) AS top FROM fit GROUP BY face_id",
+    "placed_panel_antijoin": f"""WITH {_FIT}, placed AS (SELECT l_partkey AS face_id, (l_orderkey % 32) * 0.75::DOUBLE AS x1, (l_suppkey % 16)::DOUBLE AS y1 FROM lineitem WHERE l_linenumber = 1)
+SELECT face_id, i, j FROM fit p WHERE NOT EXISTS (SELECT 1 FROM placed o WHERE o.face_id = p.face_id AND greatest(least(p.x2, o.x1 + 1.125) - greatest(p.x1, o.x1), 0) * greatest(least(p.y2, o.y1 + 1.75) - greatest(p.y1, o.y1), 0) > 1e-8)""",
+    "planning_roof": f"""SELECT face_id, CASE WHEN face_id % 5 = 0 THEN w * h WHEN face_id % 3 = 0 THEN 0 ELSE (least(w, 9) - 1) * (least(h, 9) - 1) END AS area FROM ({fixture_sql("faces")})""",
+    "obstacle_layouts": f"""WITH {_LAYOUT.split("best AS")[0].rstrip().rstrip(",")}, o AS ({_OBSTACLES}),
+shut AS (SELECT f.face_id, CASE WHEN aspect % 180 = 0 THEN x1 ELSE y1 END - 0.5 AS a, CASE WHEN aspect % 180 = 0 THEN x1 ELSE y1 END + 1.0 AS c,
+  (CASE WHEN aspect % 180 = 0 THEN y1 ELSE x1 END) / cos(radians(slope)) - 0.5 AS b, (CASE WHEN aspect % 180 = 0 THEN y1 ELSE x1 END + 0.5) / cos(radians(slope)) + 0.5 AS d FROM ok f JOIN o ON o.face_id = f.face_id),
+spots AS (SELECT p.face_id, p.i, 0.6::DOUBLE + sx * ox + kx * sx AS x, 0.6::DOUBLE + sy * oy + ky * sy AS y, pw, ph, gap, iu FROM (SELECT *, unnest(range(0, greatest(nx, 0))) AS kx FROM places WHERE fits) p, (SELECT unnest(range(0, 400)) AS ky) WHERE ky < ny),
+clear AS (SELECT face_id, i, count(*) AS n FROM spots s WHERE NOT (gap AND x < 0.6 + iu / 2 + 0.4::DOUBLE - 1e-8 AND x + pw > 0.6 + iu / 2 - 0.4::DOUBLE + 1e-8)
+  AND NOT EXISTS (SELECT 1 FROM shut t WHERE t.face_id = s.face_id AND x < c - 1e-8 AND x + pw > a + 1e-8 AND y < d - 1e-8 AND y + ph > b + 1e-8) GROUP BY face_id, i),
+inside AS (SELECT s.face_id, greatest(a, 0.6) AS x1, least(c, 0.6 + iu) AS x2, greatest(b, 0.6) AS y1, least(d, 0.6 + iv) AS y2 FROM shut s JOIN split f ON f.face_id = s.face_id
+  UNION ALL SELECT face_id, 0.2::DOUBLE + iu / 2, 1.0::DOUBLE + iu / 2, 0.6, 0.6 + iv FROM split WHERE gap),
+met AS (SELECT * FROM inside WHERE x2 > x1 AND y2 > y1), edges AS (SELECT DISTINCT face_id, unnest([x1, x2]) AS e FROM met), slabs AS (SELECT face_id, e, lead(e) OVER (PARTITION BY face_id ORDER BY e) AS f FROM edges),
+cut AS (SELECT s.face_id, s.e, s.f, b.y1, b.y2, max(b.y2) OVER (PARTITION BY s.face_id, s.e ORDER BY b.y1, b.y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM slabs s JOIN met b ON s.face_id = b.face_id AND b.x1 <= s.e AND b.x2 >= s.f WHERE s.f IS NOT NULL),
+lost AS (SELECT face_id, sum(greatest(0, y2 - greatest(y1, coalesce(seen, y1))) * (f - e)) AS u FROM cut GROUP BY face_id)
+SELECT f.face_id, coalesce((SELECT max(n) FROM clear c WHERE c.face_id = f.face_id), 0)::BIGINT AS panels, round(CASE WHEN fits THEN iu * iv - coalesce(u, 0) ELSE 0 END, 4) AS usable_area, round(u_ * v_, 4) AS surface_area
+FROM (SELECT *, u AS u_, v AS v_ FROM split) f LEFT JOIN (SELECT face_id AS k, u FROM lost) l ON l.k = f.face_id""".replace("coalesce(u, 0)", "coalesce(l.u, 0)"),
+    "roof_neighbours": f"""WITH p AS (SELECT id, egid, x1 + id % 1000 * 16 AS x1, y1 + id % 777 * 16 AS y1, x2 + id % 1000 * 16 AS x2, y2 + id % 777 * 16 AS y2 FROM ({fixture_sql("parts")}))
+SELECT a.id * 10 AS request, b.id FROM p a JOIN p b ON a.id = b.id OR (a.egid > 0 AND a.x1 - 20 < b.x2 AND b.x1 < a.x2 + 20 AND a.y1 - 20 < b.y2 AND b.y1 < a.y2 + 20) WHERE a.id % 50 = 0""",
+    "building_selection": f"""WITH f AS (SELECT building_id AS request, face_id AS id FROM ({fixture_sql("faces")})), good AS (SELECT request FROM f WHERE request % 7 <> 0 GROUP BY request HAVING bool_and(id % 11 <> 0))
+SELECT request, id FROM f WHERE request IN (FROM good) UNION ALL SELECT request, id FROM f WHERE id % 4 = 0 AND request NOT IN (FROM good)""",
+    "roof_plane": f"""WITH f AS (SELECT *, CASE WHEN face_id % 6 = 0 THEN 0.5::DOUBLE ELSE slope END AS s FROM ({fixture_sql("faces")}) WHERE slope IS NOT NULL AND aspect IS NOT NULL AND slope < 80),
+g AS (SELECT *, radians(CASE WHEN s < 1 THEN CASE WHEN w >= h THEN 0 ELSE 90 END ELSE (aspect + 180) % 360 END) AS a FROM f)
+SELECT face_id, round(w * cos(a) - h * sin(a), 6) AS u, round((w * sin(a) + h * cos(a)) / cos(radians(s)), 6) AS v, TRUE AS same FROM g""",
+    "ring_measures": f"""WITH r AS (SELECT face_id, w, h, (face_id % 4)::DOUBLE / 4 AS s FROM ({fixture_sql("faces")})), p AS (SELECT face_id, w, h, unnest([{{'x': 0.0, 'y': s}}, {{'x': w, 'y': 0.0}}, {{'x': w - s, 'y': h}}, {{'x': s, 'y': h + s}}]) AS p, unnest([{{'x': w, 'y': 0.0}}, {{'x': w - s, 'y': h}}, {{'x': s, 'y': h + s}}, {{'x': 0.0, 'y': s}}]) AS q FROM r),
+m AS (SELECT *, p.x * q.y - q.x * p.y AS k, (w + 3 - p.x) * (q.x - p.x) + (h + 4 - p.y) * (q.y - p.y) AS dot, (q.x - p.x) ** 2 + (q.y - p.y) ** 2 AS len FROM p),
+d AS (SELECT *, least(1, greatest(0, dot / len)) AS t FROM m)
+SELECT face_id, round(sum((p.x + q.x) * k) / (3 * sum(k)), 9) AS x, round(sum((p.y + q.y) * k) / (3 * sum(k)), 9) AS y, round(min(sqrt((w + 3 - p.x - t * (q.x - p.x)) ** 2 + (h + 4 - p.y - t * (q.y - p.y)) ** 2)), 9) AS far FROM d GROUP BY face_id""",
+    "utm_coordinates": f"""WITH c AS (SELECT id, radians(47.0::DOUBLE + y / 10000) AS f, radians((x - 5000) / 5000) AS l FROM ({fixture_sql("chips")})),
+k AS (SELECT *, 6378137.0::DOUBLE AS a, 0.00669437999014132::DOUBLE AS e, 0.00669437999014132::DOUBLE / (1 - 0.00669437999014132::DOUBLE) AS e2 FROM c),
+t AS (SELECT *, a / sqrt(1 - e * sin(f) ** 2) AS n, tan(f) ** 2 AS t, e2 * cos(f) ** 2 AS c, cos(f) * l AS b,
+  a * ((1 - e / 4 - 3 * e ** 2 / 64 - 5 * e ** 3 / 256) * f - (3 * e / 8 + 3 * e ** 2 / 32 + 45 * e ** 3 / 1024) * sin(2 * f) + (15 * e ** 2 / 256 + 45 * e ** 3 / 1024) * sin(4 * f) - (35 * e ** 3 / 3072) * sin(6 * f)) AS m FROM k)
+SELECT id, round(500000 + 0.9996::DOUBLE * n * (b + (1 - t + c) * b ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * c - 58 * e2) * b ** 5 / 120), 3) AS east,
+  round(0.9996::DOUBLE * (m + n * tan(f) * (b ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * b ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * c - 330 * e2) * b ** 6 / 720)), 3) AS north FROM t""",
     "polygon_area_shoelace": f"""WITH r AS (SELECT face_id, w, h, (face_id % 4)::DOUBLE / 4 AS s FROM ({fixture_sql("faces")}))
 SELECT face_id, abs((0 * 0 - w * s) + (w * h - (w - s) * 0) + ((w - s) * (h + s) - s * h) + (s * s - 0 * (h + s))) / 2 AS area, 0.0::DOUBLE AS min_x, h + s AS max_y FROM r""",
     "pixel_world_affine": f"""SELECT id, greatest(2640000.0::DOUBLE, least(2640128.0::DOUBLE, 2640000.0::DOUBLE + (px_w::DOUBLE + 200) * 128 / 1024)) AS x,

@@ -19,27 +19,20 @@ def _placed(spark, sf_dir):
 
 def visible_faces(spark, sf_dir):
     """What earlier faces of a building leave of each face."""
-    return surfaces.visible_area(_placed(spark, sf_dir), "building_id", "face_id")
+    return surfaces.visible_area(_placed(spark, sf_dir), "building_id", "face_id", 16.0)
 
 
 def free_roof(spark, sf_dir):
     """What blocking detections leave of the 4 x 4 m roof of their analysis."""
     d = fixture(spark, sf_dir, "order_boxes").filter(fusion.blocks_placement(F.col("kind")))
     roofs = d.select("analysis").distinct().select("analysis", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(4.0).alias("x2"), F.lit(4.0).alias("y2"))
-    return surfaces.uncovered_area(roofs, d.select("analysis", "x1", "y1", "x2", "y2"), "analysis")
+    return surfaces.uncovered_area(roofs, d.select("analysis", "x1", "y1", "x2", "y2"), "analysis", 4.0)
 
 
 def pv_obstacle_overlap(spark, sf_dir):
-    """Area of panels, of obstacles, and of what obstacles take of the panels' area, by analysis."""
-    d = fixture(spark, sf_dir, "order_boxes")
-    side = lambda k: d.filter(F.col("kind") == k)
-    pv, hard = side("pv_installation"), side("chimney")
-    both = pv.alias("a").join(hard.alias("b"), "analysis").select("analysis", *(f(f"a.{c}", f"b.{c}").alias(c) for c, f in (("x1", F.greatest), ("y1", F.greatest), ("x2", F.least), ("y2", F.least))))
-    from solarweave.operators.spatial import union_area
-
-    out = union_area(pv, "analysis").withColumnRenamed("union_area", "pv").join(union_area(hard, "analysis").withColumnRenamed("union_area", "hard"), "analysis", "full").join(union_area(both, "analysis"), "analysis", "left")
-    out = out.na.fill(0.0, ["pv", "hard", "union_area"])
-    return out.select("analysis", "pv", "hard", F.col("union_area").alias("overlap"), F.when(F.col("pv") > 0, F.round(F.col("union_area") / F.col("pv"), 6)).otherwise(0.0).alias("share"))
+    """Areas that panels, obstacles and shadows cover by analysis, and what obstacles take of the panels'."""
+    d = fixture(spark, sf_dir, "order_boxes").withColumn("kind", F.when(F.col("seq") % 4 == 3, "shadow").otherwise(F.col("kind")))
+    return evaluation.site_areas(d.select(F.col("analysis").alias("site"), "kind", fusion.blocks_placement(F.col("kind")).alias("blocks"), "x1", "y1", "x2", "y2"), 4.0)
 
 
 def ring_even_odd(spark, sf_dir):
@@ -111,8 +104,8 @@ def simplified_outline(spark, sf_dir):
 
 
 def every_seventh(spark, sf_dir):
-    """Every seventh chip of each split, by id."""
-    return surfaces.every_nth(fixture(spark, sf_dir, "chips"), "split", "id", 7).select("split", "id")
+    """Every seventh chip of each block of 500, by id."""
+    return surfaces.every_nth(fixture(spark, sf_dir, "chips"), "block", "id", 7).select("block", "id")
 
 
 def checkpoint_compatible(spark, sf_dir):
@@ -162,11 +155,11 @@ SQL = {
 {_union("k", "face_id", "un")} SELECT p.face_id, (x2 - x1) * (y2 - y1) AS area, (x2 - x1) * (y2 - y1) - coalesce(u, 0) AS free_area FROM p LEFT JOIN un ON p.face_id = un.face_id""",
     "free_roof": f"""WITH k AS (SELECT analysis, x1, y1, least(x2, 4) AS x2, least(y2, 4) AS y2 FROM ({fixture_sql("order_boxes")}) WHERE kind <> 'shadow'),
 {_union("k", "analysis", "un")} SELECT DISTINCT k.analysis, 16.0::DOUBLE AS area, 16 - coalesce(u, 0) AS free_area FROM k LEFT JOIN un ON k.analysis = un.analysis""",
-    "pv_obstacle_overlap": f"""WITH d AS ({fixture_sql("order_boxes")}), pvb AS (SELECT * FROM d WHERE kind = 'pv_installation'), hb AS (SELECT * FROM d WHERE kind = 'chimney'),
+    "pv_obstacle_overlap": f"""WITH d AS (SELECT * REPLACE (CASE WHEN seq % 4 = 3 THEN 'shadow' ELSE kind END AS kind) FROM ({fixture_sql("order_boxes")})), pvb AS (SELECT * FROM d WHERE kind = 'pv_installation'), hb AS (SELECT * FROM d WHERE kind = 'chimney'), sb AS (SELECT * FROM d WHERE kind = 'shadow'),
 met AS (SELECT a.analysis, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, least(a.x2, b.x2) AS x2, least(a.y2, b.y2) AS y2 FROM pvb a JOIN hb b ON a.analysis = b.analysis),
-{_union("pvb", "analysis", "pu")}, {_union("hb", "analysis", "hu")}, {_union("met", "analysis", "mu")}
-SELECT i.analysis, coalesce(pu.u, 0) AS pv, coalesce(hu.u, 0) AS hard, coalesce(mu.u, 0) AS overlap, CASE WHEN coalesce(pu.u, 0) > 0 THEN round(coalesce(mu.u, 0) / pu.u, 6) ELSE 0 END AS share
-FROM (SELECT DISTINCT analysis FROM d) i LEFT JOIN pu ON i.analysis = pu.analysis LEFT JOIN hu ON i.analysis = hu.analysis LEFT JOIN mu ON i.analysis = mu.analysis""",
+{_union("pvb", "analysis", "pu")}, {_union("hb", "analysis", "hu")}, {_union("sb", "analysis", "su")}, {_union("met", "analysis", "mu")}
+SELECT i.analysis AS site, coalesce(pu.u, 0) AS pv, coalesce(hu.u, 0) AS hard, coalesce(su.u, 0) AS advisory, coalesce(mu.u, 0) AS overlap, CASE WHEN coalesce(pu.u, 0) > 0 THEN round(coalesce(mu.u, 0) / pu.u, 4) ELSE 0 END AS share
+FROM (SELECT DISTINCT analysis FROM d) i LEFT JOIN pu ON i.analysis = pu.analysis LEFT JOIN hu ON i.analysis = hu.analysis LEFT JOIN su ON i.analysis = su.analysis LEFT JOIN mu ON i.analysis = mu.analysis""",
     "ring_even_odd": f"SELECT face_id, w * h - 1.0::DOUBLE + 0.25::DOUBLE AS area FROM ({fixture_sql('faces')})",
     "ordinal_attributes": f"SELECT building_id, (row_number() OVER (PARTITION BY building_id ORDER BY face_id) - 1)::INTEGER AS place, face_id, w FROM ({fixture_sql('faces')})",
     "pixel_confusion": f"""WITH g AS ({RASTER_SQL}), j AS (SELECT a.image, a.z > 0.05::DOUBLE AS t, b.z > 0 AS p FROM g a JOIN g b ON a.image = b.image AND a.r = b.r AND a.c = (b.c + 1) % 8),
@@ -186,7 +179,7 @@ SELECT image, first_cell, cells, cells * 0.25::DOUBLE AS area, round(cells / (h
     "registration_shift": f"""WITH {_SMOOTH}, pts(r, c, nx, ny) AS (VALUES (3, 3, 1, 0), (3, 4, 0, 1), (4, 3, 0, 1), (4, 4, 1, 0)), sh(dx, dy) AS (VALUES (-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)),
 sc AS (SELECT image, dx, dy, avg(least(abs(gx * nx + gy * ny), 100)) AS score FROM pts, sh JOIN grad ON grad.r = pts.r + dy AND grad.c = pts.c + dx GROUP BY ALL)
 SELECT image, round(score, 6) AS score, dx, dy FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, dx DESC, dy DESC) AS n FROM sc) WHERE n = 1""",
-    "every_seventh": f"SELECT split, id FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY id) AS n FROM ({fixture_sql('chips')})) WHERE (n - 1) % 7 = 0",
+    "every_seventh": f"SELECT block, id FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY id) AS n FROM ({fixture_sql('chips')})) WHERE (n - 1) % 7 = 0",
     "checkpoint_compatible": "SELECT p_partkey, p_partkey % 3 = 1 AND p_partkey % 2 = 0 AS fits FROM part",
     "roof_at_point": f"""SELECT face_id, x1 <= 10 AND x2 >= 10 AND y1 <= 5 AND y2 >= 5 AND y1 <> y2 AND ((y1 > 5) <> (y2 > 5)) AND x1 <= 10 AND x2 > 10 AS holds, x2 >= 10 AND y2 >= 10 AND x1 <= 150 AND y1 <= 150 AS near FROM ({_PLACED})""",
     "split_list": "SELECT count(*) AS listed, count(DISTINCT n_name) AS different FROM nation",

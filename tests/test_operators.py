@@ -3,12 +3,13 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from solarweave import storage
 from solarweave.functions import boxes
-from solarweave.operators import curation, evaluation, fusion, layout, raster, roofs, spatial, status
+from solarweave.operators import curation, evaluation, fusion, layout, packing, raster, roofs, spatial, status
 from solarweave.operators.components import connected_components
 from solarweave.sources import files, keys
 from solarweave.streaming import state
@@ -152,6 +153,22 @@ def test_merge_is_greedy_and_not_transitive(spark):
     assert got == {("pv", 1): (2, 2.0, "survey", "rid,survey", 0.9), ("pv", 3): (1, 2.0, "rid", "rid", None), ("chimney", 4): (1, 2.0, "rid", "rid", 0.5)}
 
 
+def test_merge_equals_counted_cells(spark):
+    """Groups as sets of cells of half a metre: what the fold must give, on many boxes of one analysis."""
+    rng, rows = random.Random(11), []
+    for i in range(150):
+        x, y = rng.randint(0, 60) / 2, rng.randint(0, 40) / 2
+        rows.append((1, "chimney", i, i, rng.randint(0, 9) / 10, "rid", x, y, x + rng.randint(1, 8) / 2, y + rng.randint(1, 8) / 2))
+    df = spark.createDataFrame(rows, "analysis long, kind string, id long, seq long, confidence double, source string, x1 double, y1 double, x2 double, y2 double")
+    groups = []
+    for r in sorted(rows, key=lambda r: (-r[4], r[3])):
+        own = {(a, b) for a in range(int(2 * r[6]), int(2 * r[8])) for b in range(int(2 * r[7]), int(2 * r[9]))}
+        hits = [g for g in groups if len(g[0] & own) > 0.5 * min(len(g[0]), len(own))]
+        groups = [g for g in groups if g not in hits] + [(own.union(*(g[0] for g in hits)), {r[2]}.union(*(g[1] for g in hits)))]
+    got = {(r.first_id, r.members, r.area) for r in fusion.greedy_merge(df).collect()}
+    assert got == {(min(ids), len(ids), len(cells) / 4) for cells, ids in groups} and len(got) < 140
+
+
 def test_splits_have_their_shares(spark):
     n = {r.s: r["count"] for r in spark.range(4000).groupBy(curation.split_of(F.col("id")).alias("s")).count().collect()}
     assert abs(n["train"] - 2800) < 120 and abs(n["val"] - 600) < 90 and abs(n["test"] - 600) < 90
@@ -192,10 +209,109 @@ def test_parts_grow_within_the_extent(spark):
     assert {r.id: r.house for r in roofs.touching_parts(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
 
 
-def test_ledger_never_stacks(spark):
-    rows = [(1, i, 20.0, 0.0, 0.0, 12.0, 8.0) for i in (1, 2)]
-    got = roofs.ledger(spark.createDataFrame(rows, "building_id long, face_id long, slope double, x1 double, y1 double, x2 double, y2 double")).orderBy("face_id").collect()
-    assert got[0].panels > 0 and got[1].panels == 0
+def slow_pack(face, slope, obstacles, claimed):
+    """Modules of one face by plain loops: the bounds from a fine scan of corners, then every layout and place."""
+    out = lambda b, d: (b[0] - d, b[1] - d, b[2] + d, b[3] + d)
+    shut = [out(c, 0.6) for c in claimed] + [out(o, 0.5) for o in obstacles]
+    inner = out(face, -0.6)
+
+    def bounds():
+        xs = sorted({min(max(v, inner[0]), inner[2]) for b in [inner, *shut] for v in (b[0], b[2])})
+        ys = sorted({min(max(v, inner[1]), inner[3]) for b in [inner, *shut] for v in (b[1], b[3])})
+        open_ = [(x, y, x2, y2) for x, x2 in zip(xs, xs[1:], strict=False) for y, y2 in zip(ys, ys[1:], strict=False) if not any(b[0] <= (x + x2) / 2 <= b[2] and b[1] <= (y + y2) / 2 <= b[3] for b in shut)]
+        return open_ and (min(o[0] for o in open_), min(o[1] for o in open_), max(o[2] for o in open_), max(o[3] for o in open_))
+
+    left = bounds()
+    if left and left[2] - left[0] > 12 and left[3] - left[1] > 6:
+        shut.append(((left[0] + left[2]) / 2 - 0.4, -99, (left[0] + left[2]) / 2 + 0.4, 99))
+        left = bounds()
+    best = []
+    for w, h in ((1.134, 1.762), (1.762, 1.134)) if left else ():
+        for ox in (0, 0.25, 0.5, 0.75):
+            for oy in (0, 0.25, 0.5, 0.75):
+                own, sx, sy = [], w + 0.1, h + (1.0 if slope < 5 else 0.35)
+                i = 0
+                while (x := left[0] + (ox + i) * sx) + w <= left[2] + 1e-8:
+                    j = 0
+                    while (y := left[1] + (oy + j) * sy) + h <= left[3] + 1e-8:
+                        if not any(x < b[2] - 1e-8 and x + w > b[0] + 1e-8 and y < b[3] - 1e-8 and y + h > b[1] + 1e-8 for b in shut):
+                            own.append((x, y, x + w, y + h))
+                        j += 1
+                    i += 1
+                best = own if len(own) > len(best) else best
+    return best
+
+
+def test_ledger_equals_loops(spark):
+    """Overlapping faces, flat and steep, turned either way, with obstacles: earlier faces and their modules shut later ones out."""
+    rng, faces, obstacles = random.Random(3), [], []
+    for building in range(8):
+        for k in range(3):
+            x, y = rng.randint(0, 12), rng.randint(0, 8)
+            faces.append((building, building * 10 + k, float(rng.choice((0, 3, 20, 45))), float(rng.choice((0, 90, 180, 270))), float(x), float(y), x + rng.choice((4.0, 9.0, 16.0)), y + rng.choice((5.0, 8.0))))
+        obstacles += [(building, ox, oy, ox + 0.5, oy + 1.0) for ox, oy in ((rng.randint(0, 20) / 2, rng.randint(0, 16) / 2) for _ in range(3))]
+    faces.append((99, 990, 20.0, 0.0, 0.0, 0.0, 0.9, 0.9))
+    skipped = [(99, 991, None, 0.0, 0.0, 0.0, 9.0, 9.0), (99, 992, 85.0, 0.0, 0.0, 0.0, 9.0, 9.0), (99, 993, 20.0, None, 0.0, 0.0, 9.0, 9.0)]
+    box = "x1 double, y1 double, x2 double, y2 double"
+    got = packing.ledger(spark.createDataFrame(faces + skipped, f"building_id long, face_id long, slope double, aspect double, {box}"), spark.createDataFrame(obstacles, f"building_id long, {box}")).collect()
+    panels, total = {r.face_id: r.panels for r in got}, 0
+    assert len(got) == len(faces) and panels[990] == 0
+    for building in range(8):
+        placed, claimed = [o[1:] for o in obstacles if o[0] == building], []
+        for _, face_id, slope, aspect, *own in [f for f in faces if f[0] == building]:
+            c, turned = np.cos(np.radians(slope)), aspect % 180 != 0
+            plane = lambda b, c=c, turned=turned: ((b[1], b[0] / c, b[3], b[2] / c) if turned else (b[0], b[1] / c, b[2], b[3] / c))
+            best = slow_pack(plane(own), slope, [plane(b) for b in placed], [plane(b) for b in claimed])
+            assert panels[face_id] == len(best)
+            placed += [(b[1] * c, b[0], b[3] * c, b[2]) if turned else (b[0], b[1] * c, b[2], b[3] * c) for b in best]
+            claimed.append(own)
+            total += len(best)
+    assert total > 60
+
+
+def test_packing_alone_equals_the_counted_layouts(spark):
+    rows = [(i, float(w), float(h), float(s), float(a), None) for i, (w, h, s, a) in enumerate((w, h, s, a) for w in (3, 8, 15, 24) for h in (4, 9, 16) for s in (2, 30) for a in (0, 90))]
+    f = spark.createDataFrame(rows, "face_id long, w double, h double, slope double, aspect double, irradiance double")
+    want = {r.face_id: (r.panel_count, round(r.usable_area, 6)) for r in layout.best_layouts(f).collect()}
+    none = spark.createDataFrame([], "building_id long, x1 double, y1 double, x2 double, y2 double")
+    got = packing.ledger(f.select(F.col("face_id").alias("building_id"), "face_id", "slope", "aspect", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("w").alias("x2"), F.col("h").alias("y2")), none)
+    assert {r.face_id: (r.panels, round(r.usable_area, 6)) for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        packing.pack(np.array([0.0, 0.0, 400.0, 20.0]), 10.0, np.zeros((0, 4)), np.zeros((0, 4)))
+
+
+def test_guards_raise(spark):
+    row = lambda **k: spark.createDataFrame([({"w": 5.0, "h": 5.0, "slope": 20.0, "setback": 0.6} | k)])
+    assert layout.checked_faces(row(), ("setback",)).count() == 1
+    for bad in ({"slope": -1.0}, {"slope": 80.0}, {"w": 301.0}, {"setback": -0.1}, {"slope": float("nan")}):
+        with pytest.raises(Exception, match="out of range"):
+            layout.checked_faces(row(**bad), ("setback",)).collect()
+    wide = spark.createDataFrame([(170.0,)], "extent double")
+    assert wide.select(layout.image_window(F.col("extent")).alias("w")).first().w is None
+    with pytest.raises(Exception, match="too large"):
+        wide.select(layout.image_window(F.col("extent"), strict=True)).collect()
+    lines = "file long, line_no long, cls int, coords string"
+    for bad in ((1, 1, 11, "0 0 1 0 1 1"), (1, 1, 0, "0 0 1 0"), (1, 1, 0, "0 0 1 0 1 2"), (1, 1, 0, "0 0 1 0 1 nan"), (1, 1, 0, "0 0 1 0 1 1 0.5")):
+        df = spark.createDataFrame([bad], lines)
+        with pytest.raises(Exception, match="invalid label line"):
+            curation.label_lines(df).collect()
+        assert curation.label_lines(df, strict=False).count() == 0
+
+
+def test_sources_are_sets(spark):
+    rows = [(1, "chimney", ["rid"], None, 0.0, 0.0, 2.0, 2.0), (2, "chimney", ["height", "rid"], None, 0.0, 0.0, 2.0, 2.0), (3, "chimney", ["rid", "rid"], None, 0.0, 0.0, 2.0, 2.0), (4, "pv_installation", ["rid", "swiss"], 0.5, 0.0, 0.0, 1.0, 2.0), (5, "pv_installation", ["swiss"], 0.4, 0.0, 0.0, 2.0, 2.0), (6, "shadow", ["rid"], 0.9, 0.0, 0.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "id long, kind string, sources array<string>, confidence double, x1 double, y1 double, x2 double, y2 double")
+    got = {r.id: (r.clipped_area, r.blocks_placement) for r in fusion.arbitrated(df, 2.0).collect()}
+    assert got == {1: (2.0, True), 2: (4.0, True), 3: (2.0, True), 4: (2.0, True), 5: (4.0, True), 6: (4.0, False)}
+    s = spark.createDataFrame([(["b", "a", "b"], "x", "y"), (None, "x", "y"), (None, None, "y"), (None, None, None)], "l array<string>, s string, m string")
+    assert [r.c for r in s.select(fusion.source_set(F.col("l"), F.col("s"), F.col("m")).alias("c")).collect()] == [["a", "b"], ["x"], ["y"], ["unknown"]]
+
+
+def test_parts_grow_from_the_whole_selection(spark):
+    rows = [(1, 7, 0.0, 0.0, 4.0, 4.0, False), (2, 7, 5.0, 0.0, 9.0, 4.0, False), (3, 7, 60.0, 0.0, 64.0, 4.0, True), (4, 7, 65.0, 0.0, 69.0, 4.0, False), (5, 8, 0.0, 0.0, 4.0, 4.0, False), (6, 8, 20.0, 0.0, 24.0, 4.0, False)]
+    df = spark.createDataFrame(rows, "id long, egid long, x1 double, y1 double, x2 double, y2 double, selected boolean")
+    assert {(r.egid, r.id) for r in roofs.grown_selection(df).collect()} == {(7, 3), (7, 4), (8, 5)}
+    assert {(r.egid, r.id) for r in roofs.grown_selection(df.drop("selected")).collect()} == {(7, 1), (7, 2), (8, 5)}
 
 
 def test_names_and_headers(spark):
