@@ -47,6 +47,18 @@ def pieces(batch: pa.RecordBatch, most: int = PIECE) -> Iterator[pa.RecordBatch]
         yield batch.slice(a, b - a)
 
 
+#: Rows of one Arrow batch, where the session doesn't say: documents are long, and executors hold a batch in several forms at once.
+ROWS = 1000
+
+
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow, with batches of ROWS rows unless the session has its own setting."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, str(ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def by_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """df through a function of Arrow batches that returns columns by name; start() runs once a task."""
     fields = StructType.fromDDL(schema)
@@ -59,7 +71,7 @@ def by_batch(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Record
         each = columns = batch = None
         give_back()
 
-    return df.mapInArrow(run, fields)
+    return in_batches(df, run, fields)
 
 
 def spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

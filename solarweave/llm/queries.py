@@ -55,7 +55,7 @@ def op5_toxicity(spark, sf_dir):
     count for nothing. Repeated rows come out repeated; without confirmed examples every score is 0.
     """
     docs = table(spark, sf_dir, "documents")
-    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.fitted_and_scored(docs, table(spark, sf_dir, "labels"))
 
 
 def op6_near_duplicates(spark, sf_dir):

@@ -6,13 +6,13 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solarweave.llm.batches import by_batch, give_back, pieces
+from solarweave.llm.batches import by_batch, give_back, in_batches, pieces
 from solarweave.llm.labels import held_out, sample
+from solarweave.storage import stored
 
 #: Hashed features; confirmed and unlabelled documents that training takes at most.
 BUCKETS, MOST_CONFIRMED, MOST_UNLABELLED = 1 << 20, 3000, 8000
@@ -180,7 +180,7 @@ def frequencies(docs: DataFrame, wanted: np.ndarray, key: str, text: str) -> tup
         give_back()
 
     own = docs.filter(~F.coalesce(held_out(key), F.lit(False))).select(F.col(f"`{text}`").alias("t"))
-    got = own.mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    got = in_batches(own, run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     f, n, out = got.f.to_numpy(np.int64), got.n.to_numpy(np.int64), np.zeros(BUCKETS, np.int64)
     out[f[f >= 0]] = n[f >= 0]
     return out, int(n[f < 0].sum())
@@ -202,15 +202,15 @@ def tallied(docs: DataFrame, model: Model, key: str, text: str) -> tuple[np.ndar
         give_back()
 
     own = docs.filter(~F.coalesce(held_out(key), F.lit(False))).select(F.col(f"`{text}`").alias("t"))
-    got = own.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    got = in_batches(own, run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     return got.bin.to_numpy(np.int64), got.n.to_numpy(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
-    """A model from at most MOST_CONFIRMED documents labelled 1 and MOST_UNLABELLED of any, none held out.
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> tuple[Model, float]:
+    """A model from at most MOST_CONFIRMED documents labelled 1 and MOST_UNLABELLED of any, none held out, and the prior.
 
     The prior is the share of 1 among all labels that aren't held out; features are chosen by
-    their frequencies in all documents that aren't, and the cut is set over the scores of these.
+    their frequencies in all documents that aren't. The cut is still that of the sample.
     """
     row = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).agg(F.avg(F.col(label).cast("double"))).first()
     prior = float(row[0] or 0)
@@ -218,25 +218,50 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     confirmed = gathered(sample(docs, labels, label, MOST_CONFIRMED, 1, key, text))
     unlabelled = gathered(sample(docs, any_of, label, MOST_UNLABELLED, None, key, text))
     wanted = np.flatnonzero(np.bincount(np.concatenate(confirmed), minlength=BUCKETS) >= LEAST) if confirmed else np.zeros(0, np.int64)
-    model = train(confirmed, unlabelled, prior, frequencies(docs, wanted, key, text) if len(wanted) else None)
+    return train(confirmed, unlabelled, prior, frequencies(docs, wanted, key, text) if len(wanted) else None), prior
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
+    """The model of learn with its cut set over the scores of all documents that aren't held out."""
+    model, prior = learn(docs, labels, label, key, text)
     if len(model.chosen):
         model.bias = -cut(model.confirmed, *tallied(docs, model, key, text), prior)
     return model
 
 
+def _scores(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
+    """(k, z): each row's key and the weight of its text's features."""
+
+    def start():
+        features = Features(model.chosen)
+        return lambda batch: {"k": batch.column("k"), "z": [float(model.weights[features.of(t)].sum()) for t in batch.column("t").to_pylist()]}
+
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    return by_batch(rows, f"k {rows.schema['k'].dataType.simpleString()}, z double", start)
+
+
+def _judged(scores: DataFrame, bias: float, key: str, threshold: float) -> DataFrame:
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("z") + bias))))
+    return scores.select(F.col("k").alias(key), F.coalesce(held_out("k"), F.lit(False)).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+
+
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row's whole text; null texts count as empty.
 
     Empty texts have the score of no feature. A null id is not held out. No shuffle.
     """
+    return _judged(_scores(docs, model, key, text), model.bias, key, threshold)
 
-    def start():
-        features = Features(model.chosen)
-        return lambda batch: {"k": batch.column("k"), "score": [model.score(features.of(t)) for t in batch.column("t").to_pylist()]}
 
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    out = by_batch(rows, f"k {rows.schema['k'].dataType.simpleString()}, score double", start)
-    return out.select(F.col("k").alias(key), F.coalesce(held_out("k"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def fitted_and_scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """scored by the model of fit, with every text scored once: the cut is set over the scores as they are written."""
+    model, prior = learn(docs, labels, label, key, text)
+    scores = stored(_scores(docs, model, key, text), "scores")
+    if len(model.chosen):
+        step = F.floor(F.greatest(F.lit(float(-FAR)), F.least(F.lit(float(FAR)), F.col("z"))) * GRID).cast("long")
+        bins = scores.filter(~F.coalesce(held_out("k"), F.lit(False))).groupBy(step.alias("bin")).agg(F.count("*").alias("n")).toPandas()
+        model.bias = -cut(model.confirmed, bins.bin.to_numpy(np.int64), bins.n.to_numpy(np.int64), prior)
+    return _judged(scores, model.bias, key, threshold)
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -252,4 +277,4 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
             yield batch.filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

@@ -165,7 +165,10 @@ def test_classifiers_on_the_held_out_fold(spark, docs, nothing):
         assert module.scored(docs, model).filter("score between 0 and 1").count() == docs.count()
         assert module.scored(nothing, model).count() == 0
         assert module.scored(own, module.fit(nothing, labels)).count() == 900
-    kept = toxicity.without_toxic(own, toxicity.fit(own, labels))
+    model = toxicity.fit(own, labels)
+    once, twice = (sorted(map(tuple, d.collect())) for d in (toxicity.fitted_and_scored(own, labels), toxicity.scored(own, model)))
+    assert once == twice
+    kept = toxicity.without_toxic(own, model)
     assert kept.columns == own.columns and 600 < kept.count() < 850
 
 
