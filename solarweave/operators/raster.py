@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solarweave.operators.components import connected_components
+from solarweave.storage import joined_back
 
 #: Fixed values of the height rules.
 LEAST_RISE, SIGMAS, TO_SIGMA, LEAST_CELLS = 0.28, 4.0, 1.4826, 8
@@ -41,6 +42,29 @@ def closed(raster: DataFrame, value: Column, reach: int = 1) -> DataFrame:
     return eroded(dilated(raster, value, reach), F.col("v"), reach)
 
 
+def background_reach(pixels_per_metre: float, metres: float = 3.0) -> int:
+    """Reach of the square of about so many metres, of an odd number of pixels, that a local mean is taken over."""
+    return (round(metres * pixels_per_metre) | 1) // 2
+
+
+def mirrored(raster: DataFrame, reach: int) -> DataFrame:
+    """raster and reach more cells on each side of its image, mirrored at the middle of the cells at the edge."""
+    size = raster.groupBy("image").agg((F.max("r") * 2).alias("__r"), (F.max("c") * 2).alias("__c"))
+    out = joined_back(raster, size, "image")
+    for k in "rc":
+        own, end = F.col(k), F.col(f"__{k}")
+        copies = F.array(own, F.when((own > 0) & (own <= reach), -own), F.when((end - own > end / 2) & (end - own <= end / 2 + reach), end - own))
+        out = out.withColumn(k, F.explode(F.array_compact(copies)))
+    return out.drop("__r", "__c")
+
+
+def local_mean(raster: DataFrame, value: Column, reach: int) -> DataFrame:
+    """raster with v: the mean over the square around each cell, mirrored beyond the image's edges."""
+    own = raster.select("image", "r", "c", value.alias("__v"))
+    wide = blurred(mirrored(own, reach), F.col("__v"), reach).filter("v is not null").select("image", "r", "c", "v")
+    return raster.join(wide, ["image", "r", "c"])
+
+
 def blurred(raster: DataFrame, value: Column, reach: int = 1) -> DataFrame:
     """raster with v: the mean of each full square; null where the square leaves the image."""
     by_row = Window.partitionBy("image", "r").orderBy("c").rangeBetween(-reach, reach)
@@ -91,6 +115,29 @@ def mosaic(tiles: DataFrame) -> DataFrame:
     return real.groupBy("r", "c").agg(F.min_by("z", "rank").alias("z"))
 
 
+def snapped(x1: Column, y1: Column, x2: Column, y2: Column, step: float = 0.5) -> Column:
+    """Struct c1, r1, c2, r2: the window of a grid of that step, north up, that holds a box; ends are beyond the last cell."""
+    low, high = lambda v: F.floor(v / step).cast("long"), lambda v: F.ceil(v / step).cast("long")
+    return F.struct(low(x1).alias("c1"), (-high(y2)).alias("r1"), high(x2).alias("c2"), (-low(y1)).alias("r2"))
+
+
+def mosaic_windows(requests: DataFrame, tiles: DataFrame, strict: bool = True) -> DataFrame:
+    """(request, r, c, z): what a mosaic of tiles (rank, r, c, z) holds in each request's window, with rows and columns from its corner.
+
+    requests are (request, x1, y1, x2, y2) in metres; windows are snapped to the grid of half a
+    metre, and the first tile by rank that has a value wins. A window of fewer than four cells,
+    or without any value, raises, or is left out unless strict.
+    """
+    w = requests.withColumn("w", snapped(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))).select("request", "w.*").withColumn("size", (F.col("c2") - F.col("c1")) * (F.col("r2") - F.col("r1")))
+    cells = w.filter("size >= 4").select("*", F.explode(F.sequence(F.col("r1"), F.col("r2") - 1)).alias("r")).select("*", F.explode(F.sequence(F.col("c1"), F.col("c2") - 1)).alias("c"))
+    found = cells.join(mosaic(tiles), ["r", "c"]).select("request", (F.col("r") - F.col("r1")).alias("r"), (F.col("c") - F.col("c1")).alias("c"), "z")
+    if not strict:
+        return found
+    missing = w.join(found.select("request").distinct(), "request", "left_anti")
+    failed = F.raise_error(F.concat(F.lit("no heights for request "), F.col("request").cast("string")))
+    return found.unionByName(missing.select("request", failed.cast("long").alias("r"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("z")))
+
+
 def plane_fits(raster: DataFrame) -> DataFrame:
     """(image, a, b, z0, rmse, n) of z = a c + b r + z0 by least squares, from sums alone.
 
@@ -109,14 +156,18 @@ def plane_fits(raster: DataFrame) -> DataFrame:
     return s.withColumn("rmse", F.sqrt(F.greatest(left, F.lit(0.0)) / n)).select("image", "a", "b", "z0", "rmse", n.cast("long").alias("n"))
 
 
-def _consensus(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The plane that most cells of one face lie on, refined on those cells."""
-    pdf = pdf[np.isfinite(pdf.z.astype(float))].sort_values(["r", "c"])
-    if len(pdf) < FIT_CELLS:
-        return pd.DataFrame(columns=["image", "a", "b", "z0", "points", "inliers", "rmse"])
-    m, z = np.column_stack((pdf.c, pdf.r, np.ones(len(pdf)))).astype(float), pdf.z.to_numpy(float)
-    rng, best = np.random.default_rng(FIT_SEED), np.zeros(len(z), bool)
-    picks = np.stack([rng.choice(len(z), 3, replace=False) for _ in range(TRIALS)])
+def trial_picks(cells: int) -> np.ndarray:
+    """Three different cells for each trial, out of so many; they depend on the number alone."""
+    rng = np.random.default_rng(FIT_SEED)
+    return np.stack([rng.choice(cells, 3, replace=False) for _ in range(TRIALS)])
+
+
+def consensus_plane(m: np.ndarray, z: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Plane, cells that lie on it, and residuals: what most cells lie on among planes through picked ones, refined on those cells.
+
+    m has columns c, r and 1 of the cells in the order of rows and columns, z their heights.
+    """
+    best = np.zeros(len(z), bool)
     picks = picks[np.abs(np.linalg.det(m[picks])) >= 1e-9]
     if len(picks):
         planes = np.linalg.solve(m[picks], z[picks][..., None])[..., 0]
@@ -129,21 +180,46 @@ def _consensus(pdf: pd.DataFrame) -> pd.DataFrame:
         if (np.abs(left) <= TOLERANCE).sum() < LEAST_CELLS:
             break
         keep = np.abs(left) <= TOLERANCE
-    return pd.DataFrame([{"image": pdf.image.iloc[0], "a": plane[0], "b": plane[1], "z0": plane[2], "points": len(z), "inliers": int(keep.sum()), "rmse": float(np.sqrt((left[keep] ** 2).mean()))}])
+    return plane, keep, left
+
+
+def consensus_planes(raster: DataFrame, per_bucket: int = 100_000) -> DataFrame:
+    """One plane a face by seeded consensus; faces with fewer than 12 cells have none.
 
+    Faces share buckets of about per_bucket cells, so that small ones cost no task of their
+    own, and the picks for a number of cells are drawn once a task. A face must fit a task.
+    """
+    columns = ["image", "a", "b", "z0", "points", "inliers", "rmse"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, rows, picks = pdf.sort_values(["image", "r", "c"]), [], {}
+        image, m, z = pdf.image.to_numpy(), np.column_stack((pdf.c, pdf.r, np.ones(len(pdf)))).astype(float), pdf.z.to_numpy(float)
+        edges = np.flatnonzero(np.diff(image)) + 1
+        for a, b in zip([0, *edges], [*edges, len(z)], strict=True):
+            if b - a >= FIT_CELLS:
+                if b - a not in picks:
+                    picks[b - a] = trial_picks(b - a)
+                plane, keep, left = consensus_plane(m[a:b], z[a:b], picks[b - a])
+                rows.append((image[a], *plane, b - a, int(keep.sum()), float(np.sqrt((left[keep] ** 2).mean()))))
+        return pd.DataFrame(rows, columns=columns)
 
-def consensus_planes(raster: DataFrame) -> DataFrame:
-    """One plane a face by seeded consensus; faces with fewer than 12 cells have none. A face is one task's group."""
-    return raster.select("image", "r", "c", "z").groupBy("image").applyInPandas(_consensus, "image long, a double, b double, z0 double, points long, inliers long, rmse double")
+    own = raster.select("image", "r", "c", "z").filter(F.col("z").isNotNull() & ~F.isnan("z") & (F.abs("z") < float("inf")))
+    buckets = max(1, own.count() // per_bucket)
+    return own.groupBy(F.pmod(F.xxhash64("image"), F.lit(buckets)).alias("bucket")).applyInPandas(run, "image long, a double, b double, z0 double, points long, inliers long, rmse double")
 
 
 def rasterised(polygons: DataFrame, grid: DataFrame) -> DataFrame:
-    """Cells of each polygon (id, ring of x, y): whose centre lies inside by the even-odd rule.
+    """Cells of each polygon (id, rings of x, y: outlines and holes in any order): whose centre lies inside by the even-odd rule.
 
     grid is (id, rows, columns); cell (r, c) has its centre at c + 0.5, r + 0.5.
     """
     out = polygons.join(grid, "id").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
-    return out.filter(inside(F.col("ring"), F.col("c") + 0.5, F.col("r") + 0.5)).select("id", "r", "c")
+    return out.filter(inside_rings(F.col("rings"), F.col("c") + 0.5, F.col("r") + 0.5)).select("id", "r", "c")
+
+
+def inside_rings(rings: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in what rings enclose by the even-odd rule, whatever their order and direction."""
+    return F.size(F.filter(rings, lambda ring: inside(ring, x, y))) % 2 == 1
 
 
 def inside(ring: Column, x: Column, y: Column) -> Column:
@@ -161,6 +237,13 @@ def above(raster: DataFrame, fits: DataFrame, thresholds: DataFrame) -> DataFram
     return out.withColumn("residual", F.col("z") - F.col("a") * F.col("c") - F.col("b") * F.col("r") - F.col("z0")).filter("residual > threshold")
 
 
+def face_cores(raster: DataFrame) -> DataFrame:
+    """raster (image, r, c, face) with core: whether all cells around are of the same face. Beyond the image nothing counts."""
+    low = eroded(raster, F.coalesce("face", F.lit(-1))).withColumnRenamed("v", "__low")
+    both = dilated(low, F.coalesce("face", F.lit(-1)))
+    return both.withColumn("core", F.col("face").isNotNull() & (F.col("__low") == F.col("v"))).drop("__low", "v")
+
+
 def largest(parts: DataFrame, group: str, area: str, n: int) -> DataFrame:
     """The n largest parts of each group, ties to the smaller id."""
     return parts.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(area), "id"))).filter(F.col("place") <= n)

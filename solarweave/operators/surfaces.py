@@ -7,12 +7,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solarweave.functions.boxes import ring_area
+from solarweave.operators.raster import TO_SIGMA, background_reach, closed, eroded, inside, local_mean
 from solarweave.operators.spatial import BOX, common_part, overlap_join, union_area
+from solarweave.storage import joined_back
 
-#: Obstacle and window rules, and the search of a roof's registration.
-CELL_AREA, LEAST_OBSTACLE, CHIMNEY_AREA = 0.25, 0.35, 2.5
+#: Rules of obstacles and of windows, and the strongest edge.
+CELL_SIDE, CELL_AREA, LEAST_OBSTACLE, OBSTACLE_SHARE, CHIMNEY_AREA, THIN, MOST_OBSTACLES = 0.5, 0.25, 0.35, 0.5, 2.5, 0.7, 40
+LEAST_DROP, LEAST_DROP_AREA, DROP_SHARE = 1.5, 4.0, 0.95
 WINDOW_CONTRAST, WINDOW_SIGMAS, WINDOW_LEAST, WINDOW_MOST, ASPECT_LEAST, ASPECT_MOST, FILL_LEAST = 8.0, 3.0, 0.25, 6.0, 0.3, 3.4, 0.55
-SHIFT_MOST, EDGE_MOST = 4, 100.0
+EDGE_MARGIN, LEAST_CORE, WINDOW_GROW, MOST_WINDOWS = 0.4, 64, 0.2, 60
+EDGE_MOST = 100.0
 
 
 def uncovered_area(boxes: DataFrame, covers: DataFrame, key: str, size: float) -> DataFrame:
@@ -31,33 +36,80 @@ def visible_area(faces: DataFrame, building: str, order: str, size: float) -> Da
     return own.select(order, area.alias("area")).join(lost, order, "left").select(order, "area", (F.col("area") - F.coalesce("union_area", F.lit(0.0))).alias("free_area"))
 
 
-def even_odd_area(rings: DataFrame, key: str) -> DataFrame:
-    """(key, area) of nested rings (key, area, depth): odd depths are holes, whatever the orientation."""
-    return rings.groupBy(key).agg(F.sum(F.when(F.col("depth") % 2 == 0, F.col("ring_area")).otherwise(-F.col("ring_area"))).alias("area"))
+def even_odd_area(rings: Column) -> Column:
+    """Area that rings (arrays of x, y, which don't cross) enclose by the even-odd rule.
+
+    Neither their order nor their direction counts: a ring inside an odd number of others is a hole.
+    """
+    def signed(ring, i):
+        depth = F.size(F.filter(rings, lambda other, j: (i != j) & inside(other, ring[0]["x"], ring[0]["y"])))
+        return F.when(depth % 2 == 0, ring_area(ring)).otherwise(-ring_area(ring))
+
+    return F.aggregate(F.transform(rings, signed), F.lit(0.0), lambda s, x: s + x)
 
 
-def obstacles(components: DataFrame) -> DataFrame:
-    """Obstacles of raised components (image, component, r, c): area, extent and kind.
+def raised_and_dropped(raster: DataFrame, fits: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """raster (image, face, r, c, z, core) with residual, raised and dropped (0 or 1) against the plane of its face.
 
-    Each cell is a quarter of a square metre. Parts under 0.35 square metres go; up to 2.5 is a
-    chimney, beyond it a superstructure.
+    fits and thresholds are by image and face. Only the core of a face is judged: a cell on a
+    ridge stands proud of both its faces. Missing heights are neither.
     """
-    out = components.groupBy("image", "component").agg(F.count("*").alias("cells"), (F.max("r") - F.min("r") + 1).alias("rows"), (F.max("c") - F.min("c") + 1).alias("columns"))
-    out = out.withColumn("area", F.col("cells") * CELL_AREA).filter(F.col("area") >= LEAST_OBSTACLE)
-    return out.withColumn("kind", F.when(F.col("area") <= CHIMNEY_AREA, "chimney").otherwise("superstructure"))
+    out = raster.join(fits, ["image", "face"], "left").join(thresholds, ["image", "face"], "left")
+    out = out.withColumn("residual", F.col("z") - F.col("a") * F.col("c") - F.col("b") * F.col("r") - F.col("z0"))
+    judged = F.col("core") & F.col("residual").isNotNull() & ~F.isnan("residual")
+    mark = lambda c: F.coalesce(judged & c, F.lit(False)).cast("int")
+    return out.withColumn("raised", mark(F.col("residual") > F.col("threshold"))).withColumn("dropped", mark(F.col("residual") < -LEAST_DROP)).select("image", "r", "c", "face", "residual", "raised", "dropped")
 
 
-def windows(components: DataFrame, cell_area: float) -> DataFrame:
-    """Roof windows among components of contrast: area 0.25 to 6, aspect 0.3 to 3.4, at least 0.55 of their extent filled."""
+def obstacles(components: DataFrame, below: bool = False, most: int = MOST_OBSTACLES) -> DataFrame:
+    """Obstacles of closed components (image, component, r, c, depth, roof_area): cells, area, height, kind and place by area.
+
+    Each cell is a quarter of a square metre. Raised parts have 0.35 square metres at least and
+    at most half of the roof, dropped ones (below) 4 and 0.95 of it; parts whose enclosing box
+    is thinner than 0.7 m go. Raised ones up to 2.5 square metres are chimneys, all else other
+    obstacles. depth is null where a cell lacks heights; the most largest of an image stay.
+    """
+    out = components.groupBy("image", "component").agg(
+        F.count("*").alias("cells"), (F.max("r") - F.min("r") + 1).alias("rows"), (F.max("c") - F.min("c") + 1).alias("columns"), F.max("depth").alias("height"), F.first("roof_area").alias("roof_area")
+    )
+    least, share = (LEAST_DROP_AREA, DROP_SHARE) if below else (LEAST_OBSTACLE, OBSTACLE_SHARE)
+    out = out.withColumn("area", F.col("cells") * CELL_AREA).filter((F.col("area") >= least) & (F.col("area") <= F.col("roof_area") * share) & (F.least("rows", "columns") * CELL_SIDE >= THIN))
+    kind = F.lit("other_obstacle") if below else F.when(F.col("area") <= CHIMNEY_AREA, "chimney").otherwise("other_obstacle")
+    place = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("area"), "component"))
+    return out.withColumn("kind", kind).withColumn("place", place).filter(F.col("place") <= most).drop("roof_area")
+
+
+def windows(components: DataFrame, pixels_per_metre: float, most: int = MOST_WINDOWS) -> DataFrame:
+    """Roof windows among components of contrast (image, component, r, c): cells, area, fill, grown_area and place.
+
+    A window has 0.25 to 6 square metres, an aspect from 0.3 to 3.4, and fills at least 0.55 of
+    its box. Its bright part stops short of its frame, so its box grows by 0.2 m on each side;
+    the most largest of an image stay.
+    """
+    cell, grow = 1 / pixels_per_metre**2, 2 * WINDOW_GROW * pixels_per_metre
     c = components.groupBy("image", "component").agg(F.count("*").alias("cells"), (F.max("r") - F.min("r") + 1).alias("rows"), (F.max("c") - F.min("c") + 1).alias("columns"))
-    c = c.withColumn("area", F.col("cells") * cell_area).withColumn("aspect", F.col("columns") / F.col("rows")).withColumn("fill", F.col("cells") / (F.col("rows") * F.col("columns")))
-    return c.filter(F.col("area").between(WINDOW_LEAST, WINDOW_MOST) & F.col("aspect").between(ASPECT_LEAST, ASPECT_MOST) & (F.col("fill") >= FILL_LEAST))
+    c = c.withColumn("area", F.col("cells") * cell).withColumn("aspect", F.col("columns") / F.col("rows")).withColumn("fill", F.col("cells") / (F.col("rows") * F.col("columns")))
+    c = c.filter(F.col("area").between(WINDOW_LEAST, WINDOW_MOST) & F.col("aspect").between(ASPECT_LEAST, ASPECT_MOST) & (F.col("fill") >= FILL_LEAST))
+    c = c.withColumn("grown_area", (F.col("rows") + grow) * (F.col("columns") + grow) * cell)
+    return c.withColumn("place", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("grown_area"), "component"))).filter(F.col("place") <= most)
+
 
+def contrast_hits(raster: DataFrame, pixels_per_metre: float) -> DataFrame:
+    """(image, r, c, hit) of images (image, r, c, red, blue, roof): closed cells of blue contrast on the roof.
 
-def contrast_mask(raster: DataFrame, blurred: str, value: str, spread: DataFrame) -> DataFrame:
-    """Cells whose value exceeds the local mean by 8 and by three spreads of their image."""
-    lift = F.col(value) - F.col(blurred)
-    return raster.join(spread, "image").filter((lift > WINDOW_CONTRAST) & (lift > WINDOW_SIGMAS * F.col("spread")))
+    Contrast is blue minus red less its mean over 3 m around; a cell is hit if it exceeds the
+    median of the roof's core by 8 and by three robust spreads. The core stays 0.4 m clear of the
+    roof's edge; an image whose core has fewer than 64 cells has no hit.
+    """
+    k = raster.withColumn("k", (F.col("blue") - F.col("red")).cast("double"))
+    k = local_mean(k, F.col("k"), background_reach(pixels_per_metre)).withColumn("contrast", F.col("k") - F.col("v")).drop("v")
+    k = eroded(k, F.col("roof").cast("int"), max(1, round(EDGE_MARGIN * pixels_per_metre))).withColumn("core", F.col("v") == 1).select("image", "r", "c", "contrast", "core")
+    core = k.filter("core")
+    centre = core.groupBy("image").agg(F.percentile("contrast", F.lit(0.5)).alias("centre"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_CORE)
+    spread = joined_back(core, centre, "image").groupBy("image", "centre").agg(F.percentile(F.abs(F.col("contrast") - F.col("centre")), F.lit(0.5)).alias("spread"))
+    least = spread.select("image", (F.col("centre") + F.greatest(F.lit(WINDOW_CONTRAST), WINDOW_SIGMAS * TO_SIGMA * F.col("spread"))).alias("least"))
+    hit = joined_back(k, least, "image").withColumn("hit", (F.col("core") & (F.col("contrast") > F.col("least"))).cast("int"))
+    return closed(hit, F.col("hit")).select("image", "r", "c", F.col("v").alias("hit"))
 
 
 def edges(raster: DataFrame, value: str) -> DataFrame:
@@ -109,20 +161,102 @@ def _keep(points: np.ndarray, epsilon: float) -> np.ndarray:
     return keep
 
 
-def simplified(lines: DataFrame, epsilon: float, per_bucket: int = 5000) -> DataFrame:
-    """(id, n, x, y) of the points of each line (id, n, x, y) that a simplification within epsilon keeps.
+def _length(points: np.ndarray) -> float:
+    return float(np.hypot(*np.diff(points, axis=0).T).sum())
+
+
+#: How far a line's points may lie from its simplification, in pixels, by its length: outlines of heights, of windows and of masks.
+TOLERANCES = {"height": lambda length: min(0.4, 0.02 * length), "window": lambda length: max(0.5, 0.03 * length), "mask": lambda length: 0.5}
+
+
+def simplified(lines: DataFrame, rule: str = "mask", per_bucket: int = 5000) -> DataFrame:
+    """(id, n, x, y) of the points of each line (id, n, x, y) that a simplification by the rule for its length keeps.
 
     A line is one group; lines share buckets so that short ones cost no task of their own.
     """
+    epsilon = TOLERANCES[rule]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "n"])
-        return pd.concat([own[_keep(own[["x", "y"]].to_numpy(float), epsilon)] for _, own in pdf.groupby("id", sort=False)])[["id", "n", "x", "y"]]
+        pdf, kept = pdf.sort_values(["id", "n"]), []
+        points, ids = pdf[["x", "y"]].to_numpy(float), pdf["id"].to_numpy()
+        ends = np.flatnonzero(np.diff(ids)) + 1
+        for a, b in zip([0, *ends], [*ends, len(ids)], strict=True):
+            kept.append(_keep(points[a:b], epsilon(_length(points[a:b]))) if b - a > 1 else np.ones(b - a, bool))
+        return pdf[np.concatenate(kept)][["id", "n", "x", "y"]]
 
     buckets = max(1, lines.select("id").distinct().count() // per_bucket)
     return lines.select("id", "n", "x", "y").groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")).applyInPandas(run, "id long, n long, x double, y double")
 
 
+def outline(mask: np.ndarray) -> np.ndarray:
+    """Corners of the outer outline of a mask of one part, eight-connected, along the edges of its cells."""
+    full = np.pad(mask, 1)
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r, c in np.argwhere(mask).tolist():
+        for (dr, dc), a, b in (((-1, 0), (c, r), (c + 1, r)), ((0, 1), (c + 1, r), (c + 1, r + 1)), ((1, 0), (c + 1, r + 1), (c, r + 1)), ((0, -1), (c, r + 1), (c, r))):
+            if not full[r + 1 + dr, c + 1 + dc]:
+                after.setdefault(a, []).append(b)
+    start = min(after, key=lambda p: (p[1], p[0]))
+    ring, at, way = [start], start, (1, 0)
+    while True:
+        # Where cells touch at a corner, turn left into the next one, so that the part stays one ring.
+        ahead = after[at]
+        step = min(ahead, key=lambda p: ((-way[1] * (p[0] - at[0]) + way[0] * (p[1] - at[1])), -(way[0] * (p[0] - at[0]) + way[1] * (p[1] - at[1]))))
+        ahead.remove(step)
+        turn = (step[0] - at[0], step[1] - at[1])
+        if turn == way and len(ring) > 1:
+            ring.pop()
+        ring.append(step)
+        at, way = step, turn
+        if at == start:
+            return np.array(ring[:-1], float)
+
+
+def filled(ring: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Cells of a grid whose centre lies in a ring by the even-odd rule."""
+    y, x = np.mgrid[: shape[0], : shape[1]] + 0.5
+    out = np.zeros(shape, bool)
+    for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+        if p[1] != q[1]:
+            out ^= ((p[1] > y) != (q[1] > y)) & (x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0])
+    return out
+
+
+def _closed_keep(ring: np.ndarray, epsilon: float) -> np.ndarray:
+    """A closed ring simplified between its first point and the one farthest from it."""
+    far = int(np.hypot(*(ring - ring[0]).T).argmax())
+    halves = ring[: far + 1], np.vstack((ring[far:], ring[:1]))
+    return np.vstack([h[_keep(h, epsilon)][:-1] for h in halves])
+
+
+def mask_polygons(parts: DataFrame, rows: int, columns: int, cls: int = 0, least: int = 3, per_bucket: int = 2000) -> DataFrame:
+    """(image, line, agreement) of masks (image, part, r, c): label lines of all parts of at least that many cells, and how well they fit.
+
+    A part's line is its class and its outline, simplified within half a cell, relative to the
+    image's sides. Agreement is the share of cells that mask and filled lines have in common; it
+    is 1 where both are empty. An image is one group; images share buckets.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for image, own in pdf.groupby("image", sort=True):
+            mask, made, lines = np.zeros((rows, columns), bool), np.zeros((rows, columns), bool), []
+            for _, part in own.groupby("part", sort=True):
+                cells = np.zeros((rows, columns), bool)
+                cells[part.r, part.c] = True
+                mask |= cells
+                ring = _closed_keep(outline(cells), TOLERANCES["mask"](0.0))
+                if len(part) >= least and len(ring) >= 3:
+                    made |= filled(ring, mask.shape)
+                    lines.append(" ".join([str(cls), *(f"{v:.7f}" for v in (ring / [columns, rows]).ravel())]))
+            union = (mask | made).sum()
+            out.append((image, lines, float((mask & made).sum() / union) if union else 1.0))
+        return pd.DataFrame(out, columns=["image", "lines", "agreement"])
+
+    buckets = max(1, parts.select("image").distinct().count() // per_bucket)
+    return parts.select("image", "part", "r", "c").groupBy(F.pmod(F.xxhash64("image"), F.lit(buckets)).alias("bucket")).applyInPandas(run, "image long, lines array<string>, agreement double")
+
+
 def every_nth(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The first row of each run of n of a key."""
     w = Window.partitionBy(key).orderBy(order)

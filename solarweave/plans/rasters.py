@@ -71,16 +71,23 @@ def raised_cells(spark, sf_dir):
 
 
 def rasterised_parts(spark, sf_dir):
-    """Cells whose centres lie in a triangle: as many as the even-odd rule says."""
+    """Cells whose centres lie in a triangle with a hole: as many as the even-odd rule says."""
     p = table(spark, sf_dir, "part")
     pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    n = 3 + F.col("p_size") % 6
-    polygons = p.select(F.col("p_partkey").alias("id"), F.array(pt(F.lit(0.25), F.lit(0.25)), pt(n + 0.25, F.lit(0.25)), pt(F.lit(0.25), n + 0.25)).alias("ring"))
+    n, low, high = 3 + F.col("p_size") % 6, F.lit(0.75), F.lit(1.75)
+    rings = F.array(F.array(pt(low, low), pt(low, high), pt(high, high), pt(high, low)), F.array(pt(F.lit(0.25), F.lit(0.25)), pt(n + 0.25, F.lit(0.25)), pt(F.lit(0.25), n + 0.25)))
+    polygons = p.select(F.col("p_partkey").alias("id"), rings.alias("rings"))
     grid = p.select(F.col("p_partkey").alias("id"), F.lit(9).alias("rows"), F.lit(9).alias("columns"))
     return raster.rasterised(polygons, grid).groupBy("id").agg(F.count("*").alias("cells"))
 
 
-QUERIES = {f.__name__: f for f in (raster_morphology, raster_blur, edge_margin, robust_threshold, raster_components, raster_mosaic, plane_least_squares, plane_consensus, raised_cells, rasterised_parts)}
+def local_background(spark, sf_dir):
+    """Mean of the 7 x 7 square around each cell, mirrored at the image's edges."""
+    g = _grid(spark, sf_dir).withColumn("k", F.floor(F.col("z") * 1000).cast("double"))
+    return raster.local_mean(g, F.col("k"), raster.background_reach(2.0)).select("image", "r", "c", F.round("v", 6).alias("v"))
+
+
+QUERIES = {f.__name__: f for f in (local_background, raster_morphology, raster_blur, edge_margin, robust_threshold, raster_components, raster_mosaic, plane_least_squares, plane_consensus, raised_cells, rasterised_parts)}
 
 _AROUND = "g a JOIN g b ON a.image = b.image AND abs(a.r - b.r) <= {0} AND abs(a.c - b.c) <= {0}"
 _FIT = """sums AS (SELECT image, count(*)::DOUBLE AS n, sum(c) AS x, sum(r) AS y, sum(z) AS z, sum(c * c) AS xx, sum(r * r) AS yy, sum(c * r) AS xy, sum(c * z) AS xz, sum(r * z) AS yz, sum(z * z) AS zz FROM g GROUP BY image),
@@ -106,5 +113,9 @@ SELECT r::INTEGER AS r, c::INTEGER AS c, arg_min(z, image) AS z FROM t GROUP BY
 high AS (SELECT g.image, count(*) AS cells FROM g JOIN fit f ON g.image = f.image JOIN rise t ON g.image = t.image WHERE g.z - f.a * g.c - f.b * g.r - (f.z - f.a * f.x - f.b * f.y) / f.n > threshold GROUP BY g.image)
 SELECT grp, id, cells, place FROM (SELECT image % 5 AS grp, image AS id, cells, row_number() OVER (PARTITION BY image % 5 ORDER BY cells DESC, image)::INTEGER AS place FROM high) WHERE place <= 2""",
     "rasterised_parts": """WITH p AS (SELECT p_partkey AS id, 3 + p_size % 6 AS n FROM part), k AS (SELECT unnest(range(9)) + 0.5::DOUBLE AS v)
-SELECT id, count(*) AS cells FROM p, k x, k y WHERE x.v > 0.25 AND y.v > 0.25 AND x.v < 0.25 + n - (y.v - 0.25) GROUP BY id""",
+SELECT id, count(*) AS cells FROM p, k x, k y WHERE x.v > 0.25 AND y.v > 0.25 AND x.v < 0.25 + n - (y.v - 0.25) AND NOT (x.v = 1.5 AND y.v = 1.5) GROUP BY id""",
+    "local_background": f"""WITH g AS (SELECT image, r, c, floor(z * 1000) AS k FROM ({RASTER_SQL})), d AS (SELECT unnest(range(-3, 4)) AS d),
+spot AS (SELECT p, q, CASE WHEN p + d < 0 THEN -(p + d) WHEN p + d > 7 THEN 14 - p - d ELSE p + d END AS pr, CASE WHEN q + e < 0 THEN -(q + e) WHEN q + e > 7 THEN 14 - q - e ELSE q + e END AS pc
+  FROM (SELECT unnest(range(8)) AS p), (SELECT unnest(range(8)) AS q), d, (SELECT d AS e FROM d))
+SELECT a.image, a.r, a.c, round(sum(b.k) / 49, 6) AS v FROM g a JOIN spot ON a.r = p AND a.c = q JOIN g b ON b.image = a.image AND b.r = pr AND b.c = pc GROUP BY a.image, a.r, a.c""",
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solarweave.operators import evaluation, fusion, raster, surfaces
+from solarweave.operators import registration as registration_
 from solarweave.plans.fixtures import RASTER_SQL, fixture, fixture_sql
 from solarweave.plans.rasters import _FIT, _RISE, _grid
-from solarweave.storage import table
+from solarweave.storage import stored, table
 
 
 def _placed(spark, sf_dir):
@@ -36,10 +37,15 @@ def pv_obstacle_overlap(spark, sf_dir):
 
 
 def ring_even_odd(spark, sf_dir):
-    """Area of an outer ring with a hole and an island, by nesting alone."""
+    """Area of an outer ring with a hole and an island, given in any order and direction, and of a second part beside it."""
     f = fixture(spark, sf_dir, "faces")
-    rings = f.select("face_id", F.inline(F.array(*(F.struct(F.lit(d).alias("depth"), a.alias("ring_area")) for d, a in enumerate((F.col("w") * F.col("h"), F.lit(1.0), F.lit(0.25)))))))
-    return surfaces.even_odd_area(rings, "face_id")
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    box = lambda a, b, c, d: F.array(pt(a, b), pt(c, b), pt(c, d), pt(a, d))
+    n = lambda v: F.lit(float(v))
+    hole, island, outer = F.reverse(box(n(1), n(1), n(2), n(2))), box(n(1.25), n(1.25), n(1.75), n(1.75)), box(n(0), n(0), F.col("w"), F.col("h"))
+    beside = box(F.col("w") + 1, n(0), F.col("w") + 1 + F.col("face_id") % 4 / 4, n(2))
+    rings = F.when(F.col("face_id") % 2 == 0, F.array(hole, outer, beside, island)).otherwise(F.array(island, beside, F.reverse(outer), hole))
+    return f.select("face_id", surfaces.even_odd_area(rings).alias("area"))
 
 
 def ordinal_attributes(spark, sf_dir):
@@ -66,21 +72,55 @@ def conversion_iou(spark, sf_dir):
     return iou.agg(F.min("iou").alias("least"), F.round(F.avg("iou"), 9).alias("mean"), F.count("*").alias("n"))
 
 
+def _faced(spark, sf_dir):
+    """Heights of each grid with its left and right halves as two faces."""
+    return _grid(spark, sf_dir).withColumn("z", F.col("z") * 16).withColumn("face", F.when(F.col("c") >= 4, 1).otherwise(0))
+
+
+def _judged_heights(spark, sf_dir):
+    g = raster.face_cores(_faced(spark, sf_dir))
+    by_face = g.withColumn("image", F.col("image") * 2 + F.col("face"))
+    split = lambda df, *c: df.select(F.floor(F.col("image") / 2).alias("image"), (F.col("image") % 2).cast("int").alias("face"), *c)
+    planes = raster.plane_fits(by_face)
+    left = by_face.join(planes.select("image", "a", "b", "z0"), "image").withColumn("left", F.col("z") - F.col("a") * F.col("c") - F.col("b") * F.col("r") - F.col("z0"))
+    return surfaces.raised_and_dropped(g, split(planes, "a", "b", "z0"), split(raster.rise_thresholds(left, F.col("left")), "threshold"))
+
+
 def height_obstacles(spark, sf_dir):
-    """Raised components of each grid as obstacles with a kind."""
-    g = _grid(spark, sf_dir)
-    high = raster.above(g.withColumn("z", F.col("z") * 4), raster.plane_fits(g), raster.rise_thresholds(g, F.col("z"))).select("image", "r", "c")
-    out = surfaces.obstacles(raster.components(high))
-    return out.select("image", (F.col("component.r") * 8 + F.col("component.c")).alias("first_cell"), "cells", "area", "kind")
+    """Raised and dropped parts of each grid, judged in the cores of its two faces: area, height and kind."""
+    j = stored(_judged_heights(spark, sf_dir), "judged")
+    marked = [raster.closed(j, F.col(m)).filter("v = 1").select((F.col("image") * 2 + k).alias("image"), "r", "c", F.when(F.col(m) == 1, F.abs("residual")).alias("depth")) for k, m in enumerate(("raised", "dropped"))]
+    whole = stored(marked[0].union(marked[1]), "marked")
+    cells = stored(raster.components(whole).join(whole, ["image", "r", "c"]).withColumn("roof_area", F.lit(16.0)), "parts")
+    both = surfaces.obstacles(cells.filter("image % 2 = 0")).unionByName(surfaces.obstacles(cells.filter("image % 2 = 1"), below=True))
+    return both.select(F.floor(F.col("image") / 2).alias("image"), (F.col("image") % 2 == 1).alias("below"), (F.col("component.r") * 8 + F.col("component.c")).alias("first_cell"), "cells", "area", F.round("height", 6).alias("height"), "kind", "place")
 
 
 def roof_windows(spark, sf_dir):
-    """Components of colour contrast that have a window's size and shape."""
-    g = _grid(spark, sf_dir).withColumn("k", F.floor(F.col("z") * 256))
-    b = raster.blurred(g, F.col("k")).filter("v is not null")
-    spread = b.groupBy("image").agg((F.percentile(F.abs(F.col("k") - F.col("v")), F.lit(0.5)) / 4).alias("spread"))
-    out = surfaces.windows(raster.components(surfaces.contrast_mask(b, "v", "k", spread).select("image", "r", "c")), 0.25)
-    return out.select("image", (F.col("component.r") * 8 + F.col("component.c")).alias("first_cell"), "cells", "area", F.round("fill", 6).alias("fill"))
+    """Components of blue contrast against their surroundings that have a window's size and shape."""
+    g = _grid(spark, sf_dir).withColumn("blue", F.floor(F.col("z") * 256)).withColumn("red", (F.col("r") * 7 + F.col("c") * 3) % 16).withColumn("roof", F.lit(True))
+    hits = surfaces.contrast_hits(g, 2.0).filter("hit = 1")
+    out = surfaces.windows(raster.components(hits.select("image", "r", "c")), 2.0)
+    return out.select("image", (F.col("component.r") * 8 + F.col("component.c")).alias("first_cell"), "cells", "area", F.round("fill", 6).alias("fill"), F.round("grown_area", 6).alias("grown_area"), "place")
+
+
+def registration(spark, sf_dir):
+    """Outlines laid on images of 144 x 144 pixels with a bright roof a few pixels off: shift, scale, support and reason."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("image"))
+    east, south = F.col("image") % 7 - 3, F.col("image") % 5 - 2
+    cells = n.select("image", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("r")).select("image", "r", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("c"))
+    on = F.col("c").between(32 + east, 111 + east) & F.col("r").between(32 + south, 111 + south) & (F.col("image") % 6 != 5)
+    image = cells.withColumn("k", F.when(on, 68.0).otherwise(40.0) + (F.col("r") * 13 + F.col("c") * 7) % 3)
+    corners = lambda *at: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in at))
+    rings = n.select("image", F.lit(0).alias("part"), corners((32, 32), (112, 32), (112, 112), (32, 112)).alias("ring"))
+    out = registration_.registered(registration_.outline_points(rings), surfaces.edges(image, "k"), n.select("image", F.lit(72.0).alias("x"), F.lit(72.0).alias("y")), 0.25)
+    return out.select("image", "points", "dx", "dy", F.round("scale", 2).alias("scale"), F.round("base", 4).alias("base"), F.round("best", 4).alias("best"), "support", "reason", "applied")
+
+
+def mask_polygons(spark, sf_dir):
+    """Label lines of each grid's parts above 0.1, and how well the lines' polygons fit the mask."""
+    parts = raster.components(_grid(spark, sf_dir).filter("z > 0.1"))
+    return surfaces.mask_polygons(parts.select("image", (F.col("component.r") * 8 + F.col("component.c")).alias("part"), "r", "c"), 8, 8).select("image", F.size("lines").alias("n"), F.concat_ws(";", "lines").alias("lines"), "agreement")
 
 
 def edge_gradients(spark, sf_dir):
@@ -98,9 +138,9 @@ def registration_shift(spark, sf_dir):
 
 
 def simplified_outline(spark, sf_dir):
-    """Points of each grid's first-row profile that a simplification keeps."""
-    g = _grid(spark, sf_dir).filter("r = 0")
-    return surfaces.simplified(g.select(F.col("image").alias("id"), F.col("c").cast("long").alias("n"), F.col("c").cast("double").alias("x"), (F.col("z") * 8).alias("y")), 0.5)
+    """Points of the profile of each row of each grid that a simplification keeps."""
+    g = _grid(spark, sf_dir)
+    return surfaces.simplified(g.select((F.col("image") * 8 + F.col("r")).alias("id"), F.col("c").cast("long").alias("n"), F.col("c").cast("double").alias("x"), (F.col("z") * 8).alias("y")), "window")
 
 
 def every_seventh(spark, sf_dir):
@@ -130,7 +170,7 @@ def split_list(spark, sf_dir):
     return surfaces.whole_list(n, "name", 25)
 
 
-QUERIES = {f.__name__: f for f in (visible_faces, free_roof, pv_obstacle_overlap, ring_even_odd, ordinal_attributes, pixel_confusion, conversion_iou, height_obstacles, roof_windows, edge_gradients, registration_shift, simplified_outline, every_seventh, checkpoint_compatible, roof_at_point, split_list)}
+QUERIES = {f.__name__: f for f in (registration, mask_polygons, visible_faces, free_roof, pv_obstacle_overlap, ring_even_odd, ordinal_attributes, pixel_confusion, conversion_iou, height_obstacles, roof_windows, edge_gradients, registration_shift, simplified_outline, every_seventh, checkpoint_compatible, roof_at_point, split_list)}
 
 _PLACED = f"SELECT building_id, face_id, (face_id % 7) * 3.0::DOUBLE AS x1, (face_id % 5) * 2.0::DOUBLE AS y1, (face_id % 7) * 3.0::DOUBLE + w AS x2, (face_id % 5) * 2.0::DOUBLE + h AS y2 FROM ({fixture_sql('faces')})"
 
@@ -160,21 +200,36 @@ met AS (SELECT a.analysis, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y
 {_union("pvb", "analysis", "pu")}, {_union("hb", "analysis", "hu")}, {_union("sb", "analysis", "su")}, {_union("met", "analysis", "mu")}
 SELECT i.analysis AS site, coalesce(pu.u, 0) AS pv, coalesce(hu.u, 0) AS hard, coalesce(su.u, 0) AS advisory, coalesce(mu.u, 0) AS overlap, CASE WHEN coalesce(pu.u, 0) > 0 THEN round(coalesce(mu.u, 0) / pu.u, 4) ELSE 0 END AS share
 FROM (SELECT DISTINCT analysis FROM d) i LEFT JOIN pu ON i.analysis = pu.analysis LEFT JOIN hu ON i.analysis = hu.analysis LEFT JOIN su ON i.analysis = su.analysis LEFT JOIN mu ON i.analysis = mu.analysis""",
-    "ring_even_odd": f"SELECT face_id, w * h - 1.0::DOUBLE + 0.25::DOUBLE AS area FROM ({fixture_sql('faces')})",
+    "ring_even_odd": f"SELECT face_id, w * h - 1.0::DOUBLE + 0.25::DOUBLE + face_id % 4 / 2 AS area FROM ({fixture_sql('faces')})",
     "ordinal_attributes": f"SELECT building_id, (row_number() OVER (PARTITION BY building_id ORDER BY face_id) - 1)::INTEGER AS place, face_id, w FROM ({fixture_sql('faces')})",
     "pixel_confusion": f"""WITH g AS ({RASTER_SQL}), j AS (SELECT a.image, a.z > 0.05::DOUBLE AS t, b.z > 0 AS p FROM g a JOIN g b ON a.image = b.image AND a.r = b.r AND a.c = (b.c + 1) % 8),
 n AS (SELECT image, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn FROM j GROUP BY image)
 SELECT *, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn)::DOUBLE END AS iou, CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE END AS dice, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE END AS recall FROM n""",
     "conversion_iou": f"""WITH m AS (SELECT image, count(*) AS n, (max(r) - min(r) + 1) * (max(c) - min(c) + 1) AS b FROM ({RASTER_SQL}) WHERE z > 0.2 GROUP BY image)
 SELECT min(coalesce(n / b::DOUBLE, 1)) AS least, round(avg(coalesce(n / b::DOUBLE, 1)), 9) AS mean, count(*) AS n FROM embeddings e LEFT JOIN m ON e.vec_id = m.image""",
-    "height_obstacles": f"""WITH RECURSIVE g AS ({RASTER_SQL}), vals AS (SELECT image, z AS v FROM g), {_FIT}, {_RISE},
-cell AS (SELECT g.image, g.r, g.c FROM g JOIN fit f ON g.image = f.image JOIN rise t ON g.image = t.image WHERE g.z * 4 - f.a * g.c - f.b * g.r - (f.z - f.a * f.x - f.b * f.y) / f.n > threshold), {_REACH}
-SELECT image, first_cell, count(*) AS cells, count(*) * 0.25::DOUBLE AS area, CASE WHEN count(*) * 0.25 <= 2.5 THEN 'chimney' ELSE 'superstructure' END AS kind FROM comp GROUP BY image, first_cell HAVING count(*) * 0.25 >= 0.35""",
-    "roof_windows": f"""WITH RECURSIVE g AS (SELECT image, r, c, floor(z * 256) AS k FROM ({RASTER_SQL})),
-b AS (SELECT a.image, a.r, a.c, any_value(a.k) AS k, sum(b.k) / 9 AS v FROM g a JOIN g b ON a.image = b.image AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.image, a.r, a.c HAVING count(*) = 9),
-sp AS (SELECT image, quantile_cont(abs(k - v), 0.5) / 4 AS spread FROM b GROUP BY image), cell AS (SELECT b.image, r, c FROM b JOIN sp ON b.image = sp.image WHERE k - v > 8 AND k - v > 3 * spread), {_REACH},
+    "height_obstacles": f"""WITH RECURSIVE whole AS (SELECT image AS own, image * 2 + (c >= 4)::INTEGER AS image, r, c, z * 16 AS z FROM ({RASTER_SQL})), g AS (SELECT image, r, c, z FROM whole), {_FIT},
+res AS (SELECT w.own, w.image, w.r, w.c, w.z - f.a * w.c - f.b * w.r - (f.z - f.a * f.x - f.b * f.y) / f.n AS v FROM whole w JOIN fit f ON w.image = f.image), vals AS (SELECT image, v FROM res), {_RISE},
+mark AS (SELECT own AS image, r, c, v, b, (c NOT IN (3, 4) AND CASE WHEN b THEN v < -1.5 ELSE v > threshold END)::INTEGER AS m FROM res JOIN rise USING (image), (SELECT unnest([FALSE, TRUE]) AS b)),
+dil AS (SELECT x.image, x.b, x.r, x.c, max(y.m) AS m FROM mark x JOIN mark y ON x.image = y.image AND x.b = y.b AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1 GROUP BY ALL),
+cls AS (SELECT x.image, x.b, x.r, x.c, min(y.m) AS m FROM dil x JOIN dil y ON x.image = y.image AND x.b = y.b AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1 GROUP BY ALL),
+cell AS (SELECT image * 2 + b::INTEGER AS image, r, c FROM cls WHERE m = 1), {_REACH},
+part AS (SELECT p.image, first_cell, count(*) AS cells, max(p.r) - min(p.r) + 1 AS h, max(p.c) - min(p.c) + 1 AS w, max(abs(k.v)) FILTER (k.m = 1) AS height
+  FROM comp p JOIN mark k ON k.image = p.image // 2 AND k.b = (p.image % 2 = 1) AND k.r = p.r AND k.c = p.c GROUP BY p.image, first_cell),
+kept AS (SELECT image // 2 AS image, image % 2 = 1 AS below, first_cell, cells, cells * 0.25::DOUBLE AS area, round(height, 6) AS height FROM part
+  WHERE least(h, w) >= 2 AND CASE WHEN image % 2 = 1 THEN cells >= 16 AND cells * 0.25 <= 16 * 0.95 ELSE cells * 0.25 >= 0.35 AND cells * 0.25 <= 8 END)
+SELECT *, CASE WHEN NOT below AND area <= 2.5 THEN 'chimney' ELSE 'other_obstacle' END AS kind, row_number() OVER (PARTITION BY image, below ORDER BY area DESC, first_cell)::INTEGER AS place FROM kept QUALIFY place <= 40""",
+    "roof_windows": f"""WITH RECURSIVE g AS (SELECT image, r, c, floor(z * 256) - (r * 7 + c * 3) % 16 AS k FROM ({RASTER_SQL})), d AS (SELECT unnest(range(-3, 4)) AS d),
+spot AS (SELECT p, q, CASE WHEN p + d < 0 THEN -(p + d) WHEN p + d > 7 THEN 14 - p - d ELSE p + d END AS pr, CASE WHEN q + e < 0 THEN -(q + e) WHEN q + e > 7 THEN 14 - q - e ELSE q + e END AS pc
+  FROM (SELECT unnest(range(8)) AS p), (SELECT unnest(range(8)) AS q), d, (SELECT d AS e FROM d)),
+k AS (SELECT a.image, a.r, a.c, any_value(a.k) - sum(b.k) / 49 AS v FROM g a JOIN spot ON a.r = p AND a.c = q JOIN g b ON b.image = a.image AND b.r = pr AND b.c = pc GROUP BY a.image, a.r, a.c),
+mid AS (SELECT image, quantile_cont(v, 0.5) AS m FROM k GROUP BY image), lim AS (SELECT k.image, any_value(m) + greatest(8, 3 * 1.4826::DOUBLE * quantile_cont(abs(v - m), 0.5)) AS t FROM k JOIN mid USING (image) GROUP BY k.image),
+hit AS (SELECT k.image, r, c, (v > t)::INTEGER AS m FROM k JOIN lim USING (image)),
+dil AS (SELECT x.image, x.r, x.c, max(y.m) AS m FROM hit x JOIN hit y ON x.image = y.image AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1 GROUP BY ALL),
+cell AS (SELECT x.image, x.r, x.c FROM dil x JOIN dil y ON x.image = y.image AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1 GROUP BY ALL HAVING min(y.m) = 1), {_REACH},
 parts AS (SELECT image, first_cell, count(*) AS cells, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w FROM comp GROUP BY image, first_cell)
-SELECT image, first_cell, cells, cells * 0.25::DOUBLE AS area, round(cells / (h * w)::DOUBLE, 6) AS fill FROM parts WHERE cells * 0.25 BETWEEN 0.25 AND 6 AND w / h::DOUBLE BETWEEN 0.3::DOUBLE AND 3.4::DOUBLE AND cells / (h * w)::DOUBLE >= 0.55::DOUBLE""",
+SELECT image, first_cell, cells, cells * 0.25::DOUBLE AS area, round(cells / (h * w)::DOUBLE, 6) AS fill, round((h + 0.8::DOUBLE) * (w + 0.8::DOUBLE) * 0.25, 6) AS grown_area,
+  row_number() OVER (PARTITION BY image ORDER BY (h + 0.8::DOUBLE) * (w + 0.8::DOUBLE) * 0.25 DESC, first_cell)::INTEGER AS place
+FROM parts WHERE cells * 0.25 BETWEEN 0.25 AND 6 AND w / h::DOUBLE BETWEEN 0.3::DOUBLE AND 3.4::DOUBLE AND cells / (h * w)::DOUBLE >= 0.55::DOUBLE QUALIFY place <= 60""",
     "edge_gradients": f"WITH {_SMOOTH} SELECT image, r, c, round(gx, 6) AS gx, round(gy, 6) AS gy FROM grad",
     "registration_shift": f"""WITH {_SMOOTH}, pts(r, c, nx, ny) AS (VALUES (3, 3, 1, 0), (3, 4, 0, 1), (4, 3, 0, 1), (4, 4, 1, 0)), sh(dx, dy) AS (VALUES (-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)),
 sc AS (SELECT image, dx, dy, avg(least(abs(gx * nx + gy * ny), 100)) AS score FROM pts, sh JOIN grad ON grad.r = pts.r + dy AND grad.c = pts.c + dx GROUP BY ALL)

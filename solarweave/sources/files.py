@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,12 +16,25 @@ def binary_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return df.select(stem.alias("stem"), "path", "content", F.sha2("content", 256).alias("digest"))
 
 
+def png_size(content: Column) -> Column:
+    """Struct width, height of a PNG's header; null for another format."""
+    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
+    return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
 def paired(images: DataFrame, masks: DataFrame) -> DataFrame:
-    """Images with their masks by stem; raises on one that lacks the other."""
+    """Images with their masks by stem; raises on one that lacks the other, and on two PNGs of different sizes."""
     i, m = images.select("stem", F.col("content").alias("image")), masks.select("stem", F.col("content").alias("mask"))
     both = i.join(m, "stem", "full_outer")
-    whole = F.when(F.col("image").isNotNull() & F.col("mask").isNotNull(), F.col("stem")).otherwise(F.raise_error(F.concat(F.lit("no pair for "), "stem")))
-    return both.withColumn("stem", whole)
+    same = F.coalesce(png_size(F.col("image")) == png_size(F.col("mask")), F.lit(True))
+    wrong = F.when(F.col("image").isNull() | F.col("mask").isNull(), "no pair for ").when(~same, "sizes differ for ")
+    return both.withColumn("stem", F.when(wrong.isNull(), F.col("stem")).otherwise(F.raise_error(F.concat(wrong, "stem"))))
+
+
+def required_tags(tags: DataFrame, pixels: int = 10_000, scale: float = 0.1) -> DataFrame:
+    """tags (see geotiff_tags) as they are; raises on a tile that isn't 10000 x 10000 pixels of 0.1 m or lacks its origin."""
+    fine = (F.col("width") == pixels) & (F.col("height") == pixels) & (F.abs(F.col("scale_x") - scale) < 1e-9) & (F.abs(F.col("scale_y") - scale) < 1e-9) & F.col("east").isNotNull() & F.col("north").isNotNull()
+    return tags.withColumn("stem", F.when(F.coalesce(fine, F.lit(False)), F.col("stem")).otherwise(F.raise_error(F.concat(F.lit("not a tile of the survey: "), "stem"))))
 
 
 def _tags(content: bytes) -> dict | None:
@@ -69,8 +82,32 @@ def write_manifests(chips: DataFrame, path: str) -> None:
     chips.select("split", F.col("name").cast("string").alias("value")).write.mode("overwrite").partitionBy("split").text(path)
 
 
+def write_labels(lines: DataFrame, path: str) -> None:
+    """Label lines (split, file, line) as text: a folder for each split, one for each file in it."""
+    lines.select("split", "file", F.col("line").alias("value")).repartition("split", "file").write.mode("overwrite").partitionBy("split", "file").text(path)
+
+
+def dataset_yaml(classes: tuple[str, ...], root: str = ".", splits: tuple[str, ...] = ("train", "val", "test")) -> str:
+    """A data set's description: its root, the manifest of each split, and the class names by number."""
+    return "\n".join([f"path: {root}", *(f"{s}: split={s}" for s in splits), "names:", *(f"  {i}: {name}" for i, name in enumerate(classes))])
+
+
+def write_yaml(spark: SparkSession, classes: tuple[str, ...], path: str) -> None:
+    spark.createDataFrame([(dataset_yaml(classes),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def audit(rows: DataFrame) -> DataFrame:
+    """One row: images, groups, instances, least and mean agreement, and how many images each split has."""
+    return rows.agg(
+        F.count("*").alias("images"), F.count_distinct("group").alias("groups"), F.sum("instances").alias("instances"), F.min("conversion_iou").alias("least_iou"), F.avg("conversion_iou").alias("mean_iou"),
+        F.struct(*(F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test"))).alias("splits"),
+    )
+
+
 def write_audit(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """The audit rows as JSON lines, and their summary beside them."""
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    audit(rows).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
 def report_row(name: str, *columns: str):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def request_key(url: Column, params: Column) -> Column:
-    """sha256 of a url and its parameters (a map) as JSON with sorted keys."""
+    """sha256 of a url and its parameters (a map) as JSON with sorted keys and escaped text."""
     pairs = F.array_sort(F.map_entries(params))
-    quoted = F.transform(pairs, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": "'), e["value"], F.lit('"')))
+    text = lambda x: F.regexp_extract(F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("x"))), r'^\{"x":(.*)\}$', 1)
+    quoted = F.transform(pairs, lambda e: F.concat(text(e["key"]), F.lit(": "), text(e["value"])))
     return F.sha2(F.concat(url, F.lit("{"), F.array_join(quoted, ", "), F.lit("}")), 256)
 
 
@@ -46,11 +49,46 @@ def wkb_offset(header: Column) -> Column:
     return F.when((F.substring(header, 1, 2) == F.lit(b"GP")) & (code <= 4), size + 8)
 
 
+def wkb_polygon(blob: Column) -> Column:
+    """Rings (arrays of x, y) of a polygon in a GeoPackage geometry blob, little-endian; null for what isn't one."""
+
+    @F.udf("array<array<struct<x:double,y:double>>>", useArrow=True)
+    def rings(data):
+        if data is None or len(data) < 13 or data[0] != 1 or int.from_bytes(data[1:5], "little") != 3:
+            return None
+        out, at = [], 9
+        for _ in range(int.from_bytes(data[5:9], "little")):
+            n = int.from_bytes(data[at : at + 4], "little")
+            if at + 4 + 16 * n > len(data):
+                return None
+            flat = struct.unpack_from(f"<{2 * n}d", data, at + 4)
+            out.append([{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2], strict=True)])
+            at += 4 + 16 * n
+        return out
+
+    offset = wkb_offset(blob)
+    return rings(F.when(offset.isNotNull(), F.substring(blob, offset + 1, F.octet_length(blob))))
+
+
 def plain_text(html: Column) -> Column:
     """Text without tags."""
     return F.regexp_replace(html, "<[^>]+>", "")
 
 
+def system_gate(argument: Column, systems: tuple[str, ...]) -> Column:
+    """Struct system, gate, digest of an argument `SYSTEM=JSON`; raises on a system that isn't known or an argument without =."""
+    at = F.instr(argument, "=")
+    system = F.substring(argument, F.lit(1), at - 1)
+    known = F.when((at > 0) & system.isin(*systems), system).otherwise(F.raise_error(F.concat(F.lit("unknown system: "), argument)))
+    text = F.substring(argument, at + 1, F.length(argument))
+    return F.struct(known.alias("system"), whole_gate(text).alias("gate"), F.sha2(text, 256).alias("digest"))
+
+
+def parsed_status(text: Column) -> Column:
+    """The state in a status record of JSON; null where the record is broken or lacks it."""
+    return F.from_json(text, "state string, epoch int")["state"]
+
+
 def whole_gate(text: Column) -> Column:
     """Whether a gate file (JSON) was made with the thresholds 0.25 and 0.30 and passed."""
     g = F.from_json(text, "parameters struct<confidence:double,obstacle_confidence:double>, quality_gates struct<passed:boolean>")

@@ -1,43 +1,43 @@
-"""A paged source as a Spark data source: one partition a page, read where the partition runs."""
+"""Responses of paged and cached services that are kept as documents: which count, and their records."""
 
 from __future__ import annotations
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from solarweave.storage import joined_back
 
-class Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+#: Records of a page, the last offset that is asked for, and the reference system of a survey.
+STEP, LAST_OFFSET, SYSTEM = 4000, 200_000, "EPSG:2056"
+PAGE = "struct<offset:bigint,crs:string,exceededTransferLimit:boolean,outside:boolean,features:array<struct<id:bigint,x1:double,y1:double,x2:double,y2:double>>>"
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.total, self.step = int(options["total"]), int(options.get("step", 4000))
-        self.limit = int(options.get("limit", 200_000))
-        if self.total > self.limit:
-            raise ValueError(f"{self.total} records exceed the limit of {self.limit}")
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(survey, page) of a folder's JSON documents, one page each; the survey is a document's folder."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return raw.select(F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1).alias("survey"), F.from_json("value", PAGE).alias("page"))
 
-    def partitions(self):
-        return [Page(o) for o in range(0, self.total, self.step)]
 
-    def read(self, partition: Page):
-        for n in range(partition.offset, min(self.total, partition.offset + self.step)):
-            yield (n, partition.offset, n % self.step == self.step - 1 or n == self.total - 1)
+def survey_records(pages: DataFrame, key: str = "survey") -> DataFrame:
+    """(key, offset, last, id, x1, y1, x2, y2): the records of each survey's pages up to its end.
 
-
-class SurveyPages(DataSource):
-    """Numbers of records by page: options total, step (4000) and limit (200000).
-
-    Register with spark.dataSource.register(SurveyPages) and read as format("survey_pages").
-    A reader of a service fetches its page in read(); here the page is made from its offset.
+    pages are (key, page) with page as PAGE says. A survey ends with its first page that
+    doesn't say there is more; what lies beyond, or past the last offset, isn't read. A page
+    that is empty though it says there is more raises, and so does another reference system.
+    Pages outside the survey's extent hold no records.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "survey_pages"
-
-    def schema(self) -> str:
-        return "record long, offset long, last boolean"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+    own = pages.select(key, "page.*").filter(F.col("offset") <= LAST_OFFSET)
+    more = F.coalesce("exceededTransferLimit", F.lit(False))
+    ends = own.groupBy(key).agg(F.min(F.when(~more, F.col("offset"))).alias("end"))
+    read = joined_back(own, ends, key).filter(F.col("end").isNull() | (F.col("offset") <= F.col("end")))
+    empty = F.coalesce(F.size("features"), F.lit(0)) <= 0
+    why = F.when(F.col("crs") != SYSTEM, "reference system").when(empty & more & ~F.coalesce("outside", F.lit(False)), "empty page with more to come")
+    read = read.filter(F.when(why.isNull(), True).otherwise(F.raise_error(F.concat(F.lit("survey page: "), why)).cast("boolean")))
+    return read.filter(~F.coalesce("outside", F.lit(False))).select(key, "offset", (F.col("offset") == F.col("end")).alias("last"), F.inline("features"))
+
+
+def storable(status: Column, body: Column, is_image: Column) -> Column:
+    """Whether a response may be cached: it succeeded, and is JSON without an error, or a whole PNG or JPEG."""
+    parsed = F.from_json(body.cast("string"), "map<string,string>")
+    picture = F.hex(F.substring(body, 1, 4)).isin("89504E47") | F.hex(F.substring(body, 1, 3)).isin("FFD8FF")
+    return (status == 200) & F.coalesce(F.when(is_image, picture).otherwise(parsed.isNotNull() & ~F.coalesce(F.map_contains_key(parsed, F.lit("error")), F.lit(False))), F.lit(False))

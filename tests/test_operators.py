@@ -1,5 +1,6 @@
 """Operators on small made-up inputs, against what they must give."""
 
+import json
 import random
 import struct
 
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from solarweave import storage
 from solarweave.functions import boxes
-from solarweave.operators import curation, evaluation, fusion, layout, packing, raster, roofs, spatial, status
+from solarweave.operators import curation, evaluation, fusion, layout, packing, raster, registration, roofs, spatial, status, surfaces
 from solarweave.operators.components import connected_components
-from solarweave.sources import files, keys
+from solarweave.sources import files, keys, pages
 from solarweave.streaming import state
 
 
@@ -371,3 +372,148 @@ def test_selection_needs_rings(spark):
     point = spark.createDataFrame([(1, 10, ["r"]), (2, 11, ["r"]), (3, 12, ["r"])], "request long, id long, rings array<string>")
     key = spark.createDataFrame([(1, 20, ["r"]), (2, 21, ["r"]), (2, 22, [])], "request long, id long, rings array<string>")
     assert {(r.request, r.id) for r in roofs.selection(point, key).collect()} == {(1, 20), (2, 11), (3, 12)}
+
+
+def test_survey_pages_end_and_fail(spark, tmp_path):
+    def page(survey, offset, n, more, crs="EPSG:2056", outside=False):
+        (tmp_path / survey).mkdir(exist_ok=True)
+        rows = [{"id": offset + i, "x1": 0.0, "y1": 0.0, "x2": 1.0, "y2": 1.0} for i in range(n)]
+        (tmp_path / survey / f"{offset}.json").write_text(json.dumps({"offset": offset, "crs": crs, "exceededTransferLimit": more, "outside": outside, "features": rows}))
+
+    page("a", 0, 3, True), page("a", 4000, 2, False), page("a", 8000, 5, False), page("b", 0, 0, False), page("c", 0, 4, False, outside=True)
+    got = pages.survey_records(pages.read_pages(spark, str(tmp_path))).collect()
+    assert sorted((r.survey, r.id, r.last) for r in got) == [("a", 0, False), ("a", 1, False), ("a", 2, False), ("a", 4000, True), ("a", 4001, True)]
+    for bad in (("d", 0, 0, True), ("e", 0, 1, False, "EPSG:4326")):
+        page(*bad)
+        with pytest.raises(Exception, match="survey page"):
+            pages.survey_records(pages.read_pages(spark, str(tmp_path / bad[0]))).collect()
+
+
+def test_geometry_blobs(spark):
+    def polygon(*rings):
+        return b"\x01" + struct.pack("<II", 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rings)
+
+    outer, hole = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (1.5, 1.5)]
+    head = lambda code: b"GP\0" + bytes([code * 2 + 1]) + b"\x08\x08\0\0" + b"\0" * (0, 32, 48, 48, 64)[code]
+    rows = [(1, head(0) + polygon(outer, hole)), (2, head(4) + polygon(outer)), (3, b"no blob"), (4, None), (5, head(1) + polygon(outer)[:-9]), (6, head(1) + b"\x01" + struct.pack("<I", 1) + b"\0" * 16)]
+    got = {r.id: r.g for r in spark.createDataFrame(rows, "id int, b binary").select("id", keys.wkb_polygon(F.col("b")).alias("g")).collect()}
+    assert [[(p.x, p.y) for p in ring] for ring in got[1]] == [outer, hole] and len(got[2]) == 1 and all(got[k] is None for k in (3, 4, 5, 6))
+
+
+def test_files_must_fit(spark, tmp_path):
+    png = lambda w, h: b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h) + b"\x08\0\0\0\0"
+    rows = lambda *r: spark.createDataFrame(r, "stem string, content binary")
+    assert files.paired(rows(("a", png(5, 6))), rows(("a", png(5, 6)))).count() == 1
+    with pytest.raises(Exception, match="sizes differ"):
+        files.paired(rows(("a", png(5, 6))), rows(("a", png(6, 5)))).collect()
+    tags = lambda **k: spark.createDataFrame([{"stem": "t", "width": 10000, "height": 10000, "scale_x": 0.1, "scale_y": 0.1, "east": 1.0, "north": 2.0} | k])
+    assert files.required_tags(tags()).count() == 1
+    for bad in ({"width": 9999}, {"scale_x": 0.2}):
+        with pytest.raises(Exception, match="not a tile"):
+            files.required_tags(tags(**bad)).collect()
+    rows = spark.createDataFrame([("train", "g1", 3, 0.9), ("train", "g1", 1, 1.0), ("test", "g2", 2, 0.8)], "split string, group string, instances long, conversion_iou double")
+    files.write_audit(rows, str(tmp_path / "audit"))
+    (r,) = spark.read.json(str(tmp_path / "audit/summary")).collect()
+    assert (r.images, r.groups, r.instances, r.least_iou, r.splits.train, r.splits.val) == (3, 2, 6, 0.8, 2, 0) and spark.read.json(str(tmp_path / "audit/rows")).count() == 3
+    files.write_labels(spark.createDataFrame([("train", "f1", "0 0 0 1 0 1 1"), ("val", "f2", "1 0 0 1 0 1 1")], "split string, file string, line string"), str(tmp_path / "labels"))
+    assert {(r.split, r.file, r.value[0]) for r in spark.read.text(str(tmp_path / "labels")).collect()} == {("train", "f1", "0"), ("val", "f2", "1")}
+    files.write_yaml(spark, ("pv", "dormer"), str(tmp_path / "yaml"))
+    assert "".join(f.read_text() for f in (tmp_path / "yaml").glob("part-*")) == "path: .\ntrain: split=train\nval: split=val\ntest: split=test\nnames:\n  0: pv\n  1: dormer\n"
+
+
+def test_arguments_and_windows_that_fail(spark):
+    df = spark.createDataFrame([("candidate={}",)], "a string")
+    got = df.select(keys.system_gate(F.col("a"), ("candidate",)).alias("g")).first().g
+    assert (got.system, got.gate) == ("candidate", False) and len(got.digest) == 64
+    for bad in ("other={}", "candidate"):
+        with pytest.raises(Exception, match="unknown system"):
+            spark.createDataFrame([(bad,)], "a string").select(keys.system_gate(F.col("a"), ("candidate",))).collect()
+    tiles = spark.createDataFrame([(1, 0, 0, float("nan")), (1, 0, 1, 2.0), (2, 0, 0, 3.0), (2, 0, 1, 4.0)], "rank int, r long, c long, z double")
+    ask = lambda *box: spark.createDataFrame([(7, *map(float, box))], "request long, x1 double, y1 double, x2 double, y2 double")
+    assert {(r.r, r.c, r.z) for r in raster.mosaic_windows(ask(0.1, -0.9, 0.9, 0.0), tiles).collect()} == {(0, 0, 3.0), (0, 1, 2.0)}
+    for box in ((0, -0.5, 0.5, 0), (50, -60, 53, -50)):
+        with pytest.raises(Exception, match="no heights"):
+            raster.mosaic_windows(ask(*box), tiles).collect()
+        assert raster.mosaic_windows(ask(*box), tiles, strict=False).count() == 0
+
+
+def cell_rows(*masks):
+    return [(i, r, c) for i, m in enumerate(masks) for r, line in enumerate(m) for c, x in enumerate(line) if x == "#"]
+
+
+def test_outlines_follow_their_masks(spark):
+    masks = [["....", ".##.", ".##.", "...."], ["#...", ".#..", "..##", "..##"], ["####", "#..#", "#..#", "####"], ["....", "....", "....", "...."], ["##..", "....", "..##", "..##"]]
+    for m in masks:
+        cells = np.array([[x == "#" for x in line] for line in m])
+        if cells.any() and m is not masks[4]:
+            ring = surfaces.outline(cells)
+            inside = surfaces.filled(ring, cells.shape)
+            assert (inside[cells]).all() and inside.sum() == (16 if m is masks[2] else cells.sum())
+    parts = [(i, 0 if i < 4 else (r > 1), r, c) for i, r, c in cell_rows(*masks)]
+    got = {r.image: r for r in surfaces.mask_polygons(spark.createDataFrame([(i, int(p), r, c) for i, p, r, c in parts], "image long, part long, r int, c int"), 4, 4).collect()}
+    assert got[0].agreement == 1.0 and got[0].lines == ["0 0.2500000 0.2500000 0.7500000 0.2500000 0.7500000 0.7500000 0.2500000 0.7500000"]
+    assert got[2].agreement == 12 / 16 and len(got[4].lines) == 1 and got[4].agreement == 4 / 6
+
+
+def test_simplification_by_length(spark):
+    line = [(1, n, float(n), 0.3 * (n % 2)) for n in range(21)]
+    df = spark.createDataFrame(line, "id long, n long, x double, y double")
+    assert surfaces.simplified(df, "mask").count() == surfaces.simplified(df, "window").count() == 2
+    assert surfaces.simplified(df.withColumn("y", F.col("y") * 2), "height").count() > 15
+    assert [round(surfaces.TOLERANCES[k](10.0), 2) for k in ("height", "window", "mask")] == [0.2, 0.5, 0.5]
+
+
+def test_a_drop_is_found_and_ridges_are_not(spark):
+    """Two faces that meet in a ridge, a chimney on one, a court in the other: only the two are found."""
+    rows = []
+    for r in range(16):
+        for c in range(24):
+            z = 10 + 0.5 * min(c, 23 - c) + (2.0 if 4 <= r <= 6 and 3 <= c <= 5 else 0) - (6.0 if 6 <= r <= 12 and 15 <= c <= 20 else 0)
+            rows.append((1, r, c, z, int(c >= 12)))
+    g = raster.face_cores(spark.createDataFrame(rows, "image long, r int, c int, z double, face int"))
+    fits = raster.consensus_planes(g.select((F.col("image") * 2 + F.col("face")).alias("image"), "r", "c", "z")).select(F.floor(F.col("image") / 2).alias("image"), (F.col("image") % 2).cast("int").alias("face"), "a", "b", "z0")
+    marked = surfaces.raised_and_dropped(g, fits, fits.select("image", "face", F.lit(0.28).alias("threshold")))
+    found = []
+    for name in ("raised", "dropped"):
+        cells = raster.closed(marked, F.col(name)).filter("v = 1")
+        parts = raster.components(cells).join(cells, ["image", "r", "c"]).withColumn("depth", F.abs("residual")).withColumn("roof_area", F.lit(96.0))
+        found += [(r.kind, r.cells, round(r.height, 2)) for r in surfaces.obstacles(parts, name == "dropped").collect()]
+    assert found == [("chimney", 9, 2.0), ("other_obstacle", 42, 6.0)]
+
+
+def test_mean_is_mirrored(spark):
+    rng = np.random.default_rng(2)
+    z = rng.integers(0, 9, (6, 9)).astype(float)
+    df = spark.createDataFrame([(1, r, c, float(z[r, c])) for r in range(6) for c in range(9)], "image long, r int, c int, z double")
+    want = np.lib.stride_tricks.sliding_window_view(np.pad(z, 2, "reflect"), (5, 5)).mean(axis=(2, 3))
+    got = {(r.r, r.c): r.v for r in raster.local_mean(df, F.col("z"), 2).collect()}
+    assert len(got) == 54 and all(got[r, c] == pytest.approx(want[r, c]) for r in range(6) for c in range(9))
+    assert [raster.background_reach(p) for p in (1.0, 2.0, 10.0)] == [1, 3, 15]
+
+
+def test_registration_finds_the_shift(spark):
+    def image(n, dx, dy, low=40.0, high=68.0, step=0):
+        return [(n, r, c, (high if 32 + dy <= r < 112 + dy and (32 + dx <= c < 112 + dx or step and (c - 32 - dx) % step < step // 2) else low) + (r * 13 + c * 7) % 3) for r in range(144) for c in range(144)]
+
+    g = surfaces.edges(spark.createDataFrame(image(1, 6, -5) + image(2, 0, 0) + image(3, 0, 0, 40.0, 40.0), "image long, r int, c int, k double"), "k")
+    ring = [{"x": float(x), "y": float(y)} for x, y in ((32, 32), (112, 32), (112, 112), (32, 112))]
+    small = [{"x": p["x"] / 4 + 40, "y": p["y"] / 4 + 40} for p in ring]
+    rings = spark.createDataFrame([(1, 0, ring), (2, 0, ring), (3, 0, ring), (4, 0, small)], "image long, part int, ring array<struct<x:double,y:double>>")
+    points = registration.outline_points(rings)
+    assert points.filter("image = 1").count() == 96 and points.filter("abs(nx) + abs(ny) > 1.001").count() == 0
+    flat = spark.createDataFrame([(4, r, c, 0.0, 0.0) for r in range(144) for c in range(144)], "image long, r int, c int, gx double, gy double")
+    cells = g.select("image", "r", "c", "gx", "gy").union(flat)
+    got = {r.image: r for r in registration.registered(points, cells, rings.select("image", F.lit(72.0).alias("x"), F.lit(72.0).alias("y")), 0.25).collect()}
+    assert got[1].applied and abs(got[1].dx - 6) <= 1 and abs(got[1].dy + 5) <= 1 and got[1].scale == 1.0 and got[1].support == 4
+    assert not got[2].applied and not got[3].applied and got[2].reason == got[3].reason == "no_clear_improvement" and got[4].reason == "insufficient_boundary_evidence"
+
+
+def test_ring_measures(spark):
+    square = [{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}, {"x": 4.0, "y": 2.0}, {"x": 0.0, "y": 2.0}]
+    df = spark.createDataFrame([(square,), (square[:2],)], "ring array<struct<x:double,y:double>>")
+    got = [r.m for r in df.select(boxes.ring_centroid(F.col("ring")).alias("m")).collect()]
+    assert (got[0].x, got[0].y) == (2.0, 1.0) and got[1] is None
+    at = lambda x, y: [r.d for r in df.select(boxes.ring_distance(F.col("ring"), F.lit(x), F.lit(y)).alias("d")).collect()]
+    assert at(7.0, 6.0) == [5.0, pytest.approx(45**0.5)] and at(2.0, -1.0)[0] == 1.0
+    utm = spark.range(1).select(boxes.wgs84_to_utm32(F.lit(9.0), F.lit(48.0)).alias("u")).first().u
+    assert utm.east == pytest.approx(500000) and utm.north == pytest.approx(5316300.2, abs=0.5)
