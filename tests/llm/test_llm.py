@@ -685,6 +685,23 @@ def test_pipeline_equals_its_steps(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in again.collect()) == sorted((r.doc_id, r.n_tokens) for r in done["bpe"].collect())
 
 
+def test_pipeline_of_odd_and_of_empty_tables(spark, docs, nothing, tmp_path):
+    """Nulls everywhere, rows without id, repeated rows, columns named like those used inside, no labels, no rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels = "doc_id long, quality int, toxic int"
+    for name, rows in (("none", []), ("odd", [(None, None, None), (3, None, 1), (5, 1, None), (5, 0, 0), (7, 1, 1), (7, 1, 1), (10**6, 0, 1)])):
+        spark.createDataFrame(rows, labels).write.parquet(str(tmp_path / name / "labels.parquet"))
+        for df, n in ((docs, docs.count()),) if name == "none" else ((docs, docs.count()), (nothing, 0)):
+            at, counts = df, []
+            for stage, apply in pipeline.STAGES:
+                at = apply(spark, at, str(tmp_path / name)).cache()
+                assert stage == "bpe" or at.columns == df.columns
+                counts.append(at.count())
+            assert counts[0] == n and (n == 0) == (counts[-1] == 0) and counts[1] == counts[2] and counts[3] == counts[4]
+            if n:
+                assert at.filter("doc_id is null").count() > 0 and at.filter("n_tokens = 0").count() > 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
