@@ -28,12 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/solarweave/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stored; call it only when no result that is still wanted reads from there."""
+    _delete(spark, _own_dir(spark))
+
+
 class Stored:
     """A result written once as Parquet in the shared folder: it cuts lineage and is read many times."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/solarweave/{name}-{uuid.uuid4().hex}"
+        self.path = f"{_own_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
 
     @property
@@ -47,9 +62,7 @@ class Stored:
 
     def drop(self) -> None:
         """Delete the files; call it only when nothing lazy still reads them."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small made-up inputs, against what they must give."""
 
 import json
+import os
 import random
 import struct
 
@@ -72,6 +73,17 @@ def test_a_hot_key_is_split(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_stored_results_are_cleared(spark):
+    one, two = storage.Stored(spark.range(3), "x"), storage.Stored(spark.range(4), "x")
+    one.drop()
+    assert two.df.count() == 4 and not os.path.exists(one.path)
+    before = two.path
+    other = spark.newSession()
+    assert storage.Stored(other.range(2), "y").path.startswith(os.path.dirname(before))
+    two.drop()
+    assert not os.path.exists(before)
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Session:
         class sparkContext:
