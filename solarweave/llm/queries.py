@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from solarweave.llm import bpe, media, mixing, neardup, quality, secretscan, substring, topk, toxicity, urls
+from solarweave.llm import bpe, lines, media, mixing, neardup, quality, secretscan, substring, topk, toxicity, urls
 from solarweave.storage import stored, table
 
 
@@ -103,6 +103,17 @@ def op10_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_line_dedup(spark, sf_dir):
+    """Every document's n_lines, n_dropped and kept_sha256, without the lines that 5 documents or more hold.
+
+    Keys have 40 code points or more; the largest doc_id that holds one keeps it. Null and empty texts
+    are one empty line. Rows of one id are one document, and so are all rows without id. Repeated rows
+    come out repeated; an empty table gives no row.
+    """
+    out = lines.deduped(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def _resolved(name: str, source: str, target: str, base: str, keep: str) -> str:
     """SQL of a table name with t: target as a full url from base, . and .. folded; keep are its other columns."""
     part = lambda x, pattern: f"regexp_extract({x}, '{pattern}', 1)"
@@ -128,6 +139,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_jpeg": op9_jpeg,
     "op10_mixing": op10_mixing,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 SQL = {
@@ -210,5 +222,17 @@ best AS (
   FROM drawn GROUP BY source, k)
 SELECT d.doc_id, d.size, d.source_size, d.target, d.size * (d.base + extra::BIGINT) AS taken
 FROM drawn d JOIN best b ON d.source IS NOT DISTINCT FROM b.source AND d.k = b.k AND b.place = 1
+""",
+    "op11_line_dedup": """
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT n, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM docs),
+keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+repeated AS (
+  SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 40 GROUP BY key
+  HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INTEGER) >= 5),
+judged AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id IS DISTINCT FROM r.holder AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY n
 """,
 }
