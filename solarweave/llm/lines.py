@@ -21,7 +21,7 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Fixed values of the query: lines this long, in so many documents, are repeats.
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Bits of a filter for each line of the corpus, and the most that a filter has: 2**31 bits are 256 MB in each worker.
-BITS_EACH, BITS_MOST = 8, 1 << 31
+BITS_EACH, BITS_MOST = 16, 1 << 31
 #: Words of 64 bits in a segment, the part of a filter that one row holds.
 SEGMENT = 1 << 14
 #: Hashes that a task gathers before it writes their bits.
@@ -48,9 +48,11 @@ def hashes(keys: list[bytes]) -> np.ndarray:
 
 
 def bits(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each hash, the word of the filter (from its high bits) and the two bits of that word (from its low ones)."""
-    one, shift = np.uint64(1), np.uint64(64 - (words.bit_length() - 1))
-    return (h >> shift).astype(np.int64), one << (h & np.uint64(63)) | one << (h >> np.uint64(6) & np.uint64(63))
+    """Of each hash, the word of the filter (from its high bits) and four bits of that word (from its low ones)."""
+    mask = np.zeros(len(h), np.uint64)
+    for shift in (0, 6, 12, 18):
+        mask |= np.uint64(1) << (h >> np.uint64(shift) & np.uint64(63))
+    return (h >> np.uint64(64 - (words.bit_length() - 1))).astype(np.int64), mask
 
 
 def met(seen_twice: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -92,7 +94,7 @@ def seen_twice(keys: DataFrame) -> np.ndarray:
     """The filter of hashes (column h) that come twice or more, as words; it may hold others, but misses none.
 
     Each task makes the bits of its hashes, segment by segment; a segment's pieces are folded
-    where they meet. Only bits travel, about two bytes for each line, and one filter reaches the
+    where they meet. Only bits travel, a few bytes for each line, and one filter reaches the
     driver and the workers: BITS_EACH to twice as many bits for each line, and BITS_MOST at most, whatever
     the corpus. Beyond that the filter takes more lines for repeats that are none, and the exact
     count that follows has more to do; results are the same.
