@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from solarweave.llm import bpe, lines, media, mixing, neardup, quality, secretscan, substring, topk, toxicity, urls
+from solarweave.llm import audit, bpe, divergence, lines, media, mixing, neardup, quality, secretscan, substring, topk, toxicity, urls
 from solarweave.storage import stored, table
 
 
@@ -114,6 +114,24 @@ def op11_line_dedup(spark, sf_dir):
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_filter_audit(spark, sf_dir):
+    """What each of five filters keeps, removes and shares with others, in all 120 orders, step by step, for each source.
+
+    Null texts are empty, null sources the empty string. Null ids have no smaller id, so E keeps them;
+    of several labels of an id each 1 counts. Repeated rows count each; an empty table gives no row.
+    """
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark, sf_dir):
+    """Each source's divergence from each other source of its language, and its 200 most distinctive terms: lang, source, part, item, value, rank.
+
+    Null lang, source and text are empty; a source without terms is compared too. Repeated rows count
+    each; an empty table gives no row.
+    """
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 def _resolved(name: str, source: str, target: str, base: str, keep: str) -> str:
     """SQL of a table name with t: target as a full url from base, . and .. folded; keep are its other columns."""
     part = lambda x, pattern: f"regexp_extract({x}, '{pattern}', 1)"
@@ -140,6 +158,8 @@ QUERIES = {
     "op9_jpeg": op9_jpeg,
     "op10_mixing": op10_mixing,
     "op11_line_dedup": op11_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_divergence": op13_divergence,
 }
 
 SQL = {
@@ -234,5 +254,42 @@ judged AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id IS DISTINCT FROM r.holder
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY n
+""",
+    "op12_filter_audit": """
+WITH doc AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+judged AS (
+  SELECT doc_id, part, (len(w) < 200)::INTEGER + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INTEGER
+         + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INTEGER AS mask FROM doc),
+label AS (SELECT doc_id, max(coalesce(quality = 1, false)::INTEGER) AS good, max(coalesce(toxic = 1, false)::INTEGER) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+cell AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM judged LEFT JOIN label USING (doc_id) GROUP BY part, mask),
+letter(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letter a, letter b, letter c, letter d, letter e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, s::INTEGER AS s, (SELECT bit FROM letter WHERE f = o[s]) AS bit, coalesce((SELECT sum(bit) FROM letter WHERE instr(o, f) < s), 0)::INTEGER AS before FROM orders, range(1, 6) AS r(s)),
+met AS (
+  SELECT part, o, s, any_value(bit) AS bit, sum(n) FILTER (mask & (before | bit) = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS removed,
+         sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+         sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS toxic_lost
+  FROM cell, steps GROUP BY part, o, s)
+SELECT part, o AS filter_order, s AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM met
+""",
+    "op13_divergence": """
+WITH doc AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+word AS (SELECT d, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS n FROM word GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+own AS (SELECT lang, source, term, count(*) AS n FROM word SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM doc),
+size AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+words AS (SELECT lang, source, sum(n) AS n FROM own GROUP BY ALL),
+cell AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(o.n, 0) + 1) // (coalesce(w.n, 0) + s.v))::HUGEINT AS p,
+         (1 + 1000000000::HUGEINT * (k.n + 1) // (s.n + s.v))::HUGEINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term LEFT JOIN words w ON w.lang = g.lang AND w.source = g.source),
+met AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM cell x JOIN cell y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pair AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(m.value, 0) AS value FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN met m ON m.lang = g.lang AND m.source = g.source AND m.item = h.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM cell WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
 }

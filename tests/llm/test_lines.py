@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_llm import DOCS, corpus, prose
 
 from solarweave.llm import lines
@@ -97,8 +98,16 @@ def test_only_repeats_reach_the_exact_count(spark):
 
 
 def test_a_full_filter_only_costs_work(spark, monkeypatch):
-    monkeypatch.setattr(lines, "BITS_MOST", 64 * 64)
-    monkeypatch.setattr(lines, "SEGMENT", 16)
+    monkeypatch.setattr(lines, "seen_twice", lambda keys: np.full(lines.SEGMENT, 0xFFFFFFFFFFFFFFFF, np.uint64))
     rows = shared_lines(9)
     out = lines.deduped(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
     assert sorted(str((r.doc_id, r["__lines"], r["__dropped"], r.text or "")) for r in out) == sorted(map(str, brute(rows)))
+
+
+def test_a_filter_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BITS_MOST", 1 << 21)
+    df = spark.range(300_000).select(F.xxhash64("id").alias("h"))
+    twice = lines.seen_twice(df.union(df.filter("h % 100 = 0")))
+    assert len(twice) == 1 << 15
+    again = df.filter("h % 100 = 0").toPandas().h.to_numpy().view(np.uint64)
+    assert lines.met(twice, again).all()
