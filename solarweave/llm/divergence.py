@@ -88,6 +88,7 @@ def share(count: Column, total: Column, terms: Column) -> Column:
 
 def distance(p: Column, q: Column) -> Column:
     """floor((p - q)**2 / q); p and q are at most SCALE + 1, so the square fits 64 bits."""
+    p, q = p.cast("long"), q.cast("long")
     return div((p - q) * (p - q), q)
 
 
