@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -58,50 +60,85 @@ def _document() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
 
 
-def _runs(every: DataFrame, within: bool) -> DataFrame:
-    """Adjacent chunks that came before: (doc_id, th, start, stop, n_chunks, first_doc_ids, head, tail).
-
-    head and tail (doc_id, th, at) are where the first chunk of the run begins, and where its
-    last one ends, in the documents that hold them first.
-    """
+def _repeated(every: DataFrame, within: bool) -> DataFrame:
+    """every's chunks whose digest comes in another document (or, within, anywhere else), with first: its first place."""
     place = F.struct(_document().alias("doc"), "start")
     shared = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place if within else F.struct(_document().alias("doc"))).alias("last"))
     shared = shared.filter("first != last" if within else "first.doc != last.doc").drop("last")
-    again = joined_back(every, shared, ["h1", "h2"]).filter(place != F.col("first") if within else _document() != F.col("first.doc"))
-    again = again.select("doc_id", "th", "start", "stop", "first").distinct()
+    return joined_back(every, shared, ["h1", "h2"]).distinct()
+
+
+def _later(repeated: DataFrame, within: bool) -> DataFrame:
+    """The rows of _repeated that aren't the first of their digest."""
+    return repeated.filter(F.struct(_document().alias("doc"), "start") != F.col("first") if within else _document() != F.col("first.doc"))
+
+
+def _runs(repeated: DataFrame, within: bool, least: int) -> DataFrame:
+    """Adjacent chunks that came before: (doc_id, th, start, stop, n_chunks, first_doc_ids, head, tail, digests).
+
+    head and tail (doc_id, th, at) are where the first chunk of the run begins, and where its
+    last one ends, in the documents that hold them first. digests are those of the chunks of a
+    run of under least bytes, else null.
+    """
     own = Window.partitionBy("doc_id", "th").orderBy("start")
     opens = F.when(F.lag("stop").over(own) == F.col("start"), 0).otherwise(1)
-    runs = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = _later(repeated, within).withColumn("opens", opens).withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     at = lambda n: F.struct("first.doc.doc_id", "first.doc.th", (F.col("first.start") + n).alias("at"))
-    return runs.groupBy("doc_id", "th", "run").agg(
+    runs = runs.groupBy("doc_id", "th", "run").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first.doc.doc_id")).alias("first_doc_ids"),
-        F.min_by(at(F.lit(0)), "start").alias("head"), F.max_by(at(F.col("stop") - F.col("start")), "start").alias("tail"),
-    ).drop("run")
+        F.min_by(at(F.lit(0)), "start").alias("head"), F.max_by(at(F.col("stop") - F.col("start")), "start").alias("tail"), F.collect_list(F.struct("h1", "h2")).alias("digests"),
+    )
+    return runs.drop("run").withColumn("digests", F.when(F.col("stop") - F.col("start") < least, F.col("digests")))
 
 
-def _contexts(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, th, at, left, near): REACH bytes before or after each asked place of a document, each place once."""
-    grouped = asked.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "left")).alias("asks"))
+def _at(docs: DataFrame, asked: DataFrame, key: str, text: str, schema: str, each: Callable[[bytes, dict], Iterator[tuple]]) -> DataFrame:
+    """(doc_id, th, schema): what each makes of a whole text and of every row that is asked of it (doc_id, th, others)."""
+    asks = [c for c in asked.columns if c not in ("doc_id", "th")]
+    grouped = asked.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct(*asks)).alias("asks"))
     grouped = stored(grouped.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), "asks"), "asks")
     rows = _rows(docs, key, text)
     rows = rows.join(grouped, (rows.th == grouped.a_th) & rows.doc_id.eqNullSafe(grouped.a_id)).select("doc_id", "th", "t", "asks")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def start():
+        def run(batch: pa.RecordBatch) -> dict:
+            own, out = [], []
+            for i, (t, asks) in enumerate(zip(octets(batch.column("t")), batch.column("asks").to_pylist(), strict=True)):
+                for ask in asks:
+                    for found in each(t, ask):
+                        own.append(i)
+                        out.append(found)
+            own, columns = pa.array(own, pa.int64()), zip(*out, strict=True) if out else ([] for _ in names)
+            return {"doc_id": batch.column("doc_id").take(own), "th": batch.column("th").take(own)} | dict(zip(names, map(list, columns), strict=True))
+
+        return run
+
+    return by_batch(rows, f"doc_id long, th long, {schema}", start)
+
+
+def _agreed(docs: DataFrame, ends: DataFrame, reach: int, key: str, text: str) -> DataFrame:
+    """ends with more: the bytes, reach at most, that doc_id, th has before at (left) or from there on just as other has (doc_id, th, at)."""
+
+    def near(t: bytes, ask: dict) -> Iterator[tuple]:
+        yield ask["at"], ask["left"], t[max(0, ask["at"] - reach) : ask["at"]] if ask["left"] else t[ask["at"] : ask["at"] + reach]
+
+    asked = ends.select("doc_id", "th", "at", "left").union(ends.select("other.doc_id", "other.th", "other.at", "left"))
+    contexts = _at(docs, asked, key, text, "at int, left boolean, near binary", near)
+    contexts = stored(contexts.groupBy("doc_id", "th", "at", "left").agg(F.min("near").alias("near")), "contexts")
+    side = lambda p: contexts.select(*(F.col(c).alias(f"{p}_{c}") for c in contexts.columns))
+    met = lambda p, own: [F.col(f"{own}th") == F.col(f"{p}_th"), F.col(f"{own}at") == F.col(f"{p}_at"), F.col("left") == F.col(f"{p}_left"), F.col(f"{own}doc_id").eqNullSafe(F.col(f"{p}_doc_id"))]
+    both = ends.join(side("own"), met("own", "")).join(side("first"), met("first", "other."))
+    own = [c for c in ends.columns if c not in ("at", "other")]
 
     def start():
         def each(batch: pa.RecordBatch) -> dict:
-            asks, at, left, near, own = batch.column("asks").to_pylist(), [], [], [], []
-            for i, t in enumerate(octets(batch.column("t"))):
-                for a in asks[i]:
-                    own.append(i)
-                    at.append(a["at"])
-                    left.append(a["left"])
-                    near.append(t[max(0, a["at"] - REACH) : a["at"]] if a["left"] else t[a["at"] : a["at"] + REACH])
-            own = pa.array(own, pa.int64())
-            return {"doc_id": batch.column("doc_id").take(own), "th": batch.column("th").take(own), "at": at, "left": left, "near": near}
+            sides = zip(*(batch.column(c).to_pylist() for c in ("own_near", "first_near", "left")), strict=True)
+            return {c: batch.column(c) for c in own} | {"more": [common(*s) for s in sides]}
 
         return each
 
-    found = by_batch(rows, "doc_id long, th long, at int, left boolean, near binary", start)
-    return found.groupBy("doc_id", "th", "at", "left").agg(F.min("near").alias("near"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ends.select(*own).schema)
+    return by_batch(both.select(*own, "own_near", "first_near"), f"{schema}, more int", start)
 
 
 def common(a: bytes, b: bytes, left: bool) -> int:
@@ -112,6 +149,38 @@ def common(a: bytes, b: bytes, left: bool) -> int:
     return n if not len(differ) else int(n - 1 - differ[-1] if left else differ[0])
 
 
+def _missed(docs: DataFrame, repeated: DataFrame, short: DataFrame, within: bool, key: str, text: str, least: int) -> DataFrame:
+    """(doc_id, th, start, stop, first_doc_ids): passages around short runs that some earlier document holds whole, though not the first to hold their chunks.
+
+    All places of the chunks of short runs are looked at: windows of nearly least bytes begin at
+    each and at some steps before, so a passage of least bytes around a chunk has one of them
+    whole. The first place of each window is found by its hash, and the passage by comparison
+    with that place.
+    """
+    step = max(1, least // 16)
+    width = least - step
+    asked = stored(short.select(F.inline("digests")).distinct(), "digests")
+    places = repeated.join(asked, ["h1", "h2"]).select("doc_id", "th", F.col("start").alias("at"))
+
+    def windows(t: bytes, ask: dict) -> Iterator[tuple]:
+        for w in range(ask["at"], max(-1, ask["at"] - least), -step):
+            if w + width <= len(t):
+                yield w, xxhash.xxh3_64_intdigest(t[w : w + width]) - (1 << 63)
+
+    found = stored(_at(docs, places, key, text, "w int, hash long", windows), "windows")
+    place = F.struct(_document().alias("doc"), "w")
+    held = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place if within else F.struct(_document().alias("doc"))).alias("last")).filter("first != last" if within else "first.doc != last.doc").drop("last")
+    own = stored(short.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).distinct(), "short")
+    hits = joined_back(found.distinct(), held, "hash").filter(place != F.col("first") if within else _document() != F.col("first.doc"))
+    hits = hits.join(own, (F.col("th") == F.col("s_th")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left_semi")
+    other = F.struct("first.doc.doc_id", "first.doc.th", F.col("first.w").alias("at"))
+    ends = stored(hits.select("doc_id", "th", F.col("w").alias("begin"), F.col("w").alias("at"), other.alias("other")).select("*", F.col("other.doc_id").alias("holder"), F.explode(F.array(F.lit(True), F.lit(False))).alias("left")), "window_ends")
+    whole = _agreed(docs, ends, width + 2 * REACH, key, text).groupBy("doc_id", "th", "begin", "holder").agg(F.max(F.when(F.col("left"), F.col("more"))).alias("before"), F.max(F.when(~F.col("left"), F.col("more"))).alias("after"))
+    whole = whole.filter(F.col("after") >= width).select("doc_id", "th", (F.col("begin") - F.col("before")).alias("start"), (F.col("begin") + F.col("after")).alias("stop"), "holder")
+    whole = whole.filter(F.col("stop") - F.col("start") >= least).groupBy("doc_id", "th", "start", "stop")
+    return whole.agg(F.array_sort(F.collect_set("holder")).alias("first_doc_ids"))
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_RUN, within: bool = True) -> DataFrame:
     """Passages of at least bytes that came before: in a smaller id, or earlier in the same text.
 
@@ -123,35 +192,34 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     end of the passage cuts through. Runs may overlap after that. Rows of one id and text count
     as one document. Without within, what only one text repeats in itself is left.
 
+    A run that stays under least bytes then may be the inside of a passage whose chunks a third
+    document holds still earlier, with other text around. Its chunks are looked up once more, by
+    windows of nearly least bytes (_missed); what is found so has n_chunks 0 and the document
+    that holds the window first. Null and empty texts have no passage; ties of place don't occur,
+    as rows equal in id and text are one. Very long texts are cut and compared whole, each in one task.
+
     A passage that holds no whole chunk is not seen: chunks have 128 bytes at most and lie at
     the same places in equal text, so that of least bytes holds one but for rare cases at
     forced cuts. Texts are cut once. Digests are counted with map-side combining, and what
     is joined back has each digest or place once, so common passages are no hot spot.
     """
-    every = stored(chunks(docs, key, text), "chunks")
-    runs = stored(_runs(every, within), "runs")
-    ends = runs.select("*", F.inline(F.array(
+    repeated = stored(_repeated(stored(chunks(docs, key, text), "chunks"), within), "repeated")
+    runs = stored(_runs(repeated, within, least), "runs")
+    own = ("doc_id", "th", "start", "stop", "n_chunks", "first_doc_ids")
+    ends = runs.select(*own, F.inline(F.array(
         F.struct(F.lit(True).alias("left"), F.col("start").alias("at"), F.col("head").alias("other")),
         F.struct(F.lit(False).alias("left"), F.col("stop").alias("at"), F.col("tail").alias("other")),
-    ))).drop("head", "tail")
-    asked = ends.select("doc_id", "th", "at", "left").union(ends.select("other.doc_id", "other.th", "other.at", "left"))
-    contexts = stored(_contexts(docs, asked, key, text), "contexts")
-    side = lambda p: contexts.select(*(F.col(c).alias(f"{p}_{c}") for c in contexts.columns))
-    met = lambda p, own: [F.col(f"{own}th") == F.col(f"{p}_th"), F.col(f"{own}at") == F.col(f"{p}_at"), F.col("left") == F.col(f"{p}_left"), F.col(f"{own}doc_id").eqNullSafe(F.col(f"{p}_doc_id"))]
-    both = ends.join(side("own"), met("own", "")).join(side("first"), met("first", "other."))
-
-    def start():
-        def each(batch: pa.RecordBatch) -> dict:
-            sides = zip(*(batch.column(c).to_pylist() for c in ("own_near", "first_near", "left")), strict=True)
-            return {c: batch.column(c) for c in own} | {"more": [common(*s) for s in sides]}
-
-        return each
-
-    own = ("doc_id", "th", "start", "stop", "n_chunks", "first_doc_ids", "left")
-    more = by_batch(both.select(*own, "own_near", "first_near"), "doc_id long, th long, start int, stop int, n_chunks long, first_doc_ids array<long>, left boolean, more int", start)
-    whole = more.groupBy("doc_id", "th", "start", "stop").agg(F.max("n_chunks").alias("n_chunks"), F.max("first_doc_ids").alias("first_doc_ids"), F.max(F.when(F.col("left"), F.col("more"))).alias("before"), F.max(F.when(~F.col("left"), F.col("more"))).alias("after"))
-    out = whole.select("doc_id", "th", (F.col("start") - F.col("before")).alias("start"), (F.col("stop") + F.col("after")).alias("stop"), "n_chunks", "first_doc_ids")
-    return out.filter(F.col("stop") - F.col("start") >= least)
+    )))
+    more = _agreed(docs, ends, REACH, key, text).groupBy("doc_id", "th", "start", "stop").agg(F.max("n_chunks").alias("n_chunks"), F.max("first_doc_ids").alias("first_doc_ids"), F.max(F.when(F.col("left"), F.col("more"))).alias("before"), F.max(F.when(~F.col("left"), F.col("more"))).alias("after"))
+    whole = stored(more.withColumns({"from": F.col("start") - F.col("before"), "to": F.col("stop") + F.col("after")}), "whole")
+    long = F.col("to") - F.col("from") >= least
+    out = whole.filter(long).select("doc_id", "th", F.col("from").alias("start"), F.col("to").alias("stop"), "n_chunks", "first_doc_ids")
+    runs = runs.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), F.col("start").alias("r_start"), "digests").filter("digests IS NOT NULL")
+    short = whole.filter(~long).join(runs, (F.col("th") == F.col("r_th")) & (F.col("start") == F.col("r_start")) & F.col("doc_id").eqNullSafe(F.col("r_id"))).select("doc_id", "th", "digests")
+    missed = _missed(docs, repeated, stored(short, "short_runs"), within, key, text, least)
+    known = out.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), F.col("start").alias("k_start"), F.col("stop").alias("k_stop"))
+    missed = missed.join(known, (F.col("th") == F.col("k_th")) & F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_start") <= F.col("start")) & (F.col("stop") <= F.col("k_stop")), "left_anti")
+    return out.unionByName(missed.select("doc_id", "th", "start", "stop", F.lit(0).cast("long").alias("n_chunks"), "first_doc_ids"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_RUN, within: bool = True) -> DataFrame:
