@@ -11,13 +11,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the query: weights by rank of source, repeating, and the most repeats of a source.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Independent draws that one sha256 gives: eight hex digits each.
-DRAWS = 8
+#: Draws of a document: eight hex digits of its digest each.
+DRAWS = 16
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """(doc_id, source, size, h): the words of each text, and the digest that seeds its draws."""
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), seed_of(key, source).alias("h"))
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), seed_of(key, source, text).alias("h"))
 
 
 def draw(h, k: int):
@@ -60,9 +60,10 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return table.withColumn("target", F.least(limit.cast("double"), F.lit(float(level)) * F.col("weight")))
 
 
-def seed_of(key: str = "doc_id", source: str = "source"):
-    """Digest of a document's id and source; parts of it are its draws."""
-    return F.sha2(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(source), F.lit(""))), 256)
+def seed_of(key: str = "doc_id", source: str = "source", text: str = "text"):
+    """128 hex digits from a document's id, source and text, whose parts are its draws: rows without id draw by their texts."""
+    first = F.sha2(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, source, text))), 256)
+    return F.concat(first, F.sha2(first, 256))
 
 
 def goals(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:

@@ -221,7 +221,7 @@ FROM sets s JOIN least l USING (doc_id)
     "op10_mixing": """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         sha256(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '')) AS h FROM documents),
+         sha256(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '') || ':' || coalesce(text, '')) AS h1, h1 || sha256(h1) AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight FROM src),
 steps AS (
@@ -236,7 +236,7 @@ drawn AS (
   SELECT s.doc_id, s.source, s.size, r.source_size, r.target, floor(r.rate)::BIGINT AS base, k,
          ('0x' || substr(s.h, 8 * k + 1, 8))::BIGINT / 4294967296.0::DOUBLE < r.rate - floor(r.rate) AS extra,
          row_number() OVER () AS n
-  FROM sized s JOIN rate r ON s.source IS NOT DISTINCT FROM r.source, (SELECT unnest(range(8))::BIGINT AS k)),
+  FROM sized s JOIN rate r ON s.source IS NOT DISTINCT FROM r.source, (SELECT unnest(range(16))::BIGINT AS k)),
 best AS (
   SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY abs(any_value(base * source_size) + sum(CASE WHEN extra THEN size ELSE 0 END) - any_value(target)), k) AS place
   FROM drawn GROUP BY source, k)

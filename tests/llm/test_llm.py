@@ -655,6 +655,16 @@ def test_mixing_reaches_its_targets(spark, docs, nothing):
     assert mixing.rates(docs).count() == docs.count() and mixing.rates(nothing).count() == mixing.mixed(nothing).count() == 0
 
 
+def test_rows_without_id_draw_by_their_texts(spark):
+    rng = random.Random(11)
+    rows = [(None, prose(rng, rng.randint(1, 8)), f"s{i % 3}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.rates(df).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 3 and all(r.taken == pytest.approx(r.target, rel=0.03) for r in got)
+    repeated = df.union(df.limit(5))
+    assert mixing.mixed(repeated).count() == sum(r.copies for r in mixing.rates(repeated).collect())
+
+
 # The pipeline and the queries
 
 
@@ -706,4 +716,4 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in names if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in names if q.startswith("op")}
