@@ -207,7 +207,7 @@ _PRIORITY = "coalesce(MAP {'survey': 50, 'height': 40, 'rooflight': 30, 'swiss':
 _OVER = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
 
 
-def _union(source: str, key: str, name: str = "") -> str:
+def union_sql(source: str, key: str, name: str = "") -> str:
     """SQL of the area that boxes cover together, by slabs between neighbouring x edges."""
     return f"""{name}edges AS (SELECT DISTINCT {key}, unnest([x1, x2]) AS e FROM {source}),
 {name}slabs AS (SELECT {key}, e, lead(e) OVER (PARTITION BY {key} ORDER BY e) AS f FROM {name}edges),
@@ -217,7 +217,7 @@ def _union(source: str, key: str, name: str = "") -> str:
 
 
 _MEET = "a.x1 - 2 < b.x2 AND b.x1 < a.x2 + 2 AND a.y1 - 2 < b.y2 AND b.y1 < a.y2 + 2"
-_MASKS = f"""m AS (SELECT *, analysis::VARCHAR || kind AS k, {SOURCES_SQL} AS s FROM ({fixture_sql("order_boxes")})), {_union("m", "k")},
+_MASKS = f"""m AS (SELECT *, analysis::VARCHAR || kind AS k, {SOURCES_SQL} AS s FROM ({fixture_sql("order_boxes")})), {union_sql("m", "k")},
 each_ AS (SELECT analysis AS image, kind AS label, count(*) AS mask_count, max((x2 - x1) * (y2 - y1)) AS largest_area, max(confidence) AS max_confidence FROM m GROUP BY ALL),
 named AS (SELECT image, label, string_agg(DISTINCT x, ',' ORDER BY x) AS sources FROM (SELECT analysis AS image, kind AS label, unnest(s) AS x FROM m) GROUP BY ALL)"""
 
@@ -249,13 +249,13 @@ SELECT analysis, kind, max(source) FILTER (n = 1) AS source, max(confidence) AS
     "trusted_pv_arbitration_boxes": f"""WITH d AS (SELECT *, {SOURCES_SQL} AS s FROM ({fixture_sql("boxes")})),
 met AS (SELECT a.id, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, least(a.x2, b.x2) AS x2, least(a.y2, b.y2) AS y2 FROM d a JOIN d b
   ON a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE a.kind NOT IN ('pv_installation', 'roof', 'shadow') AND a.s = ['rid'] AND b.kind = 'pv_installation' AND list_contains(b.s, 'swiss') AND b.confidence >= 0.5),
-{_union("met", "id")}
+{union_sql("met", "id")}
 SELECT d.id, kind, array_to_string(s, ',') AS sources, (x2 - x1) * (y2 - y1) - coalesce(union_area, 0) AS clipped_area, kind <> 'shadow' AS blocks_placement FROM d LEFT JOIN covered c ON d.id = c.id WHERE (x2 - x1) * (y2 - y1) - coalesce(union_area, 0) > 1e-8""",
-    "box_union_area": f"WITH b AS ({fixture_sql('order_boxes')}), {_union('b', 'analysis')} SELECT * FROM covered",
+    "box_union_area": f"WITH b AS ({fixture_sql('order_boxes')}), {union_sql('b', 'analysis')} SELECT * FROM covered",
     "image_class_summary": f"""WITH {_MASKS} SELECT e.*, union_area AS total_area, union_area / 64 AS total_fraction, largest_area / 64 AS largest_fraction, sources FROM each_ e JOIN covered c ON c.k = e.image::VARCHAR || e.label JOIN named n ON n.image = e.image AND n.label = e.label""",
     "swiss_rid_overlap": f"""WITH d AS (SELECT *, {SOURCES_SQL} AS s FROM ({fixture_sql("order_boxes")})), pv AS (SELECT * FROM d WHERE kind = 'pv_installation' AND list_contains(s, 'swiss')), hard AS (SELECT * FROM d WHERE kind = 'chimney' AND list_contains(s, 'rid')),
 met AS (SELECT a.analysis, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, least(a.x2, b.x2) AS x2, least(a.y2, b.y2) AS y2 FROM pv a JOIN hard b ON a.analysis = b.analysis AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2),
-{_union("met", "analysis")}, {_union("pv", "analysis", "pv_")}
+{union_sql("met", "analysis")}, {union_sql("pv", "analysis", "pv_")}
 SELECT i.analysis AS image, round(coalesce(c.union_area, 0), 6) AS overlap, round(coalesce(c.union_area, 0) / 64, 6) AS fraction, round(CASE WHEN p.union_area > 0 THEN coalesce(c.union_area, 0) / p.union_area ELSE 0 END, 6) AS relative
 FROM (SELECT DISTINCT analysis FROM d) i LEFT JOIN covered c USING (analysis) LEFT JOIN pv_covered p USING (analysis)""",
     "largest_rid_fraction": f"""WITH {_MASKS} SELECT e.image, coalesce(max(largest_area / 64) FILTER (e.label <> 'pv_installation' AND contains(',' || sources || ',', ',rid,')), 0) AS largest FROM each_ e JOIN named n ON n.image = e.image AND n.label = e.label GROUP BY e.image""",
@@ -268,7 +268,7 @@ SELECT a.roof, b.id, {_OVER} AS area FROM a JOIN b ON a.x1 < b.x2 AND b.x1 < a.x
     "clipped_to_roof": f"""SELECT id, (least(x2, 4.0) - greatest(x1, 1.0)) * (least(y2, 4.0) - greatest(y1, 1.0)) AS area, kind <> 'shadow' AS blocks FROM ({fixture_sql("order_boxes")})
 WHERE least(x2, 4.0) > greatest(x1, 1.0) AND least(y2, 4.0) > greatest(y1, 1.0) AND (least(x2, 4.0) - greatest(x1, 1.0)) * (least(y2, 4.0) - greatest(y1, 1.0)) > 0.01""",
     "chip_roof_overlap": f"""WITH b AS ({fixture_sql("boxes")}), a AS (SELECT id, x AS x1, y AS y1, x + 100 AS x2, y + 100 AS y2 FROM ({fixture_sql("chips")})),
-met AS (SELECT a.id AS chip, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, least(a.x2, b.x2) AS x2, least(a.y2, b.y2) AS y2 FROM a JOIN b ON a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2), {_union("met", "chip")}
+met AS (SELECT a.id AS chip, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, least(a.x2, b.x2) AS x2, least(a.y2, b.y2) AS y2 FROM a JOIN b ON a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2), {union_sql("met", "chip")}
 SELECT c.chip, n, union_area AS area FROM covered c JOIN (SELECT chip, count(*) AS n FROM met GROUP BY chip) m ON c.chip = m.chip WHERE union_area >= 100""",
     "hash_split": f"""WITH keys AS (SELECT 'documents' AS data, (doc_id // 4)::VARCHAR AS k FROM documents UNION ALL SELECT 'customer', c_custkey::VARCHAR FROM customer)
 SELECT data, {_SPLIT} AS split, count(*) AS n, min(k) AS first_key FROM keys GROUP BY ALL""",
