@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from solarweave.llm.batches import by_batch, octets
 from solarweave.llm.gear import cuts
-from solarweave.storage import joined_back, stored
+from solarweave.storage import Stored, joined_back, stored
 
 #: Chunks of some 50 bytes on average, 128 at most; repeats shorter than LEAST_RUN bytes (some 50 short words) are left.
 CHUNK_WIDTH, CHUNK_MOST, LEAST_RUN = 26, 128, 200
@@ -61,24 +61,24 @@ def _document() -> Column:
 
 
 def _repeated(every: DataFrame, within: bool) -> DataFrame:
-    """every's chunks whose digest comes in another document (or, within, anywhere else), with first: its first place."""
+    """every's chunks whose digest comes in another document (or, within, anywhere else), with first: its first place, and many: whether it has more than two."""
     place = F.struct(_document().alias("doc"), "start")
-    shared = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place if within else F.struct(_document().alias("doc"))).alias("last"))
+    shared = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place if within else F.struct(_document().alias("doc"))).alias("last"), (F.count("*") > 2).alias("many"))
     shared = shared.filter("first != last" if within else "first.doc != last.doc").drop("last")
-    return joined_back(every, shared, ["h1", "h2"]).distinct()
+    return joined_back(every, shared, ["h1", "h2"])
 
 
 def _later(repeated: DataFrame, within: bool) -> DataFrame:
     """The rows of _repeated that aren't the first of their digest."""
-    return repeated.filter(F.struct(_document().alias("doc"), "start") != F.col("first") if within else _document() != F.col("first.doc"))
+    return repeated.filter(F.struct(_document().alias("doc"), "start") != F.col("first") if within else _document() != F.col("first.doc")).distinct()
 
 
 def _runs(repeated: DataFrame, within: bool, least: int) -> DataFrame:
     """Adjacent chunks that came before: (doc_id, th, start, stop, n_chunks, first_doc_ids, head, tail, digests).
 
     head and tail (doc_id, th, at) are where the first chunk of the run begins, and where its
-    last one ends, in the documents that hold them first. digests are those of the chunks of a
-    run of under least bytes, else null.
+    last one ends, in the documents that hold them first. digests are those of the chunks with
+    more than two places of a run of under least bytes, else null.
     """
     own = Window.partitionBy("doc_id", "th").orderBy("start")
     opens = F.when(F.lag("stop").over(own) == F.col("start"), 0).otherwise(1)
@@ -86,7 +86,7 @@ def _runs(repeated: DataFrame, within: bool, least: int) -> DataFrame:
     at = lambda n: F.struct("first.doc.doc_id", "first.doc.th", (F.col("first.start") + n).alias("at"))
     runs = runs.groupBy("doc_id", "th", "run").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("first.doc.doc_id")).alias("first_doc_ids"),
-        F.min_by(at(F.lit(0)), "start").alias("head"), F.max_by(at(F.col("stop") - F.col("start")), "start").alias("tail"), F.collect_list(F.struct("h1", "h2")).alias("digests"),
+        F.min_by(at(F.lit(0)), "start").alias("head"), F.max_by(at(F.col("stop") - F.col("start")), "start").alias("tail"), F.collect_list(F.when(F.col("many"), F.struct("h1", "h2"))).alias("digests"),
     )
     return runs.drop("run").withColumn("digests", F.when(F.col("stop") - F.col("start") < least, F.col("digests")))
 
@@ -116,11 +116,11 @@ def _at(docs: DataFrame, asked: DataFrame, key: str, text: str, schema: str, eac
     return by_batch(rows, f"doc_id long, th long, {schema}", start)
 
 
-def _agreed(docs: DataFrame, ends: DataFrame, reach: int, key: str, text: str) -> DataFrame:
-    """ends with more: the bytes, reach at most, that doc_id, th has before at (left) or from there on just as other has (doc_id, th, at)."""
+def _agreed(docs: DataFrame, ends: DataFrame, before: int, after: int, key: str, text: str) -> DataFrame:
+    """ends with more: the bytes that doc_id, th has before at (left; before at most) or from there on (after at most) just as other has (doc_id, th, at)."""
 
     def near(t: bytes, ask: dict) -> Iterator[tuple]:
-        yield ask["at"], ask["left"], t[max(0, ask["at"] - reach) : ask["at"]] if ask["left"] else t[ask["at"] : ask["at"] + reach]
+        yield ask["at"], ask["left"], t[max(0, ask["at"] - before) : ask["at"]] if ask["left"] else t[ask["at"] : ask["at"] + after]
 
     asked = ends.select("doc_id", "th", "at", "left").union(ends.select("other.doc_id", "other.th", "other.at", "left"))
     contexts = _at(docs, asked, key, text, "at int, left boolean, near binary", near)
@@ -149,13 +149,14 @@ def common(a: bytes, b: bytes, left: bool) -> int:
     return n if not len(differ) else int(n - 1 - differ[-1] if left else differ[0])
 
 
-def _missed(docs: DataFrame, repeated: DataFrame, short: DataFrame, within: bool, key: str, text: str, least: int) -> DataFrame:
+def _missed(docs: DataFrame, repeated: DataFrame, short: DataFrame, known: DataFrame, within: bool, key: str, text: str, least: int) -> DataFrame:
     """(doc_id, th, start, stop, first_doc_ids): passages around short runs that some earlier document holds whole, though not the first to hold their chunks.
 
-    All places of the chunks of short runs are looked at: windows of nearly least bytes begin at
-    each and at some steps before, so a passage of least bytes around a chunk has one of them
-    whole. The first place of each window is found by its hash, and the passage by comparison
-    with that place.
+    All places of those chunks of short runs that have more than two are looked at: windows of
+    nearly least bytes begin at each and at some steps before, so a passage of least bytes around
+    a chunk has one of them whole. The first place of each window is found by its hash, and the
+    passage by comparison with that place, once for windows that overlap and agree with one text
+    at one distance. Windows inside what is known already (k_id, k_th, k_start, k_stop) aren't followed.
     """
     step = max(1, least // 16)
     width = least - step
@@ -171,11 +172,15 @@ def _missed(docs: DataFrame, repeated: DataFrame, short: DataFrame, within: bool
     place = F.struct(_document().alias("doc"), "w")
     held = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place if within else F.struct(_document().alias("doc"))).alias("last")).filter("first != last" if within else "first.doc != last.doc").drop("last")
     own = stored(short.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).distinct(), "short")
-    hits = joined_back(found.distinct(), held, "hash").filter(place != F.col("first") if within else _document() != F.col("first.doc"))
+    hits = joined_back(found, held, "hash").filter(place != F.col("first") if within else _document() != F.col("first.doc")).drop("hash").distinct()
     hits = hits.join(own, (F.col("th") == F.col("s_th")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left_semi")
+    hits = hits.join(known, (F.col("th") == F.col("k_th")) & F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_start") <= F.col("w")) & (F.col("w") + width <= F.col("k_stop")), "left_anti")
+    line = Window.partitionBy("doc_id", "th", "first.doc", F.col("w") - F.col("first.w")).orderBy("w")
+    hits = hits.withColumn("last", F.lag("w").over(line)).filter(F.col("last").isNull() | (F.col("w") - F.col("last") > width))
     other = F.struct("first.doc.doc_id", "first.doc.th", F.col("first.w").alias("at"))
     ends = stored(hits.select("doc_id", "th", F.col("w").alias("begin"), F.col("w").alias("at"), other.alias("other")).select("*", F.col("other.doc_id").alias("holder"), F.explode(F.array(F.lit(True), F.lit(False))).alias("left")), "window_ends")
-    whole = _agreed(docs, ends, width + 2 * REACH, key, text).groupBy("doc_id", "th", "begin", "holder").agg(F.max(F.when(F.col("left"), F.col("more"))).alias("before"), F.max(F.when(~F.col("left"), F.col("more"))).alias("after"))
+    more = F.col("more")
+    whole = _agreed(docs, ends, REACH, 2 * width + REACH, key, text).groupBy("doc_id", "th", "begin", "holder").agg(F.max(F.when(F.col("left"), more)).alias("before"), F.max(F.when(~F.col("left"), more)).alias("after"))
     whole = whole.filter(F.col("after") >= width).select("doc_id", "th", (F.col("begin") - F.col("before")).alias("start"), (F.col("begin") + F.col("after")).alias("stop"), "holder")
     whole = whole.filter(F.col("stop") - F.col("start") >= least).groupBy("doc_id", "th", "start", "stop")
     return whole.agg(F.array_sort(F.collect_set("holder")).alias("first_doc_ids"))
@@ -203,22 +208,23 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     forced cuts. Texts are cut once. Digests are counted with map-side combining, and what
     is joined back has each digest or place once, so common passages are no hot spot.
     """
-    repeated = stored(_repeated(stored(chunks(docs, key, text), "chunks"), within), "repeated")
+    every = Stored(chunks(docs, key, text), "chunks")
+    repeated = stored(_repeated(every.df, within), "repeated")
+    every.drop()
     runs = stored(_runs(repeated, within, least), "runs")
     own = ("doc_id", "th", "start", "stop", "n_chunks", "first_doc_ids")
     ends = runs.select(*own, F.inline(F.array(
         F.struct(F.lit(True).alias("left"), F.col("start").alias("at"), F.col("head").alias("other")),
         F.struct(F.lit(False).alias("left"), F.col("stop").alias("at"), F.col("tail").alias("other")),
     )))
-    more = _agreed(docs, ends, REACH, key, text).groupBy("doc_id", "th", "start", "stop").agg(F.max("n_chunks").alias("n_chunks"), F.max("first_doc_ids").alias("first_doc_ids"), F.max(F.when(F.col("left"), F.col("more"))).alias("before"), F.max(F.when(~F.col("left"), F.col("more"))).alias("after"))
+    more = _agreed(docs, ends, REACH, REACH, key, text).groupBy("doc_id", "th", "start", "stop").agg(F.max("n_chunks").alias("n_chunks"), F.max("first_doc_ids").alias("first_doc_ids"), F.max(F.when(F.col("left"), F.col("more"))).alias("before"), F.max(F.when(~F.col("left"), F.col("more"))).alias("after"))
     whole = stored(more.withColumns({"from": F.col("start") - F.col("before"), "to": F.col("stop") + F.col("after")}), "whole")
     long = F.col("to") - F.col("from") >= least
     out = whole.filter(long).select("doc_id", "th", F.col("from").alias("start"), F.col("to").alias("stop"), "n_chunks", "first_doc_ids")
-    runs = runs.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), F.col("start").alias("r_start"), "digests").filter("digests IS NOT NULL")
+    runs = runs.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), F.col("start").alias("r_start"), "digests").filter("size(digests) > 0")
     short = whole.filter(~long).join(runs, (F.col("th") == F.col("r_th")) & (F.col("start") == F.col("r_start")) & F.col("doc_id").eqNullSafe(F.col("r_id"))).select("doc_id", "th", "digests")
-    missed = _missed(docs, repeated, stored(short, "short_runs"), within, key, text, least)
     known = out.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), F.col("start").alias("k_start"), F.col("stop").alias("k_stop"))
-    missed = missed.join(known, (F.col("th") == F.col("k_th")) & F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_start") <= F.col("start")) & (F.col("stop") <= F.col("k_stop")), "left_anti")
+    missed = _missed(docs, repeated, stored(short, "short_runs"), known, within, key, text, least)
     return out.unionByName(missed.select("doc_id", "th", "start", "stop", F.lit(0).cast("long").alias("n_chunks"), "first_doc_ids"))
 
 

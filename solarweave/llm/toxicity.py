@@ -218,7 +218,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     confirmed = gathered(sample(docs, labels, label, MOST_CONFIRMED, 1, key, text))
     unlabelled = gathered(sample(docs, any_of, label, MOST_UNLABELLED, None, key, text))
     wanted = np.flatnonzero(np.bincount(np.concatenate(confirmed), minlength=BUCKETS) >= LEAST) if confirmed else np.zeros(0, np.int64)
-    return train(confirmed, unlabelled, prior, frequencies(docs, wanted, key, text) if len(wanted) else None), prior
+    out = train(confirmed, unlabelled, prior, frequencies(docs, wanted, key, text) if len(wanted) else None), prior
+    confirmed = unlabelled = None
+    give_back()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
