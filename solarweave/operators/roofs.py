@@ -32,7 +32,8 @@ def grown_selection(parts: DataFrame, reach: float = NEAR, greatest: float = GRE
     """(egid, id): parts that grow from the selected ones of each egid, in the order of their ids.
 
     parts are (id, egid, box) and may have selected; without it, or where none is selected, an
-    egid's first part is. A part joins if it is within reach of what has grown so far and keeps
+    egid's first part is. Where the egid is null or not positive the selected parts stay as they
+    are and nothing joins them. A part joins if it is within reach of what has grown so far and keeps
     the extent within greatest; passes repeat until none joins. The result depends on the
     order, so an egid is one group; it is a house and small.
     """
@@ -52,8 +53,9 @@ def grown_selection(parts: DataFrame, reach: float = NEAR, greatest: float = GRE
                     chosen[i], bounds = True, wider
         return pd.DataFrame({"egid": pdf.egid.iloc[0], "id": ids[chosen]})
 
-    own = parts.filter("egid > 0").select("id", "egid", *BOX, F.col("selected") if "selected" in parts.columns else F.lit(False).alias("selected"))
-    return own.groupBy("egid").applyInPandas(grow, "egid long, id long")
+    own = parts.select(F.col("id").cast("long").alias("id"), F.col("egid").cast("long").alias("egid"), *BOX, F.col("selected") if "selected" in parts.columns else F.lit(False).alias("selected"))
+    grown = own.filter("egid > 0").groupBy("egid").applyInPandas(grow, "egid long, id long")
+    return grown.unionByName(own.filter("selected and not coalesce(egid > 0, false)").select("egid", "id"))
 
 
 def neighbours(requests: DataFrame, parts: DataFrame, margin: float = 70.0, size: float = 80.0) -> DataFrame:

@@ -112,8 +112,11 @@ def contrast_hits(raster: DataFrame, pixels_per_metre: float) -> DataFrame:
     return closed(hit, F.col("hit")).select("image", "r", "c", F.col("v").alias("hit"))
 
 
-def edges(raster: DataFrame, value: str) -> DataFrame:
-    """raster with gx and gy: Sobel of the 5 x 5 Gaussian, where both lie inside the image; else null."""
+def edges(raster: DataFrame, value: str, whole: bool = False) -> DataFrame:
+    """raster with gx and gy: Sobel of the 5 x 5 Gaussian, where both lie inside the image; else null.
+
+    With whole the smoothed values are rounded, as those of an 8-bit image are.
+    """
 
     def line(col: Column, along: str, across: str, weights: tuple[int, ...], scale: float) -> Column:
         w, half = Window.partitionBy("image", across).orderBy(along), len(weights) // 2
@@ -121,6 +124,7 @@ def edges(raster: DataFrame, value: str) -> DataFrame:
 
     smooth = raster.withColumn("s", line(F.col(value), "c", "r", (1, 4, 6, 4, 1), 16.0))
     smooth = smooth.withColumn("s", line(F.col("s"), "r", "c", (1, 4, 6, 4, 1), 16.0))
+    smooth = smooth.withColumn("s", F.floor(F.col("s") + 0.5).cast("double")) if whole else smooth
     out = smooth.withColumn("dx", line(F.col("s"), "c", "r", (-1, 0, 1), 1.0)).withColumn("dy", line(F.col("s"), "r", "c", (-1, 0, 1), 1.0))
     return out.withColumn("gx", line(F.col("dx"), "r", "c", (1, 2, 1), 1.0)).withColumn("gy", line(F.col("dy"), "c", "r", (1, 2, 1), 1.0)).drop("s", "dx", "dy")
 

@@ -283,6 +283,15 @@ edges AS (SELECT a.id AS a, b.id AS b FROM parts a JOIN parts b ON a.egid = b.eg
   AND pow(greatest(a.x1 - b.x2, b.x1 - a.x2, 0), 2) + pow(greatest(a.y1 - b.y2, b.y1 - a.y2, 0), 2) <= 2.25),
 reach AS (SELECT id AS a, id AS b FROM parts UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
 SELECT p.id, p.egid, min(r.b) AS house FROM parts p JOIN reach r ON p.id = r.a GROUP BY ALL""",
+    "grown_parts": f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY egid ORDER BY id) AS i, count(*) OVER (PARTITION BY egid) AS n FROM ({fixture_sql("parts")}) WHERE egid > 0),
+s AS (SELECT egid, n, 1::BIGINT AS i, false AS changed, [id] AS ids, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS held, x1, y1, x2, y2 FROM p WHERE i = 1
+UNION ALL SELECT egid, n, i, CASE WHEN i = 1 THEN takes ELSE changed OR takes END, CASE WHEN takes THEN list_append(ids, id) ELSE ids END, CASE WHEN takes THEN list_append(held, b) ELSE held END,
+  CASE WHEN takes THEN least(x1, b.x1) ELSE x1 END, CASE WHEN takes THEN least(y1, b.y1) ELSE y1 END, CASE WHEN takes THEN greatest(x2, b.x2) ELSE x2 END, CASE WHEN takes THEN greatest(y2, b.y2) ELSE y2 END
+FROM (SELECT s.egid, s.n, p.i, s.changed, s.ids, s.held, s.x1, s.y1, s.x2, s.y2, p.id, {{'x1': p.x1, 'y1': p.y1, 'x2': p.x2, 'y2': p.y2}} AS b,
+    NOT list_contains(s.ids, p.id) AND greatest(greatest(s.x2, p.x2) - least(s.x1, p.x1), greatest(s.y2, p.y2) - least(s.y1, p.y1)) <= 168
+    AND list_min(list_transform(s.held, lambda h: pow(greatest(h.x1 - p.x2, p.x1 - h.x2, 0), 2) + pow(greatest(h.y1 - p.y2, p.y1 - h.y2, 0), 2))) <= 2.25 AS takes
+  FROM s JOIN p ON s.egid = p.egid AND p.i = s.i % s.n + 1 WHERE s.n > 1 AND (s.i < s.n OR s.changed)))
+SELECT egid, unnest(ids) AS id FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY egid ORDER BY len(ids) DESC) = 1)""",
     "alignment_gates": f"""SELECT id, CASE WHEN best < 30 OR best < base * 1.5 OR best - base < 12 THEN 'no_clear_improvement' WHEN rival IS NOT NULL AND best < rival * 1.12 THEN 'ambiguous_boundary'
   WHEN shift > 3.75 THEN 'search_limit' WHEN support < 3 THEN 'insufficient_directional_support' ELSE 'image_boundary_match' END AS reason FROM ({fixture_sql("scores")})""",
     "crs_round_trip": f"""WITH c AS (SELECT id, x / 1000000.0::DOUBLE AS y, y / 1000000.0::DOUBLE AS x FROM ({fixture_sql("chips")})),

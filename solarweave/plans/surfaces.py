@@ -105,16 +105,22 @@ def roof_windows(spark, sf_dir):
 
 
 def registration(spark, sf_dir):
-    """Outlines laid on images of 144 x 144 pixels with a bright roof a few pixels off: shift, scale, support and reason."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("image"))
-    east, south = F.col("image") % 7 - 3, F.col("image") % 5 - 2
-    cells = n.select("image", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("r")).select("image", "r", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("c"))
-    on = F.col("c").between(32 + east, 111 + east) & F.col("r").between(32 + south, 111 + south) & (F.col("image") % 6 != 5)
-    image = cells.withColumn("k", F.when(on, 68.0).otherwise(40.0) + (F.col("r") * 13 + F.col("c") * 7) % 3)
-    corners = lambda *at: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in at))
-    rings = n.select("image", F.lit(0).alias("part"), corners((32, 32), (112, 32), (112, 112), (32, 112)).alias("ring"))
-    out = registration_.registered(registration_.outline_points(rings), surfaces.edges(image, "k"), n.select("image", F.lit(72.0).alias("x"), F.lit(72.0).alias("y")), 0.25)
-    return out.select("image", "points", "dx", "dy", F.round("scale", 2).alias("scale"), F.round("base", 4).alias("base"), F.round("best", 4).alias("best"), "support", "reason", "applied")
+    """Outlines laid on images of 80 x 80 pixels: each value of a vector is a square of ten, and a bright roof lies up to five pixels off.
+
+    A vector in six has no roof, and in one of seven its roof is smaller than the outline.
+    """
+    e = table(spark, sf_dir, "embeddings").filter("size(embedding) >= 64").select(F.col("vec_id").alias("image"), F.slice("embedding", 1, 64).alias("z"))
+    squares = e.select("image", F.transform("z", lambda v: F.floor(F.abs(v) * 24)).alias("z"))
+    side = F.sequence(F.lit(0), F.lit(79))
+    cells = squares.withColumn("r", F.explode(side)).withColumn("c", F.explode(side)).withColumn("z", F.get("z", (F.floor(F.col("r") / 10) * 8 + F.floor(F.col("c") / 10)).cast("int")))
+    less = F.when(F.col("image") % 7 == 0, 3).otherwise(0)
+    on = (F.col("image") % 6 != 5) & (F.col("c") - F.col("image") % 11 + 5).between(10 + less, 69 - less) & (F.col("r") - F.col("image") % 5 + 2).between(10 + less, 69 - less)
+    colour = lambda bright: registration_.grey(*(F.when(on, v).otherwise(30) + F.col("z") for v in bright)).cast("double")
+    image = cells.select("image", "r", "c", colour((80, 55, 40)).alias("k"))
+    corners = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((10, 10), (70, 10), (70, 70), (10, 70))))
+    rings, centres = e.select("image", F.lit(0).alias("part"), corners.alias("ring")), e.select("image", F.lit(40.0).alias("x"), F.lit(40.0).alias("y"))
+    out = registration_.registered(registration_.outline_points(rings), surfaces.edges(image, "k", whole=True), centres, 0.5)
+    return out.select("image", "points", "dx", "dy", F.round("scale", 2).alias("scale"), F.round("base", 4).alias("base"), F.round("best", 4).alias("best"), F.round("rival", 4).alias("rival"), "support", "reason", "applied")
 
 
 def mask_polygons(spark, sf_dir):
@@ -231,6 +237,28 @@ SELECT image, first_cell, cells, cells * 0.25::DOUBLE AS area, round(cells / (h
   row_number() OVER (PARTITION BY image ORDER BY (h + 0.8::DOUBLE) * (w + 0.8::DOUBLE) * 0.25 DESC, first_cell)::INTEGER AS place
 FROM parts WHERE cells * 0.25 BETWEEN 0.25 AND 6 AND w / h::DOUBLE BETWEEN 0.3::DOUBLE AND 3.4::DOUBLE AND cells / (h * w)::DOUBLE >= 0.55::DOUBLE QUALIFY place <= 60""",
     "edge_gradients": f"WITH {_SMOOTH} SELECT image, r, c, round(gx, 6) AS gx, round(gy, 6) AS gy FROM grad",
+    "registration": """WITH e AS (SELECT vec_id AS image, embedding AS z FROM embeddings WHERE len(embedding) >= 64), side AS (SELECT unnest(range(80)) AS i),
+colour AS (SELECT image, y.i AS r, x.i AS c, floor(abs(z[(y.i // 10) * 8 + x.i // 10 + 1]) * 24) AS v,
+  image % 6 <> 5 AND x.i - image % 11 + 5 BETWEEN 10 + l AND 69 - l AND y.i - image % 5 + 2 BETWEEN 10 + l AND 69 - l AS roof FROM (SELECT *, CASE WHEN image % 7 = 0 THEN 3 ELSE 0 END AS l FROM e), side y, side x),
+g AS (SELECT image, r, c, floor((CASE WHEN roof THEN 80 ELSE 30 END + v) * 0.299::DOUBLE + (CASE WHEN roof THEN 55 ELSE 30 END + v) * 0.587::DOUBLE + (CASE WHEN roof THEN 40 ELSE 30 END + v) * 0.114::DOUBLE + 0.5::DOUBLE) AS k FROM colour),
+s1 AS (SELECT image, r, c, CASE WHEN count(*) OVER w = 5 THEN (lag(k, 2) OVER o + lag(k) OVER o * 4 + k * 6 + lead(k) OVER o * 4 + lead(k, 2) OVER o) / 16 END AS s FROM g WINDOW o AS (PARTITION BY image, r ORDER BY c), w AS (PARTITION BY image, r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+s2 AS (SELECT image, r, c, floor((lag(s, 2) OVER o + lag(s) OVER o * 4 + s * 6 + lead(s) OVER o * 4 + lead(s, 2) OVER o) / 16 + 0.5::DOUBLE) AS s FROM s1 WINDOW o AS (PARTITION BY image, c ORDER BY r)),
+d AS (SELECT image, r, c, lead(s) OVER o - lag(s) OVER o AS a, lag(s) OVER o + 2 * s + lead(s) OVER o AS b FROM s2 WINDOW o AS (PARTITION BY image, r ORDER BY c)),
+grad AS (SELECT image, r, c, lag(a) OVER o + 2 * a + lead(a) OVER o AS gx, lead(b) OVER o - lag(b) OVER o AS gy FROM d WINDOW o AS (PARTITION BY image, c ORDER BY r)),
+k AS (SELECT unnest(range(17)) * 3 + 5 AS t),
+pt(x, y, way) AS (SELECT 10 + t, 10, 3 FROM k UNION ALL SELECT 70, 10 + t, 0 FROM k UNION ALL SELECT 70 - t, 70, 2 FROM k UNION ALL SELECT 10, 70 - t, 1 FROM k),
+sh AS (SELECT a.d AS dx, b.d AS dy, step FROM (SELECT unnest(range(-8, 9)) AS d) a, (SELECT unnest(range(-8, 9)) AS d) b, (SELECT unnest(range(11)) AS step) WHERE a.d * a.d + b.d * b.d <= 64),
+seen AS (SELECT step, dx, dy, way, round_even(40 + (x - 40) * (0.9::DOUBLE + step / 100::DOUBLE) + dx, 0)::BIGINT AS c, round_even(40 + (y - 40) * (0.9::DOUBLE + step / 100::DOUBLE) + dy, 0)::BIGINT AS r FROM pt, sh),
+sc AS (SELECT image, step, dx, dy, sum(f) / 68 AS score, sum(f) FILTER (way = 0) / 17 AS w0, sum(f) FILTER (way = 1) / 17 AS w1, sum(f) FILTER (way = 2) / 17 AS w2, sum(f) FILTER (way = 3) / 17 AS w3
+  FROM (SELECT image, step, dx, dy, way, least(abs(coalesce(CASE WHEN way < 2 THEN gx ELSE gy END, 0)), 100) AS f FROM seen JOIN grad USING (r, c)) GROUP BY ALL),
+top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY image ORDER BY score DESC, dx DESC, dy DESC, step DESC) = 1),
+still AS (SELECT * FROM sc WHERE step = 10 AND dx = 0 AND dy = 0),
+second AS (SELECT sc.image, max(sc.score) AS rival FROM sc JOIN top ON sc.image = top.image AND (sqrt((sc.dx - top.dx) ** 2 + (sc.dy - top.dy) ** 2) * 0.5::DOUBLE > 0.75::DOUBLE OR abs(sc.step - top.step) >= 3) GROUP BY sc.image),
+q AS (SELECT t.image, 68::BIGINT AS points, t.dx, t.dy, round(0.9::DOUBLE + t.step / 100::DOUBLE, 2) AS scale, b.score AS base, t.score AS best, rival, (t.w0 - b.w0 > 8)::BIGINT + (t.w1 - b.w1 > 8)::BIGINT + (t.w2 - b.w2 > 8)::BIGINT + (t.w3 - b.w3 > 8)::BIGINT AS support
+  FROM top t JOIN still b USING (image) JOIN second USING (image)),
+why AS (SELECT *, CASE WHEN best < 30 OR best < base * 1.5::DOUBLE OR best - base < 12 THEN 'no_clear_improvement' WHEN best < rival * 1.12::DOUBLE THEN 'ambiguous_boundary' WHEN sqrt(dx * dx + dy * dy) * 0.5::DOUBLE > 3.75::DOUBLE THEN 'search_limit'
+  WHEN support < 3 THEN 'insufficient_directional_support' ELSE 'image_boundary_match' END AS reason FROM q)
+SELECT image, points, dx, dy, scale, round(base, 4) AS base, round(best, 4) AS best, round(rival, 4) AS rival, support, reason, reason = 'image_boundary_match' AS applied FROM why""",
     "registration_shift": f"""WITH {_SMOOTH}, pts(r, c, nx, ny) AS (VALUES (3, 3, 1, 0), (3, 4, 0, 1), (4, 3, 0, 1), (4, 4, 1, 0)), sh(dx, dy) AS (VALUES (-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)),
 sc AS (SELECT image, dx, dy, avg(least(abs(gx * nx + gy * ny), 100)) AS score FROM pts, sh JOIN grad ON grad.r = pts.r + dy AND grad.c = pts.c + dx GROUP BY ALL)
 SELECT image, round(score, 6) AS score, dx, dy FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, dx DESC, dy DESC) AS n FROM sc) WHERE n = 1""",

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most segments of a JPEG that are looked through for its frame header.
+JPEG_SEGMENTS = 512
+
+
 def binary_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(stem, path, content, digest) of the files that match."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -22,11 +26,39 @@ def png_size(content: Column) -> Column:
     return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
+def jpeg_size(content: Column) -> Column:
+    """Struct width, height of a JPEG's frame header, found from segment to segment; null for another format or without a frame.
+
+    A frame that follows more than JPEG_SEGMENTS other segments isn't found.
+    """
+    number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int")
+
+    def step(s: Column, _: Column) -> Column:
+        at, marker = s["at"], number(s["at"], 2)
+        frame = marker.between(0xFFC0, 0xFFCF) & ~marker.isin(0xFFC4, 0xFFC8, 0xFFCC)
+        bare = (marker == 0xFF01) | marker.between(0xFFD0, 0xFFD7)
+        nothing = F.lit(None).cast("int")
+        to = lambda at, w, h: F.struct(at.alias("at"), w.alias("width"), h.alias("height"))
+        return (
+            F.when(at == 0, s).when(marker == 0xFFFF, to(at + 1, nothing, nothing)).when(frame, to(F.lit(0), number(at + 7, 2), number(at + 5, 2))).when(bare, to(at + 2, nothing, nothing))
+            .when((marker > 0xFF00) & ~marker.isin(0xFFD9, 0xFFDA) & (number(at + 2, 2) >= 2), to(at + 2 + number(at + 2, 2), nothing, nothing)).otherwise(to(F.lit(0), nothing, nothing))
+        )
+
+    start = F.struct(F.lit(3).alias("at"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(JPEG_SEGMENTS)), start, step)
+    return F.when((F.hex(F.substring(content, 1, 2)) == "FFD8") & found["width"].isNotNull(), F.struct(found["width"].cast("long").alias("width"), found["height"].cast("long").alias("height")))
+
+
+def image_size(content: Column) -> Column:
+    """Struct width, height of a PNG or JPEG; null for another format."""
+    return F.coalesce(png_size(content), jpeg_size(content))
+
+
 def paired(images: DataFrame, masks: DataFrame) -> DataFrame:
-    """Images with their masks by stem; raises on one that lacks the other, and on two PNGs of different sizes."""
+    """Images with their masks by stem; raises on one that lacks the other, and where sizes differ. Only sizes of PNG and JPEG files are known."""
     i, m = images.select("stem", F.col("content").alias("image")), masks.select("stem", F.col("content").alias("mask"))
     both = i.join(m, "stem", "full_outer")
-    same = F.coalesce(png_size(F.col("image")) == png_size(F.col("mask")), F.lit(True))
+    same = F.coalesce(image_size(F.col("image")) == image_size(F.col("mask")), F.lit(True))
     wrong = F.when(F.col("image").isNull() | F.col("mask").isNull(), "no pair for ").when(~same, "sizes differ for ")
     return both.withColumn("stem", F.when(wrong.isNull(), F.col("stem")).otherwise(F.raise_error(F.concat(wrong, "stem"))))
 

@@ -37,7 +37,9 @@ def survey_records(pages: DataFrame, key: str = "survey") -> DataFrame:
 
 
 def storable(status: Column, body: Column, is_image: Column) -> Column:
-    """Whether a response may be cached: it succeeded, and is JSON without an error, or a whole PNG or JPEG."""
-    parsed = F.from_json(body.cast("string"), "map<string,string>")
+    """Whether a response may be cached: it succeeded, and is a JSON object or list without "error" as key or element, or starts as a PNG or JPEG."""
+    text = body.cast("string")
+    whole = F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*[{\[]")
+    refused = F.coalesce(F.map_contains_key(F.from_json(text, "map<string,string>"), F.lit("error")), F.lit(False)) | F.coalesce(F.array_contains(F.from_json(text, "array<string>"), "error"), F.lit(False))
     picture = F.hex(F.substring(body, 1, 4)).isin("89504E47") | F.hex(F.substring(body, 1, 3)).isin("FFD8FF")
-    return (status == 200) & F.coalesce(F.when(is_image, picture).otherwise(parsed.isNotNull() & ~F.coalesce(F.map_contains_key(parsed, F.lit("error")), F.lit(False))), F.lit(False))
+    return F.coalesce((status == 200) & F.when(is_image, picture).otherwise(whole & ~refused), F.lit(False))

@@ -325,6 +325,8 @@ def test_parts_grow_from_the_whole_selection(spark):
     df = spark.createDataFrame(rows, "id long, egid long, x1 double, y1 double, x2 double, y2 double, selected boolean")
     assert {(r.egid, r.id) for r in roofs.grown_selection(df).collect()} == {(7, 3), (7, 4), (8, 5)}
     assert {(r.egid, r.id) for r in roofs.grown_selection(df.drop("selected")).collect()} == {(7, 1), (7, 2), (8, 5)}
+    unknown = spark.createDataFrame([(11, None, *rows[0][2:6], True), (12, None, *rows[0][2:6], False), (13, 0, *rows[0][2:6], True)], df.schema)
+    assert {(r.egid, r.id) for r in roofs.grown_selection(df.union(unknown)).collect()} == {(7, 3), (7, 4), (8, 5), (None, 11), (0, 13)}
 
 
 def test_names_and_headers(spark):
@@ -356,6 +358,27 @@ def test_pairs_must_be_whole(spark):
         files.paired(a, a.filter("stem = 'x'")).collect()
 
 
+def test_sizes_of_a_pair_are_compared_across_formats(spark):
+    def jpeg(w, h):
+        frame = b"\xff\xc0\x00\x0b\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + b"\x01\x01\x11\x00"
+        return b"\xff\xd8\xff\xe0\x00\x10JFIF\x00\x01\x01\x00\x00\x01\x00\x01\x00\x00\xff\xff\xdb\x00\x43" + b"\x00" * 65 + frame + b"\xff\xda"
+
+    png = lambda w, h: b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big")
+    rows = lambda *r: spark.createDataFrame([(n, bytearray(c)) for n, c in r], "stem string, content binary")
+    got = {r.stem: r.s for r in rows(("a", jpeg(300, 7)), ("b", png(5, 6)), ("c", b"\xff\xd8\xff\xe0\x00"), ("d", b"")).select("stem", files.image_size(F.col("content")).alias("s")).collect()}
+    assert tuple(got["a"]) == (300, 7) and tuple(got["b"]) == (5, 6) and got["c"] is None and got["d"] is None
+    assert files.paired(rows(("a", jpeg(5, 6))), rows(("a", png(5, 6)))).count() == 1
+    with pytest.raises(Exception, match="sizes differ for a"):
+        files.paired(rows(("a", jpeg(5, 6))), rows(("a", png(5, 5)))).collect()
+
+
+def test_responses_that_may_be_kept(spark):
+    bodies = {b"[1, 2]": True, b' {"a": {"error": 1}}': True, b'{"error": null}': False, b'["error"]': False, b'[{"error": 1}]': True, b'{"a"': False, b"5": False, b"": False}
+    df = spark.createDataFrame([(200, bytearray(b), False) for b in bodies] + [(500, bytearray(b"[]"), False), (200, bytearray(b"\xff\xd8\xff"), True), (200, None, False)], "status int, body binary, picture boolean")
+    got = [r.k for r in df.select(pages.storable(F.col("status"), F.col("body"), F.col("picture")).alias("k")).collect()]
+    assert got == [*bodies.values(), False, True, False]
+
+
 def test_label_lines_and_manifests(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/f.txt").write_text("1 0 0 1 0 1 1\n2 0 0 1 0\nx 0 0 1 0 1 1\n3 0 0 2 0 1 1\n\n")
@@ -520,6 +543,29 @@ def test_registration_finds_the_shift(spark):
     assert not got[2].applied and not got[3].applied and got[2].reason == got[3].reason == "no_clear_improvement" and got[4].reason == "insufficient_boundary_evidence"
 
 
+def test_registration_moves_faces_onto_the_image(spark):
+    """Roofs of 20 m on images of 40 m: shifted, overhanging, beside an inner line, in place, and without contrast."""
+
+    def cells(n, inner=False, plain=False):
+        bright = lambda r, c: not plain and 50 <= r < 150 and 50 <= c < 150
+        return [(n, r, c, 150.0 if inner and 97 <= r < 103 and 50 <= c < 150 else 58.0 if bright(r, c) else 30.0) for r in range(200) for c in range(200)]
+
+    boxes_ = {1: (9, 12, 29, 32), 2: (9, 9, 31, 31), 3: (10, 10, 30, 30), 4: (10, 10, 30, 30), 5: (9, 12, 29, 32)}
+    ring = lambda x1, y1, x2, y2: [{"x": float(x), "y": float(y)} for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))]
+    schema = "image long, part int, ring array<struct<x:double,y:double>>"
+    image = spark.createDataFrame(cells(1) + cells(2) + cells(3, inner=True) + cells(4) + cells(5, plain=True), "image long, r int, c int, k double")
+    faces = spark.createDataFrame([(n, 0, ring(*b)) for n, b in boxes_.items()], schema)
+    outlines = spark.createDataFrame([(n, 0, ring(x1 * 5, (40 - y2) * 5, x2 * 5, (40 - y1) * 5)) for n, (x1, y1, x2, y2) in boxes_.items()], schema)
+    middle = lambda of: spark.createDataFrame([(n, *of((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)) for n, b in boxes_.items()], "image long, x double, y double")
+    found = registration.registered(registration.outline_points(outlines), surfaces.edges(image, "k", whole=True), middle(lambda x, y: (x * 5, (40 - y) * 5)), (0.2, 0.2))
+    rows = {r.image: r for r in found.collect()}
+    assert [rows[n].applied for n in range(1, 6)] == [True, True, False, False, False]
+    assert abs(rows[1].dx * 0.2 - 1) <= 0.2 and abs(rows[1].dy * 0.2 - 2) <= 0.2 and rows[1].scale == 1.0 and abs(rows[2].scale - 20 / 22) <= 0.015
+    placed = {r.image: [(p.x, p.y) for p in r.ring] for r in registration.moved(faces, found, middle(lambda x, y: (x, y)), (0.2, 0.2)).collect()}
+    for n, want in ((1, (10, 10, 30, 30)), (2, (10, 10, 30, 30)), (3, boxes_[3]), (4, boxes_[4]), (5, boxes_[5])):
+        assert all(abs(x - p["x"]) <= 0.25 and abs(y - p["y"]) <= 0.25 for (x, y), p in zip(placed[n], ring(*want), strict=True)), n
+
+
 def test_ring_measures(spark):
     square = [{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}, {"x": 4.0, "y": 2.0}, {"x": 0.0, "y": 2.0}]
     df = spark.createDataFrame([(square,), (square[:2],)], "ring array<struct<x:double,y:double>>")
