@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from solarweave.llm.batches import by_batch, give_back, in_batches, octets
+from solarweave.llm.batches import by_batch, give_back, in_batches, octets, pieces
 from solarweave.storage import joined_back, stored
 
 #: What a key loses at both ends.
@@ -127,9 +127,9 @@ def seen_twice(keys: DataFrame) -> np.ndarray:
         segments.clear()
         give_back()
 
-    pieces = keys.mapInArrow(split, "segment int, once binary, twice binary").repartition("segment")
+    parts = keys.mapInArrow(split, "segment int, once binary, twice binary").repartition("segment")
     out = np.zeros(words, np.uint64)
-    for r in in_batches(pieces, merge, "segment int, twice binary").collect():
+    for r in in_batches(parts, merge, "segment int, twice binary").collect():
         out[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = _words(bytes(r.twice))
     return out
 
@@ -193,24 +193,27 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", least_char
     gone = stored(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone_lines")
 
     @F.arrow_udf(BooleanType())
-    def suspected(texts: pa.Array) -> pa.Array:
-        keys, row, _, _ = long_keys(texts, least_chars)
-        out = np.zeros(len(texts), bool)
-        out[row[met(filter_words.value, hashes(keys))]] = True
-        return pa.array(out)
-
-    @F.udf("string", useArrow=True)
-    def without(value, lines):
-        if lines is None:
-            return value
-        lost = set(lines)
-        return "\n".join(x for i, x in enumerate(value.split("\n")) if i not in lost)
-
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    packed = packed.withColumn("__lines", F.coalesce(F.length("__text") - F.length(F.replace("__text", F.lit("\n"))), F.lit(0)).cast("long") + 1)
-    asked, columns = suspected(F.col("__text")), ("__row", "__lines", "__kept", "gone")
-    here = packed.filter(~asked).withColumns({"__kept": F.col("__text"), "gone": F.lit(None).cast("array<int>")})
-    away = packed.filter(asked).withColumns({"__th": F.xxhash64("__text"), "__id": F.col(f"__row.`{key}`").cast("long")})
-    away = away.join(gone, (F.col("__th") == F.col("th")) & F.col("__id").eqNullSafe(F.col("doc_id")), "left").withColumn("__kept", without("__text", "gone"))
-    both = here.select(*columns).union(away.select(*columns))
-    return both.select(*(F.col("__kept" if c == text else f"__row.`{c}`").alias(c) for c in docs.columns), "__lines", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("__dropped"))
+    def suspected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = np.zeros(len(texts), bool)
+            at = 0
+            for piece in pieces(pa.RecordBatch.from_arrays([texts], ["t"])):
+                keys, row, _, _ = long_keys(piece.column("t"), least_chars)
+                out[at + row[met(filter_words.value, hashes(keys))]] = True
+                at += piece.num_rows
+            yield pa.array(out)
+        give_back()
+
+    # numbered names can't clash, and a column that nobody asks for isn't moved
+    own = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    value = F.col(own[text])
+    packed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    asked = suspected(value)
+    here = packed.filter(~asked).withColumns({"__kept": value, "gone": F.lit(None).cast("array<int>")})
+    away = packed.filter(asked).withColumns({"__th": F.xxhash64(value), "__id": F.col(own[key]).cast("long")})
+    away = away.join(gone, (F.col("__th") == F.col("th")) & F.col("__id").eqNullSafe(F.col("doc_id")), "left")
+    left = F.transform(F.array(F.split(value, "\n")), lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i)))
+    away = away.withColumn("__kept", F.when(F.col("gone").isNull(), value).otherwise(F.array_join(left[0], "\n")))
+    both = here.unionByName(away.select(*here.columns))
+    n = F.coalesce(F.length(value) - F.length(F.replace(value, F.lit("\n"))), F.lit(0)).cast("long") + 1
+    return both.select(*(F.col("__kept" if c == text else own[c]).alias(c) for c in docs.columns), n.alias("__lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("__dropped"))
