@@ -7,15 +7,15 @@ the others its holes (clockwise). Rows with null give no part. Functions run on
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solarweave.functions import overlay
+from solarweave.functions import overlay, overlays
 from solarweave.functions.boxes import ring_bounds
+from solarweave.functions.overlays import Rows
 from solarweave.operators.spatial import BOX, overlap_join
 from solarweave.storage import stored
 
@@ -27,20 +27,49 @@ TINY = 1e-8
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
 
-def rings_of(column: pa.Array) -> list[list[np.ndarray]]:
-    """Rings of each row of an Arrow array of RINGS."""
-    rings, outer = column.values, column.offsets.to_numpy()
-    inner, points = rings.offsets.to_numpy(), rings.values
-    xy = np.column_stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")]).astype(float)
-    known = column.is_valid().to_numpy(zero_copy_only=False)
-    return [[xy[inner[k] : inner[k + 1]] for k in range(outer[i], outer[i + 1])] if known[i] else [] for i in range(len(column))]
+def _points(points: pa.Array) -> np.ndarray:
+    return np.column_stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")]).astype(float)
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    """How many values each list of an Arrow array has; those of flatten(), so none for null."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _rows(n: int, rings: pa.Array, row: np.ndarray, polygon: np.ndarray) -> Rows:
+    """Rows of an Arrow array of rings, each with its row and polygon."""
+    return Rows(n, _points(rings.flatten()), np.concatenate(([0], np.cumsum(_counts(rings)))), row, polygon)
+
+
+def rings_of(column: pa.Array) -> Rows:
+    """The one polygon of each row of an Arrow array of RINGS; none where it is null."""
+    row = np.repeat(np.arange(len(column)), _counts(column))
+    return _rows(len(column), column.flatten(), row, np.zeros(len(row), np.int64))
+
+
+def polygons_of(column: pa.Array) -> Rows:
+    """The polygons of each row of an Arrow array of PARTS."""
+    polygons, count = column.flatten(), _counts(column)
+    number = np.arange(len(polygons)) - np.repeat(np.cumsum(count) - count, count)
+    rings = _counts(polygons)
+    return _rows(len(column), polygons.flatten(), np.repeat(np.repeat(np.arange(len(column)), count), rings), np.repeat(number, rings))
+
+
+def _both(a: pa.Array, b: pa.Array) -> Rows:
+    """Two polygons a row; neither where the first has no ring."""
+    first, second = rings_of(a), rings_of(b)
+    some = np.isin(second.row, first.row)
+    size = np.diff(second.starts)
+    second = Rows(second.n, second.xy[np.repeat(some, size)], np.concatenate(([0], np.cumsum(size[some]))), second.row[some], second.polygon[some])
+    return overlays.merged(first, second)
 
 
-def polygons_of(column: pa.Array) -> list[list[list[np.ndarray]]]:
-    """Polygons of each row of an Arrow array of PARTS."""
-    every, outer = rings_of(column.values), column.offsets.to_numpy()
-    known = column.is_valid().to_numpy(zero_copy_only=False)
-    return [every[outer[i] : outer[i + 1]] if known[i] else [] for i in range(len(column))]
+#: What is taken of (n, polygons) flags: the first polygon, any, the first with another, the first alone, an odd number.
+FIRST: overlays.Rule = lambda held: held[:, 0]
+ANY: overlays.Rule = lambda held: held.any(axis=1)
+BOTH: overlays.Rule = lambda held: held[:, 0] & held[:, 1:].any(axis=1)
+ALONE: overlays.Rule = lambda held: held[:, 0] & ~held[:, 1:].any(axis=1)
+ODD: overlays.Rule = lambda held: held.sum(axis=1) % 2 == 1
 
 
 def _offsets(counts: list[int]) -> pa.Array:
@@ -62,7 +91,7 @@ def repaired(rings: Column) -> Column:
 
     @F.arrow_udf(PARTS)
     def run(column: pa.Array) -> pa.Array:
-        return parts_array([overlay.repaired(r, TINY) for r in rings_of(column)])
+        return parts_array(overlays.overlays(rings_of(column), FIRST, TINY))
 
     return run(rings)
 
@@ -72,27 +101,27 @@ def united(polygons: Column) -> Column:
 
     @F.arrow_udf(PARTS)
     def run(column: pa.Array) -> pa.Array:
-        return parts_array([overlay.union(p) for p in polygons_of(column)])
+        return parts_array(overlays.overlays(polygons_of(column), ANY))
 
     return run(polygons)
 
 
-def _of_two(kernel: Callable[[list, list], list]) -> Callable[[Column, Column], Column]:
+def _of_two(rule: overlays.Rule, a: Column, b: Column) -> Column:
     @F.arrow_udf(PARTS)
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return parts_array([kernel(x, y) if len(x) else [] for x, y in zip(rings_of(a), rings_of(b), strict=True)])
+        return parts_array(overlays.overlays(_both(a, b), rule))
 
-    return run
+    return run(a, b)
 
 
 def common(a: Column, b: Column) -> Column:
     """Parts that two polygons share."""
-    return _of_two(overlay.intersection)(a, b)
+    return _of_two(BOTH, a, b)
 
 
 def odd(a: Column, b: Column) -> Column:
     """Parts that one of two polygons holds alone; nothing where the first has no ring."""
-    return _of_two(lambda x, y: overlay.symmetric([x, y]))(a, b)
+    return _of_two(ODD, a, b)
 
 
 def without(rings: Column, others: Column) -> Column:
@@ -100,18 +129,32 @@ def without(rings: Column, others: Column) -> Column:
 
     @F.arrow_udf(PARTS)
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return parts_array([overlay.difference(x, y) if len(x) else [] for x, y in zip(rings_of(a), polygons_of(b), strict=True)])
+        return parts_array(overlays.overlays(overlays.merged(rings_of(a), polygons_of(b)), ALONE))
 
     return run(rings, others)
 
 
+def shared_areas(a: Column, b: Column) -> Column:
+    """Struct whole, both, first, either of two polygons: the areas of their union, common part, what the first holds alone, and what one holds alone.
+
+    One arrangement serves all four. All are 0 where the first has no ring.
+    """
+
+    @F.arrow_udf("struct<whole: double, both: double, first: double, either: double>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(v) for v in overlays.areas(_both(a, b), ANY, BOTH, ALONE, ODD)], names=["whole", "both", "first", "either"])
+
+    return run(a, b)
+
+
 def resized(parts: Column, width: float) -> Column:
     """parts grown by width, or shrunk by it if it is negative; corners that bend away become arcs."""
     change = overlay.grown if width > 0 else overlay.shrunk
 
     @F.arrow_udf(PARTS)
     def run(column: pa.Array) -> pa.Array:
-        return parts_array([change(p, abs(width)) for p in polygons_of(column)])
+        rows = polygons_of(column)
+        return parts_array([change(rows.polygons(k), abs(width)) for k in range(rows.n)])
 
     return run(parts)
 
@@ -121,10 +164,9 @@ def smallest_rectangle(points: Column) -> Column:
 
     @F.arrow_udf("struct<long: double, short: double, angle: double>")
     def run(column: pa.Array) -> pa.Array:
-        offsets, xy = column.offsets.to_numpy(), column.values
-        points = np.column_stack([xy.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")]).astype(float)
-        found = [overlay.smallest_rectangle(points[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-        return pa.array([f and {"long": f[0], "short": f[1], "angle": float(np.degrees(f[2]) % 180)} for f in found], pa.struct([(n, pa.float64()) for n in ("long", "short", "angle")]))
+        long, short, angle = overlays.smallest_rectangles(_points(column.flatten()), np.concatenate(([0], np.cumsum(_counts(column))))).T
+        none = pa.array(np.isnan(long))
+        return pa.StructArray.from_arrays([pa.array(v) for v in (long, short, np.degrees(angle) % 180)], names=["long", "short", "angle"], mask=none)
 
     return run(points)
 
@@ -164,8 +206,16 @@ def clipped(left: DataFrame, right: DataFrame, size: float, on: tuple[str, ...]
     Pairs meet by the grid cells of their boxes; only those whose boxes overlap are overlaid.
     """
     met = overlap_join(bounded(left), bounded(right), size, on=on).drop(*(f"{p}{c}" for p in ("a_", "b_") for c in BOX), "overlap")
-    met = met.withColumn("parts", common(F.col("a_rings"), F.col("b_rings")))
-    return met.withColumn("area", parts_area(F.col("parts"))).filter(F.col("area") > least)
+
+
+    @F.arrow_udf(f"struct<parts: {PARTS}, area: double>")
+    def shared(a: pa.Array, b: pa.Array) -> pa.Array:
+        parts = overlays.overlays(_both(a, b), BOTH)
+        return pa.StructArray.from_arrays([parts_array(parts), pa.array(overlays.measured(parts))], names=["parts", "area"])
+
+    # a deterministic one is run twice, for the filter (even before the join) and for the columns
+    met = met.withColumn("__shared", shared.asNondeterministic()(F.col("a_rings"), F.col("b_rings"))).filter(F.col("__shared.area") > least)
+    return met.withColumns({c: F.col(f"__shared.{c}") for c in ("parts", "area")}).drop("__shared")
 
 
 def union_area(polygons: DataFrame, *keys: str, size: float) -> DataFrame:
@@ -181,12 +231,11 @@ def union_area(polygons: DataFrame, *keys: str, size: float) -> DataFrame:
 
     @F.arrow_udf("double")
     def area(polygons: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for some, i, j in zip(polygons_of(polygons), x.to_pylist(), y.to_pylist(), strict=True):
-            a, b, c, d = i * size, j * size, (i + 1) * size, (j + 1) * size
-            cell = [np.array([[a, b], [c, b], [c, d], [a, d]])]
-            out.append(overlay.area(overlay.overlay([cell, *some], lambda held: held[:, 0] & held[:, 1:].any(axis=1))))
-        return pa.array(out, pa.float64())
+        i, j = (k.to_numpy().astype(float) for k in (x, y))
+        corners = np.stack([np.column_stack(((i + a) * size, (j + b) * size)) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))], axis=1).reshape(-1, 2)
+        n = len(i)
+        cell = Rows(n, corners, np.arange(n + 1) * 4, np.arange(n), np.zeros(n, np.int64))
+        return pa.array(overlays.areas(overlays.merged(cell, polygons_of(polygons)), BOTH)[0])
 
     return cells.withColumn("area", area("polygons", "cell_x", "cell_y")).groupBy(*keys).agg(F.sum("area").alias("union_area"))
 

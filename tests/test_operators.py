@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from solarweave import storage
-from solarweave.functions import boxes
-from solarweave.operators import curation, evaluation, fusion, layout, packing, raster, registration, roofs, spatial, status, surfaces
+from solarweave.functions import boxes, overlay, overlays
+from solarweave.operators import curation, evaluation, fusion, layout, packing, polygons, raster, registration, roofs, spatial, status, surfaces
 from solarweave.operators.components import connected_components
 from solarweave.sources import files, keys, pages
 from solarweave.streaming import state
@@ -575,3 +575,37 @@ def test_ring_measures(spark):
     assert at(7.0, 6.0) == [5.0, pytest.approx(45**0.5)] and at(2.0, -1.0)[0] == 1.0
     utm = spark.range(1).select(boxes.wgs84_to_utm32(F.lit(9.0), F.lit(48.0)).alias("u")).first().u
     assert utm.east == pytest.approx(500000) and utm.north == pytest.approx(5316300.2, abs=0.5)
+
+
+def _some_polygons(rng, n):
+    """Rings on whole places, so that they cross, touch and lie on each other."""
+    return [[[rng.integers(0, 6, (rng.integers(3, 7), 2)).astype(float) for _ in range(rng.integers(1, 3))] for _ in range(2)] for _ in range(n)]
+
+
+def _flat(rows):
+    rings = [(i, k, r) for i, row in enumerate(rows) for k, p in enumerate(row) for r in p]
+    starts = np.concatenate(([0], np.cumsum([len(r) for _, _, r in rings])))
+    return overlays.Rows(len(rows), np.concatenate([r for _, _, r in rings]), starts, np.array([i for i, _, _ in rings]), np.array([k for _, k, _ in rings]))
+
+
+def test_overlays_of_many_rows_are_those_of_each(monkeypatch):
+    rows = _some_polygons(np.random.default_rng(5), 200)
+    rows[7] = [[np.array([[0, 0], [9, 0], [9, 9], [0, 9]], float)], [np.column_stack((np.cos(np.arange(400) / 64), np.sin(np.arange(400) / 64)))]]
+    for rule, alone in ((polygons.ANY, overlay.union), (polygons.BOTH, lambda r: overlay.intersection(*r)), (polygons.ALONE, lambda r: overlay.difference(r[0], r[1:])), (polygons.ODD, overlay.symmetric)):
+        want, parts, areas = [alone(r) for r in rows], overlays.overlays(_flat(rows), rule), overlays.areas(_flat(rows), rule)[0]
+        assert [len(p) for p in parts] == [len(w) for w in want]
+        assert np.allclose(overlays.measured(parts), [overlay.area(p) for p in parts])
+        assert np.allclose([overlay.area(p) for p in parts], [overlay.area(w) for w in want]) and np.allclose(areas, [overlay.area(w) for w in want])
+    # rows of few edges are not taken one by one, unless they have holes
+    boxes = [[[np.array([[0, 0], [2, 0], [2, 2], [0, 2]], float) + i % 7], [np.array([[1, 1], [3, 1], [3, 3], [1, 3]], float) + i % 5]] for i in range(50)]
+    monkeypatch.setattr(overlay, "overlay", None)
+    assert np.allclose(overlays.areas(_flat(boxes), polygons.ANY)[0], [overlays.overlays(_flat([b]), polygons.ANY)[0] and sum(overlay.area([p]) for p in overlays.overlays(_flat([b]), polygons.ANY)[0]) for b in boxes])
+
+
+def test_smallest_rectangles_of_many_rings():
+    rng = np.random.default_rng(3)
+    rings = [rng.integers(0, 6, (rng.integers(1, 15), 2)).astype(float) for _ in range(300)] + [np.zeros((2, 2))]
+    found = overlays.smallest_rectangles(np.concatenate(rings), np.concatenate(([0], np.cumsum([len(r) for r in rings]))))
+    want = np.array([overlay.smallest_rectangle(r) for r in rings])
+    assert np.allclose(found[:, :2], want[:, :2]) and np.allclose(np.cos(4 * found[:, 2]), np.cos(4 * want[:, 2]))  # a square has two angles
+    assert np.isnan(overlays.smallest_rectangles(np.zeros((0, 2)), np.array([0, 0]))).all()
