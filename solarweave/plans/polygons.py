@@ -44,11 +44,8 @@ def polygon_overlay(spark, sf_dir):
     met = overlap_join(b, b, 4.0, on=("analysis", "kind")).filter("a_id < b_id")
     rings = lambda p: slanted(*(f"{p}{c}" for c in ("x1", "y1", "x2", "y2")))
     out = met.select("a_id", "b_id", rings("a_").alias("a"), rings("b_").alias("b"))
-    area = lambda parts: F.round(polygons.parts_area(parts), 6)
-    return out.select(
-        "a_id", "b_id", area(polygons.united(F.array("a", "b"))).alias("whole"), area(polygons.common(F.col("a"), F.col("b"))).alias("both"),
-        area(polygons.without(F.col("a"), F.array("b"))).alias("first"), area(polygons.odd(F.col("a"), F.col("b"))).alias("either"), F.size(polygons.united(F.array("a", "b"))).alias("parts"),
-    )
+    out = out.select("a_id", "b_id", polygons.shared_areas(F.col("a"), F.col("b")).alias("of"), F.size(polygons.united(F.array("a", "b"))).alias("parts"))
+    return out.select("a_id", "b_id", *(F.round(f"of.{c}", 6).alias(c) for c in ("whole", "both", "first", "either")), "parts")
 
 
 def polygon_union_area(spark, sf_dir):
