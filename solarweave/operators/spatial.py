@@ -33,6 +33,24 @@ def overlap_join(left: DataFrame, right: DataFrame, size: float, on: tuple[str,
     return joined.filter(own[0] & own[1]).drop(*(f"{p}cell_{k}" for p in (left_prefix, right_prefix) for k in "xy"))
 
 
+def apart_from(left: DataFrame, right: DataFrame, size: float, reach: float, on: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:
+    """Boxes of left that share no more than least with any box of right, one anti-join; a box with a null corner stays.
+
+    A box of left lies in the cell of its lower corner alone, so its row is kept or dropped once,
+    and none is joined back. right is dealt to all cells where the lower corner of a box that meets
+    it may lie; reach is the longest side of left's boxes.
+    """
+    cell = lambda k: F.floor(F.col(k) / size)
+    a = left.withColumn("cell_x", cell("x1")).withColumn("cell_y", cell("y1"))
+    steps = lambda k: F.explode(F.sequence(F.floor((F.col(f"{k}1") - reach) / size), F.floor(F.col(f"{k}2") / size)))
+    b = right.na.drop(subset=list(BOX)).withColumn("cell_x", steps("x")).withColumn("cell_y", steps("y"))
+    b = b.select(*(F.col(c).alias(f"b_{c}") for c in (*on, *BOX, "cell_x", "cell_y")))
+    met = overlap("", "b_") > least
+    for c in (*on, "cell_x", "cell_y"):
+        met = met & (F.col(c) == F.col(f"b_{c}"))
+    return a.join(b, met, "left_anti").drop("cell_x", "cell_y")
+
+
 def far_from(left: DataFrame, right: DataFrame, reach: float, near: Column | None = None) -> DataFrame:
     """Points x, y of left that have no point of right within reach in both directions.
 

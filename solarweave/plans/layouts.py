@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from solarweave.functions import boxes
 from solarweave.operators import layout, packing, roofs
-from solarweave.operators.spatial import overlap_join
+from solarweave.operators.spatial import apart_from, overlap_join
 from solarweave.plans.fixtures import fixture, fixture_sql
 
 
@@ -76,8 +76,7 @@ def _placed_panels(spark, sf_dir):
 def placed_panel_antijoin(spark, sf_dir):
     """Panels of a grid that share no area with any that is placed on their face already."""
     panels = _panels(fixture(spark, sf_dir, "faces"))
-    hit = overlap_join(panels, _placed_panels(spark, sf_dir), 4.0, on=("face_id",)).filter("overlap > 1e-8").select(F.col("a_face_id").alias("face_id"), F.col("a_i").alias("i"), F.col("a_j").alias("j")).distinct()
-    return panels.join(hit, ["face_id", "i", "j"], "left_anti").select("face_id", "i", "j")
+    return apart_from(panels, _placed_panels(spark, sf_dir), 4.0, 2.0, on=("face_id",), least=1e-8).select("face_id", "i", "j")
 
 
 def planning_roof(spark, sf_dir):
