@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solarweave.operators import curation, evaluation, fusion
-from solarweave.operators.spatial import common_part, overlap_join, union_area
+from solarweave.operators.spatial import BOX, common_part, overlap_join, union_area
 from solarweave.plans.fixtures import SOURCES_SQL, fixture, fixture_sql, sourced
-from solarweave.storage import table
+from solarweave.storage import stored, table
 
 CELL = 4.0
 
@@ -117,9 +117,12 @@ def chip_roof_overlap(spark, sf_dir):
     """Chips of 100 m that roofs cover by at least 100 square metres together, and how much: a join by grid cells."""
     b = fixture(spark, sf_dir, "boxes")
     chips = fixture(spark, sf_dir, "chips").select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 100).alias("x2"), (F.col("y") + 100).alias("y2"))
-    met = overlap_join(chips, b.select("id", "x1", "y1", "x2", "y2"), 50.0)
-    counts = met.groupBy(F.col("a_id").alias("chip")).agg(F.count("*").alias("n"))
-    return counts.join(union_area(common_part(met, F.col("a_id").alias("chip")), "chip", size=25.0), "chip").select("chip", "n", F.col("union_area").alias("area")).filter("area >= 100")
+    # chips of one place are answered once: pairs grow with places times roofs, not with chips times roofs
+    places = stored(chips.groupBy(*BOX).agg(F.min("id").alias("place")), "places")
+    met = stored(common_part(overlap_join(places, b.select("x1", "y1", "x2", "y2"), 50.0), F.col("a_place").alias("place")).groupBy("place", *BOX).agg(F.count("*").alias("n")), "shared")
+    found = met.groupBy("place").agg(F.sum("n").alias("n")).join(union_area(met, "place", size=4.0), "place").filter("union_area >= 100")
+    there = stored(places.join(found, "place"), "found")
+    return chips.join(there, list(BOX)).select(F.col("id").alias("chip"), "n", F.col("union_area").alias("area"))
 
 
 def hash_split(spark, sf_dir):
