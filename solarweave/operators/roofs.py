@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from solarweave.operators.spatial import BOX, overlap_join
 
 #: Metres between parts of one house, and the greatest extent of a house.
 NEAR, GREATEST = 1.5, 168.0
+#: Houses of more parts grow one by one.
+MOST_TOGETHER = 200
 
 
 def touching_parts(parts: DataFrame, reach: float = NEAR, size: float = 16.0) -> DataFrame:
@@ -35,13 +38,11 @@ def grown_selection(parts: DataFrame, reach: float = NEAR, greatest: float = GRE
     egid's first part is. Where the egid is null or not positive the selected parts stay as they
     are and nothing joins them. A part joins if it is within reach of what has grown so far and keeps
     the extent within greatest; passes repeat until none joins. The result depends on the
-    order, so an egid is one group; it is a house and small.
+    order, so an egid is one row; it is a house and small. Houses of as many parts grow together.
     """
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        box, ids, chosen = pdf[list(BOX)].to_numpy(float), pdf.id.to_numpy(), pdf.selected.to_numpy(bool)
-        chosen = chosen if chosen.any() else np.arange(len(ids)) == 0
+    def grow(box: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        chosen = chosen if chosen.any() else np.arange(len(chosen)) == 0
         bounds = np.r_[box[chosen, :2].min(axis=0), box[chosen, 2:].max(axis=0)]
         size_before = -1
         while size_before < chosen.sum():
@@ -51,10 +52,45 @@ def grown_selection(parts: DataFrame, reach: float = NEAR, greatest: float = GRE
                 wider = np.r_[np.minimum(bounds[:2], box[i, :2]), np.maximum(bounds[2:], box[i, 2:])]
                 if (wider[2:] - wider[:2]).max() <= greatest and np.hypot(*apart.T).min() <= reach:
                     chosen[i], bounds = True, wider
-        return pd.DataFrame({"egid": pdf.egid.iloc[0], "id": ids[chosen]})
+        return chosen
+
+    def grow_all(box: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Houses of n parts each, (houses, n, 4) and (houses, n): each step looks at one part of every house."""
+        chosen = chosen.copy()
+        chosen[:, 0] |= ~chosen.any(axis=1)
+        low = np.where(chosen[..., None], box[..., :2], np.inf).min(axis=1)
+        high = np.where(chosen[..., None], box[..., 2:], -np.inf).max(axis=1)
+        active = np.arange(len(box))
+        while len(active):
+            b, c, before = box[active], chosen[active], chosen[active].sum(axis=1)
+            for i in range(b.shape[1]):
+                apart = np.maximum(0, np.maximum(b[:, :, :2] - b[:, i : i + 1, 2:], b[:, i : i + 1, :2] - b[:, :, 2:]))
+                near = np.where(c, np.hypot(apart[..., 0], apart[..., 1]), np.inf).min(axis=1) <= reach
+                down, up = np.minimum(low[active], b[:, i, :2]), np.maximum(high[active], b[:, i, 2:])
+                takes = ~c[:, i] & near & ((up - down).max(axis=1) <= greatest)
+                c[takes, i] = True
+                low[active[takes]], high[active[takes]] = down[takes], up[takes]
+            chosen[active] = c
+            active = active[c.sum(axis=1) > before]
+        return chosen
+
+    def run(batches):
+        for batch in batches:
+            egid, count = batch.column("egid").to_numpy(), pc.list_value_length(batch.column("parts")).to_numpy()
+            parts = batch.column("parts").flatten()
+            box, ids = np.column_stack([parts.field(c).to_numpy(zero_copy_only=False) for c in BOX]).astype(float), parts.field("id").to_numpy(zero_copy_only=False)
+            chosen = parts.field("selected").to_numpy(zero_copy_only=False).astype(bool)
+            first = np.cumsum(count) - count
+            for n in np.unique(count).tolist():
+                some = np.flatnonzero(count == n)
+                for own in np.array_split(some, len(some) * n * n // 500_000 + 1):
+                    at = first[own][:, None] + np.arange(n)
+                    chosen[at] = grow_all(box[at], chosen[at]) if n <= MOST_TOGETHER else np.stack([grow(box[k], chosen[k]) for k in at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(egid, count)[chosen]), pa.array(ids[chosen])], names=["egid", "id"])
 
     own = parts.select(F.col("id").cast("long").alias("id"), F.col("egid").cast("long").alias("egid"), *BOX, F.col("selected") if "selected" in parts.columns else F.lit(False).alias("selected"))
-    grown = own.filter("egid > 0").groupBy("egid").applyInPandas(grow, "egid long, id long")
+    houses = own.filter("egid > 0").groupBy("egid").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("selected", F.lit(False)).alias("selected"), *BOX))).alias("parts"))
+    grown = houses.mapInArrow(run, "egid long, id long")
     return grown.unionByName(own.filter("selected and not coalesce(egid > 0, false)").select("egid", "id"))
 
 
