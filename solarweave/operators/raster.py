@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from solarweave.storage import joined_back
 #: Fixed values of the height rules.
 LEAST_RISE, SIGMAS, TO_SIGMA, LEAST_CELLS = 0.28, 4.0, 1.4826, 8
 TOLERANCE, TRIALS, FIT_SEED, FIT_CELLS = 0.25, 200, 20260908, 12
+#: Cells that a rasteriser holds together.
+MOST_CELLS = 1 << 20
 
 
 def cells(images: DataFrame, key: str, values: str, columns: int) -> DataFrame:
@@ -213,8 +217,47 @@ def rasterised(polygons: DataFrame, grid: DataFrame) -> DataFrame:
 
     grid is (id, rows, columns); cell (r, c) has its centre at c + 0.5, r + 0.5.
     """
-    out = polygons.join(grid, "id").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
-    return out.filter(inside_rings(F.col("rings"), F.col("c") + 0.5, F.col("r") + 0.5)).select("id", "r", "c")
+    def run(batches):
+        for batch in batches:
+            rings, (rows, columns) = batch.column("rings"), (batch.column(k).to_numpy(zero_copy_only=False) for k in ("height", "width"))
+            count = lambda some: pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
+            every = rings.flatten()
+            size, points = count(every), every.flatten()
+            p = np.column_stack([points.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y")]).astype(float)
+            ends = np.cumsum(size)
+            after = np.arange(1, len(p) + 1)
+            after[ends[size > 0] - 1] = (ends - size)[size > 0]
+            q, owner = p[after], np.repeat(np.repeat(np.arange(len(rings)), count(rings)), size)
+            known = np.isfinite(p).all(axis=1) & np.isfinite(q).all(axis=1) & (p[:, 1] != q[:, 1])
+            p, q, owner = p[known], q[known], owner[known]
+            of = np.repeat(np.arange(len(rings)), rows)
+            r = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
+            first, edges = np.searchsorted(owner, of), np.searchsorted(owner, of, "right") - np.searchsorted(owner, of)
+            cost, at = np.cumsum(columns[of] + 1 + edges), 0
+            while at < len(of):
+                stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + MOST_CELLS, "right")))
+                line, n = of[at:stop], edges[at:stop]
+                i = np.repeat(np.arange(stop - at), n)
+                e = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:stop], n)
+                y = r[at:stop][i] + 0.5
+                hit = (p[e, 1] > y) != (q[e, 1] > y)
+                i, e, y = i[hit], e[hit], y[hit]
+                # a crossing turns all cells of its line whose centres are before it
+                x = (q[e, 0] - p[e, 0]) * (y - p[e, 1]) / (q[e, 1] - p[e, 1]) + p[e, 0]
+                wide = columns[line] + 1
+                start = np.cumsum(wide) - wide
+                turns = np.bincount(start[i] + np.clip(np.ceil(x - 0.5), 0, columns[line][i]).astype(np.int64), minlength=int(wide.sum()))
+                before = np.cumsum(turns)
+                own = np.repeat(np.arange(stop - at), wide)
+                total = np.repeat(before[start + wide - 1], wide)
+                found = np.flatnonzero((total - before) % 2 == 1)
+                k = own[found]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(line[k])), pa.array(r[at:stop][k].astype(np.int32)), pa.array((found - start[k]).astype(np.int32))], names=["id", "r", "c"])
+                at = stop
+
+    size = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("long")
+    met = polygons.join(grid, "id").select("id", "rings", size("rows").alias("height"), size("columns").alias("width"))
+    return met.mapInArrow(run, f"id {met.schema['id'].dataType.simpleString()}, r int, c int")
 
 
 def inside_rings(rings: Column, x: Column, y: Column) -> Column:

@@ -647,3 +647,17 @@ def test_chips_of_one_place_are_answered_once(spark, tmp_path):
     for t in ("lineitem", "customer"):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted((r[0], r[1], round(r[2], 6)) for r in con.execute(f"select chip, n, area from ({detections.SQL['chip_roof_overlap']})").fetchall()) == sorted((k, n, round(a, 6)) for k, (n, a) in met.items())
+
+
+def test_rasterised_lines_are_those_of_the_expression(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [[(float(x), float(y)) for x, y in rng.integers(-2, 12, (rng.integers(1, 6), 2)) / 2] for _ in range(rng.integers(0, 3))]) for i in range(40)] + [(40, None)]
+    df = spark.createDataFrame(rows, "id long, rings array<array<struct<x: double, y: double>>>")
+    grid = df.select("id", (F.col("id") % 5).cast("int").alias("rows"), (F.col("id") % 7).cast("int").alias("columns"))
+    every = df.join(grid, "id").join(spark.range(7).selectExpr("CAST(id AS INT) AS r"), F.col("r") < F.col("rows")).join(spark.range(7).selectExpr("CAST(id AS INT) AS c"), F.col("c") < F.col("columns"))
+    want = sorted(map(tuple, every.filter(raster.inside_rings(F.col("rings"), F.col("c") + 0.5, F.col("r") + 0.5)).select("id", "r", "c").collect()))
+    out = raster.rasterised(df, grid)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString() and len(want) > 20
+    assert sorted(map(tuple, out.collect())) == want
+    monkeypatch.setattr(raster, "MOST_CELLS", 10)
+    assert sorted(map(tuple, raster.rasterised(df, grid).collect())) == want
