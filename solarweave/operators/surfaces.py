@@ -129,6 +129,22 @@ def edges(raster: DataFrame, value: str, whole: bool = False) -> DataFrame:
     return out.withColumn("gx", line(F.col("dx"), "r", "c", (1, 2, 1), 1.0)).withColumn("gy", line(F.col("dy"), "c", "r", (1, 2, 1), 1.0)).drop("s", "dx", "dy")
 
 
+def image_edges(z: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """As edges, of one whole image: gx and gy, NaN where they leave it."""
+
+    def line(v: np.ndarray, axis: int, weights: tuple[int, ...], scale: float) -> np.ndarray:
+        half, out = len(weights) // 2, np.full(v.shape, np.nan)
+        n = v.shape[axis] - 2 * half
+        if n > 0:
+            own = np.moveaxis(v, axis, 0)
+            np.moveaxis(out, axis, 0)[half : half + n] = sum((own[i : i + n] * k for i, k in enumerate(weights) if k), 0.0) / scale
+        return out
+
+    s = line(line(z, 1, (1, 4, 6, 4, 1), 16.0), 0, (1, 4, 6, 4, 1), 16.0)
+    s = np.floor(s + 0.5) if whole else s
+    return line(line(s, 1, (-1, 0, 1), 1.0), 0, (1, 2, 1), 1.0), line(line(s, 0, (-1, 0, 1), 1.0), 1, (1, 2, 1), 1.0)
+
+
 def shift_scores(points: DataFrame, edge: DataFrame, most: int) -> DataFrame:
     """(image, dx, dy, score): mean edge strength across the outline's normals under each shift.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solarweave.operators import evaluation, fusion, raster, surfaces
+from solarweave.operators import evaluation, fusion, packing, raster, surfaces
 from solarweave.operators import registration as registration_
 from solarweave.plans.fixtures import RASTER_SQL, fixture, fixture_sql
 from solarweave.plans.rasters import _FIT, _RISE, _grid
@@ -110,16 +110,20 @@ def registration(spark, sf_dir):
     A vector in six has no roof, and in one of seven its roof is smaller than the outline.
     """
     e = table(spark, sf_dir, "embeddings").filter("size(embedding) >= 64").select(F.col("vec_id").alias("image"), F.slice("embedding", 1, 64).alias("z"))
-    squares = e.select("image", F.transform("z", lambda v: F.floor(F.abs(v) * 24)).alias("z"))
-    side = F.sequence(F.lit(0), F.lit(79))
-    cells = squares.withColumn("r", F.explode(side)).withColumn("c", F.explode(side)).withColumn("z", F.get("z", (F.floor(F.col("r") / 10) * 8 + F.floor(F.col("c") / 10)).cast("int")))
+    shades = lambda red, green, blue: F.transform("z", lambda v: registration_.grey(*(k + F.floor(F.abs(v) * 24) for k in (red, green, blue))).cast("int"))
     less = F.when(F.col("image") % 7 == 0, 3).otherwise(0)
-    on = (F.col("image") % 6 != 5) & (F.col("c") - F.col("image") % 11 + 5).between(10 + less, 69 - less) & (F.col("r") - F.col("image") % 5 + 2).between(10 + less, 69 - less)
-    colour = lambda bright: registration_.grey(*(F.when(on, v).otherwise(30) + F.col("z") for v in bright)).cast("double")
-    image = cells.select("image", "r", "c", colour((80, 55, 40)).alias("k"))
-    corners = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((10, 10), (70, 10), (70, 70), (10, 70))))
-    rings, centres = e.select("image", F.lit(0).alias("part"), corners.alias("ring")), e.select("image", F.lit(40.0).alias("x"), F.lit(40.0).alias("y"))
-    out = registration_.registered(registration_.outline_points(rings), surfaces.edges(image, "k", whole=True), centres, 0.5)
+    first = lambda n, back: (F.col("image") % n - back + 10 + less).cast("int")
+    roof = packing.dealt(e, "image").select("image", shades(80, 55, 40).alias("bright"), shades(30, 30, 30).alias("dark"), first(11, 5).alias("left"), first(5, 2).alias("top"), F.when(F.col("image") % 6 != 5, 59 - 2 * less).otherwise(-1).alias("side"))
+
+    def row(r):
+        on = (r >= F.col("top")) & (r <= F.col("top") + F.col("side"))
+        place = lambda c: F.floor(r / 10).cast("int") * 8 + F.floor(c / 10).cast("int")
+        return F.when(on, F.transform(side, lambda c: F.when((c >= F.col("left")) & (c <= F.col("left") + F.col("side")), F.get("bright", place(c))).otherwise(F.get("dark", place(c))))).otherwise(F.transform(side, lambda c: F.get("dark", place(c))))
+
+    side = F.array(*(F.lit(i) for i in range(80)))
+    outline = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((10, 10), (70, 10), (70, 70), (10, 70))))
+    images = roof.select("image", F.lit(80).alias("width"), F.flatten(F.transform(side, row)).alias("values"), F.array(outline).alias("rings"), F.lit(40.0).alias("x"), F.lit(40.0).alias("y"))
+    out = registration_.registered_images(images, 0.5)
     return out.select("image", "points", "dx", "dy", F.round("scale", 2).alias("scale"), F.round("base", 4).alias("base"), F.round("best", 4).alias("best"), F.round("rival", 4).alias("rival"), "support", "reason", "applied")
 
 
