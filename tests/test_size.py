@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from solarweave.operators import registration, surfaces
+from solarweave.operators import packing, registration, surfaces
 
 
 def plan_of(df):
@@ -28,3 +28,21 @@ def test_whole_images_are_registered_without_a_shuffle(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     found = {r.image: r for r in got.collect()}
     assert [(found[n].dx, found[n].dy, found[n].applied) for n in (0, 2)] == [(3, -4, True), (5, 2, True)] and found[3].reason == "insufficient_boundary_evidence"
+
+
+def test_faces_packed_together_equal_faces_packed_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 160
+    face = np.column_stack((rng.integers(0, 6, (n, 2)), rng.integers(0, 6, (n, 2)) + rng.integers(2, 22, (n, 2)))).astype(float)
+    slope = rng.choice([0.0, 10.0, 40.0], n)
+    boxes = lambda m: np.column_stack((low := rng.integers(0, 36, (m, 2)) / 2, low + rng.choice([0.5, 1.0, 6.0], (m, 2))))
+    around, covered = np.sort(rng.integers(0, n, 500)), np.sort(rng.integers(0, n, 120))
+    obstacles, claimed = boxes(500), boxes(120)
+    want = [packing.pack(face[i], slope[i], obstacles[around == i], claimed[covered == i]) for i in range(n)]
+    monkeypatch.setattr(packing, "pack", lambda *_: pytest.fail("packed alone"))
+    panels, usable, surface = packing.packed(face, slope, around, obstacles, covered, claimed)
+    assert panels.tolist() == [len(w[0]) for w in want] and panels.sum() > 1000
+    assert usable == pytest.approx([w[1] for w in want]) and surface == pytest.approx([w[2] for w in want])
+    monkeypatch.undo()
+    monkeypatch.setattr(packing, "MANY", 3)
+    assert packing.packed(face, slope, around, obstacles, covered, claimed)[0].tolist() == panels.tolist()
