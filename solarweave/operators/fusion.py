@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,32 +155,110 @@ def _fold(boxes: np.ndarray) -> list[tuple[list[int], float]]:
     return [(m, float(areas[g])) for g, m in enumerate(members) if m is not None]
 
 
+#: Groups of at most so many boxes are folded together, this many cells of their grids at once.
+FEW, MOST_CELLS = 8, 1 << 19
+
+
+def _folds(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _fold, of many groups of equal size (groups, size, 4): the place of each box's merged group, its turn there, and the areas by place.
+
+    Boxes are cells of the grid of their group's sides; a merged group's place is that of the
+    box that made it, the turn is the order in which _fold names its members.
+    """
+    n, m, _ = boxes.shape
+    cover, step = [], []
+    for axis in (0, 1):
+        at = np.sort(boxes[:, :, [axis, axis + 2]].reshape(n, -1), axis=1)
+        cover.append((at[:, None, :-1] >= boxes[:, :, axis, None]) & (at[:, None, 1:] <= boxes[:, :, axis + 2, None]))
+        step.append(np.diff(at))
+    cells = (step[0][:, :, None] * step[1][:, None, :]).reshape(n, -1)
+    own = (cover[0][:, :, :, None] & cover[1][:, :, None, :]).reshape(n, m, -1)
+    area = (boxes[:, :, 2] - boxes[:, :, 0]) * (boxes[:, :, 3] - boxes[:, :, 1])
+    place, turn, merged, areas = np.tile(np.arange(m), (n, 1)), np.zeros((n, m), np.int64), own.copy(), area.copy()
+    live = np.ones((n, m), bool)
+    for i in range(1, m):
+        shared = ((merged[:, :i] & own[:, i, None]) * cells[:, None]).sum(axis=2)
+        hit = live[:, :i] & (shared > 0) & (shared > SAME_SHARE * np.minimum(area[:, i, None], areas[:, :i]))
+        g = np.flatnonzero(hit.any(axis=1))
+        if len(g):
+            hit = hit[g]
+            size = (place[g][:, None, :i] == np.arange(i)[:, None]).sum(axis=2) * hit
+            before = np.cumsum(size, axis=1) - size + 1
+            at = place[g][:, :i]
+            moves = np.take_along_axis(hit, at, axis=1)
+            turn[g, :i] = np.where(moves, turn[g, :i] + np.take_along_axis(before, at, axis=1), turn[g, :i])
+            place[g, :i] = np.where(moves, i, at)
+            live[g, :i] &= ~hit
+            merged[g, i] |= (merged[g, :i] & hit[:, :, None]).any(axis=1)
+            areas[g, i] = (merged[g, i] * cells[g]).sum(axis=1)
+    return place, turn, areas
+
+
+def _merged(boxes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, turn, area) of each box: groups that lie one after the other, in the order of their fold, each from its start. group is a box of the merged group."""
+    size = np.diff(np.r_[starts, len(boxes)])
+    group, turn, area = np.arange(len(boxes)), np.zeros(len(boxes), np.int64), np.zeros(len(boxes))
+    for m in np.unique(size).tolist():
+        every = starts[size == m]
+        if m > FEW:
+            for at in every.tolist():
+                for members, whole in _fold(boxes[at : at + m]):
+                    own = at + np.array(members)
+                    group[own], turn[own], area[own] = own.max(), np.arange(len(own)), whole
+            continue
+        for some in np.array_split(every, max(1, -(-len(every) * m * (2 * m - 1) ** 2 // MOST_CELLS))):
+            at = some[:, None] + np.arange(m)
+            place, turn[at], areas = _folds(boxes[at])
+            group[at], area[at] = some[:, None] + place, np.take_along_axis(areas, place, axis=1)
+    return group, turn, area
+
+
 def greedy_merge(detections: DataFrame, per_bucket: int = 20_000) -> DataFrame:
     """Merged detections of each analysis and kind: sequential within, parallel across.
 
     Items come by falling confidence (null as 0), then seq. The representative has the highest
     priority, then confidence; of equals the latest in the fold. Disjoint parts of one merged
     group count as one row here. One analysis must fit one task, as it does one building;
-    many analyses share a bucket, so that small ones cost no task of their own.
+    many analyses share a bucket, so that small ones cost no task of their own, and small
+    groups of a bucket are folded together.
     """
     buckets = max(1, detections.count() // per_bucket)
     schema = "analysis long, kind string, first_id long, members long, area double, source string, sources string, confidence double"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(c=pdf.confidence.fillna(0.0)).sort_values(["analysis", "kind", "c", "seq"], ascending=[True, True, False, True], kind="stable")
-        b, ids, sources, conf = pdf[list(BOX)].to_numpy(float), pdf["id"].to_numpy(), pdf.source.tolist(), pdf.confidence.to_numpy(float)
-        new = np.flatnonzero((pdf.analysis.to_numpy()[1:] != pdf.analysis.to_numpy()[:-1]) | (pdf.kind.to_numpy()[1:] != pdf.kind.to_numpy()[:-1])) + 1
-        keys, rows = list(zip(pdf.analysis.tolist(), pdf.kind.tolist(), strict=True)), []
-        for lo, hi in zip([0, *new], [*new, len(pdf)], strict=True):
-            for members, area in _fold(b[lo:hi]):
-                own = [lo + m for m in members]
-                scores = [conf[m] for m in own if not np.isnan(conf[m])]
-                best = max(own, key=lambda m: (PRIORITY.get(sources[m], 0), 0.0 if np.isnan(conf[m]) else conf[m], -own.index(m)))
-                rows.append((*keys[lo], int(min(ids[m] for m in own)), len(own), area, sources[best], ",".join(sorted({sources[m] for m in own})), max(scores) if scores else None))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+    def fold(table: pa.Table) -> pa.Table:
+        numbers = lambda c, t: table.column(c).cast(t).to_numpy()
+        known = pc.is_valid(table.column("confidence")).to_numpy()
+        confidence = np.where(known, pc.fill_null(table.column("confidence").cast(pa.float64()), 0.0).to_numpy(), np.nan)
+        score = np.nan_to_num(confidence, nan=0.0)
+        kinds, names = (table.column(c).combine_chunks().dictionary_encode() for c in ("kind", "source"))
+        # codes in the order of their text, null last
+        ranks = lambda d: np.r_[np.argsort(np.argsort(d.dictionary.to_numpy(zero_copy_only=False))), len(d.dictionary)][pc.fill_null(d.indices, len(d.dictionary)).to_numpy()]
+        kind, source = ranks(kinds), ranks(names)
+        texts = sorted(names.dictionary.to_pylist())
+        analysis = numbers("analysis", pa.int64())
+        order = np.lexsort((numbers("seq", pa.float64() if table.schema.field("seq").type == pa.float64() else pa.int64()), -score, kind, analysis))
+        new = np.flatnonzero((np.diff(analysis[order]) != 0) | (np.diff(kind[order]) != 0)) + 1
+        boxes = np.column_stack([numbers(c, pa.float64()) for c in BOX])[order]
+        group, turn, area = _merged(boxes, np.r_[0, new])
+        source, confidence, score, ids = source[order], confidence[order], score[order], numbers("id", pa.int64())[order]
+        ranked = np.array([PRIORITY.get(t, 0) for t in texts] + [0])[source]
+        own = np.lexsort((turn, -score, -ranked, group))
+        first = np.flatnonzero(np.r_[True, np.diff(group[own]) != 0])
+        best, members = own[first], np.diff(np.r_[first, len(own)])
+        top = np.fmax.reduceat(confidence[own], first)
+        pairs = np.unique(np.column_stack((np.repeat(np.arange(len(first)), members), source[own])), axis=0)
+        start = np.searchsorted(pairs[:, 0], np.arange(len(first)))
+        many, named = np.diff(np.r_[start, len(pairs)]), np.array([*texts, None], object)
+        sources = named[pairs[start, 1]]
+        for k in range(1, int(many.max(initial=1))):
+            more = np.flatnonzero(many > k)
+            sources[more] = sources[more] + "," + named[pairs[start[more] + k, 1]]
+        rows = pa.array(order[best])
+        columns = [table.column("analysis").take(rows).cast(pa.int64()), table.column("kind").take(rows), np.minimum.reduceat(ids[own], first), members, area[best], table.column("source").take(rows), pa.array(sources, pa.string()), pa.array(top, pa.float64(), mask=np.isnan(top))]
+        return pa.table(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     rows = detections.select("analysis", "kind", "id", "seq", "confidence", "source", *BOX)
-    return rows.groupBy(F.pmod(F.xxhash64("analysis", "kind"), F.lit(buckets)).alias("bucket")).applyInPandas(fold, schema)
+    return rows.groupBy(F.pmod(F.xxhash64("analysis", "kind"), F.lit(buckets)).alias("bucket")).applyInArrow(fold, schema)
 
 
 def summary(detections: DataFrame) -> DataFrame:

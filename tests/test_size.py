@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from solarweave.operators import packing, registration, surfaces
+from solarweave.operators import fusion, packing, registration, surfaces
 
 
 def plan_of(df):
@@ -46,3 +46,23 @@ def test_faces_packed_together_equal_faces_packed_alone(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(packing, "MANY", 3)
     assert packing.packed(face, slope, around, obstacles, covered, claimed)[0].tolist() == panels.tolist()
+
+
+def test_groups_folded_together_equal_groups_folded_alone(monkeypatch):
+    rng = np.random.default_rng(8)
+    size = rng.integers(1, 12, 400)
+    starts = np.cumsum(size) - size
+    low = rng.integers(0, 8, (size.sum(), 2)) / 2
+    boxes = np.column_stack((low, low + rng.integers(1, 5, (len(low), 2)) / 2))
+    want = []
+    for a, m in zip(starts.tolist(), size.tolist(), strict=True):
+        want += [([a + i for i in members], area) for members, area in fusion._fold(boxes[a : a + m])]
+    calls, plain = [], fusion._fold
+    monkeypatch.setattr(fusion, "_fold", lambda b: calls.append(len(b)) or plain(b))
+    group, turn, area = fusion._merged(boxes, starts)
+    assert min(calls) > fusion.FEW and len(calls) < len(size) / 2
+    got = []
+    for g in np.unique(group).tolist():
+        own = np.flatnonzero(group == g)
+        got.append((own[np.argsort(turn[own], kind="stable")].tolist(), area[own[0]]))
+    assert sorted(got) == sorted(want) and len(want) < len(boxes) - 300
