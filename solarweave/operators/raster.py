@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solarweave.operators.components import connected_components
-from solarweave.storage import joined_back
+from solarweave.storage import joined_back, stored
 
 #: Fixed values of the height rules.
 LEAST_RISE, SIGMAS, TO_SIGMA, LEAST_CELLS = 0.28, 4.0, 1.4826, 8
@@ -94,23 +94,87 @@ def rise_thresholds(raster: DataFrame, value: Column) -> DataFrame:
     return spread.select("image", rise.alias("threshold"))
 
 
+#: Rows and columns of a tile are 2^10; cells are labelled within tiles first.
+TILE = 10
+
+
+def _first_cells(tile: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each cell, a place of the first cell by row and column that it joins over eight neighbours within its tile; tile ascends."""
+    side = (1 << TILE) + 2
+    key = (tile * side + (r & (1 << TILE) - 1) + 1) * side + (c & (1 << TILE) - 1) + 1
+    own, at, back = np.unique(key, return_index=True, return_inverse=True)
+    ends = []
+    for step in (1, side - 1, side, side + 1):
+        there = np.minimum(np.searchsorted(own, own + step), len(own) - 1)
+        met = np.flatnonzero(own[there] == own + step)
+        ends.append((met, there[met]))
+    a, b = (np.concatenate(v) for v in zip(*ends, strict=True))
+    root = np.arange(len(own))
+    while len(a):
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (up := root[root] != root).any():
+            root[up] = root[root[up]]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return at[root[back]]
+
+
+def _labelled(batches):
+    """Batches of cells sorted by tile with the first cell of their part of it; a tile that goes on is kept for the next batch."""
+    names, kept = ("image", "tile_r", "tile_c"), None
+
+    def labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tile, r, c = tiles(batch), *(pc.fill_null(batch.column(k), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in "rc")
+        first = batch.column("node").take(pa.array(_first_cells(tile, r, c))) if len(r) else batch.column("node")
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("image", "r", "c", "node")), first], names=["image", "r", "c", "node", "first"])
+
+    def tiles(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(batch.num_rows, bool)
+        for k in names:
+            v = pc.fill_null(batch.column(k), -1).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        return np.cumsum(new)
+
+    for batch in batches:
+        if kept is not None:
+            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+        if batch.num_rows:
+            last = tiles(batch)
+            done = int(np.searchsorted(last, last[-1]))
+            kept = batch.slice(done)
+            yield labelled(batch.slice(0, done))
+    if kept is not None:
+        yield labelled(kept)
+
+
 def components(mask: DataFrame) -> DataFrame:
     """(image, r, c, component) of set cells: the first cell by row and column joined over eight neighbours.
 
     Cells are numbered by image, row and column in one 64-bit integer: rows and columns are
     below 2^20, images below 2^23. Repeated cells count once in the graph.
 
-    Edges are equi-joins of a cell with its four later neighbours; labels come from the same
-    distributed components that any other graph uses.
+    Cells are dealt by tiles of 1,024 x 1,024 and labelled there, many tiles together. Only parts that
+    touch across the edges of tiles, so of larger images alone, go through the distributed
+    components that any other graph uses.
     """
     number = lambda r, c: F.shiftleft(F.col("image").cast("long"), 40) + F.shiftleft(r.cast("long"), 20) + c
-    n = mask.select("image", "r", "c", number(F.col("r"), F.col("c")).alias("node"))
-    later = F.explode(F.array(*(number(F.col("r") + dr, F.col("c") + dc) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))))).alias("b")
-    edges = n.filter("c > 0").select(F.col("node").alias("a"), later).union(n.filter("c = 0").select(F.col("node").alias("a"), F.explode(F.array(*(number(F.col("r") + dr, F.col("c") + dc) for dr, dc in ((0, 1), (1, 0), (1, 1))))).alias("b")))
-    labels = connected_components(edges.join(n.select(F.col("node").alias("b")), "b", "left_semi"))
-    first = F.coalesce("component", "node")
+    tile = lambda v: F.shiftright(v, TILE)
+    n = mask.select("image", "r", "c", number(F.col("r"), F.col("c")).alias("node"), tile(F.col("r")).alias("tile_r"), tile(F.col("c")).alias("tile_c"))
+    kind = {f.name: f.dataType.simpleString() for f in n.schema}
+    dealt = n.repartition("image", "tile_r", "tile_c").sortWithinPartitions("image", "tile_r", "tile_c")
+    done = stored(dealt.mapInArrow(_labelled, f"image {kind['image']}, r {kind['r']}, c {kind['c']}, node long, first long"), "labelled")
+    last = (1 << TILE) - 1
+    place = lambda k: F.col(k).bitwiseAND(F.lit(last).cast(kind[k]))
+    rim = done.filter((place("r") == last) | (place("c") == last) | ((place("c") == 0) & (F.col("c") > 0)))
+    steps = F.explode(F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))))).alias("d")
+    near = rim.select("image", "r", "c", F.col("first").alias("a"), steps).select("image", "a", "r", "c", (F.col("r") + F.col("d.dr")).alias("to_r"), (F.col("c") + F.col("d.dc")).alias("to_c"))
+    near = near.filter("to_c >= 0").filter((tile(F.col("r")) != tile(F.col("to_r"))) | (tile(F.col("c")) != tile(F.col("to_c")))).select("a", number(F.col("to_r"), F.col("to_c")).alias("node"))
+    first = F.col("first")
+    if not near.isEmpty():
+        labels = connected_components(near.join(done.select("node", F.col("first").alias("b")), "node").select("a", "b").distinct())
+        done, first = done.join(labels.withColumnRenamed("node", "first"), "first", "left"), F.coalesce("component", "first")
     part = lambda shift: F.shiftright(first, shift).bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-    return n.join(labels, "node", "left").select("image", "r", "c", F.struct("image", part(20).alias("r"), part(0).alias("c")).alias("component"))
+    return done.select("image", "r", "c", F.struct("image", part(20).alias("r"), part(0).alias("c")).alias("component"))
 
 
 def mosaic(tiles: DataFrame) -> DataFrame:

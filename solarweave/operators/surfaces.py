@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solarweave.functions.boxes import ring_area
+from solarweave.operators.packing import TASKS_A_CORE
 from solarweave.operators.raster import TO_SIGMA, background_reach, closed, eroded, inside, local_mean
 from solarweave.operators.spatial import BOX, common_part, overlap_join, union_area
 from solarweave.storage import joined_back
@@ -254,7 +255,7 @@ def mask_polygons(parts: DataFrame, rows: int, columns: int, cls: int = 0, least
 
     A part's line is its class and its outline, simplified within half a cell, relative to the
     image's sides. Agreement is the share of cells that mask and filled lines have in common; it
-    is 1 where both are empty. An image is one group; images share buckets.
+    is 1 where both are empty. An image is one group; images share buckets, which are dealt to a stated number of tasks.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -273,8 +274,11 @@ def mask_polygons(parts: DataFrame, rows: int, columns: int, cls: int = 0, least
             out.append((image, lines, float((mask & made).sum() / union) if union else 1.0))
         return pd.DataFrame(out, columns=["image", "lines", "agreement"])
 
-    buckets = max(1, parts.select("image").distinct().count() // per_bucket)
-    return parts.select("image", "part", "r", "c").groupBy(F.pmod(F.xxhash64("image"), F.lit(buckets)).alias("bucket")).applyInPandas(run, "image long, lines array<string>, agreement double")
+    # few bytes of much work: the number of tasks is stated, so that they aren't put together again
+    tasks = TASKS_A_CORE * parts.sparkSession.sparkContext.defaultParallelism
+    buckets = max(4 * tasks, parts.select("image").distinct().count() // per_bucket)
+    own = parts.select("image", "part", "r", "c", F.pmod(F.xxhash64("image"), F.lit(buckets)).alias("bucket"))
+    return own.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(lambda pdf: run(pdf.drop(columns="bucket")), "image long, lines array<string>, agreement double")
 
 
 def every_nth(df: DataFrame, key: str, order: str, n: int) -> DataFrame:

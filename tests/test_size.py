@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from solarweave.operators import fusion, packing, registration, surfaces
+from solarweave.operators import fusion, packing, raster, registration, surfaces
 
 
 def plan_of(df):
@@ -66,3 +66,52 @@ def test_groups_folded_together_equal_groups_folded_alone(monkeypatch):
         own = np.flatnonzero(group == g)
         got.append((own[np.argsort(turn[own], kind="stable")].tolist(), area[own[0]]))
     assert sorted(got) == sorted(want) and len(want) < len(boxes) - 300
+
+
+def test_components_across_tiles_equal_those_of_a_search(spark, monkeypatch):
+    """Masks of many tiles of 4 x 4, with repeated cells: parts that wind through tiles are one."""
+    rng = np.random.default_rng(5)
+    masks = {n: rng.random((19, 23)) < p for n, p in ((1, 0.3), (2, 0.42), (3, 0.9))}
+    masks[4] = np.zeros((3, 3), bool)
+    masks[4][0, 2] = masks[4][1, 1] = True
+    want = {}
+    for n, mask in masks.items():
+        for start in map(tuple, np.argwhere(mask).tolist()):
+            if (n, *start) in want:
+                continue
+            todo = [start]
+            while todo:
+                r, c = todo.pop()
+                if 0 <= r < mask.shape[0] and 0 <= c < mask.shape[1] and mask[r, c] and (n, r, c) not in want:
+                    want[n, r, c] = (n, *start)
+                    todo += [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    df = spark.createDataFrame([*want, (1, *[k for k in want if k[0] == 1][0][1:])], "image long, r int, c int")
+    rounds = []
+    monkeypatch.setattr(raster, "connected_components", lambda e, plain=raster.connected_components: rounds.append(1) or plain(e))
+    for tile, some in ((10, 0), (2, 1)):
+        monkeypatch.setattr(raster, "TILE", tile)
+        if tile == 2:
+            # workers import the module anew, so the size goes with the function
+            monkeypatch.setattr(raster, "_labelled", tiled(raster._labelled, tile))
+        got = [((r.image, r.r, r.c), (r.component.image, r.component.r, r.component.c)) for r in raster.components(df).collect()]
+        assert dict(got) == want and len(got) == len(want) + 1 and len(rounds) == some
+
+
+def tiled(run, tile):
+    def each(batches):
+        from solarweave.operators import raster as own
+
+        own.TILE = tile
+        try:
+            yield from run(batches)
+        finally:
+            own.TILE = 10
+
+    return each
+
+
+def test_masks_are_dealt_to_several_tasks(spark):
+    parts = spark.createDataFrame([(i, 0, r, c) for i in range(200) for r in range(2) for c in range(2)], "image long, part long, r int, c int")
+    out = surfaces.mask_polygons(parts, 4, 4)
+    assert out.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 3
+    assert out.filter("agreement = 1 and size(lines) = 1").count() == 200
