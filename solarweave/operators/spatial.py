@@ -65,19 +65,21 @@ def far_from(left: DataFrame, right: DataFrame, reach: float, near: Column | Non
     return a.join(b, (F.col("cell_x") == F.col("r_cell_x")) & (F.col("cell_y") == F.col("r_cell_y")) & near, "left_anti").drop("cell_x", "cell_y")
 
 
-def union_area(boxes: DataFrame, *keys: str, size: float | None = None) -> DataFrame:
+def union_area(boxes: DataFrame, *keys: str, size: float | None = None, once: bool = False) -> DataFrame:
     """(keys, union_area) of the boxes of each key, by a sweep over vertical slabs.
 
     A slab lies between neighbouring x edges; in it the y intervals are merged with a running
     maximum. All is joins and windows by key; boxes with a null corner count for nothing. With
     size, boxes are first cut along a grid of that step and swept cell by cell, so that the work
-    grows with the boxes that share a cell and not with the square of those of a key.
+    grows with the boxes that share a cell and not with the square of those of a key. With once,
+    boxes are dealt once, so that edges, slabs and boxes lie together and only sums are shuffled after it.
     """
     own, by = boxes.na.drop(subset=list(BOX)).filter("x2 > x1 and y2 > y1").select(*keys, *BOX), list(keys)
     if size:
         by = [*keys, "cell_x", "cell_y"]
         cut = [f(k, (F.col(f"cell_{k[0]}") + n) * size).alias(k) for k, f, n in (("x1", F.greatest, 0), ("y1", F.greatest, 0), ("x2", F.least, 1), ("y2", F.least, 1))]
         own = _cells(own, size).select(*by, *cut).filter("x2 > x1 and y2 > y1")
+    own = own.repartition(*by) if once else own
     edges = own.select(*by, F.explode(F.array("x1", "x2")).alias("from")).distinct()
     slabs = edges.withColumn("to", F.lead("from").over(Window.partitionBy(*by).orderBy("from"))).filter("to is not null")
     inside = slabs.join(own, by).filter((F.col("x1") <= F.col("from")) & (F.col("x2") >= F.col("to")))

@@ -32,7 +32,7 @@ def visible_area(faces: DataFrame, building: str, order: str, size: float) -> Da
     """(order, area, free_area): what earlier faces of the building leave of each face. Only faces that share a grid cell meet."""
     own = faces.select(building, order, *BOX)
     met = overlap_join(own, own, size, on=(building,)).filter(F.col(f"b_{order}") < F.col(f"a_{order}"))
-    lost = union_area(common_part(met, F.col(f"a_{order}").alias(order)), order, size=size)
+    lost = union_area(common_part(met, F.col(f"a_{order}").alias(order)), order, size=size, once=True)
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     return own.select(order, area.alias("area")).join(lost, order, "left").select(order, "area", (F.col("area") - F.coalesce("union_area", F.lit(0.0))).alias("free_area"))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from solarweave.operators import fusion, packing, raster, registration, surfaces
+from solarweave.operators import fusion, packing, raster, registration, spatial, surfaces
 
 
 def plan_of(df):
@@ -115,3 +115,11 @@ def test_masks_are_dealt_to_several_tasks(spark):
     out = surfaces.mask_polygons(parts, 4, 4)
     assert out.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 3
     assert out.filter("agreement = 1 and size(lines) = 1").count() == 200
+
+
+def test_visible_faces_deal_their_parts_once(spark):
+    rows = [(i // 4, i, float(i % 7 * 3), float(i % 5 * 2), float(i % 7 * 3 + 9), float(i % 5 * 2 + 8)) for i in range(40)]
+    own = spark.createDataFrame(rows, "b long, f long, x1 double, y1 double, x2 double, y2 double")
+    plain, once = (spatial.union_area(own, "b", size=4.0, once=o) for o in (False, True))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, once.collect()))
+    assert plan_of(once).count("REPARTITION_BY_COL") and "REPARTITION_BY_COL" in plan_of(surfaces.visible_area(own, "b", "f", 16.0))
