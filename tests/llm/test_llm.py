@@ -553,6 +553,30 @@ def test_network_finds_keys_without_a_name(spark, docs, nothing):
     assert secretscan.found_secrets(nothing, secretscan.fit(nothing)).count() == 0
 
 
+def test_all_findings_train_the_network_and_set_the_threshold(spark, monkeypatch):
+    rng = random.Random(3)
+    key = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n))
+    texts = [f'{prose(rng, 2)} token = "{key(30)}" {prose(rng, 2)} unremarkableword{i} {prose(rng, 2)}' for i in range(3600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(secretscan, "EACH", 2000)
+    trained, tallied, used = secretscan._trained, secretscan._tallied, []
+    monkeypatch.setattr(secretscan, "_trained", lambda net, dealt, *more: used.append((dealt.count(), dealt.select("part").distinct().count())) or trained(net, dealt, *more))
+    monkeypatch.setattr(secretscan, "_tallied", lambda net, held: used.append(tallied(net, held)) or used[-1])
+    net = secretscan.fit(df)
+    found = {x for t in texts for x in secretscan.examples(t)}
+    confirmed = [x for y, x in found if y]
+    assert len(confirmed) > 3500 and len(found) > 7000
+    # all findings, but those without a pattern that the made examples' network takes for keys
+    counts = {n for n, _ in used[:-1]}
+    z, y, n = used[-1]
+    assert len(used) == secretscan.ROUNDS + 1 and len(counts) == 1 and all(parts > 2 for _, parts in used[:-1])
+    assert 0.97 * len(found) <= counts.pop() + n.sum() <= len(found) and n[y == 1].sum() > 600
+    p = net.probability(np.frombuffer(b"".join(confirmed), np.int8).reshape(-1, secretscan.WIDTH))
+    assert (p >= net.threshold).mean() > 0.96
+    again = secretscan.fit(df.repartition(3))
+    assert np.array_equal(again.packed(), net.packed()) and again.threshold == net.threshold
+
+
 # 9
 
 
