@@ -123,3 +123,44 @@ def test_visible_faces_deal_their_parts_once(spark):
     plain, once = (spatial.union_area(own, "b", size=4.0, once=o) for o in (False, True))
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, once.collect()))
     assert plan_of(once).count("REPARTITION_BY_COL") and "REPARTITION_BY_COL" in plan_of(surfaces.visible_area(own, "b", "f", 16.0))
+
+
+def test_polygons_packed_together_equal_polygons_packed_alone(monkeypatch):
+    rng = np.random.default_rng(12)
+    faces, obstacles, claimed = [], [], []
+    box = lambda x, y, w, h: np.array([[x, y], [x + w, y], [x + w, y + h], [x, y + h]], float)
+    for n in range(60):
+        w, h = rng.integers(5, 26), rng.integers(4, 17)
+        outline = [np.array([[0, 0], [w, 0], [w, h / 2], [w / 2, h / 2], [w / 2, h], [0, h]], float)]
+        faces.append(outline if n % 3 else [*outline, box(1.5, 1.5, 1, 0.5)])
+        obstacles.append([[box(x, y, 0.5, 0.5)] for x, y in rng.integers(1, 5, (n % 3, 2))])
+        claimed.append([[box(-1, -1, 3, 20)]] if n % 4 == 0 else [[box(-1, -1, 40, 40)]] if n == 5 else [])
+    slope, azimuth = rng.choice([0.5, 3.0, 20.0, 60.0], 60), rng.integers(0, 360, 60).astype(float)
+    want = [packing.pack_polygon(*z) for z in zip(faces, slope, azimuth, obstacles, claimed, strict=True)]
+    alone = []
+    plain = packing.pack_polygon
+    monkeypatch.setattr(packing, "pack_polygon", lambda *a: alone.append(a) or plain(*a))
+    got = packing.packed_polygons(faces, slope, azimuth, [[packing.overlay.repaired(o) for o in some] for some in obstacles], claimed)
+    assert len(alone) < 30 and sum(len(w[0]) for w in want) > 300 and len(want[5][0]) == 0
+    for w, g in zip(want, got, strict=True):
+        assert len(w[0]) == len(g[0]) and g[0].ravel() == pytest.approx(w[0].ravel()) and g[1:] == pytest.approx(w[1:])
+
+
+def test_faces_of_a_polygon_building_keep_what_earlier_ones_own(spark):
+    ring = lambda x, y, w, h: [[{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]]
+    faces = [(b, f, 20.0, 30.0 * f, ring(4 * f, f, 10, 9)) for b in range(3) for f in range(3)]
+    obstacles = [(0, ring(3, 3, 1, 1)), (1, None), (9, ring(0, 0, 1, 1))]
+    kind = "array<array<struct<x:double,y:double>>>"
+    got = packing.polygon_ledger(spark.createDataFrame(faces, f"building_id long, face_id long, slope double, azimuth double, rings {kind}"), spark.createDataFrame(obstacles, f"building_id long, rings {kind}"))
+    plain = lambda rings: [np.array([(p["x"], p["y"]) for p in r]) for r in rings]
+    want = {}
+    for b in range(3):
+        placed, claimed = [plain(o) for k, o in obstacles if k == b and o], []
+        for _, f, slope, azimuth, rings in faces[3 * b : 3 * b + 3]:
+            best, *areas = packing.pack_polygon(plain(rings), slope, azimuth, placed, claimed)
+            placed, claimed = placed + [[m] for m in best], [*claimed, plain(rings)]
+            want[b, f] = (f + 1, len(best), *areas)
+    assert sum(w[1] for w in want.values()) > 30
+    for r in got.collect():
+        assert (r.place, r.panels, r.usable_area, r.surface_area) == pytest.approx(want.pop((r.building_id, r.face_id))) and len(r.modules) == r.panels
+    assert not want
