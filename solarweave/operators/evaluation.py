@@ -42,9 +42,9 @@ def image_summary(masks: DataFrame, image_area: float, size: float | None = None
     is the sorted set of all. What masks cover twice counts once in total_area.
     """
     own = masks.filter("label <> 'roof'").withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
-    each = own.groupBy("image", "label").agg(F.count("*").alias("mask_count"), F.max("area").alias("largest_area"), F.max("confidence").alias("max_confidence"))
-    named = own.select("image", "label", F.explode_outer("sources").alias("source")).distinct().groupBy("image", "label").agg(F.array_sort(F.collect_list("source")).alias("sources"))
-    out = each.join(named, ["image", "label"]).join(union_area(own, "image", "label", size=size).withColumnRenamed("union_area", "total_area"), ["image", "label"], "left")
+    sets = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.array_distinct(F.array_compact("sources")))))))
+    each = own.groupBy("image", "label").agg(F.count("*").alias("mask_count"), F.max("area").alias("largest_area"), F.max("confidence").alias("max_confidence"), sets.alias("sources"))
+    out = each.filter("image is not null and label is not null").join(union_area(own, "image", "label", size=size).withColumnRenamed("union_area", "total_area"), ["image", "label"], "left")
     out = out.withColumn("total_area", F.coalesce("total_area", F.lit(0.0)))
     return out.withColumn("total_fraction", F.col("total_area") / image_area).withColumn("largest_fraction", F.col("largest_area") / image_area)
 

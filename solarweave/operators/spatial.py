@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,20 +70,105 @@ def far_from(left: DataFrame, right: DataFrame, reach: float, near: Column | Non
     return a.join(b, (F.col("cell_x") == F.col("r_cell_x")) & (F.col("cell_y") == F.col("r_cell_y")) & near, "left_anti").drop("cell_x", "cell_y")
 
 
+#: Boxes of a group from which it is swept by itself, cells of small grids held together, and boxes of an open group that are held.
+MANY, MOST_CELLS, MOST_HELD = 12, 1 << 20, 1 << 16
+
+
+def covered(boxes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Area that each group's boxes cover together; starts are where groups start, and the end. Groups of as many boxes lie on the grids of their own sides together."""
+    size, out = np.diff(starts), np.zeros(len(starts) - 1)
+    for k in np.unique(size[size > 0]).tolist():
+        every = np.flatnonzero(size == k)
+        if k > MANY:
+            for i in every.tolist():
+                out[i] = _swept(boxes[starts[i] : starts[i + 1]])
+            continue
+        for some in np.array_split(every, len(every) * (2 * k) ** 2 // MOST_CELLS + 1):
+            own, sides = boxes[starts[some][:, None] + np.arange(k)], []
+            for axis in (0, 1):
+                at = np.sort(own[:, :, [axis, axis + 2]].reshape(len(some), -1), axis=1)
+                sides.append((np.diff(at), (at[:, None, :-1] >= own[:, :, axis, None]) & (at[:, None, 1:] <= own[:, :, axis + 2, None])))
+            (dx, in_x), (dy, in_y) = sides
+            held = np.zeros((len(some), 2 * k - 1, 2 * k - 1), bool)
+            for b in range(k):
+                held |= in_x[:, b, :, None] & in_y[:, b, None, :]
+            out[some] = (dx[:, :, None] * dy[:, None, :] * held).sum(axis=(1, 2))
+    return out
+
+
+def _swept(boxes: np.ndarray) -> float:
+    """Area that boxes cover together: in each slab between neighbouring x edges the y intervals are merged with a running maximum."""
+    boxes = np.unique(boxes, axis=0)
+    boxes = boxes[np.argsort(boxes[:, 1], kind="stable")]
+    edges, total = np.unique(boxes[:, [0, 2]]), 0.0
+    for at, to in zip(edges[:-1], edges[1:], strict=True):
+        own = boxes[(boxes[:, 0] <= at) & (boxes[:, 2] >= to)]
+        if len(own):
+            seen = np.concatenate((own[:1, 1], np.maximum.accumulate(own[:-1, 3])))
+            total += float(np.maximum(0, own[:, 3] - np.maximum(own[:, 1], seen)).sum() * (to - at))
+    return total
+
+
+def _group_areas(cut: DataFrame, by: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """(keys, part) of each group by by, whose boxes lie together in order of x1. Of a group that doesn't end, what lies left of the last box is added up and let go."""
+    schema = ", ".join(f"`{k}` {cut.schema[k].dataType.simpleString()}" for k in keys) + ", part double"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_key, done = np.zeros((0, 4)), None, 0.0
+
+        def row(key: pa.RecordBatch, areas: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(key.column(k) for k in keys), pa.array(areas)], names=[*keys, "part"])
+
+        for batch in (b for b in batches if b.num_rows):
+            boxes = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in BOX])
+            new = np.zeros(batch.num_rows, bool)
+            for k in by:
+                column = batch.column(k)
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = open_key is None or any(open_key.column(k)[0] != batch.column(k)[0] for k in by)
+            if open_key is not None and new[0]:
+                yield row(open_key, np.array([done + covered(held, np.array([0, len(held)]))[0]]))
+                held, done = held[:0], 0.0
+            starts = np.flatnonzero(new)
+            if len(starts) and starts[0] > 0 or not len(starts):  # the open group goes on
+                stop = int(starts[0]) if len(starts) else len(boxes)
+                held = np.concatenate((held, boxes[:stop]))
+                if len(starts):
+                    yield row(open_key, np.array([done + covered(held, np.array([0, len(held)]))[0]]))
+                    held, done = held[:0], 0.0
+            if len(starts):
+                if len(starts) > 1:
+                    yield row(batch.take(pa.array(starts[:-1])), covered(boxes, starts))
+                open_key, held = batch.slice(int(starts[-1]), 1), boxes[starts[-1] :]
+            if len(held) > MOST_HELD:
+                line = held[-1, 0]
+                gone = held[held[:, 0] < line]
+                gone[:, 2] = np.minimum(gone[:, 2], line)
+                done += covered(gone, np.array([0, len(gone)]))[0]
+                held = held[held[:, 2] > line]
+                held[:, 0] = np.maximum(held[:, 0], line)
+                held = np.unique(held, axis=0)
+        if open_key is not None:
+            yield row(open_key, np.array([done + covered(held, np.array([0, len(held)]))[0]]))
+
+    return cut.repartition(*by).sortWithinPartitions(*by, "x1").select(*by, *BOX).mapInArrow(run, schema)
+
+
 def union_area(boxes: DataFrame, *keys: str, size: float | None = None, once: bool = False) -> DataFrame:
-    """(keys, union_area) of the boxes of each key, by a sweep over vertical slabs.
+    """(keys, union_area) of the boxes of each key; boxes with a null corner, and null keys, count for nothing.
 
-    A slab lies between neighbouring x edges; in it the y intervals are merged with a running
-    maximum. All is joins and windows by key; boxes with a null corner count for nothing. With
-    size, boxes are first cut along a grid of that step and swept cell by cell, so that the work
-    grows with the boxes that share a cell and not with the square of those of a key. With once,
-    boxes are dealt once, so that edges, slabs and boxes lie together and only sums are shuffled after it.
+    With size, boxes are first cut along a grid of that step and dealt once to their cells; many cells are
+    swept together in numpy, and only their sums are shuffled after it, so that the work
+    grows with the boxes that share a cell and not with the square of those of a key. Without, it is a sweep over
+    vertical slabs by joins and windows: a slab lies between neighbouring x edges; in it the y intervals are
+    merged with a running maximum. There, with once, boxes are dealt once, so that edges, slabs and boxes lie together.
     """
-    own, by = boxes.na.drop(subset=list(BOX)).filter("x2 > x1 and y2 > y1").select(*keys, *BOX), list(keys)
+    own, by = boxes.na.drop(subset=[*keys, *BOX]).filter("x2 > x1 and y2 > y1").select(*keys, *(F.col(c).cast("double") for c in BOX)), list(keys)
     if size:
         by = [*keys, "cell_x", "cell_y"]
         cut = [f(k, (F.col(f"cell_{k[0]}") + n) * size).alias(k) for k, f, n in (("x1", F.greatest, 0), ("y1", F.greatest, 0), ("x2", F.least, 1), ("y2", F.least, 1))]
         own = _cells(own, size).select(*by, *cut).filter("x2 > x1 and y2 > y1")
+        return _group_areas(own, by, keys).groupBy(*keys).agg(F.sum("part").alias("union_area"))
     own = own.repartition(*by) if once else own
     edges = own.select(*by, F.explode(F.array("x1", "x2")).alias("from")).distinct()
     slabs = edges.withColumn("to", F.lead("from").over(Window.partitionBy(*by).orderBy("from"))).filter("to is not null")

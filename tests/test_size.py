@@ -164,3 +164,24 @@ def test_faces_of_a_polygon_building_keep_what_earlier_ones_own(spark):
     for r in got.collect():
         assert (r.place, r.panels, r.usable_area, r.surface_area) == pytest.approx(want.pop((r.building_id, r.face_id))) and len(r.modules) == r.panels
     assert not want
+
+
+def test_cells_are_swept_together_and_open_groups_are_let_go(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 80, (3000, 2)) / 8
+    boxes = np.column_stack((low, low + rng.integers(1, 30, (3000, 2)) / 8))
+    key = np.concatenate((np.zeros(1500, int), rng.integers(1, 300, 1500)))
+    rows = [(None if k == 7 else f"k{k}", *map(float, b)) for k, b in zip(key, boxes, strict=True)]
+    df = spark.createDataFrame(rows, "k string, x1 double, y1 double, x2 double, y2 double").repartition(5)
+    want = {r.k: r.union_area for r in spatial.union_area(df, "k").collect()}
+    summed = spatial.union_area(df, "k", size=4.0)
+    assert plan_of(summed).count("Exchange hashpartitioning") <= 2 and "Window" not in plan_of(summed)
+    assert {r.k: r.union_area for r in summed.collect()} == want
+    # one group in many batches, of which few boxes are held
+    monkeypatch.setattr(spatial, "MOST_HELD", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.k: r.part for r in spatial._group_areas(df.na.drop(), ["k"], ("k",)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
