@@ -7,13 +7,17 @@ the others its holes (clockwise). Rows with null give no part. Functions run on
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solarweave.functions import overlay, overlays
+from solarweave.functions import overlay, overlays, unions
 from solarweave.functions.boxes import ring_bounds
 from solarweave.functions.overlays import Rows
 from solarweave.operators.spatial import BOX, overlap_join
@@ -218,26 +222,132 @@ def clipped(left: DataFrame, right: DataFrame, size: float, on: tuple[str, ...]
     return met.withColumns({c: F.col(f"__shared.{c}") for c in ("parts", "area")}).drop("__shared")
 
 
+#: Polygons of a key from which it is dealt to cells; rows that are dealt at once, and polygons of an open cell that are held before what lies behind is added up.
+MANY, MOST_DEALT, MOST_HELD = 4096, 1 << 16, 1 << 15
+
+
+def _key_fields(df: DataFrame, keys: tuple[str, ...]) -> str:
+    return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+
+def _outlines(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, Rows]:
+    """Rows of a batch whose rings are polygons, and these; a polygon that is null or has a null ring, no point, or a point that isn't finite is none."""
+    rings = batch.column("rings")
+    rows = rings_of(rings)
+    size = np.diff(rows.starts)
+    none = np.bincount(rows.row, size, rows.n) == 0
+    none[np.repeat(rows.row, size)[~np.isfinite(rows.xy).all(axis=1)]] = True
+    if rings.flatten().null_count:
+        none[rows.row[rings.flatten().is_null().to_numpy(zero_copy_only=False)]] = True
+    if not none.any():
+        return batch, rows
+    batch = batch.filter(pa.array(~none))
+    return batch, rings_of(batch.column("rings"))
+
+
+def _boxes(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper corners of polygons that all have points."""
+    first = np.searchsorted(rows.row, np.arange(rows.n))
+    return np.minimum.reduceat(rows.xy, rows.starts[first]), np.maximum.reduceat(rows.xy, rows.starts[first])
+
+
+def _in_cells(polygons: DataFrame, keys: tuple[str, ...], size: float) -> DataFrame:
+    """(keys, cell_x, cell_y, x1, rings): polygons once for each grid cell that their box touches, with their least x."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in map(_outlines, batches):
+            if not batch.num_rows:
+                continue
+            low, high = _boxes(rows)
+            cell, last = (np.floor(v / size).astype(np.int64) for v in (low, high))
+            across, down = (last - cell + 1).T
+            total = np.cumsum(across * down)
+            for at in range(0, int(total[-1]), MOST_DEALT):
+                number = np.arange(at, min(at + MOST_DEALT, int(total[-1])))
+                k = np.searchsorted(total, number, "right")
+                number -= (total - across * down)[k]
+                own = batch.take(pa.array(k))
+                columns = [pa.array(v) for v in (cell[k, 0] + number % across[k], cell[k, 1] + number // across[k], low[k, 0])]
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keys), *columns, own.column("rings")], names=[*keys, "cell_x", "cell_y", "x1", "rings"])
+
+    return polygons.mapInArrow(run, f"{_key_fields(polygons, keys)}cell_x long, cell_y long, x1 double, rings {RINGS}")
+
+
+def _group_areas(polygons: DataFrame, keys: tuple[str, ...], by: list[str], size: float | None = None) -> DataFrame:
+    """(keys, part): what the polygons (rings) of each group by by cover, with size of its cell (cell_x, cell_y) alone.
+
+    Rows of a group lie together, those of a cell in order of x1. Of a cell that doesn't end, what lies left of the last polygon is added up and let go.
+    """
+
+    def swept(rows: Rows, corners: tuple[np.ndarray, np.ndarray], cells: pa.RecordBatch, starts: np.ndarray, left: float, right: float = np.inf) -> np.ndarray:
+        """Areas of groups that start at starts; of the first one only between left and right."""
+        if size:
+            low = np.column_stack([cells.column(c).to_numpy()[starts] for c in ("cell_x", "cell_y")]) * size
+            windows = np.column_stack((low, low + size))
+            windows[0, 0], windows[0, 2] = max(windows[0, 0], left), min(windows[0, 2], right)
+        else:
+            windows = np.column_stack((np.minimum.reduceat(corners[0], starts), np.maximum.reduceat(corners[1], starts)))
+        ring = np.repeat(np.arange(len(rows.row)), np.diff(rows.starts))
+        edges = np.column_stack((rows.xy, rows.xy[overlays.following(rows.starts, len(rows.xy))]))
+        return unions.covered(edges, rows.row[ring], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.n))), windows)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the open group
+        done, line, count = 0.0, -np.inf, 0
+
+        def ended(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+            rows = rings_of(batch.column("rings"))
+            part = swept(rows, _boxes(rows), batch, starts, line)
+            part[0] += done
+            first = batch.take(pa.array(starts))
+            return pa.RecordBatch.from_arrays([*(first.column(k) for k in keys), pa.array(part)], names=[*keys, "part"])
+
+        for batch in (b for b, _ in map(_outlines, batches) if b.num_rows):
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = not held
+            for k in by:
+                before = held[-1].column(k).slice(held[-1].num_rows - 1) if held else batch.column(k).slice(0, 1)
+                number = pa.concat_arrays([before, batch.column(k)]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new |= number[1:] != number[:-1]
+            starts = np.flatnonzero(new)
+            if len(starts):
+                every = pa.concat_batches([*held, batch.slice(0, int(starts[-1]))])
+                if every.num_rows:
+                    yield ended(every, np.unique(np.concatenate(([0], starts[:-1] + count))))
+                held, count, done, line = [batch.slice(int(starts[-1]))], batch.num_rows - int(starts[-1]), 0.0, -np.inf
+            else:
+                held.append(batch)
+                count += batch.num_rows
+            if size and count > MOST_HELD:
+                every = pa.concat_batches(held)
+                rows = rings_of(every.column("rings"))
+                corners = _boxes(rows)
+                to = max(line, min(float(corners[0][-1, 0]), (every.column("cell_x")[0].as_py() + 1) * size))
+                done += float(swept(rows, corners, every, np.array([0]), line, to)[0])
+                line = to
+                # the last one stays, so that the cell is known
+                held = [every.filter(pa.array((corners[1][:, 0] > line) | (np.arange(count) == count - 1)))]
+                count = held[0].num_rows
+        if held:
+            yield ended(pa.concat_batches(held), np.array([0]))
+
+    return polygons.repartition(*by).sortWithinPartitions(*by, *(["x1"] if size else [])).mapInArrow(run, f"{_key_fields(polygons, keys)}part double")
+
+
 def union_area(polygons: DataFrame, *keys: str, size: float) -> DataFrame:
     """(keys, union_area) of the polygons (rings) of each key.
 
-    Polygons are dealt to the grid cells that their boxes touch, and each cell unites what lies
-    in it and clips the union to itself. So a key with very many polygons is many small groups,
-    and no task holds more than a cell's.
+    A key's polygons lie together, and many keys are swept together in numpy. Polygons of a key
+    that has very many are dealt to the grid cells that their boxes touch, and each cell adds up what they
+    cover of it: so such a key is many small groups, and no task holds more than a cell's.
     """
-    steps = lambda k: F.explode(F.sequence(F.floor(F.col(f"{k}1") / size), F.floor(F.col(f"{k}2") / size)))
-    own = bounded(polygons.select(*keys, "rings")).na.drop(subset=list(BOX))
-    cells = own.withColumn("cell_x", steps("x")).withColumn("cell_y", steps("y")).groupBy(*keys, "cell_x", "cell_y").agg(F.collect_list("rings").alias("polygons"))
-
-    @F.arrow_udf("double")
-    def area(polygons: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        i, j = (k.to_numpy().astype(float) for k in (x, y))
-        corners = np.stack([np.column_stack(((i + a) * size, (j + b) * size)) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))], axis=1).reshape(-1, 2)
-        n = len(i)
-        cell = Rows(n, corners, np.arange(n + 1) * 4, np.arange(n), np.zeros(n, np.int64))
-        return pa.array(overlays.areas(overlays.merged(cell, polygons_of(polygons)), BOTH)[0])
-
-    return cells.withColumn("area", area("polygons", "cell_x", "cell_y")).groupBy(*keys).agg(F.sum("area").alias("union_area"))
+    own, same = polygons.select(*keys, "rings"), lambda a, b: reduce(and_, (a[k].eqNullSafe(b[k]) for k in keys))
+    large = stored(own.groupBy(*keys).count().filter(F.col("count") > MANY).select(*keys), "large")
+    if large.isEmpty():
+        return _group_areas(own, keys, list(keys)).withColumnRenamed("part", "union_area")
+    few = _group_areas(own.join(large, same(own, large), "left_anti"), keys, list(keys))
+    many = _group_areas(_in_cells(own.join(large, same(own, large), "left_semi"), keys, size), keys, [*keys, "cell_x", "cell_y"], size)
+    return few.unionByName(many.groupBy(*keys).agg(F.sum("part").alias("part"))).withColumnRenamed("part", "union_area")
 
 
 def free_parts(polygons: DataFrame, covers: DataFrame, key: str, size: float) -> DataFrame:

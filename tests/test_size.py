@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from solarweave.operators import fusion, packing, raster, registration, spatial, surfaces
+from solarweave.functions import overlays, unions
+from solarweave.operators import fusion, packing, polygons, raster, registration, spatial, surfaces
 
 
 def plan_of(df):
@@ -185,3 +186,68 @@ def test_cells_are_swept_together_and_open_groups_are_let_go(spark, monkeypatch)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want
+
+
+def covered(rows, windows):
+    """unions.covered of rows of polygons, each a list of rings."""
+    flat = overlays.listed(rows)
+    polygon = np.cumsum(np.concatenate(([0], (np.diff(flat.row) != 0) | (np.diff(flat.polygon) != 0))))
+    edges = np.column_stack((flat.xy, flat.xy[overlays.following(flat.starts, len(flat.xy))]))
+    return unions.covered(edges, np.repeat(polygon, np.diff(flat.starts)), flat.row[np.unique(polygon, return_index=True)[1]], windows)
+
+
+def test_unions_of_many_groups_are_those_of_the_arrangement():
+    rng = np.random.default_rng(21)
+    rings = lambda n, most: [rng.integers(0, most, (rng.integers(3, 7), 2)).astype(float) for _ in range(n)]
+    rows = [[rings(rng.integers(1, 3), 6) for _ in range(rng.integers(1, 6))] for _ in range(150)] + [[rings(1, 20) for _ in range(28)]]
+    low = rng.integers(-1, 4, (len(rows), 2)).astype(float)
+    windows = np.column_stack((low, low + rng.integers(1, 9, (len(rows), 2))))
+    corners = [[[w[[[0, 1], [2, 1], [2, 3], [0, 3]]]]] for w in windows]
+    want = overlays.areas(overlays.merged(overlays.listed(corners), overlays.listed(rows)), polygons.BOTH)[0]
+    assert np.allclose(covered(rows, windows), want) and want.sum() > 500
+    far = np.array([2.6e6, 1.2e6])
+    assert np.allclose(covered([[[r + far for r in p] for p in row] for row in rows], windows + np.tile(far, 2)), want)
+
+
+def test_a_group_of_very_many_polygons_is_halved_until_one_holds_a_part():
+    """1,000 slanted boxes in one place; pieces times polygons would be some hundred million flags."""
+    rng = np.random.default_rng(22)
+    low = rng.integers(0, 80, (1000, 2))
+    high, held = low + rng.integers(1, 30, (1000, 2)), np.zeros((120, 120), bool)
+    for (a, b), (c, d) in zip(low, high, strict=True):
+        held[a:c, b:d] = True
+    at = lambda x, y: np.array([3 * x + y, 2 * y - x]) / 8
+    boxes = [[np.stack((at(a, b), at(c, b), at(c, d), at(a, d)))] for (a, b), (c, d) in zip(low, high, strict=True)]
+    assert covered([boxes + boxes], np.array([[-99.0, -99, 99, 99]]))[0] == pytest.approx(held.sum() * 7 / 64)
+
+
+def test_small_keys_are_united_whole_and_large_ones_by_cells(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    rows = []
+    for n in range(1300):
+        key = None if n % 13 == 0 else "hot" if n % 2 else f"k{n % 200}"
+        x, y = (rng.random(2) * 40).tolist()
+        w, h = (rng.integers(1, 8, 2)).tolist()
+        rows.append((key, [[{"x": 3 * a + b, "y": 2 * b - a} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]]))
+    point = {"x": 1.0, "y": 1.0}
+    rows += [("none", None), ("k2", [None]), ("k2", []), ("k2", [[point, {"x": float("nan"), "y": 0.0}, point]]), ("flat", [[point, point, point]])]
+    df = spark.createDataFrame(rows, f"k string, rings {polygons.RINGS}").repartition(5)
+    whole = polygons.union_area(df, "k", size=16.0)
+    plan = plan_of(whole)
+    assert plan.count("Exchange hashpartitioning") == 1 and "cell_x" not in plan and "collect_list" not in plan
+    want = {r.k: r.union_area for r in whole.collect()}
+    assert want["flat"] == 0 and "none" not in want and len(want) == 103
+    plain = [np.array([(p["x"], p["y"]) for p in r[1][0]]) for r in rows if r[0] == "k2" and r[1] and r[1][0] and len(r[1][0]) == 4]
+    assert want["k2"] == pytest.approx(overlays.areas(overlays.listed([[[p] for p in plain]]), polygons.ANY)[0][0])
+    # keys of more than 20 go by cells, of which few polygons are held
+    monkeypatch.setattr(polygons, "MANY", 20)
+    monkeypatch.setattr(polygons, "MOST_DEALT", 50)
+    monkeypatch.setattr(polygons, "MOST_HELD", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        cells = polygons.union_area(df, "k", size=16.0)
+        assert "cell_x" in plan_of(cells)
+        got = {r.k: r.union_area for r in cells.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == pytest.approx(want) and want["hot"] > 2000
