@@ -114,15 +114,18 @@ def registration(spark, sf_dir):
     less = F.when(F.col("image") % 7 == 0, 3).otherwise(0)
     first = lambda n, back: (F.col("image") % n - back + 10 + less).cast("int")
     roof = packing.dealt(e, "image").select("image", shades(80, 55, 40).alias("bright"), shades(30, 30, 30).alias("dark"), first(11, 5).alias("left"), first(5, 2).alias("top"), F.when(F.col("image") % 6 != 5, 59 - 2 * less).otherwise(-1).alias("side"))
+    # a line of pixels for each line of squares, all roof and all ground; a line of the image is one of these, or ground with a piece of roof
+    lines = lambda shade: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.flatten(F.transform(F.slice(shade, k * 8 + 1, 8), lambda v: F.array_repeat(v, 10))))
+    begin, end = F.greatest("left", F.lit(0)), F.least(F.col("left") + F.col("side") + 1, F.lit(80))
+    drawn = roof.select("image", lines("bright").alias("bright"), lines("dark").alias("dark"), begin.alias("begin"), F.greatest(end, begin).alias("end"), "top", "side")
 
     def row(r):
         on = (r >= F.col("top")) & (r <= F.col("top") + F.col("side"))
-        place = lambda c: F.floor(r / 10).cast("int") * 8 + F.floor(c / 10).cast("int")
-        return F.when(on, F.transform(side, lambda c: F.when((c >= F.col("left")) & (c <= F.col("left") + F.col("side")), F.get("bright", place(c))).otherwise(F.get("dark", place(c))))).otherwise(F.transform(side, lambda c: F.get("dark", place(c))))
+        bright, dark = (F.get(c, F.floor(r / 10).cast("int")) for c in ("bright", "dark"))
+        return F.when(on, F.concat(F.slice(dark, 1, F.col("begin")), F.slice(bright, F.col("begin") + 1, F.col("end") - F.col("begin")), F.slice(dark, F.col("end") + 1, 80))).otherwise(dark)
 
-    side = F.array(*(F.lit(i) for i in range(80)))
     outline = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((10, 10), (70, 10), (70, 70), (10, 70))))
-    images = roof.select("image", F.lit(80).alias("width"), F.flatten(F.transform(side, row)).alias("values"), F.array(outline).alias("rings"), F.lit(40.0).alias("x"), F.lit(40.0).alias("y"))
+    images = drawn.select("image", F.lit(80).alias("width"), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(79)), row)).alias("values"), F.array(outline).alias("rings"), F.lit(40.0).alias("x"), F.lit(40.0).alias("y"))
     out = registration_.registered_images(images, 0.5)
     return out.select("image", "points", "dx", "dy", F.round("scale", 2).alias("scale"), F.round("base", 4).alias("base"), F.round("best", 4).alias("best"), F.round("rival", 4).alias("rival"), "support", "reason", "applied")
 

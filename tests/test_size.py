@@ -251,3 +251,71 @@ def test_small_keys_are_united_whole_and_large_ones_by_cells(spark, monkeypatch)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == pytest.approx(want) and want["hot"] > 2000
+
+
+def test_moves_of_an_outline_serve_all_its_images(monkeypatch):
+    """Sums of all moves against plain loops over them, with normals of any angle, points halfway between lines and some that leave the image."""
+    rng = np.random.default_rng(31)
+    h, w, across, down = 40, 46, 0.8, 1.0
+    angle = rng.choice(np.arange(7) * 0.9, 80)
+    points = np.column_stack((rng.integers(0, 2 * w, 80) / 2, rng.integers(0, 2 * h, 80) / 2, np.cos(angle), np.sin(angle)))
+    points = np.concatenate((points, points + [0.25, 0, 0, 0], [[float(x), 20.0, 0.0, 1.0] for x in range(5, 41)]))
+    kept = points[(points[:, 0] >= 5) & (points[:, 0] < w - 5) & (points[:, 1] >= 4) & (points[:, 1] < h - 4)]
+    centre = (70.0, -30.0)  # far off, so that small scales lay points beyond the border
+    both = [registration._Moves((h, w), points, centre, across, down)]
+    monkeypatch.setattr(registration, "MOST_PLACES", 0)
+    both.append(registration._Moves((h, w), points, centre, across, down))
+    assert both[0].kept and not both[1].kept and both[0].points == len(kept) > 60
+    for _ in range(2):
+        gx, gy = rng.normal(0, 60, (2, h, w))
+        want = {}
+        for step in range(registration.STEPS + 1):
+            x, y = (centre[k] + (kept[:, k] - centre[k]) * (0.9 + step / 100) for k in (0, 1))
+            y = np.where(y - np.floor(y) == 0.5, y, np.rint(y))
+            for dx in range(-5, 6):
+                for dy in range(-4, 5):
+                    c, r = np.rint(x + dx).astype(int), np.rint(y + dy).astype(int)
+                    if np.hypot(dx * across, dy * down) > 4 or not ((r >= 0) & (r < h)).any():
+                        continue
+                    sums = [0, 0, 0, 0]
+                    for i, j, (nx, ny) in zip(r.tolist(), c.tolist(), kept[:, 2:].tolist(), strict=True):
+                        if 0 <= i < h and 0 <= j < w:
+                            sums[2 + (ny > 0) if abs(ny) > abs(nx) else int(nx > 0)] += round(min(abs(gx[i, j] * nx + gy[i, j] * ny), 100.0) * 65536)
+                    want[dx, dy, step] = sums
+        for moves in both:
+            assert {tuple(m): s for m, s in zip(moves.moves.tolist(), moves.sums(gx, gy).tolist(), strict=True)} == want
+        top = max(want, key=lambda m: (sum(want[m]), *m))
+        assert registration._scored(both[0], gx, gy, across, down)[2] == [sum(want[top]), *top, *want[top]]
+
+
+def test_samples_are_made_once_an_image_and_images_by_lines(spark, tmp_path):
+    ring = [{"x": float(x), "y": float(y)} for x, y in ((10, 10), (70, 10), (70, 70), (10, 70))]
+    df = spark.createDataFrame([([ring],), ([],), (None,)], "rings array<array<struct<x:double,y:double>>>").repartition(1)
+    plan = df.select(registration.samples(F.col("rings")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(rings#") == 1
+    got = [r.s for r in df.select(registration.samples(F.col("rings")).alias("s")).collect()]
+    assert sorted(-1 if s is None else len(s) for s in got) == [-1, 0, 68]
+    from solarweave.plans import surfaces as plans
+
+    rng = np.random.default_rng(7)
+    z = [[float(np.float32(v)) for v in rng.normal(0, 0.3, 64)] for _ in range(6)]
+    spark.createDataFrame([*zip((-39, -7, 0, 5, 8, 20), z, strict=True)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    images = []
+    plain = registration.registered_images
+
+    def seen(df, metres):
+        images.extend(df.select("image", "values").collect())
+        return plain(df, metres)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(registration, "registered_images", seen)
+        plans.registration(spark, str(tmp_path))
+    for image, values in images:
+        v, less, rest = z[(-39, -7, 0, 5, 8, 20).index(image)], 3 * (image % 7 == 0), lambda n: int(np.fmod(image, n))  # noqa: B023
+        for r in range(80):
+            for c in range(80):
+                roof = rest(6) != 5 and 10 + less <= c - rest(11) + 5 <= 69 - less and 10 + less <= r - rest(5) + 2 <= 69 - less
+                k = np.floor(abs(v[r // 10 * 8 + c // 10]) * 24)
+                red, green, blue = (x + k for x in ((80, 55, 40) if roof else (30, 30, 30)))
+                assert values[r * 80 + c] == np.floor(red * 0.299 + green * 0.587 + blue * 0.114 + 0.5), (image, r, c)
+    assert len(images) == 6
