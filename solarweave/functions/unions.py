@@ -24,16 +24,17 @@ SHARE, IN_A_ROW = 0.9, 4
 def covered(edges: np.ndarray, of: np.ndarray, group: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Area of windows (n, 4: x1, y1, x2, y2) that the polygons of each group cover; edges (m, 4) lie in order of their polygon, polygons in order of their group.
 
-    A polygon is inside where an upright ray meets its edges an odd number of times. Windows of
-    many edges are halved until few are left or one polygon holds them whole, so that work
-    doesn't grow with the square of a group's size unless all of it meets at one place.
+    A polygon is inside where an upright ray meets its edges an odd number of times; a window whose
+    sides aren't in order holds nothing. Windows of many edges are halved until few are left or
+    one polygon holds them whole, so that work doesn't grow with the square of a group's size
+    unless all of it meets at one place.
     """
     row = group[of]
     size = windows[:, 2:] - windows[:, :2]
     edges = edges - np.tile(windows[row, :2], 2)
     swap = edges[:, 0] > edges[:, 2]
     edges[swap] = edges[swap][:, [2, 3, 0, 1]]
-    met = (edges[:, 2] >= 0) & (edges[:, 0] <= size[row, 0])
+    met = (edges[:, 2] >= 0) & (edges[:, 0] <= size[row, 0]) & (size > 0).all(axis=1)[row]
     edges, of, row = edges[met], of[met], row[met]
     count = np.bincount(row, minlength=len(windows))
     many = count > MOST_EDGES

@@ -251,6 +251,17 @@ def _boxes(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum.reduceat(rows.xy, rows.starts[first]), np.maximum.reduceat(rows.xy, rows.starts[first])
 
 
+def _different(rows: Rows) -> np.ndarray:
+    """Whether each polygon, all with points, is the first with its rings."""
+    ring, seen, out = np.searchsorted(rows.row, np.arange(rows.n + 1)), set(), np.zeros(rows.n, bool)
+    at = rows.starts[ring]
+    for k in range(rows.n):
+        key = (rows.xy[at[k] : at[k + 1]].tobytes(), np.diff(rows.starts[ring[k] : ring[k + 1] + 1]).tobytes())
+        out[k] = key not in seen
+        seen.add(key)
+    return out
+
+
 def _in_cells(polygons: DataFrame, keys: tuple[str, ...], size: float) -> DataFrame:
     """(keys, cell_x, cell_y, x1, rings): polygons once for each grid cell that their box touches, with their least x."""
 
@@ -276,7 +287,8 @@ def _in_cells(polygons: DataFrame, keys: tuple[str, ...], size: float) -> DataFr
 def _group_areas(polygons: DataFrame, keys: tuple[str, ...], by: list[str], size: float | None = None) -> DataFrame:
     """(keys, part): what the polygons (rings) of each group by by cover, with size of its cell (cell_x, cell_y) alone.
 
-    Rows of a group lie together, those of a cell in order of x1. Of a cell that doesn't end, what lies left of the last polygon is added up and let go.
+    Rows of a group lie together, those of a cell in order of x1. Of a cell that doesn't end, what lies left of the last polygon is added up and let go,
+    and of polygons with the same rings one stays.
     """
 
     def swept(rows: Rows, corners: tuple[np.ndarray, np.ndarray], cells: pa.RecordBatch, starts: np.ndarray, left: float, right: float = np.inf) -> np.ndarray:
@@ -293,7 +305,7 @@ def _group_areas(polygons: DataFrame, keys: tuple[str, ...], by: list[str], size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of the open group
-        done, line, count = 0.0, -np.inf, 0
+        done, line, count, most = 0.0, -np.inf, 0, MOST_HELD
 
         def ended(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
             rows = rings_of(batch.column("rings"))
@@ -315,10 +327,11 @@ def _group_areas(polygons: DataFrame, keys: tuple[str, ...], by: list[str], size
                 if every.num_rows:
                     yield ended(every, np.unique(np.concatenate(([0], starts[:-1] + count))))
                 held, count, done, line = [batch.slice(int(starts[-1]))], batch.num_rows - int(starts[-1]), 0.0, -np.inf
+                most = MOST_HELD
             else:
                 held.append(batch)
                 count += batch.num_rows
-            if size and count > MOST_HELD:
+            if size and count > most:
                 every = pa.concat_batches(held)
                 rows = rings_of(every.column("rings"))
                 corners = _boxes(rows)
@@ -326,8 +339,9 @@ def _group_areas(polygons: DataFrame, keys: tuple[str, ...], by: list[str], size
                 done += float(swept(rows, corners, every, np.array([0]), line, to)[0])
                 line = to
                 # the last one stays, so that the cell is known
-                held = [every.filter(pa.array((corners[1][:, 0] > line) | (np.arange(count) == count - 1)))]
+                held = [every.filter(pa.array((corners[1][:, 0] > line) & _different(rows) | (np.arange(count) == count - 1)))]
                 count = held[0].num_rows
+                most = max(MOST_HELD, 2 * count)
         if held:
             yield ended(pa.concat_batches(held), np.array([0]))
 

@@ -49,7 +49,7 @@ def polygon_overlay(spark, sf_dir):
 
 
 def polygon_union_area(spark, sf_dir):
-    """Area that an order's slanted boxes cover together, cell by cell."""
+    """Area that an order's slanted boxes cover together."""
     b = fixture(spark, sf_dir, "order_boxes").select("analysis", slanted().alias("rings"))
     return polygons.union_area(b, "analysis", size=16.0).select("analysis", F.round("union_area", 6).alias("union_area"))
 
