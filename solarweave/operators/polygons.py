@@ -364,6 +364,37 @@ def union_area(polygons: DataFrame, *keys: str, size: float) -> DataFrame:
     return few.unionByName(many.groupBy(*keys).agg(F.sum("part").alias("part"))).withColumnRenamed("part", "union_area")
 
 
+def _listed(rows: DataFrame, key: str, rings: str) -> DataFrame:
+    """(key, others): the polygons (rings) of each key, which is never null, as one array.
+
+    Rows of a key lie together, so an array is filled as they come, and only the open key's are held.
+    """
+    rows = rows.select(key, rings)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the open key
+
+        def arrays(every: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+            others = pa.ListArray.from_arrays(pa.array(np.append(starts, every.num_rows).astype(np.int32)), every.column(rings))
+            return pa.RecordBatch.from_arrays([every.column(key).take(pa.array(starts)), others], names=[key, "others"])
+
+        for batch in (b for b in batches if b.num_rows):
+            before = held[-1].column(key).slice(held[-1].num_rows - 1) if held else batch.column(key).slice(0, 1)
+            number = pa.concat_arrays([before, batch.column(key)]).dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(number[1:] != number[:-1])
+            if not len(starts):
+                held.append(batch)
+                continue
+            count = sum(b.num_rows for b in held)
+            every = pa.concat_batches([*held, batch.slice(0, int(starts[-1]))])
+            yield arrays(every, np.unique(np.concatenate(([0], starts[:-1] + count))))
+            held = [batch.slice(int(starts[-1]))]
+        if held:
+            yield arrays(pa.concat_batches(held), np.array([0]))
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{_key_fields(rows, (key,))}others {PARTS}")
+
+
 def free_parts(polygons: DataFrame, covers: DataFrame, key: str, size: float) -> DataFrame:
     """(key, parts, area): what is left of each key's one polygon (rings) without its covers (key, rings).
 
@@ -371,6 +402,7 @@ def free_parts(polygons: DataFrame, covers: DataFrame, key: str, size: float) ->
     must fit one row, as a roof and its obstacles do.
     """
     own = stored(bounded(polygons.select(key, "rings")), "polygons")
-    met = overlap_join(own, bounded(covers.select(key, "rings")), size, on=(key,)).groupBy(F.col(f"a_{key}").alias("__k")).agg(F.collect_list("b_rings").alias("others"))
+    met = overlap_join(own, bounded(covers.select(key, "rings")), size, on=(key,), counted=True)
+    met = _listed(met.select(F.col(f"a_{key}").alias("__k"), "b_rings"), "__k", "b_rings")
     left = own.join(met, F.col(key) == F.col("__k"), "left").withColumn("parts", without(F.col("rings"), F.coalesce("others", F.array().cast(PARTS))))
     return left.select(key, "parts", parts_area(F.col("parts")).alias("area"))

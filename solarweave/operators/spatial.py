@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -11,31 +13,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solarweave.functions.boxes import overlap
+from solarweave.storage import stored
 
 BOX = ("x1", "y1", "x2", "y2")
+#: Boxes of a key up to which they meet by key alone, where keys are counted; keys of more that are told apart from the others, beyond which all go by cells.
+FEW, MOST_CROWDED = 256, 10_000
 
 
-def _cells(df: DataFrame, size: float, reach: float = 0.0) -> DataFrame:
-    """df once for each grid cell that a box, widened by reach, touches."""
-    steps = lambda k: F.sequence(F.floor((F.col(f"{k}1") - reach) / size), F.floor((F.col(f"{k}2") + reach) / size))
+def _cells(df: DataFrame, size: float, reach: float = 0.0, alone: Column | None = None) -> DataFrame:
+    """df once for each grid cell that a box, widened by reach, touches; where alone holds, once, in cell 0, 0."""
+
+    def steps(k: str) -> Column:
+        cells = F.sequence(F.floor((F.col(f"{k}1") - reach) / size), F.floor((F.col(f"{k}2") + reach) / size))
+        return cells if alone is None else F.when(alone, F.array(F.lit(0).cast("long"))).otherwise(cells)
+
     return df.withColumn("cell_x", F.explode(steps("x"))).withColumn("cell_y", F.explode(steps("y")))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, size: float, on: tuple[str, ...] = (), left_prefix: str = "a_", right_prefix: str = "b_") -> DataFrame:
+def _crowded(left: DataFrame, right: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """Keys (on) that hold more than FEW boxes, counted over both sides, or over the one if they are the same."""
+    every = left.select(*on) if left is right else left.select(*on).unionByName(right.select(*on))
+    return stored(every.na.drop().groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > FEW).select(*on), "crowded")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, size: float, on: tuple[str, ...] = (), left_prefix: str = "a_", right_prefix: str = "b_", counted: bool = False) -> DataFrame:
     """Pairs of boxes that share area, each once, with prefixed columns and their overlap.
 
     size is about a box's side. A pair that shares several cells is kept in the cell of the
     larger of the two lower corners, so no distinct is needed. on are equal in both. Boxes
     with a null corner meet nothing.
+
+    With counted, the boxes of each key are counted first, for which both sides are read once more. Boxes of
+    keys with few are then dealt once, by key alone, and not for each cell; those of crowded keys go by cells, so that
+    no box meets all of a large key and its rows are dealt to several tasks.
     """
-    a = _cells(left.na.drop(subset=list(BOX)), size)
-    b = _cells(right.na.drop(subset=list(BOX)), size)
-    a = a.select(*(F.col(c).alias(f"{left_prefix}{c}") for c in a.columns))
-    b = b.select(*(F.col(c).alias(f"{right_prefix}{c}") for c in b.columns))
-    keys = [F.col(f"{left_prefix}{c}") == F.col(f"{right_prefix}{c}") for c in (*on, "cell_x", "cell_y")]
-    joined = a.join(b, keys).withColumn("overlap", overlap(left_prefix, right_prefix)).filter("overlap > 0")
-    own = [F.floor(F.greatest(f"{left_prefix}{k}1", f"{right_prefix}{k}1") / size) == F.col(f"{left_prefix}cell_{k}") for k in "xy"]
-    return joined.filter(own[0] & own[1]).drop(*(f"{p}cell_{k}" for p in (left_prefix, right_prefix) for k in "xy"))
+    crowded = _crowded(left, right, on) if counted and on else None
+    many = 0 if crowded is None else crowded.count()
+    by_key = crowded is not None and many <= MOST_CROWDED
+    by_cell = many > 0 or not by_key
+
+    def dealt(df: DataFrame, prefix: str) -> DataFrame:
+        df = df.na.drop(subset=list(BOX))
+        if by_cell and by_key:
+            marks = F.broadcast(crowded.withColumn("__crowded", F.lit(True)))
+            df = df.join(marks, list(on), "left").select(*df.columns, F.col("__crowded").isNull().alias("__alone"))
+        if by_cell:
+            df = _cells(df, size, alone=F.col("__alone") if by_key else None)
+        return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
+
+    sides = (left_prefix, right_prefix)
+    keys = [F.col(f"{left_prefix}{c}") == F.col(f"{right_prefix}{c}") for c in (*on, *(("cell_x", "cell_y") if by_cell else ()))]
+    joined = dealt(left, left_prefix).join(dealt(right, right_prefix), keys).withColumn("overlap", overlap(*sides)).filter("overlap > 0")
+    cell = lambda p, c: F.floor(F.col(f"{p}{c}") / size)
+    own = []
+    for k in "xy":
+        home = F.floor(F.greatest(*(f"{p}{k}1" for p in sides)) / size)
+        # both boxes touch the pair's cell unless a corner is no number
+        touched = reduce(and_, (home.between(F.least(cell(p, f"{k}1"), cell(p, f"{k}2")), F.greatest(cell(p, f"{k}1"), cell(p, f"{k}2"))) for p in sides))
+        same = home == F.col(f"{left_prefix}cell_{k}") if by_cell else None
+        own.append(touched if not by_cell else F.when(F.col(f"{left_prefix}__alone"), touched).otherwise(same) if by_key else same)
+    return joined.filter(own[0] & own[1]).drop(*(f"{p}{c}" for p in sides for c in ("cell_x", "cell_y", "__alone")))
 
 
 def apart_from(left: DataFrame, right: DataFrame, size: float, reach: float, on: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:

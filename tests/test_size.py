@@ -319,3 +319,68 @@ def test_samples_are_made_once_an_image_and_images_by_lines(spark, tmp_path):
                 red, green, blue = (x + k for x in ((80, 55, 40) if roof else (30, 30, 30)))
                 assert values[r * 80 + c] == np.floor(red * 0.299 + green * 0.587 + blue * 0.114 + 0.5), (image, r, c)
     assert len(images) == 6
+
+
+def _odd_boxes(seed):
+    """Boxes of keys of few and of many, with null keys and corners, corners that are no number or out of order, and rows that come twice."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for n in range(260):
+        x, y = (rng.integers(-20, 60, 2) / 4).tolist()
+        w, h = (rng.integers(1, 24, 2) / 4).tolist()
+        rows.append((n % 200, None if n % 31 == 0 else "many" if n % 3 == 0 else f"k{n % 40}", x, y, x + w, y + h))
+    odd = [(300, "k1", None, 0.0, 4.0, 4.0), (301, "k1", 0.0, 0.0, float("nan"), 4.0), (302, "many", float("nan"), 0.0, 4.0, 4.0), (303, "k2", 4.0, 4.0, 0.0, 0.0), (304, "k2", 1.0, 1.0, 1.0, 5.0)]
+    return [*rows, *rows[:20], *odd]
+
+
+def test_boxes_of_keys_of_few_are_dealt_once_and_meet_as_by_cells(spark, monkeypatch):
+    a, b = (spark.createDataFrame(_odd_boxes(seed), "id long, k string, x1 double, y1 double, x2 double, y2 double") for seed in (1, 2))
+    found = lambda df: sorted((r.a_id, r.b_id, r.a_k, repr(r.overlap)) for r in df.collect())
+    for left, right in ((a, b), (a, a)):
+        cells = spatial.overlap_join(left, right, 2.0, on=("k",))
+        want = found(cells)
+        assert "Generate explode" in plan_of(cells) and len(want) > 300
+        monkeypatch.setattr(spatial, "FEW", 10_000)
+        few = spatial.overlap_join(left, right, 2.0, on=("k",), counted=True)
+        assert "Generate explode" not in plan_of(few) and "cell_x" not in plan_of(few)
+        monkeypatch.setattr(spatial, "FEW", 40)
+        some = spatial.overlap_join(left, right, 2.0, on=("k",), counted=True)
+        assert "Generate explode" in plan_of(some) and "__crowded" in plan_of(some) and some.columns == few.columns == cells.columns
+        monkeypatch.setattr(spatial, "MOST_CROWDED", 0)
+        every = spatial.overlap_join(left, right, 2.0, on=("k",), counted=True)
+        assert "__crowded" not in plan_of(every)
+        assert found(few) == found(some) == found(every) == want
+        monkeypatch.undo()
+
+
+def _square(x1, y1, x2, y2):
+    return [[{"x": float(x), "y": float(y)} for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))]]
+
+
+def test_covers_are_put_together_as_they_come(spark, monkeypatch):
+    rng = np.random.default_rng(24)
+    polygons_ = [(f"k{n}", _square(0, 0, 8, 8)) for n in range(40)]
+    polygons_ += [("k3", _square(0, 0, 8, 8)), ("k4", _square(20, 20, 24, 24)), ("k5", None), ("k6", []), (None, _square(0, 0, 2, 2)), ("bare", _square(1, 1, 4, 4))]
+    boxes = [(None if n % 50 == 0 else f"k{n % 7 if n % 3 else n % 40}", *(p := rng.integers(0, 10, 2).tolist()), *(p + rng.integers(1, 4, 2)).tolist()) for n in range(600)]
+    boxes += [("k4", 21, 20, 22, 24), ("alone", 0, 0, 3, 3)]
+    covers = [(k, _square(*box)) for k, *box in boxes] + [("k1", None), ("k2", [])]
+    schema = f"k string, rings {polygons.RINGS}"
+    df, over = spark.createDataFrame(polygons_, schema).repartition(3), spark.createDataFrame(covers, schema).repartition(5)
+    want = []
+    for k, rings in polygons_:
+        held = {(i, j) for i in range(int(rings[0][0]["x"]), int(rings[0][2]["x"])) for j in range(int(rings[0][0]["y"]), int(rings[0][2]["y"]))} if rings else set()
+        gone = {(i, j) for q, x1, y1, x2, y2 in boxes if k is not None and q == k for i in range(x1, x2) for j in range(y1, y2)}
+        want.append((str(k), float(len(held - gone))))
+    for few in (10_000, 20):
+        monkeypatch.setattr(spatial, "FEW", few)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            out = polygons.free_parts(df, over, "k", 4.0)
+            plan = plan_of(out)
+            got = sorted((str(r.k), round(r.area, 9)) for r in out.collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == sorted(want) and sum(a for _, a in want) > 300
+        # no aggregate holds and sorts the covers once more
+        assert "collect_list" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 1
+        assert ("Generate explode" in plan) == (few == 20)
