@@ -384,3 +384,21 @@ def test_covers_are_put_together_as_they_come(spark, monkeypatch):
         # no aggregate holds and sorts the covers once more
         assert "collect_list" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 1
         assert ("Generate explode" in plan) == (few == 20)
+
+
+def test_polygons_are_clipped_without_a_copy_for_each_cell(spark, monkeypatch):
+    rng = np.random.default_rng(25)
+    boxes = [(n % 150, None if n % 40 == 0 else n % 9 if n % 2 else 77, *(p := rng.integers(0, 12, 2).tolist()), *(p + rng.integers(1, 6, 2)).tolist()) for n in range(200)]
+    schema = f"id long, k long, rings {polygons.RINGS}"
+    left = spark.createDataFrame([*((i, k, _square(*box)) for i, k, *box in boxes), (900, 1, None), (901, 1, [])], schema)
+    roofs_ = [(0, k, x, 0, x + 4, 7) for k in (*range(9), 77, None) for x in (0, 3)]
+    right = spark.createDataFrame([(i, k, _square(*box)) for i, k, *box in roofs_], schema)
+    side = lambda a, b, n: max(0, min(a[2 + n], b[2 + n]) - max(a[n], b[n]))
+    areas = [(i, k, side(p, q, 0) * side(p, q, 1)) for i, k, *p in boxes for _, r, *q in roofs_ if k is not None and k == r]
+    want = sorted((i, k, float(a)) for i, k, a in areas if a > 1)
+    for few in (10_000, 30):
+        monkeypatch.setattr(spatial, "FEW", few)
+        out = polygons.clipped(left, right, 4.0, on=("k",), least=1.0)
+        assert sorted((r.a_id, r.a_k, round(r.area, 9)) for r in out.collect()) == want and len(want) > 80
+        assert ("Generate explode" in plan_of(out)) == (few == 30)
+    assert "Generate explode" in plan_of(polygons.clipped(left, right, 4.0))
