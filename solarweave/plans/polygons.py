@@ -41,7 +41,7 @@ def ring_repair(spark, sf_dir):
 def polygon_overlay(spark, sf_dir):
     """Areas of union, common part, difference and odd part of slanted boxes of one order and kind that overlap."""
     b = fixture(spark, sf_dir, "order_boxes").select("id", "analysis", "kind", "x1", "y1", "x2", "y2")
-    met = overlap_join(b, b, 4.0, on=("analysis", "kind")).filter("a_id < b_id")
+    met = overlap_join(b, b, 4.0, on=("analysis", "kind"), counted=True).filter("a_id < b_id")
     rings = lambda p: slanted(*(f"{p}{c}" for c in ("x1", "y1", "x2", "y2")))
     out = met.select("a_id", "b_id", rings("a_").alias("a"), rings("b_").alias("b"))
     out = out.select("a_id", "b_id", polygons.shared_areas(F.col("a"), F.col("b")).alias("of"), F.size(polygons.united(F.array("a", "b"))).alias("parts"))

@@ -350,6 +350,8 @@ def test_boxes_of_keys_of_few_are_dealt_once_and_meet_as_by_cells(spark, monkeyp
         every = spatial.overlap_join(left, right, 2.0, on=("k",), counted=True)
         assert "__crowded" not in plan_of(every)
         assert found(few) == found(some) == found(every) == want
+        if left is right:  # shuffled once
+            assert "ReusedExchange" in plan_of(few) and "ReusedExchange" in plan_of(some)
         monkeypatch.undo()
 
 
@@ -402,3 +404,19 @@ def test_polygons_are_clipped_without_a_copy_for_each_cell(spark, monkeypatch):
         assert sorted((r.a_id, r.a_k, round(r.area, 9)) for r in out.collect()) == want and len(want) > 80
         assert ("Generate explode" in plan_of(out)) == (few == 30)
     assert "Generate explode" in plan_of(polygons.clipped(left, right, 4.0))
+
+
+def test_boxes_of_an_order_meet_by_order_and_kind(spark, tmp_path):
+    from solarweave.plans import polygons as plans
+
+    rows = spark.range(240).selectExpr("CASE WHEN id % 37 = 0 THEN NULL ELSE id % 50 END AS l_orderkey", "CAST(id % 4 AS INT) AS l_linenumber", "id * 7 % 90 AS l_partkey", "id * 5 % 60 AS l_suppkey")
+    rows.union(rows.limit(30)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = plans.polygon_overlay(spark, str(tmp_path))
+    assert "Generate explode" not in plan_of(df)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    names = ("a_id", "b_id", "whole", "both", "first", "either", "parts")
+    want = sorted(con.execute("select {} from ({})".format(", ".join(f'"{c}"' for c in names), plans.SQL["polygon_overlay"])).fetchall())
+    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == want and len(want) > 20
